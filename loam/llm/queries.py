@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ready
-from . import bpe, decontamination, quality, token_output
+from . import bpe, decontamination, licenses, pii, quality, token_output, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +25,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -34,6 +46,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op5_bpe, op8_token_output, op10_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op5_bpe, op6_licenses, op7_pii, op8_token_output, op9_url_filter, op10_decontamination)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": """
+WITH cut AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM cut)
+), rules(act, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fit AS (
+  SELECT n.page_id, arg_max(r.rhost || r.rpath, length(r.rhost) + length(r.rpath)) AS rule, arg_max(r.act, length(r.rhost) + length(r.rpath)) AS act
+  FROM named n JOIN rules r ON (n.host = r.rhost OR ends_with(n.host, '.' || r.rhost)) AND starts_with(n.path, r.rpath) GROUP BY n.page_id
+)
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.act, 'allow') AS verdict FROM named n LEFT JOIN fit f USING (page_id)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
