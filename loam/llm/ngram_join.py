@@ -393,3 +393,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     out = members.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The input rows, one of each component (the one with the smallest doc_id), with all their columns.
+
+    Rows without words or without doc_id stay; of equal rows of the kept doc_id all stay.
+    """
+    comps = jaccard_join(docs, n, percent)
+    gone = comps.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", F.col("row.doc_id").cast("long"))
+    gone = gone.withColumnRenamed("doc_id", "key")
+    return tagged.join(F.broadcast(gone) if small_enough(gone, BROADCAST_IDS) else gone, "key", "left_anti").select("row.*")

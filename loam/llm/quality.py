@@ -129,11 +129,11 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA
     ])
     long = wide.select("stratum", "n", F.explode(tests).alias("x")).select("stratum", "n", "x.*")
     per_rule = alpha / len(rules)
-    chains = long.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    tested = long.crossJoin(F.broadcast(chains)).withColumn(  # one row: the number of strata
+    strata = max(1, wide.count())
+    tested = long.withColumn(
         "ok",
         F.when(F.col("k") >= F.col("n") * per_rule, False).otherwise(
-            binomial_tail(F.col("n"), F.col("k"), per_rule) <= F.lit(delta) / (F.col("strata") * len(rules))
+            binomial_tail(F.col("n"), F.col("k"), per_rule) <= delta / (strata * len(rules))
         ),
     )
     ended = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.max("step").alias("top"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ready
-from . import bpe, decontamination, licenses, pii, quality, token_output, url_filter
+from . import bpe, decontamination, licenses, line_dedup, ngram_join, pii, quality, suffix_dedup, token_output, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +21,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -46,7 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op5_bpe, op6_licenses, op7_pii, op8_token_output, op9_url_filter, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_ngram_join, op3_suffix_dedup, op4_line_dedup, op5_bpe,
+        op6_licenses, op7_pii, op8_token_output, op9_url_filter, op10_decontamination,
+    )
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": """
