@@ -25,12 +25,23 @@ from pyspark.sql import DataFrame
 from .common import documents, rows_of, tune
 
 END = "</w>"
-#: Pieces cached per worker; the cache is emptied when full.
-CACHE = 400_000
+#: Pieces cached per worker, in two generations: a full one becomes the old one, and pieces met again move up.
+CACHE = 250_000
+#: Bits of a token id in the packed pair and merge keys.
+ID_BITS, NO_MERGE = 20, 1 << 62
 #: Longer pieces are not cached and go through the streaming path.
 LONG_PIECE = 512
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _latin_class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x370)) if unicodedata.category(c)[0] == kind)
+
+
+#: The pattern for texts without characters from U+0370 on, with its classes spelled out; letters are tried first.
+_SPACE = r"\t-\r \x85\xa0"
+LATIN = re.compile(f"[{_latin_class('L')}]+|[{_latin_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_latin_class('L')}{_latin_class('N')}]+")
+BEYOND_LATIN = re.compile("[^\x00-\u036f]")
+PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -86,10 +97,10 @@ class WordBpe:
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # left and right id packed -> rank and merged id packed
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << ID_BITS | self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.alphabet = byte_alphabet()
@@ -100,6 +111,9 @@ class WordBpe:
             self.tokens[i] = t
         self.chars = Alphabet(spec)
         self.cache: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.numerals = list(map(str, range(len(self.tokens))))
+        self.ints = list(range(len(self.tokens)))  # one object for each id, shared by all cached pieces
         self.lookahead = self._lookahead(model["merges"])
 
     def _lookahead(self, merges: list) -> int:
@@ -115,21 +129,24 @@ class WordBpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge symbols; a heap of (rank, position) over a linked list, O(n log n) for pieces of any length."""
-        n, ranks = len(ids), self.ranks
-        if n < 24:
+        n, get, mask = len(ids), self.ranks.get, (1 << ID_BITS) - 1
+        if n < 64:
             ids = list(ids)
-            while len(ids) > 1:
-                low, at, to = None, 0, 0
-                for i in range(len(ids) - 1):
-                    r = ranks.get((ids[i], ids[i + 1]))
-                    if r is not None and (low is None or r[0] < low):
-                        low, at, to = r[0], i, r[1]
-                if low is None:
+            open_ = [get(a << ID_BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+            while open_:
+                low = min(open_)
+                if low == NO_MERGE:
                     break
-                ids[at : at + 2] = [to]
+                i = open_.index(low)
+                ids[i] = low & mask
+                del ids[i + 1], open_[i]
+                if i:
+                    open_[i - 1] = get(ids[i - 1] << ID_BITS | ids[i], NO_MERGE)
+                if i < len(open_):
+                    open_[i] = get(ids[i] << ID_BITS | ids[i + 1], NO_MERGE)
             return ids
         ids, left, right = list(ids), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r >> ID_BITS, i, ids[i], ids[i + 1], r & mask) for i in range(n - 1) if (r := get(ids[i] << ID_BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, to = heapq.heappop(heap)
@@ -137,34 +154,39 @@ class WordBpe:
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
             ids[i], ids[j] = to, -1
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-                if r := ranks.get((to, ids[right[i]])):
-                    heapq.heappush(heap, (r[0], i, to, ids[right[i]], r[1]))
-            if left[i] >= 0 and (r := ranks.get((ids[left[i]], to))):
-                heapq.heappush(heap, (r[0], left[i], ids[left[i]], to, r[1]))
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                if (r := get(to << ID_BITS | ids[k])) is not None:
+                    heapq.heappush(heap, (r >> ID_BITS, i, to, ids[k], r & mask))
+            if (h := left[i]) >= 0 and (r := get(ids[h] << ID_BITS | to)) is not None:
+                heapq.heappush(heap, (r >> ID_BITS, h, ids[h], to, r & mask))
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one piece, and their decimal form joined by a space."""
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece."""
         found = self.cache.get(piece)
         if found is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            if len(raw) > LONG_PIECE:
-                run = PieceStream(self)
-                ids = tuple(run.feed(raw)) + tuple(run.end())
-                return ids, " ".join(map(str, ids))
-            ids = tuple(self.merge([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]))
+            found = self.old.get(piece)
+            if found is None:
+                raw = piece.encode("utf-8", "surrogatepass")
+                if len(raw) > LONG_PIECE:
+                    run = PieceStream(self)
+                    return tuple(run.feed(raw)) + tuple(run.end())
+                ids = self.merge([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]])
+                found = tuple(map(self.ints.__getitem__, ids))
             if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[piece] = ids, " ".join(map(str, ids))
+                self.old, self.cache = self.cache, {}
+            self.cache[piece] = found
         return found
 
     def pieces(self, text: str) -> list[str]:
         """Normalize text without special tokens (composed form, lower case) and cut it into pieces."""
         if text.isascii():
-            return ASCII_PIECES.findall(text.lower())
+            return LATIN.findall(text.lower())
+        plain = unicodedata.normalize("NFC", text).lower()
+        if not BEYOND_LATIN.search(plain):
+            return LATIN.findall(plain)
         rare = {c for c in set(text) if c >= "\u0370"}
         text = self.chars.composed(text) if any(map(unicodedata.combining, rare)) else unicodedata.normalize("NFC", text)
         odd = self.chars.odd_in(rare | set(text)) if rare else {}
@@ -208,28 +230,22 @@ class WordBpe:
             at = m.end()
         yield text[at:], None
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """All ids of a text, and their decimal form."""
-        get, ids, said = self.cache.get, [], []
-        for part, special in self.segments(text) if "<|" in text else ((text, None),):
-            for p in self.pieces(part):
-                e = get(p) or self.piece(p)
-                ids += e[0]
-                said.append(e[1])
-            if special is not None:
-                ids.append(special)
-                said.append(str(special))
-        return ids, " ".join(said)
-
     def encode_ids(self, text: str) -> list[int]:
-        get, ids = self.cache.get, []
+        """All ids of a text."""
+        ids: list[int] = []
         for part, special in self.segments(text) if "<|" in text else ((text, None),):
+            get = self.cache.get
             for p in self.pieces(part):
-                ids += (get(p) or self.piece(p))[0]
+                ids += get(p) or self.piece(p)
             if special is not None:
                 ids.append(special)
         return ids
 
+    def decimal(self, ids: Iterable[int]) -> str:
+        """The ids in decimal, joined by a space."""
+        numerals = self.numerals
+        return " ".join([numerals[i] for i in ids])
+
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decoding for a file without a decoder: the tokens' own strings, joined by a space."""
         tokens = self.tokens
@@ -358,9 +374,9 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = bpe_of(spec.value)
         out: list[tuple] = []
         for doc, text in rows_of(batches):
-            ids, said = bpe.encode(text or "")
+            ids = bpe.encode_ids(text or "")
             decoded = bpe.decode(ids).encode()
-            out.append((doc, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            out.append((doc, len(ids), hashlib.sha256(bpe.decimal(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             if len(out) >= 2000:
                 yield digest_batch(out)
                 out = []

@@ -16,9 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import small_enough, tune
 
 ALPHA, DELTA = 0.05, 0.05
+MOST_STRATA = 100_000
 #: Rule -> its cutoffs, from the laxest to the strictest; a document above the cutoff is rejected.
 GRIDS: dict[str, list[float]] = {
     "symbol_ratio": [4.0, 3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05],
@@ -137,14 +138,14 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA
         ),
     )
     ended = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.max("step").alias("top"))
-    passed = tested.join(F.broadcast(ended), ["stratum", "rule"]).filter(F.col("step") < F.coalesce("stop", F.col("top") + 1))
+    passed = tested.join(ended, ["stratum", "rule"]).filter(F.col("step") < F.coalesce("stop", F.col("top") + 1))
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def apply_rules(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Add ``kept`` and ``failed_rules``. The cutoff table has at most strata x rules rows (strata: languages)."""
+    """Add ``kept`` and ``failed_rules``. The cutoff table (a row for each stratum) is broadcast up to MOST_STRATA rows."""
     wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
-    joined = scored.join(F.broadcast(wide), "stratum", "left")
+    joined = scored.join(F.broadcast(wide) if small_enough(wide, MOST_STRATA) else wide, "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.try_element_at("cut", F.lit(r)), F.lit(r)) for r in GRIDS]))
     return joined.withColumn("failed_rules", F.array_join(failed, ",")).withColumn(
         "kept", ~F.col("base_failed") & (F.size(failed) == 0)
