@@ -62,20 +62,23 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(words, lambda w: _let(grams(w), covered)))
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+def features(docs: DataFrame, stratum: str = "lang", row: bool = False) -> DataFrame:
     """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the rule scores.
 
     A null or empty text has no words: all counts 0, base_failed true. Repeated rows give repeated results. Columns
     other than doc_id, text and the stratum are not read; a missing stratum column or a null stratum is the stratum ''.
+    With ``row`` the whole input row comes along as a struct of that name.
     """
+    keep = ["doc_id", "stratum", *["row"] * row]
     by = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by.alias("stratum"), text.alias("t"))
-    split = base.select("doc_id", "stratum", "t", F.array_remove(F.split("t", GAP), "").alias("w"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * row
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), by.alias("stratum"), text.alias("t"), *whole)
+    split = base.select(*keep, "t", F.array_remove(F.split("t", GAP), "").alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     dup_lines = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     counted = split.select(
-        "doc_id", "stratum",
+        *keep,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -166,30 +169,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The input rows that the rules keep, with all their columns. A row without doc_id is judged like any other."""
     tune(docs.sparkSession)
-    tag = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    plain = tag.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), (F.col(f"row.{stratum}") if stratum in docs.columns else F.lit("")).alias("stratum"))
-    cutoffs = certified_cutoffs(features(plain, "stratum").drop("n_upper", "n_lines").checkpoint(), labels, alpha, delta)
-    by = F.coalesce(F.col(f"row.{stratum}").cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    judged = apply_rules(_features_beside(tag, by), cutoffs)
-    return judged.filter("kept").select("row.*")
-
-
-def _features_beside(tag: DataFrame, by: Column) -> DataFrame:
-    """The rule scores beside the whole input row."""
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    split = tag.select("row", by.alias("stratum"), text.alias("t"), F.array_remove(F.split(text, GAP), "").alias("w"))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    counted = split.select(
-        "row", "stratum", F.size("w").alias("n_words"), F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-        _repeat_words(F.col("w")).alias("n_repeat_words"), F.length(F.regexp_replace("t", "[^A-Z]", "")).alias("n_upper"), F.size(lines).alias("n_lines"),
-    )
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return counted.select(
-        "row", "stratum",
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        (F.col("n_symbols") / n).alias("symbol_ratio"), (F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))).alias("upper_ratio"),
-        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_ratio"),
-        (F.col("n_repeat_words") / n).alias("repeat_ratio"), (F.col("word_chars") / n).alias("mean_word"),
-    )
+    cutoffs = certified_cutoffs(features(docs, stratum).drop("n_upper", "n_lines").checkpoint(), labels, alpha, delta)
+    return apply_rules(features(docs, stratum, row=True), cutoffs).filter("kept").select("row.*")
