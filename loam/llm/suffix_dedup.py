@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, rows_of, tune
-from .exchange import BUCKET_KEYS, REQUEST, answers_by_page, bucket_of, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
+from .exchange import REQUEST, answers_by_page, bucket_of, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
 from .ngram_join import _expand, _squeeze
 
 THRESHOLD, GRAM = 50, 16
-PAGE_BYTES, CHUNK = 16 << 20, 1 << 20
-SLICE_WINDOWS = 1_000_000
+PAGE_BYTES, CHUNK = 8 << 20, 1 << 19
+#: Text whose anchors share a bucket, and windows refined at once; both bound a worker's memory.
+BUCKET_BYTES, SLICE_WINDOWS = 12 << 20, 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -70,7 +71,7 @@ def chunks(x: dict[str, np.ndarray], at: np.ndarray, threshold: int) -> Iterator
     for i in at.tolist():
         b, e = int(begins[i]), int(ends[i])
         while e - b >= threshold:
-            piece = min(e, b + 4 * CHUNK)
+            piece = min(e, b + CHUNK)
             held_b.append(b)
             held_e.append(piece)
             size += piece - b
@@ -114,7 +115,8 @@ def anchors(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, threshold: in
     last = np.r_[new[1:], len(own)] - 1
     piece = np.searchsorted(local, start[new], "right") - 1
     shift = begins[piece] - local[piece]
-    return h[own[new]] >> np.uint64(16), own[new] + shift, start[new] + shift, start[last] + shift
+    key = (h[own[new]] ^ (h[own[new]] >> np.uint64(31))) * _B  # selected hashes are small ones: spread them over the buckets
+    return (key ^ (key >> np.uint64(30))) * _A >> np.uint64(16), own[new] + shift, start[new] + shift, start[last] + shift
 
 
 def page_anchors(x: dict[str, np.ndarray], at: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
@@ -236,8 +238,8 @@ def _answer(threshold: int):
             k = np.repeat(kind[done : done + len(p["times"])], p["times"])
             done += len(p["times"])
             got = []
-            for lo in range(0, len(k), 100_000):
-                kk, doc = k[lo : lo + 100_000], p["doc"][lo : lo + 100_000]
+            for lo in range(0, len(k), 20_000):
+                kk, doc = k[lo : lo + 20_000], p["doc"][lo : lo + 20_000]
                 n = count[kk]
                 row = np.repeat(np.arange(len(kk)), n)
                 inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -294,7 +296,7 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = F
     members = pages.mapInArrow(rows, "page long, at long, doc_id long, size long, digest string").filter(f"doc_id is not null and size >= {threshold}").checkpoint()
     classes = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"))
     total = classes.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // (BUCKET_KEYS * 18)))
+    buckets = max(1, -(-total // BUCKET_BYTES))
     chosen = members.join(classes.select("digest", "least"), "digest").filter("doc_id = least").groupBy("page").agg(F.collect_list("at").alias("ats")).checkpoint()
     live = pages.join(chosen, "page")
 
