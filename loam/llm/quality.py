@@ -113,17 +113,19 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, start, step, lambda a: a["total"]))
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents labelled good. Labels with a null doc_id or quality count as absent; a document labelled
+    twice is good if any label says so."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id is not null and q is not null")
+    return known.groupBy("doc_id").agg(F.max("q").alias("q")).filter("q >= 1").select("doc_id")
+
+
 def certified_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, rule, cutoff: the strictest certified cutoff of each chain; no row where none is certified.
 
-    Labels with a null doc_id or quality count as absent; a document labelled twice is good if any label says so.
     Documents that the base rules reject are no evidence for the method, so the holdout is the good ones that pass.
     """
-    good = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q"))
-        .filter("doc_id is not null and q is not null").groupBy("doc_id").agg(F.max("q").alias("q")).filter("q >= 1").select("doc_id")
-    )
-    held = scored.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    held = scored.filter(~F.col("base_failed")).join(good_ids(labels), "doc_id", "left_semi")
     rules = list(GRIDS)
     sums = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(GRIDS[r])]
     wide = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -169,5 +171,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The input rows that the rules keep, with all their columns. A row without doc_id is judged like any other."""
     tune(docs.sparkSession)
-    cutoffs = certified_cutoffs(features(docs, stratum).drop("n_upper", "n_lines").checkpoint(), labels, alpha, delta)
+    good = good_ids(labels)
+    good = F.broadcast(good) if small_enough(good, MOST_STRATA * 10) else good
+    held = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).join(good, "doc_id", "left_semi")
+    cutoffs = certified_cutoffs(features(held, stratum).drop("n_upper", "n_lines").checkpoint(), labels, alpha, delta)
     return apply_rules(features(docs, stratum, row=True), cutoffs).filter("kept").select("row.*")
