@@ -17,40 +17,44 @@ size and not its square. Buckets larger than ``BLOCK`` are cut into blocks, sear
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, rows_of, small_enough, tune
+from .common import discard, documents, materialize, release, shared_dir, small_enough, tune
 from .components import connected_components
 from .exchange import BUCKET_KEYS, REQUEST, answers_by_page, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
 
-GROUPS, LEAF, BLOCK = 64, 16, 1024
-PAGE_CHARS = 16 << 20
+GROUPS, FINE, LEAF, BLOCK = 64, 1024, 16, 1024
+PAGE_CHARS = 8 << 20
 #: A member found in more than this share of the documents comes last in the order.
 COMMON = 0.001
-WORD_CACHE = 1_000_000
 #: Ids beyond this many are joined by a shuffle, up to it by a broadcast.
 BROADCAST_IDS = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_words: dict[bytes, int] = {}
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased, cut at ASCII white space."""
-    if len(_words) > WORD_CACHE:
-        _words.clear()
-    get, out = _words.get, []
-    for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-        h = get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+#: Bytes hashed at once; a longer text is a chunk of its own.
+CHUNK = 1 << 19
+_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the (odd) radix and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        inverse = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+        for r in (_RADIX, inverse):
+            t = np.full(max(n, CHUNK + 4096), r, np.uint64)
+            t[0] = 1
+            _powers.append(np.multiply.accumulate(t))
+        del _powers[:-2]
+    return _powers[0], _powers[1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,16 +63,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes; a text of fewer words is one n-gram; no words, no n-gram."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    size = min(n, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of a chunk, A-Z lower-cased, cut at ASCII white space; all words at once.
+
+    A word's hash is its polynomial in random byte values, from the difference of two prefix sums, mixed with its length.
+    """
+    data = np.frombuffer(raw.lower(), np.uint8)
+    gap = _SPACE[data]
+    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    return start, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _C[3])
+
+
+def _chunk_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    start, w = word_hashes(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cut = np.searchsorted(start, np.r_[0, ends])
+    h = np.full(max(len(w) - n + 1, 0), n, np.uint64)
+    for i in range(n):
         h = _mix(h * _C[0] + w[i : i + len(h)])
-    return np.unique(h)
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a >= n:
+            s = np.sort(h[a : b - n + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        else:  # fewer words: the whole sequence is one n-gram
+            one = np.full(int(b > a), b - a, np.uint64)
+            for i in range(a, b):
+                one = _mix(one * _C[0] + w[i])
+            out.append(one)
+    return out
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text; a text of fewer words is one n-gram; no words, no n-gram."""
+    out, held, size = [], [], 0
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= CHUNK:
+            out += _chunk_sets(held, n)
+            held, size = [], 0
+    return out + _chunk_sets(held, n) if held else out
 
 
 def need(n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -86,8 +125,14 @@ def point(s: np.ndarray) -> bytes:
     return c.astype(np.uint8 if c.max(initial=0) < 256 else "<u4").tobytes()
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of FINE groups, for the last bound before sets are shipped."""
+    c = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE)
+    return c.astype(np.uint8 if c.max(initial=0) < 256 else "<u4").tobytes()
+
+
 def points(raws: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, np.uint8 if len(r) == GROUPS else "<u4").astype(np.int32) for r in raws])
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) in (GROUPS, FINE) else "<u4").astype(np.int32) for r in raws])
 
 
 class Tree:
@@ -148,12 +193,13 @@ def common_members(docs: DataFrame, n: int) -> np.ndarray:
             ok = c >= max(3, COMMON / 2 * k)
             return pa.RecordBatch.from_arrays([pa.array(u[ok].view(np.int64)), pa.array(c[ok].astype(np.int64)), ], ["h", "c"])
 
-        for _, text in rows_of(batches):
-            held.append(shingle_set(text, n))
-            k, size = k + 1, size + len(held[-1])
-            if size > 4_000_000:
-                yield flush()
-                held, k, size = [], 0, 0
+        for b in batches:
+            for s in shingle_sets(b.column(1).to_pylist(), n):
+                held.append(s)
+                k, size = k + 1, size + len(s)
+                if size > 2_000_000:
+                    yield flush()
+                    held, k, size = [], 0, 0
         if held:
             yield flush()
 
@@ -190,15 +236,16 @@ def signature_pages(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefix=np.concatenate([r[3] for r in rows]), k=np.array([len(r[3]) for r in rows], np.int64), wide=np.array([len(r[4]) for r in rows], np.int64), point=np.frombuffer(b"".join(r[4] for r in rows), np.uint8),
             )], pa.binary())], ["page", "blob"])
 
-        for doc, text in rows_of(batches):
-            s = shingle_set(text, n)
-            is_late = member(s, late)
-            ordered = np.concatenate([s[~is_late], s[is_late]])[: prefix_size(len(s), percent)]
-            rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), ordered >> np.uint64(16), point(s)))
-            chars += len(text or "")
-            if chars > PAGE_CHARS:
-                yield flush()
-                rows, chars = [], 0
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for doc, text, s in zip(b.column(0).to_pylist(), texts, shingle_sets(texts, n), strict=True):
+                is_late = member(s, late)
+                ordered = np.concatenate([s[~is_late], s[is_late]])[: prefix_size(len(s), percent)]
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), _mix(ordered * _C[0]) >> np.uint64(16), point(s)))  # prefixes hold small hashes: spread them over the buckets
+                chars += len(text or "")
+                if chars > PAGE_CHARS:
+                    yield flush()
+                    rows, chars = [], 0
         if rows:
             yield flush()
 
@@ -278,9 +325,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "s"])
-
-    made = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, s binary")
+            made = shingle_sets(b.column(1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array([fine_point(s) for s in made], pa.binary()), pa.array([len(s) for s in made], pa.int64())], ["node", "s", "p", "n"])
+
+    at = f"{shared_dir(docs.sparkSession)}/loam/sets-{uuid.uuid4().hex}"
+    schema = "node long, s binary, p binary, n long"
+    docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, schema).write.parquet(at)
+    made = docs.sparkSession.read.schema(schema).parquet(at)
+    info = made.select("node", "n", "p")
+    both = pairs.join(info.selectExpr("node as a", "n as na", "p as pa"), "a").join(info.selectExpr("node as b", "n as nb", "p as pb"), "b")
+    pairs = _bounded(both, percent).distinct().checkpoint()
+    release(docs.sparkSession)
 
     def check(batches):
         for b in batches:
@@ -293,7 +348,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     left = made.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = made.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct().checkpoint()
+    out = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct().checkpoint()
+    discard(docs.sparkSession, at)
+    return out
 
 
 def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -318,51 +375,67 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "comp", "point")
     placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def found(run):
-        pts, size = points(run["point"]), np.array(run["n"])
-        comp, node, mine = np.array(run["comp"]), np.array(run["node"]), np.array(run["mine"])
-        i, j = run["i"][0], run["j"][0]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    names = ["key", "i", "j", "mine", "node", "n", "comp", "point"]
+
+    def small(c: dict[str, np.ndarray], pts: np.ndarray, run_id: np.ndarray):
+        """Runs of at most LEAF rows are single leaves; all of them at once, by the distance of their rows."""
+        for d in range(1, LEAF):
+            left = np.flatnonzero(run_id[d:] == run_id[:-d])
+            right = left + d
+            n, m = c["n"][left], c["n"][right]
+            ok = (c["comp"][left] != c["comp"][right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            left, right, n, m = left[ok], right[ok], n[ok], m[ok]
+            ok = np.minimum(pts[left], pts[right]).sum(axis=1) >= need(n, m, percent)
+            yield c["node"][left[ok]], c["node"][right[ok]]
+
+    def large(c: dict[str, np.ndarray], pts: np.ndarray):
+        left, right = np.flatnonzero(c["mine"] == c["i"][0]), np.flatnonzero(c["mine"] == c["j"][0])
         if len(left) and len(right):
-            tree = Tree(pts[right], size[right], comp[right])
-            for q, p in tree.search(pts[left], size[left], comp[left], percent):
-                a, b = node[left[q]], node[right[p]]
-                yield np.minimum(a, b), np.maximum(a, b)
+            tree = Tree(pts[right], c["n"][right], c["comp"][right])
+            for q, p in tree.search(pts[left], c["n"][left], c["comp"][left], percent):
+                yield c["node"][left[q]], c["node"][right[p]]
+
+    def search(table: pa.Table):
+        """All pairs of the whole runs of a table."""
+        c = {k: table.column(k).to_numpy() for k in names[:-1]}
+        pts = points(table.column("point").to_pylist())
+        new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(new)])
+        run_id = np.cumsum(new) - 1
+        is_small = size[run_id] <= LEAF
+        at = np.flatnonzero(is_small)
+        yield from small({k: v[at] for k, v in c.items()}, pts[at], run_id[at])
+        for f, s in zip(first[size > LEAF], size[size > LEAF], strict=True):
+            yield from large({k: v[f : f + s] for k, v in c.items()}, pts[f : f + s])
 
     def run(batches):
-        names = ["key", "i", "j", "mine", "node", "n", "comp", "point"]
-        held: dict[str, list] = {k: [] for k in names}
+        held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int]] = set()
 
-        def close():
-            for a, b in found(held):
-                seen.update(zip(a.tolist(), b.tolist(), strict=True))
-
         def out():
             rows = sorted(seen)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
 
+        def take(table):
+            for a, b in search(table):
+                seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
         for b in batches:
-            cols = {k: b.column(i).to_pylist() for i, k in enumerate(names)}
-            ids = list(zip(cols["key"], cols["i"], cols["j"], strict=True))
-            start = 0
-            for at in range(len(ids)):
-                if held["key"] and (held["key"][0], held["i"][0], held["j"][0]) != ids[at]:
-                    for k in names:
-                        held[k] += cols[k][start:at]
-                    close()
-                    held, start = {k: [] for k in names}, at
-                if not held["key"]:
-                    for k in names:
-                        held[k].append(cols[k][at])
-                    start = at + 1
-            for k in names:
-                held[k] += cols[k][start:]
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(i).to_numpy() for i in range(3)])
+            other = np.flatnonzero((ids != ids[:, -1:]).any(axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:  # all runs but the last one are whole
+                take(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
             if len(seen) > 200_000:
                 yield out()
                 seen.clear()
-        if held["key"]:
-            close()
+        if held:
+            take(pa.Table.from_batches(held))
         yield out()
 
     return placed.mapInArrow(run, "a long, b long")
@@ -385,6 +458,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     rows = _buckets(pages, chosen, int(total), percent)
     first = _verified(_bounded(_leader_pairs(rows, percent), percent), plain, n, percent)
+    release(docs.sparkSession)
     comps = connected_components(first)
     more = _verified(_cross_pairs(rows, comps, percent), plain, n, percent)
     named = live.select("doc_id", "digest").join(classes.select("digest", F.col("r.doc_id").alias("rep")), "digest").select("doc_id", "rep")
