@@ -14,13 +14,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round moves every node's larger neighbours to its smallest one; partial aggregation keeps a node with very
     many neighbours from gathering them in one task. Stops when a round changes nothing.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    edges, state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint(), None
     for _ in range(MOST_ROUNDS):
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger_only=True)
         small = _star(large, larger_only=False).checkpoint()
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        before, edges = state, small
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
