@@ -2,9 +2,11 @@
 
 The lines with a word are a document's sequence of line hashes. In each window of ``run`` lines the smallest hash (the
 last among equals) is selected, so any repeated run of that length has a selected line at the same place in it: a
-guaranteed fingerprint. Positions of fingerprints that occur more than once are joined, the hashes around them extend
-the match both ways, and a window of ``run`` lines that occurs earlier (in a smaller doc_id, or before it in the same
-document) marks its lines; windows that touch or overlap make one run. Lines of later repeats go, the first stays.
+guaranteed fingerprint. A window of fewer lines counts if it holds ``words`` words or more, and is its own fingerprint;
+so long passages are found on one or two lines too, in short documents too. Positions of fingerprints that occur more
+than once are joined, the hashes around them extend the match both ways, and a window that occurs earlier (in a smaller
+doc_id, or before it in the same document) marks its lines; windows that touch or overlap make one run. Marked is thus
+each line of any repeated run of ``run`` lines or ``words`` words. Lines of later repeats go, the first stays.
 
 Only windows with a shared fingerprint travel, each as one key; the earliest place of a key is found by partial
 aggregation, so a passage that a third of all documents hold is one row for each map task.
@@ -21,18 +23,23 @@ from pyspark.sql import functions as F
 from .common import tune
 
 RUN = 3
+WORDS = 50
 _M = (1 << 64) - 1
 
 
-def line_hashes(text: str | None) -> tuple[list[int], np.ndarray]:
-    """Numbers of the lines that hold a word, and their hashes; white space at the ends of a line does not count."""
+def lines_of(text: str | None) -> tuple[list[int], list[str]]:
+    """Numbers of the lines that hold a word, and the lines; white space at the ends of a line does not count."""
     at, out = [], []
     for i, line in enumerate((text or "").split("\n")):
         line = line.strip(" \t\n\x0b\x0c\r")
         if line:
             at.append(i)
-            out.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
-    return at, np.array(out, np.uint64)
+            out.append(line)
+    return at, out
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
 
 
 def selected(h: np.ndarray, run: int) -> np.ndarray:
@@ -42,47 +49,62 @@ def selected(h: np.ndarray, run: int) -> np.ndarray:
 
 
 def window_keys(h: np.ndarray, run: int) -> np.ndarray:
-    k = np.zeros(len(h) - run + 1, np.uint64)
+    k = np.full(len(h) - run + 1, run, np.uint64)
     for i in range(run):
         k = (k * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(k)]) ^ (k >> np.uint64(29))
     return k
 
 
-def _places(docs: DataFrame, run: int) -> DataFrame:
-    """fp, doc, uid, at, keys: each fingerprint with the windows it stands for (first window and their keys)."""
+def long_windows(n_words: np.ndarray, size: int, words: int) -> np.ndarray:
+    """Starts of the windows of ``size`` lines that hold at least ``words`` words."""
+    total = np.r_[0, np.cumsum(n_words)]
+    return np.flatnonzero(total[size:] - total[:-size] >= words)
+
+
+def _places(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """fp, doc, uid, at, size, keys: each fingerprint with the windows it stands for (first window, lines of each, their keys)."""
 
     def go(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
+
+            def put(*row, cols=cols):
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+
             for doc, uid, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                _, h = line_hashes(text)
+                lines = lines_of(text)[1]
+                h, n_words = line_hashes(lines), np.array([len(x.split()) for x in lines], np.int64)
+                for size in range(1, min(run, len(h) + 1)):
+                    starts = long_windows(n_words, size, words)
+                    for lo, key in zip(starts.tolist(), window_keys(h, size).view(np.int64)[starts].tolist(), strict=True):
+                        put(key, doc, uid, lo, size, [key])
                 if len(h) < run:
                     continue
                 own, keys = selected(h, run), window_keys(h, run).view(np.int64)
                 new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(own)], strict=True):
-                    for c, v in zip(cols, (int(h[own[lo]].view(np.int64)), doc, uid, lo, keys[lo:hi].tolist()), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "doc", "uid", "at", "keys"])
+                    put(int(h[own[lo]].view(np.int64)), doc, uid, lo, run, keys[lo:hi].tolist())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "doc", "uid", "at", "size", "keys"])
 
-    return docs.mapInArrow(go, "fp long, doc long, uid long, at int, keys array<long>")
+    return docs.mapInArrow(go, "fp long, doc long, uid long, at int, size int, keys array<long>")
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc, uid, starts: the later repeats among each document's windows of ``run`` lines. ``docs``: doc, uid, text."""
-    places = _places(docs, run)
+def repeated_windows(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """doc, uid, spans: the later repeats (at, size) among each document's windows of ``run`` lines or ``words`` words. ``docs``: doc, uid, text."""
+    places = _places(docs, run, words)
     often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
-    shared = places.join(often, "fp").select("doc", "uid", F.posexplode("keys").alias("i", "key"), "at")
-    shared = shared.select("key", "doc", "uid", (F.col("at") + F.col("i")).alias("at")).checkpoint()
+    shared = places.join(often, "fp").select("doc", "uid", F.posexplode("keys").alias("i", "key"), "at", "size")
+    shared = shared.select("key", "doc", "uid", (F.col("at") + F.col("i")).alias("at"), "size").checkpoint()
     first = shared.groupBy("key").agg(F.min(F.struct("doc", "uid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "first")
     later = shared.join(first, "key").filter(F.struct("doc", "uid", "at") > F.col("first"))
-    return later.groupBy("doc", "uid").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return later.groupBy("doc", "uid").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
 
 
-def covered_lines(text: str | None, starts: list[int] | None, run: int) -> set[int]:
-    at, _ = line_hashes(text) if starts else ([], None)
-    return {at[i] for s in starts or () for i in range(s, s + run)}
+def covered_lines(text: str | None, spans: list[dict] | None) -> set[int]:
+    at = lines_of(text)[0] if spans else []
+    return {at[i] for s in spans or () for i in range(s["at"], s["at"] + s["size"])}
 
 
 def cut_lines(text: str, drop: set[int]) -> str:
@@ -96,26 +118,26 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return row.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("uid"), text.alias("text"), "row")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The input rows with later repeated runs of lines taken out of ``text`` (and ``n_chars`` adjusted, if there).
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """The input rows with later repeated runs of ``run`` lines or ``words`` words taken out of ``text`` (and ``n_chars`` adjusted, if there).
 
     No row goes: a document whose lines all repeat keeps an empty text. Null and empty texts stay as they are. Among
     rows of one doc_id with different texts the smaller hash of the text counts as earlier.
     """
     tune(docs.sparkSession)
     tagged = _tagged(docs)
-    marks = repeated_windows(tagged.select("doc", "uid", "text"), run)
-    joined = tagged.select("doc", "uid", "row").join(marks, ["doc", "uid"], "left").select("row", "starts")
+    marks = repeated_windows(tagged.select("doc", "uid", "text"), run, words)
+    joined = tagged.select("doc", "uid", "row").join(marks, ["doc", "uid"], "left").select("row", "spans")
     spot = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def go(batches):
         for b in batches:
-            rows, starts = b.column(0), b.column(1).to_pylist()
+            rows, spans = b.column(0), b.column(1).to_pylist()
             cols = rows.flatten()
-            texts = [t if t is None or not s else cut_lines(t, covered_lines(t, s, run)) for t, s in zip(cols[spot].to_pylist(), starts, strict=True)]
+            texts = [t if t is None or not s else cut_lines(t, covered_lines(t, s)) for t, s in zip(cols[spot].to_pylist(), spans, strict=True)]
             if chars is not None:
-                cols[chars] = pa.array([n if not s or t is None else len(t) for n, t, s in zip(cols[chars].to_pylist(), texts, starts, strict=True)], cols[chars].type)
+                cols[chars] = pa.array([n if not s or t is None else len(t) for n, t, s in zip(cols[chars].to_pylist(), texts, spans, strict=True)], cols[chars].type)
             cols[spot] = pa.array(texts, cols[spot].type)
             yield pa.RecordBatch.from_arrays(cols, docs_names)
 
@@ -123,25 +145,25 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     return joined.mapInArrow(go, docs.schema)
 
 
-def line_report(docs: DataFrame, run: int = RUN) -> DataFrame:
+def line_report(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed lines, n_runs, kept_sha256 of the text left; one row per input row."""
     tune(docs.sparkSession)
     tagged = _tagged(docs.select("doc_id", "text"))
-    marks = repeated_windows(tagged.select("doc", "uid", "text"), run)
-    joined = tagged.join(marks, ["doc", "uid"], "left").select("row.doc_id", "text", "starts")
+    marks = repeated_windows(tagged.select("doc", "uid", "text"), run, words)
+    joined = tagged.join(marks, ["doc", "uid"], "left").select("row.doc_id", "text", "spans")
 
     def go(batches):
         import hashlib
 
         for b in batches:
             rows = []
-            for doc, text, starts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                at, _ = line_hashes(text)
-                drop = covered_lines(text, starts, run)
+            for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                at, _ = lines_of(text)
+                drop = covered_lines(text, spans)
                 runs = sum(1 for k, i in enumerate(at) if i in drop and (k == 0 or at[k - 1] not in drop))
                 left = cut_lines(text or "", drop)
                 rows.append((doc, len(at), len(drop), runs, hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
-    return joined.select(F.col("doc_id").cast("long"), "text", "starts").mapInArrow(go, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
+    return joined.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(go, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")

@@ -178,6 +178,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def passages_truth(rows, run, words):
+    """Every contiguous run of lines of at least ``run`` lines or ``words`` words that starts earlier too marks its lines."""
+    seqs = {i: [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()] for i, t in rows}
+
+    def runs(s):
+        for p in range(len(s)):
+            for q in range(p + 1, len(s) + 1):
+                if q - p >= run or sum(len(x.split()) for _, x in s[p:q]) >= words:
+                    yield p, q, tuple(x for _, x in s[p:q])
+
+    first = {}
+    for i in sorted(seqs):
+        for p, _, key in runs(seqs[i]):
+            first.setdefault(key, (i, p))
+    return {i: {s[k][0] for p, q, key in runs(s) if first[key] < (i, p) for k in range(p, q)} for i, s in seqs.items()}
+
+
+def test_line_dedup_of_long_passages(spark):
+    rng = random.Random(11)
+    whole, left, right, short = prose(rng, 60), prose(rng, 30), prose(rng, 20), prose(rng, 40)
+    rows = [(0, f"{whole}\n{prose(rng, 9)}\n{left}\n{right}\n{short}"), (1, whole), (2, f"{left}\n\n {right}"), (3, left), (4, short), (5, f"{left}\n{prose(rng, 3)}\n{right}")]
+    rows += [(6, f"{prose(rng, 8)}\n{whole}\n{prose(rng, 8)}\n{short}\n{prose(rng, 8)}"), (7, f"{whole}\n{left}"), (8, f"{left}\n{left}\n{left}"), (9, f"{whole} x"), (10, prose(rng, 49)), (11, prose(rng, 50))]
+    rows += [(12, dict(rows)[10]), (13, dict(rows)[11])]
+    drop = passages_truth(rows, 3, 50)
+    assert drop[1] and drop[13] and drop[8] and not drop[3] and not drop[4] and not drop[12]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i]) for i, t in rows}
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_report(df).collect()} == {i: len(d) for i, d in drop.items()}
+
+
 def quality_truth(text):
     w = W_ASCII.findall(text or "")
     tri = Counter(zip(w, w[1:], w[2:]))
