@@ -178,8 +178,15 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[bool, DataFrame | N
 
 def upsert_membership(have: DataFrame, wanted: DataFrame, most_rows: int = 2000, most_keys: int = 32) -> tuple[DataFrame, DataFrame]:
     """Add missing (item, collection) pairs. ``wanted``: item, keys. Returns (table after, added and whether changed by item)."""
+    if wanted.count() > most_rows:
+        raise ValueError("the batch is not valid")
+    return upsert_all_membership(have, wanted, most_keys)
+
+
+def upsert_all_membership(have: DataFrame, wanted: DataFrame, most_keys: int = 32) -> tuple[DataFrame, DataFrame]:
+    """``upsert_membership`` of any number of rows: what batches add depends on their own items only, so all of them are one job."""
     bad = wanted.filter((F.size("keys") > most_keys) | F.col("item").isNull())
-    if wanted.count() > most_rows or not bad.isEmpty():
+    if not bad.isEmpty():
         raise ValueError("the batch is not valid")
     pairs = wanted.select("item", F.explode(F.array_distinct("keys")).alias("collection")).distinct()
     new = pairs.join(have, ["item", "collection"], "left_anti")

@@ -352,7 +352,18 @@ def log_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f(field, fix) AS (VALUES ('k', false), ('status', true), ('tags', true)) SELECT event_id, 'Missing required field: ' || field AS message, fix AS fixable FROM events, f
           WHERE NOT list_contains(json_keys(props), field) AND event_id < 500""")
 def missing_fields(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "events").filter("event_id < 500").select(F.lit("x").alias("kind"), F.col("event_id").alias("file"), F.json_object_keys("props").alias("present"))
+    """The first events only, as its SQL has it; ``missing_fields_all`` is the whole job."""
+    return _missing_fields(spark, table(spark, d, "events").filter("event_id < 500"))
+
+
+@query("""WITH f(field, fix) AS (VALUES ('k', false), ('status', true), ('tags', true)) SELECT event_id, 'Missing required field: ' || field AS message, fix AS fixable FROM events, f
+          WHERE NOT list_contains(json_keys(props), field)""")
+def missing_fields_all(spark: SparkSession, d: str) -> DataFrame:
+    return _missing_fields(spark, table(spark, d, "events"))
+
+
+def _missing_fields(spark: SparkSession, events: DataFrame) -> DataFrame:
+    pages = events.select(F.lit("x").alias("kind"), F.col("event_id").alias("file"), F.json_object_keys("props").alias("present"))
     req = spark.createDataFrame([("x", 0, "k", None), ("x", 1, "status", "proposed"), ("x", 2, "tags", "[]")], "kind string, pos int, field string, default string")
     return Q.missing_fields(pages, req).select(F.col("file").alias("event_id"), "message", "fixable")
 
@@ -401,10 +412,25 @@ def library_status(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders), h AS (SELECT DISTINCT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders WHERE o_orderstatus = 'F')
   SELECT item, count(DISTINCT c) - count(DISTINCT c) FILTER ((item, c) IN (SELECT item, c FROM h)) AS added, added > 0 AS changed FROM w WHERE item < 900 GROUP BY item""")
 def membership_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The first customers only, as its SQL has it; ``membership_upsert_all`` is the whole job."""
+    have, o = _memberships(spark, d)
+    return K.upsert_membership(have, _wanted(o.filter("item < 900")))[1]
+
+
+@query("""WITH w AS (SELECT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders), h AS (SELECT DISTINCT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders WHERE o_orderstatus = 'F')
+  SELECT item, count(DISTINCT c) - count(DISTINCT c) FILTER ((item, c) IN (SELECT item, c FROM h)) AS added, added > 0 AS changed FROM w GROUP BY item""")
+def membership_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    have, o = _memberships(spark, d)
+    return K.upsert_all_membership(have, _wanted(o))[1]
+
+
+def _memberships(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.concat(F.lit("c"), F.col("o_orderkey") % 7).alias("collection"), "o_orderstatus")
-    have = o.filter("o_orderstatus = 'F'").select("item", "collection").distinct()
-    wanted = o.filter("item < 900").groupBy("item").agg(F.collect_set("collection").alias("keys"))
-    return K.upsert_membership(have, wanted)[1]
+    return o.filter("o_orderstatus = 'F'").select("item", "collection").distinct(), o
+
+
+def _wanted(o: DataFrame) -> DataFrame:
+    return o.groupBy("item").agg(F.collect_set("collection").alias("keys"))
 
 
 @query("""SELECT user_id AS task, event_type AS item, CASE WHEN bool_or(value > 20) THEN 'completed' ELSE 'failed' END AS status FROM events GROUP BY ALL""")
