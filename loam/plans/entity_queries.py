@@ -246,9 +246,23 @@ def catalog_union(spark: SparkSession, d: str) -> DataFrame:
           r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 300)
           SELECT topic, p_partkey, count(*) AS common FROM lt JOIN r USING (w) GROUP BY ALL""")
 def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The first parts only, as its SQL has it; ``topic_overlap_all`` is the whole job."""
     p = table(spark, d, "part")
-    topics = p.filter("p_size = 1").groupBy(F.col("p_brand").alias("topic")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array(F.lower("p_type")), X.words("p_name"))))).alias("tt"))
-    return J.overlap_join(topics, p.filter("p_partkey < 300").withColumn("pt", X.words("p_name")), "topic", "p_partkey", "tt", "pt")
+    return J.overlap_join(_topics(p), p.filter("p_partkey < 300").withColumn("pt", X.words("p_name")), "topic", "p_partkey", "tt", "pt")
+
+
+@query("""WITH l AS (SELECT DISTINCT p_brand AS topic, unnest([lower(p_type), p_name]) AS w0 FROM part WHERE p_size = 1), lt AS (SELECT DISTINCT topic, unnest(string_split(w0, ' ')) AS w FROM l),
+          r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
+          SELECT topic, p_partkey, count(*) AS common FROM lt JOIN r USING (w) GROUP BY ALL""")
+def topic_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """All parts: each name is held against the topics once, and its parts take the result."""
+    p = table(spark, d, "part")
+    names = p.select("p_name").distinct().withColumn("pt", X.words("p_name"))
+    return J.overlap_join(_topics(p), names, "topic", "p_name", "tt", "pt").join(p.select("p_partkey", "p_name"), "p_name").select("topic", "p_partkey", "common")
+
+
+def _topics(p: DataFrame) -> DataFrame:
+    return p.filter("p_size = 1").groupBy(F.col("p_brand").alias("topic")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array(F.lower("p_type")), X.words("p_name"))))).alias("tt"))
 
 
 _PHRASE = """CASE WHEN na = nb THEN 1.0 WHEN (contains(nb, na) OR contains(na, nb)) AND len(string_split(CASE WHEN length(na) < length(nb) THEN na ELSE nb END, ' ')) >= 2 THEN 0.85
@@ -262,8 +276,24 @@ _PHRASE = """CASE WHEN na = nb THEN 1.0 WHEN (contains(nb, na) OR contains(na, n
   f AS (SELECT *, CASE WHEN j0 >= 0.7 THEN j0 WHEN j0 >= 0.4 THEN 0.4 + (j0 - 0.4) * 0.5 ELSE 0.0 END AS j FROM s)
   SELECT name, ord, round_even(({_PHRASE})::DOUBLE, 6) AS score FROM f WHERE ({_PHRASE}) >= 0.4""")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    p, s = table(spark, d, "part"), table(spark, d, "supplier")
-    names = p.filter("p_partkey < 20").select(F.col("p_name").alias("name")).distinct()
+    """Names of the first parts only, as its SQL has it; ``similar_names_all`` is the whole job."""
+    p = table(spark, d, "part")
+    return _similar_names(p.filter("p_partkey < 20"), p, table(spark, d, "supplier"))
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, p_name AS na FROM part), e AS (SELECT s_suppkey AS ord, (SELECT p_name FROM part WHERE p_partkey = s_suppkey % 200) || ' ' || lower(s_name) AS label FROM supplier),
+  e2 AS (SELECT *, trim(regexp_replace(regexp_replace(label, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS nb FROM e),
+  t AS (SELECT *, list_filter(string_split(na, ' '), lambda x: length(x) >= 3) AS ta, list_distinct(list_filter(string_split(nb, ' '), lambda x: length(x) >= 3)) AS tb FROM n, e2),
+  s AS (SELECT *, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS j0 FROM t),
+  f AS (SELECT *, CASE WHEN j0 >= 0.7 THEN j0 WHEN j0 >= 0.4 THEN 0.4 + (j0 - 0.4) * 0.5 ELSE 0.0 END AS j FROM s)
+  SELECT name, ord, round_even(({_PHRASE})::DOUBLE, 6) AS score FROM f WHERE ({_PHRASE}) >= 0.4""")
+def similar_names_all(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return _similar_names(p, p, table(spark, d, "supplier"))
+
+
+def _similar_names(candidates: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
+    names = candidates.select(F.col("p_name").alias("name")).distinct()
     ent = s.join(p.select(F.col("p_partkey").alias("k"), "p_name"), F.col("s_suppkey") % 200 == F.col("k")).select(F.col("s_suppkey").alias("entity"), F.col("s_suppkey").alias("_ord"), F.concat_ws(" ", "p_name", F.lower("s_name")).alias("label"))
     return J.similar_names(names, ent).select("name", F.col("_ord").alias("ord"), S.half_even(F.col("score"), 6).alias("score"))
 

@@ -215,8 +215,19 @@ def report_by_file(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT item_id, doc_id, common FROM (SELECT b.item_id, t.doc_id, count(*) AS common FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b
   JOIN (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'de') t USING (w) GROUP BY ALL) WHERE common >= 12""")
 def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one language only, as its SQL has it; ``shared_vocabulary_all`` is the whole job."""
+    return _shared_vocabulary(spark, d, table(spark, d, "documents").filter("lang = 'de'"))
+
+
+@query("""SELECT item_id, doc_id, common FROM (SELECT b.item_id, t.doc_id, count(*) AS common FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b
+  JOIN (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) t USING (w) GROUP BY ALL) WHERE common >= 12""")
+def shared_vocabulary_all(spark: SparkSession, d: str) -> DataFrame:
+    return _shared_vocabulary(spark, d, table(spark, d, "documents"))
+
+
+def _shared_vocabulary(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("bw"))
-    t = table(spark, d, "documents").filter("lang = 'de'").select("doc_id", F.split(F.lower("text"), " ").alias("dw"))
+    t = docs.select("doc_id", F.split(F.lower("text"), " ").alias("dw"))
     return J.overlap_join(b, t, "item_id", "doc_id", "bw", "dw").filter("common >= 12")
 
 

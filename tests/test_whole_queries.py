@@ -32,3 +32,39 @@ def test_membership_upsert_all(spark, tmp_path):
         want[(item, added, added > 0)] += 1
     got = registry.QUERIES["membership_upsert_all"](spark, str(tmp_path)).select("item", "added", "changed").collect()
     assert Counter(tuple(r) for r in got) == want
+
+
+PARTS = [(1, "red gear", "B1", "SMALL", 1), (19, "hot bolt", "B2", "LARGE", 1), (299, "red small", "B1", "LARGE", 5), (300, "red gear", "B3", "SMALL", 5), (301, "hot gear", "B3", "SMALL", 1), (20_000, "cold nut", "B3", "SMALL", 5)]
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+
+
+def test_topic_overlap_all(spark, tmp_path):
+    put(spark, tmp_path, "part", PARTS, PART)
+    topics = {}
+    for _, name, brand, kind, size in PARTS:
+        if size == 1:
+            topics.setdefault(brand, set()).update(name.split(), kind.lower().split())
+    want = Counter((b, k, len(w & set(name.split()))) for b, w in topics.items() for k, name, *_ in PARTS if w & set(name.split()))
+    assert max(k for _, k, _ in want) >= 300
+    assert run(spark, tmp_path, "topic_overlap_all") == want
+
+
+def test_similar_names_all(spark, tmp_path):
+    put(spark, tmp_path, "part", PARTS, PART)
+    put(spark, tmp_path, "supplier", [(1, "Nobody"), (19, "Nobody")], "s_suppkey long, s_name string")
+    got = run(spark, tmp_path, "similar_names_all")
+    # contained two-word names .85; "red small" shares 1 of 4 words with "red gear nobody", "hot gear" 1 of 4 with either
+    assert got == Counter({("red gear", 1, 0.85): 1, ("hot bolt", 19, 0.85): 1})
+    put(spark, tmp_path / "late", "part", [(1, "red gear", "B", "S", 1), (500, "red gear nobody", "B", "S", 1)], PART)
+    put(spark, tmp_path / "late", "supplier", [(1, "Nobody")], "s_suppkey long, s_name string")
+    assert run(spark, tmp_path / "late", "similar_names_all") == Counter({("red gear", 1, 0.85): 1, ("red gear nobody", 1, 1.0): 1})
+
+
+def test_shared_vocabulary_all(spark, tmp_path):
+    words = [f"w{k}" for k in range(30)]
+    docs = [(1, " ".join(words), "de"), (2, " ".join(words[:12] * 2), "en"), (3, " ".join(words[:11] * 2), "fr"), (4, " ".join(words[15:]), "es")]
+    items = [(7, " ".join(words[:20])), (8, " ".join(words[10:]))]
+    put(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
+    put(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    common = {(i, k): len(set(a.split()) & set(b.split())) for i, a in items for k, b, _ in docs}
+    assert run(spark, tmp_path, "shared_vocabulary_all") == Counter((i, k, n) for (i, k), n in common.items() if n >= 12)
