@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -115,7 +115,18 @@ def html_unescape(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(left(text, 90)), '[ \t\n\r\f\v]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
   SELECT item_id, EXISTS (SELECT 1 FROM t WHERE contains(t.t, q.q)) AS grounded FROM q""")
 def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(90)).alias("quote"))
+    """The start of each item only, as its SQL has it; ``quote_grounding_whole`` is the whole job."""
+    return _quote_grounding(spark, d, F.left("text", F.lit(90)))
+
+
+@query(r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
+  SELECT item_id, EXISTS (SELECT 1 FROM t WHERE contains(t.t, q.q)) AS grounded FROM q""")
+def quote_grounding_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _quote_grounding(spark, d, F.col("text"))
+
+
+def _quote_grounding(spark: SparkSession, d: str, quote: Column) -> DataFrame:
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), quote.alias("quote"))
     s = table(spark, d, "documents").select(F.col("doc_id").alias("sid"), "text")
     return J.quote_grounding(q, s).select(F.col("qid").alias("item_id"), "grounded")
 
@@ -179,7 +190,17 @@ _NORM = r"list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', '
 @query(f"""WITH d AS (SELECT doc_id, left(text, 120) AS t FROM documents), w AS (SELECT doc_id, {_NORM} AS w FROM d), k AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_STOP}) AND length(x) > 1) AS k FROM w)
   SELECT doc_id, array_to_string(w, ' ') AS norm, CASE WHEN len(k) > 0 THEN array_to_string(k[1:6], '-') WHEN len(w) > 0 THEN array_to_string(w[1:6], '-') ELSE 'untitled' END AS slug FROM k""")
 def slug_keys(spark: SparkSession, d: str) -> DataFrame:
-    t = F.left("text", F.lit(120))
+    """The start of each text only, as its SQL has it; ``slug_keys_whole`` is the whole job."""
+    return _slug_keys(spark, d, F.left("text", F.lit(120)))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS t FROM documents), w AS (SELECT doc_id, {_NORM} AS w FROM d), k AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_STOP}) AND length(x) > 1) AS k FROM w)
+  SELECT doc_id, array_to_string(w, ' ') AS norm, CASE WHEN len(k) > 0 THEN array_to_string(k[1:6], '-') WHEN len(w) > 0 THEN array_to_string(w[1:6], '-') ELSE 'untitled' END AS slug FROM k""")
+def slug_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _slug_keys(spark, d, F.col("text"))
+
+
+def _slug_keys(spark: SparkSession, d: str, t: Column) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.normalize_text(t).alias("norm"), X.slugify(t).alias("slug"))
 
 
@@ -187,8 +208,7 @@ def slug_keys_unicode(spark: SparkSession, d: str) -> DataFrame:
     """Keys with accents folded (Unicode normalization has no SQL form)."""
     from ..functions.udfs import nfkc_key, nfkd_ascii
 
-    t = F.left("text", F.lit(120))
-    return table(spark, d, "documents").select("doc_id", X.slug_part(nfkd_ascii(t)).alias("part"), nfkc_key(t).alias("key"))
+    return table(spark, d, "documents").select("doc_id", X.slug_part(nfkd_ascii("text")).alias("part"), nfkc_key("text").alias("key"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, left(text, 80) AS t, source, lang FROM documents) SELECT doc_id, CASE WHEN source = 'src1' THEN regexp_replace(lang || ':' || doc_id, '[^A-Za-z0-9_.+-]+', '', 'g')

@@ -68,3 +68,21 @@ def test_shared_vocabulary_all(spark, tmp_path):
     put(spark, tmp_path, "benchmark", items, "item_id long, text string")
     common = {(i, k): len(set(a.split()) & set(b.split())) for i, a in items for k, b, _ in docs}
     assert run(spark, tmp_path, "shared_vocabulary_all") == Counter((i, k, n) for (i, k), n in common.items() if n >= 12)
+
+
+LONG = " ".join(f"word{k}" for k in range(60))
+
+
+def test_quote_grounding_whole(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(1, f"Before {LONG} after"), (2, "short one")], "doc_id long, text string")
+    put(spark, tmp_path, "benchmark", [(1, LONG), (2, LONG[:120] + " differs from here"), (3, "Short  one"), (4, "shorter one")], "item_id long, text string")
+    assert run(spark, tmp_path, "quote_grounding_whole") == Counter([(1, True), (2, False), (3, True), (4, False)])
+
+
+def test_slug_keys_whole(spark, tmp_path):
+    rows = [(1, LONG.upper() + "!"), (2, LONG + " more"), (3, "- " * 100 + "Late words"), (4, "")]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    start = "-".join(LONG.split()[:6])
+    assert run(spark, tmp_path, "slug_keys_whole") == Counter([(1, LONG, start), (2, LONG + " more", start), (3, "late words", "late-words"), (4, "", "untitled")])
+    got = {r.doc_id: r for r in registry.QUERIES["slug_keys_unicode"](spark, str(tmp_path)).collect()}
+    assert got[1].key != got[2].key and got[2].key.endswith("more") and got[2].part.endswith("more") and got[3].part == "late-words"
