@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, tune
+from .common import documents, materialize, tune
 
 WINDOW = 10
 ITEM_BLOCK_WORDS = 2_000_000
@@ -157,10 +158,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     Null and empty texts have no words; items without words match nothing; a null item_id is skipped in the digest and
     counted; the same text under two item_ids counts for both, a repeated item row once. No items: nothing is hit.
+    Repeated and null doc_ids are rows of their own, with any number of item blocks: if there are several, each row gets
+    a key in a table written once before the passes, and the passes are merged by it.
     """
     tune(docs.sparkSession)
-    sc, plain, parts = docs.sparkSession.sparkContext, documents(docs), []
-    names = ["doc_id", "n_words", "hit", "found"]
+    sc, plain, parts = docs.sparkSession.sparkContext, documents(docs).withColumn("row", F.lit(0).cast("long")), []
+    names, kinds = ["doc_id", "n_words", "hit", "found", "row"], "doc_id long, n_words long, hit binary, found array<long>, row long"
     for block in item_blocks(items):
         sent = sc.broadcast(sorted(set(block), key=repr))
 
@@ -172,21 +175,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r, _ in held], pa.int64()), pa.array([len(w) for _, w in held], pa.int64()), pa.array(hits, pa.binary()),
                     pa.array([[phrases.item_ids[i] for i in sorted(f)] for f in found], pa.list_(pa.int64())),
+                    pa.array([r[2] for r, _ in held], pa.int64()),
                 ], names)
 
-        parts.append((plain, run))
+        parts.append(run)
     if len(parts) == 1:
-        raw = plain.mapInArrow(parts[0][1], "doc_id long, n_words long, hit binary, found array<long>")
-        return _digest(raw)
-    keyed = plain.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    raws = [p.mapInArrow(run, "doc_id long, n_words long, hit binary, found array<long>") for p, run in parts]
-    raise_if_repeated = keyed.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if raise_if_repeated:
-        raise ValueError("several passes over the documents need unique doc_ids")
-    both = raws[0]
-    for more in raws[1:]:
-        both = both.unionByName(more)
-    return _digest(both.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
+        return _digest(plain.mapInArrow(parts[0], kinds))
+    keyed = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "contamination")
+    both = reduce(DataFrame.unionByName, [keyed.mapInArrow(run, kinds) for run in parts])
+    merged = both.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    return _digest(merged)
 
 
 def _digest(raw: DataFrame) -> DataFrame:

@@ -462,6 +462,17 @@ def test_contamination_in_item_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == contamination_truth(rows, items)
 
 
+def test_contamination_of_repeated_rows_in_item_blocks(spark, monkeypatch):
+    rows = corpus()
+    items = [(i, " ".join(dict(rows)[k].split()[5:30])) for i, k in enumerate((30, 31, 32, 0))]
+    monkeypatch.setattr(decontamination.item_blocks, "__defaults__", (20,))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontamination.item_blocks(table))) > 1
+    rows += [(None, dict(rows)[30]), (None, None), (7, dict(rows)[31])]
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), table)
+    assert Counter(tuple(r) for r in got.collect()) == contamination_truth(rows, items)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x b y c z z z z c b a"), (2, "a b"), (3, None)], "doc_id long, text string")
     i = spark.createDataFrame([(9, "c b a")], "item_id long, text string")
