@@ -7,20 +7,25 @@ an R-tree node at most the sum of the minima with the node's largest corner. Pai
 An R-tree over unrelated documents prunes next to nothing near its root (in 64 dimensions every large node's corner
 covers every query), so trees are built inside buckets: two sets over the threshold share one of their first
 n - ceil(t n) + 1 members under any common order (rarer members first here), and each such member is a bucket. Links
-lose nothing by this. Exact copies are one class with one representative before anything else.
-
-A bucket's documents are first linked to one leader each; then only pairs from different components are searched, and
-a tree node whose documents all share the query's component is skipped, so a large group of near copies costs about its
-size and not its square. Buckets larger than ``BLOCK`` are cut into blocks, searched pair by pair in separate tasks.
+lose nothing by this. A bucket of at most ``LEAF`` documents is a tree of one leaf. Exact copies are one class with one
+representative before anything else.
+
+Components need no pair inside them, so a bucket never gives all its pairs. In each round a document proposes its best
+candidates of other components (by the bound), the proposals are verified, and components grow. Buckets whose
+candidates were not all proposed go on to the next round; a bucket of many blocks proposes its documents to a few
+leaders first. What is left after the last round is verified inside the tasks, block against block, and only links that
+join two components come out. So rows grow with the documents, whatever the size of a group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,32 +34,27 @@ from .common import discard, documents, materialize, release, shared_dir, small_
 from .components import connected_components
 from .exchange import BUCKET_KEYS, REQUEST, answers_by_page, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
 
-GROUPS, FINE, LEAF, BLOCK = 64, 1024, 16, 1024
+GROUPS, WIDE, LEAF, BLOCK = 64, 256, 16, 512
+#: Candidates that a document proposes in a bucket, by round; later rounds see only buckets with candidates left.
+TOPS = (1, 4, 32)
+#: Buckets of more than this many pairs of blocks propose leaders in a round, and no more.
+MOST_COMBOS, LEADERS = 9, 3
+#: Rows searched at once in a task.
+SEARCH_ROWS = 16_384
 PAGE_CHARS = 8 << 20
 #: A member found in more than this share of the documents comes last in the order.
 COMMON = 0.001
 #: Ids beyond this many are joined by a shuffle, up to it by a broadcast.
 BROADCAST_IDS = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-#: Bytes hashed at once; a longer text is a chunk of its own.
+#: Bytes hashed at once; a longer text is cut into such pieces at white space.
 CHUNK = 1 << 19
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RADIX = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the (odd) radix and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_RADIX), -1, 1 << 64))
-        for r in (_RADIX, inverse):
-            t = np.full(max(n, CHUNK + 4096), r, np.uint64)
-            t[0] = 1
-            _powers.append(np.multiply.accumulate(t))
-        del _powers[:-2]
-    return _powers[0], _powers[1]
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: The low bytes of a word of eight bytes.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,22 +64,44 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of a chunk, A-Z lower-cased, cut at ASCII white space; all words at once.
+    """(start, hash) of the words of a chunk, A-Z lower-cased, cut at ASCII white space.
 
-    A word's hash is its polynomial in random byte values, from the difference of two prefix sums, mixed with its length.
+    All words advance together, eight bytes a step, each step mixed before the next: for one length and up to eight
+    bytes no two words collide, beyond that by chance only. Words over LONG_WORD bytes are hashed one by one.
     """
-    data = np.frombuffer(raw.lower(), np.uint8)
-    gap = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+    raw = raw.lower()
+    data = np.frombuffer(raw, np.uint8)
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[0::2], edge[1::2]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return start, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _C[3])
+    left = end - start
+    h = _mix(left.astype(np.uint64) * _C[3] + _C[0])
+    eight = np.ndarray(len(data) + 1, "<u8", raw + bytes(8), strides=(1,))
+    at = np.flatnonzero(left <= LONG_WORD)
+    pos, rest = start[at], left[at]
+    while len(at):
+        h[at] = _mix((h[at] ^ (eight[pos] & _LOW[np.minimum(rest, 8)])) * _C[0])
+        more = rest > 8
+        at, pos, rest = at[more], pos[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return start, h
+
+
+def _pieces(raw: bytes):
+    """(offset, piece) of about CHUNK bytes, cut after white space."""
+    at = 0
+    while at < len(raw):
+        m = _BLANK.search(raw, at + CHUNK) if len(raw) - at > CHUNK else None
+        end = m.end() if m else len(raw)
+        yield at, raw[at:end]
+        at = end
 
 
 def _chunk_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    start, w = word_hashes(b" ".join(texts))
+    parts = [(at + start, w) for at, piece in _pieces(b" ".join(texts)) for start, w in [word_hashes(piece)]]
+    start, w = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
     cut = np.searchsorted(start, np.r_[0, ends])
     h = np.full(max(len(w) - n + 1, 0), n, np.uint64)
@@ -119,20 +141,16 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (percent * -n // 100) + 1 if n else 0
 
 
-def point(s: np.ndarray) -> bytes:
-    """Group counts, one byte each unless a group is larger."""
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return c.astype(np.uint8 if c.max(initial=0) < 256 else "<u4").tobytes()
-
-
-def fine_point(s: np.ndarray) -> bytes:
-    """Counts of FINE groups, for the last bound before sets are shipped."""
-    c = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE)
+def point(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    """Counts of a power of two of groups, one byte each unless a group is larger."""
+    c = np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
     return c.astype(np.uint8 if c.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def points(raws: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, np.uint8 if len(r) in (GROUPS, FINE) else "<u4").astype(np.int32) for r in raws])
+def points(raws: list[bytes], groups: int) -> np.ndarray:
+    if all(len(r) == groups for r in raws):
+        return np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1).astype(np.int32)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == groups else "<u4").astype(np.int32) for r in raws])
 
 
 class Tree:
@@ -309,7 +327,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x, y = points(b.column(4).to_pylist()), points(b.column(5).to_pylist())
+                x, y = points(b.column(4).to_pylist(), WIDE), points(b.column(5).to_pylist(), WIDE)
                 n, m = np.array(b.column(2)), np.array(b.column(3))
                 ok = np.minimum(x, y).sum(axis=1) >= need(n, m, percent)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
@@ -318,24 +336,17 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. Sets are made again from the texts of the documents in question only."""
-    pairs = pairs.distinct().checkpoint()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-
-    def sets(batches):
-        for b in batches:
-            made = shingle_sets(b.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array([fine_point(s) for s in made], pa.binary()), pa.array([len(s) for s in made], pa.int64())], ["node", "s", "p", "n"])
-
+    """The pairs whose sets reach the threshold. Sets are made again from the texts of the documents in question only,
+    and only those of pairs that pass the bound of more groups are shipped."""
     at = f"{shared_dir(docs.sparkSession)}/loam/sets-{uuid.uuid4().hex}"
-    schema = "node long, s binary, p binary, n long"
-    docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, schema).write.parquet(at)
+    schema = "node long, n long, point binary, s binary"
+    _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, WIDE).write.parquet(at)
     made = docs.sparkSession.read.schema(schema).parquet(at)
-    info = made.select("node", "n", "p")
-    both = pairs.join(info.selectExpr("node as a", "n as na", "p as pa"), "a").join(info.selectExpr("node as b", "n as nb", "p as pb"), "b")
+    info = made.select("node", "n", "point")
+    both = pairs.join(info.selectExpr("node as a", "n as na", "point as pa"), "a").join(info.selectExpr("node as b", "n as nb", "point as pb"), "b")
     pairs = _bounded(both, percent).distinct().checkpoint()
     release(docs.sparkSession)
+    made = _only(made.select("node", "s"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def check(batches):
         for b in batches:
@@ -353,100 +364,295 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return out
 
 
-def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each document with the leader (smallest set, then id) that most of its buckets have."""
-    lead = rows.groupBy("key").agg(F.min(F.struct("n", "node")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    votes = (
-        rows.select("key", "node", "n").join(lead, "key").filter(f"node <> lead.node and 100 * lead.n >= {percent} * n")
-        .groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
-    )
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", -F.col("leader"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.col2")).alias("b"))
-    info = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("p"))
-    return best.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa")), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb")), "b")
-
-
-def _cross_pairs(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of different components that share a bucket and pass the tree's bound."""
-    tagged = rows.join(comps.withColumnRenamed("component", "known"), "node", "left").withColumn("comp", F.coalesce("known", "node"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("key", "c")
-    live = tagged.join(mixed, "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = live.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "comp", "point")
-    placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    names = ["key", "i", "j", "mine", "node", "n", "comp", "point"]
-
-    def small(c: dict[str, np.ndarray], pts: np.ndarray, run_id: np.ndarray):
-        """Runs of at most LEAF rows are single leaves; all of them at once, by the distance of their rows."""
-        for d in range(1, LEAF):
-            left = np.flatnonzero(run_id[d:] == run_id[:-d])
-            right = left + d
-            n, m = c["n"][left], c["n"][right]
-            ok = (c["comp"][left] != c["comp"][right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            left, right, n, m = left[ok], right[ok], n[ok], m[ok]
-            ok = np.minimum(pts[left], pts[right]).sum(axis=1) >= need(n, m, percent)
-            yield c["node"][left[ok]], c["node"][right[ok]]
-
-    def large(c: dict[str, np.ndarray], pts: np.ndarray):
-        left, right = np.flatnonzero(c["mine"] == c["i"][0]), np.flatnonzero(c["mine"] == c["j"][0])
-        if len(left) and len(right):
-            tree = Tree(pts[right], c["n"][right], c["comp"][right])
-            for q, p in tree.search(pts[left], c["n"][left], c["comp"][left], percent):
-                yield c["node"][left[q]], c["node"][right[p]]
-
-    def search(table: pa.Table):
-        """All pairs of the whole runs of a table."""
-        c = {k: table.column(k).to_numpy() for k in names[:-1]}
-        pts = points(table.column("point").to_pylist())
-        new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])]
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(new)])
-        run_id = np.cumsum(new) - 1
-        is_small = size[run_id] <= LEAF
-        at = np.flatnonzero(is_small)
-        yield from small({k: v[at] for k, v in c.items()}, pts[at], run_id[at])
-        for f, s in zip(first[size > LEAF], size[size > LEAF], strict=True):
-            yield from large({k: v[f : f + s] for k, v in c.items()}, pts[f : f + s])
+def _sorted_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+#: What a row is in its run: all of them meet each other, or queries meet the points of an index block.
+BOTH, QUERY, INDEX, INDEX_ONLY = 0, 1, 2, 3
+_RUN = "key long, i int, j int, role int, node long, n long, comp long, point binary"
+
+
+def _whole_runs(batches, columns: int, least: int):
+    """Tables of whole runs (equal first ``columns`` columns) of about ``least`` rows or one run."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held)
+        ids = np.stack([table.column(i).to_numpy() for i in range(columns)])
+        other = np.flatnonzero((ids != ids[:, -1:]).any(axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:  # all runs but the last one are whole
+            yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), table.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _leaf_candidates(c: dict[str, np.ndarray], pts: np.ndarray, run: np.ndarray, percent: int):
+    """(x, y) of the pairs that pass in runs of at most LEAF rows, each a leaf: first the corner, then the points."""
+    if not len(run):
+        return
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    inside = np.cumsum(np.r_[True, run[1:] != run[:-1]]) - 1
+    top, least, most = np.maximum.reduceat(pts, first), np.minimum.reduceat(c["n"], first), np.maximum.reduceat(c["n"], first)
+    n = c["n"]
+    low = np.maximum(least[inside], -(-percent * n // 100))
+    ok = (low * percent <= 100 * n) & (most[inside] * 100 >= percent * n) & (np.minimum(pts, top[inside]).sum(axis=1) >= need(n, low, percent))
+    at = np.flatnonzero(ok)
+    run, n, comp, pts = run[at], n[at], c["comp"][at], pts[at]
+    for d in range(1, LEAF):
+        x = np.flatnonzero(run[d:] == run[:-d])
+        if not len(x):
+            break
+        y = x + d
+        ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        ok = np.minimum(pts[x], pts[y]).sum(axis=1) >= need(n[x], n[y], percent)
+        yield at[x[ok]], at[y[ok]]
+
+
+def _tree_candidates(c: dict[str, np.ndarray], pts: np.ndarray, percent: int):
+    """(x, y) of the pairs of one run that pass, by a tree over its points (or over those of its index block)."""
+    both = c["role"][0] == BOTH
+    left = np.arange(len(pts)) if both else np.flatnonzero(c["role"] == QUERY)
+    right = left if both else np.flatnonzero(c["role"] >= INDEX)
+    if not len(left) or not len(right):
+        return
+    tree = Tree(pts[right], c["n"][right], c["comp"][right])
+    for q, p in tree.search(pts[left], c["n"][left], c["comp"][left], percent):
+        x, y = left[q], right[p]
+        once = (c["node"][x] < c["node"][y]) | (c["role"][y] == INDEX_ONLY)
+        yield x[once], y[once]
+
+
+def candidates(table: pa.Table, percent: int, groups: int):
+    """(columns, run of each row, x, y, score): all pairs of different components in whole runs whose bound reaches the
+    threshold; the score is the Jaccard that the bound allows."""
+    names = ["key", "i", "j", "role", "node", "n", "comp"]
+    c = {k: table.column(k).to_numpy() for k in names}
+    pts = points(table.column("point").to_pylist(), groups)
+    new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(new)])
+    run = np.cumsum(new) - 1
+    leaf = (size <= LEAF) & (c["role"][first] == BOTH)
+    at = np.flatnonzero(leaf[run])
+    found = [(at[x], at[y]) for x, y in _leaf_candidates({k: v[at] for k, v in c.items()}, pts[at], run[at], percent)]
+    for f, s in zip(first[~leaf].tolist(), size[~leaf].tolist(), strict=True):
+        found += [(f + x, f + y) for x, y in _tree_candidates({k: v[f : f + s] for k, v in c.items()}, pts[f : f + s], percent)]
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    overlap = np.concatenate([np.minimum(pts[x[k : k + 65536]], pts[y[k : k + 65536]]).sum(axis=1) for k in range(0, len(x), 65536)]) if len(x) else np.zeros(0)
+    return c, run, x, y, overlap / np.maximum(c["n"][x] + c["n"][y] - overlap, 1)
+
+
+def best_of(run: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
+    """Mask of the pairs that are among the ``top`` best of either side in their run."""
+    k = len(a)
+    r, u, v, s = np.r_[run, run], np.r_[a, b], np.r_[b, a], np.r_[score, score]
+    order = np.lexsort((v, -s, u, r))
+    new = np.r_[True, (r[order][1:] != r[order][:-1]) | (u[order][1:] != u[order][:-1])] if k else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    rank = np.arange(2 * k) - np.repeat(first, np.diff(np.r_[first, 2 * k]))
+    out = np.zeros(k, bool)
+    out[order[rank < top] % max(k, 1)] = True
+    return out
+
+
+def _proposals(placed: DataFrame, percent: int, top: int, groups: int) -> DataFrame:
+    """a, b: each document's ``top`` best candidates of a run; and key, a: the documents with candidates not proposed."""
+
+    def batch(a, b, key):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, key)], ["a", "b", "key"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int]] = set()
+        for table in _whole_runs(batches, 3, SEARCH_ROWS):
+            c, runs, x, y, score = candidates(table, percent, groups)
+            if not len(x):
+                continue
+            a, b = np.minimum(c["node"][x], c["node"][y]), np.maximum(c["node"][x], c["node"][y])
+            take = best_of(runs[x], a, b, score, top)
+            pairs = np.unique(np.stack([a[take], b[take]]), axis=1)
+            yield batch(pairs[0], pairs[1], [None] * pairs.shape[1])
+            x, y = x[~take], y[~take]
+            left = np.unique(np.stack([np.r_[c["key"][x], c["key"][y]], np.r_[c["node"][x], c["node"][y]]]), axis=1)
+            yield batch(left[1], [None] * left.shape[1], left[0])
+
+    return placed.mapInArrow(run, "a long, b long, key long")
+
+
+def _deal(tagged: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """key, i, j, role, node, comp: rows dealt to runs of bounded size. ``sizes``: key, c (rows), q (rows outside the largest
+    component), main (that component).
+
+    A bucket of at most ``block`` rows is one run. A larger one is cut into query blocks (rows outside its largest
+    component) and index blocks (all rows), and every query block meets every index block.
+    """
+    live = tagged.select("key", "node", "comp").join(F.broadcast(sizes) if small_enough(sizes, BROADCAST_IDS // 4) else sizes, "key")
+    ib, qb = F.ceil(F.col("c") / block).cast("int"), F.ceil(F.col("q") / block).cast("int")
+    rest = ["node", "comp"]
+    one = live.filter(F.col("c") <= block).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(BOTH).alias("role"), *rest)
+    many = live.filter(F.col("c") > block).withColumn("own_i", F.pmod(F.xxhash64("node"), qb).cast("int")).withColumn("own_j", F.pmod(F.xxhash64("node", F.lit(1)), ib).cast("int"))
+    asked = F.col("comp") != F.col("main")
+    queries = many.filter(asked).select("key", F.col("own_i").alias("i"), F.explode(F.sequence(F.lit(0), ib - 1)).alias("j"), F.lit(QUERY).alias("role"), *rest)
+    index = many.select("key", F.explode(F.sequence(F.lit(0), qb - 1)).alias("i"), F.col("own_j").alias("j"), F.when(asked, INDEX).otherwise(INDEX_ONLY).alias("role"), *rest)
+    return one.unionByName(queries).unionByName(index)
 
-        def out():
-            rows = sorted(seen)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
 
-        def take(table):
-            for a, b in search(table):
-                seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+def _placed(dealt: DataFrame, info: DataFrame, *more: str) -> DataFrame:
+    """Dealt rows with the sizes and points of their documents, each run whole and in one task."""
+    return _sorted_runs(dealt.join(info, "node").select("key", "i", "j", "role", "node", "n", "comp", "point", *more), ["key", "i", "j"])
 
+
+def _mixed(tagged: DataFrame) -> DataFrame:
+    """key, c, q, main of the buckets with two components or more."""
+    by = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = by.groupBy("key").agg(F.sum("k").alias("c"), F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return sizes.select("key", "c", (F.col("c") - F.col("m.k")).alias("q"), F.col("m.comp").alias("main"))
+
+
+def _leader_pairs(tagged: DataFrame, keys: DataFrame, salt: int, percent: int, groups: int) -> DataFrame:
+    """Each document of the buckets ``keys`` with that of a few leaders of the bucket that the bound likes best.
+
+    The leaders are the first by a hash of the document, so that buckets of one group have the same ones.
+    """
+    hot = _only(tagged, keys.select("key"))
+    seats = [F.min(F.struct(F.xxhash64("node", F.lit(salt * LEADERS + k)).alias("h"), "node", "n", "comp", "point")).alias(f"l{k}") for k in range(LEADERS)]
+    lead = hot.groupBy("key").agg(*seats)
+    lead = lead.select("key", F.array(*[f"l{k}" for k in range(LEADERS)]).alias("lead"))
+    lead = F.broadcast(lead) if small_enough(lead, BROADCAST_IDS // 50) else lead
+    both = hot.join(lead, "key").select("node", "n", "comp", "point", "lead")
+
+    def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = np.stack([b.column(i).to_numpy() for i in range(3)])
-            other = np.flatnonzero((ids != ids[:, -1:]).any(axis=0))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:  # all runs but the last one are whole
-                take(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = []
-            held.append(b.slice(cut))
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        if held:
-            take(pa.Table.from_batches(held))
-        yield out()
+            node, n, comp = (b.column(i).to_numpy() for i in range(3))
+            pts, best, score = points(b.column(3).to_pylist(), groups), np.full(b.num_rows, -1, np.int64), np.zeros(b.num_rows)
+            leads = b.column(4).to_pylist()
+            for k in range(LEADERS):
+                seat = [x[k] for x in leads]
+                m, other = np.array([x["n"] for x in seat], np.int64), np.array([x["node"] for x in seat], np.int64)
+                overlap = np.minimum(pts, points([x["point"] for x in seat], groups)).sum(axis=1)
+                j = overlap / np.maximum(n + m - overlap, 1)
+                ok = (overlap >= need(n, m, percent)) & (comp != np.array([x["comp"] for x in seat], np.int64)) & (j > score)
+                best[ok], score[ok] = other[ok], j[ok]
+            at = np.flatnonzero(best >= 0)
+            pairs = np.unique(np.stack([np.minimum(node[at], best[at]), np.maximum(node[at], best[at])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _forest(placed: DataFrame, percent: int, groups: int) -> DataFrame:
+    """a, b: links that join the components of a run; every candidate of two components is held against the sets."""
+
+    def run(batches):
+        for table in _whole_runs(batches, 3, 1):
+            c, runs, x, y, score = candidates(table, percent, groups)
+            up: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(v):
+                while (w := up.get(v, v)) != v:
+                    up[v] = up.get(w, w)
+                    v = w
+                return v
+
+            out = [[], []]
+            raws = table.column("s")
+            for k in np.lexsort((c["node"][y], c["node"][x], -score)).tolist():
+                i, j = int(x[k]), int(y[k])
+                u, v = root((int(runs[i]), int(c["comp"][i]))), root((int(runs[i]), int(c["comp"][j])))
+                if u == v:
+                    continue
+                s, t = (np.frombuffer(raws[m].as_py(), np.uint64) for m in (i, j))
+                if int(member(s, t).sum()) >= need(len(s), len(t), percent):
+                    up[u] = v
+                    out[0].append(int(c["node"][i]))
+                    out[1].append(int(c["node"][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
     return placed.mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _tag(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    known = comps.select("node", F.col("component").alias("known"))
+    known = F.broadcast(known) if small_enough(known, BROADCAST_IDS) else known
+    return rows.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known")
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(keys) if small_enough(keys, BROADCAST_IDS) else keys, keys.columns, "left_semi")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n: int, groups: int) -> DataFrame:
+    """node, n, point, s: the sets of the documents in ``ids`` (node), from their texts, and points of ``groups`` groups."""
+
+    def run(batches):
+        for b in batches:
+            made = shingle_sets(b.column(1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([point(s, groups) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary()),
+            ], ["node", "n", "point", "s"])
+
+    return _only(docs, ids.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(run, "node long, n long, point binary, s binary")
+
+
+def _links(rows: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """a, b: verified links that connect every component of the representatives. ``rows``: key, node, n, point."""
+    spark = rows.sparkSession
+    empty = spark.createDataFrame([], "a long, b long")
+    # All are components of their own.
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    hot = sizes.filter(F.col("c") > block).select("key").checkpoint()
+    cold = rows.join(F.broadcast(hot) if small_enough(hot, BROADCAST_IDS) else hot, "key", "left_anti")
+    placed = _sorted_runs(cold.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(BOTH).alias("role"), "node", "n", F.col("node").alias("comp"), "point"), ["key"])
+    live, info, groups = rows.select("key", "node", F.col("node").alias("comp")), None, GROUPS
+    links, tried = empty, empty
+    for k, top in enumerate(TOPS):
+        if k:
+            sizes = _mixed(live).checkpoint()
+            hot = sizes.filter(F.ceil(F.col("c") / block) * F.ceil(F.col("q") / block) > MOST_COMBOS).select("key")
+            placed = _placed(_deal(live, sizes.join(hot, "key", "left_anti"), block), info)
+        found = _proposals(placed, percent, top, groups).checkpoint()
+        more, left = found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias("node"))
+        if not hot.isEmpty():
+            asked = rows.withColumn("comp", F.col("node")) if k == 0 else live.join(info, "node")
+            more = more.unionByName(_leader_pairs(asked, hot, k, percent, groups))
+            left = left.unionByName(_only(live, hot).select("key", "node"))
+        more = more.distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
+        links, tried = links.unionByName(_verified(more, docs, n, percent)), tried.unionByName(more)
+        tagged = _tag(left.distinct(), connected_components(links))
+        live = _only(tagged, _mixed(tagged).select("key")).checkpoint()
+        release(spark)
+        if live.isEmpty():
+            return links
+        if k == 0:  # few are left, so they get points of more groups
+            groups, info = WIDE, materialize(_sets(docs, live, n, WIDE).drop("s"), "points")
+    has = _proposals(_placed(_deal(live, _mixed(live), block), info), percent, 0, groups).select("key", F.col("a").alias("node")).distinct().checkpoint()
+    if has.isEmpty():
+        return links
+    live = _only(live, has).checkpoint()
+    made = materialize(_sets(docs, live, n, groups), "sets")
+    # rows of one doc_id with several texts have several sets: each is a row of its own in the runs
+    placed = _placed(_deal(live, _mixed(live), block), made, "s")
+    return links.unionByName(_forest(placed, percent, groups).distinct().checkpoint())
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per input row.
 
     Documents link when 100 * overlap >= percent * union of their sets of ``n``-word shingles; component_id is the
     smallest doc_id reachable. No words: n_shingles 0 and linked with nothing. A null doc_id has no component and
-    links nothing. Rows of one doc_id are one node: what any of its texts links with belongs to it.
+    links nothing. Rows of one doc_id are one node: what any of its texts links with belongs to it. Columns other than
+    doc_id and text are not read. A text of any length is hashed in pieces; its set (8 bytes a distinct n-gram) has to
+    fit a task. ``block`` bounds the documents of a bucket that one task compares at once.
     """
     tune(docs.sparkSession)
     plain = documents(docs)
@@ -457,13 +663,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     chosen = classes.groupBy("r.page").agg(F.collect_list("r.at").alias("ats"))
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     rows = _buckets(pages, chosen, int(total), percent)
-    first = _verified(_bounded(_leader_pairs(rows, percent), percent), plain, n, percent)
-    release(docs.sparkSession)
-    comps = connected_components(first)
-    more = _verified(_cross_pairs(rows, comps, percent), plain, n, percent)
+    links = _links(rows, plain, n, percent, block)
     named = live.select("doc_id", "digest").join(classes.select("digest", F.col("r.doc_id").alias("rep")), "digest").select("doc_id", "rep")
     same = named.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(first.unionByName(more).unionByName(same))
+    final = connected_components(links.unionByName(same))
     out = members.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
