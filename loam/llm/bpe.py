@@ -1,21 +1,35 @@
-"""Byte-pair encoding and decoding (operator 5).
-
-``WordBpe`` is read from a tokenizer file's own vocabulary and merges. ``StreamingEncoder`` is the transducer: text goes
-in by chunks of any size, ids come out as soon as no later input can change them. Two facts bound what it holds back:
-a whitespace character ends every piece, and inside one endless piece a token is stable once ``lookahead`` symbols
-follow it. ``lookahead`` comes from the merge list: a change at the right end reaches one token further left only
-through a merge of lower rank, so the longest chain of merges with falling ranks that can touch, times the longest
-token, is sufficient. ``ByteTextDecoder`` turns token bytes back into text incrementally.
+"""Byte-pair encoding and decoding by streaming transducers (operator 5).
+
+``StreamingEncoder`` takes text by chunks of any size and gives out ids as soon as no later input can change them.
+A blank ends every piece and no special token holds one, so up to the last blank all is stable. Text without blanks for
+longer than ``HOLD`` goes through two more machines: ``Unbroken`` normalizes up to the last safe character and gives out
+all pieces but the last two, and ``PieceStream`` gives out the tokens of one endless piece that are followed by
+``lookahead`` symbols. So memory is constant, whatever the text; a run of more than HOLD combining marks, which has no
+safe place, is held whole.
+
+The sufficient lookahead follows from the merge list. Let two pieces begin alike, and look at the first token that
+differs, rank by rank. It moves left only if the token before it, ``a``, merges with it in one of the pieces; the token
+there then begins with ``a`` in both, and if the place moves again, by a merge (c, b) of higher rank, ``b`` begins with
+``a``. It never moves right, as each token has one derivation. So the heaviest chain of merges with rising ranks, each
+right side beginning with the left side before it, weighed by the left sides' lengths, bounds the way to the left.
+
+``StreamingDecoder`` is the way back: ids in, bytes through an incremental UTF-8 state machine, text out. The
+vocabulary file has no decoder, so the library joins the tokens' own strings by a space, and so does the machine;
+``decode_text`` undoes the byte alphabet and the ends of words as well.
 """
 
 from __future__ import annotations
 
+import codecs
+import functools
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +45,10 @@ CACHE = 250_000
 ID_BITS, NO_MERGE = 20, 1 << 62
 #: Longer pieces are not cached and go through the streaming path.
 LONG_PIECE = 512
+#: Characters fed at once, and those held without a blank before the finer machines take over.
+CHUNK, HOLD = 1 << 16, 1 << 13
+#: Pieces of at most so many bytes are merged in bulk, in groups by these sizes.
+WIDTHS = (6, 8, 10, 12, 16)
 
 
 def _latin_class(kind: str) -> str:
@@ -90,6 +108,74 @@ class Alphabet:
         return {c: self.odd[c] for c in chars & self.odd.keys()} if self.odd else {}
 
 
+class PieceCache(dict):
+    """piece -> ``make(piece)``, in two generations: a full one becomes the old one, and pieces met again move up."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONG_PIECE:
+            self.put(piece, found)
+        return found
+
+    def put(self, piece: str, value) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+
+
+class PairTable:
+    """Rank of a pair of ids for whole arrays: a cuckoo table, each pair in one of two places."""
+
+    BITS = 18
+    ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        self.none = len(ranks) + 1
+        self.merged = np.zeros(self.none, np.int32)
+        self.keys, self.ranks = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, self.none, np.int32)
+        places = [(np.fromiter(ranks, np.uint64, len(ranks)) * odd >> np.uint64(64 - self.BITS)).tolist() for odd in self.ODD]
+        both = {key: pair for key, *pair in zip(ranks, *places, strict=True)}
+        table: dict[int, int] = {}
+        for key in ranks:
+            side = 0
+            for _ in range(500):
+                at = both[key][side]
+                table[at], key = key, table.get(at)
+                if key is None:
+                    break
+                side = 1 - both[key].index(at) if both[key][0] != both[key][1] else 0
+            else:
+                raise RuntimeError("merge list too large for the pair table")
+        for at, key in table.items():
+            self.keys[at], self.ranks[at] = key, ranks[key] >> ID_BITS
+            self.merged[ranks[key] >> ID_BITS] = ranks[key] & ((1 << ID_BITS) - 1)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.uint64) << np.uint64(ID_BITS) | right.astype(np.uint64)
+        one, two = (key * odd >> np.uint64(64 - self.BITS) for odd in self.ODD)
+        return np.where(self.keys[one] == key, self.ranks[one], np.where(self.keys[two] == key, self.ranks[two], self.none)).astype(np.int32)
+
+
+@functools.cache
+def _second_halves() -> frozenset[str]:
+    """Characters that can compose with the one before."""
+    two = (unicodedata.decomposition(chr(c)).split() for c in range(0x30000))
+    jamo = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    return frozenset(chr(int(d[1], 16)) for d in two if len(d) == 2 and not d[0].startswith("<")) | jamo
+
+
+def safe_start(c: str) -> bool:
+    """Whether composition cannot reach over the place before ``c``."""
+    return c < "\u0300" or (not unicodedata.combining(c) and c not in _second_halves())
+
+
 class WordBpe:
     """Pieces to token ids, exactly as the file's merges say: lowest rank first, leftmost among equals."""
 
@@ -110,22 +196,30 @@ class WordBpe:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
         self.chars = Alphabet(spec)
-        self.cache: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
         self.numerals = list(map(str, range(len(self.tokens))))
+        self.token_utf8 = [t.encode("utf-8", "surrogatepass") for t in self.tokens]
         self.ints = list(range(len(self.tokens)))  # one object for each id, shared by all cached pieces
+        self.pairs: PairTable | None = None
+        self.cache = PieceCache(self._made)
+        self.packed = PieceCache(lambda p: array("I", self._made(p)).tobytes())
         self.lookahead = self._lookahead(model["merges"])
 
-    def _lookahead(self, merges: list) -> int:
-        """Symbols after which a token inside an unfinished piece is stable."""
-        best: dict[str, int] = {}
-        deepest = 1
+    def _lookahead(self, merges: list) -> int | None:
+        """Symbols after which a token inside an unfinished piece is stable; None if the list is not one that the proof
+        covers (a token made by two merges, or used before it is made): then pieces are held whole."""
+        heaviest: dict[str, int] = {}
+        made: set[str] = set()
+        most = 0
         for pair in merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            chain = 1 + best.get(b[0], 0)
-            best[a[0]] = max(best.get(a[0], 0), chain)
-            deepest = max(deepest, chain)
-        return (deepest + 1) * max(len(t) for t in self.vocab)
+            right = b.removesuffix(END)
+            if a + b in made or any(len(x.removesuffix(END)) > 1 and x not in made for x in (a, b)):
+                return None
+            made.add(a + b)
+            weight = len(a) + max((heaviest.get(right[:k], 0) for k in range(1, len(right) + 1)), default=0)
+            heaviest[a] = max(heaviest.get(a, 0), weight)
+            most = max(most, weight)
+        return most
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge symbols; a heap of (rank, position) over a linked list, O(n log n) for pieces of any length."""
@@ -163,46 +257,102 @@ class WordBpe:
                 heapq.heappush(heap, (r >> ID_BITS, h, ids[h], to, r & mask))
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def _made(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece."""
-        found = self.cache.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                if len(raw) > LONG_PIECE:
-                    run = PieceStream(self)
-                    return tuple(run.feed(raw)) + tuple(run.end())
-                ids = self.merge([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]])
-                found = tuple(map(self.ints.__getitem__, ids))
-            if len(self.cache) >= CACHE:
-                self.old, self.cache = self.cache, {}
-            self.cache[piece] = found
-        return found
+        raw = piece.encode("utf-8", "surrogatepass")
+        if len(raw) > LONG_PIECE:
+            run = PieceStream(self)
+            return tuple(run.feed(raw)) + tuple(run.end())
+        return tuple(map(self.ints.__getitem__, self.merge([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]])))
+
+    def merge_many(self, raws: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of 1 to WIDTHS[-1] bytes, all at once: each step merges the lowest pair of every piece."""
+        if self.pairs is None:
+            self.pairs = PairTable(self.ranks)
+        size = np.array([len(r) for r in raws], np.int64)
+        out: list[bytes] = [b""] * len(raws)
+        for least, most in zip((0, *WIDTHS), WIDTHS, strict=False):
+            at = np.flatnonzero((size > least) & (size <= most))
+            if len(at):
+                rows = at.tolist()
+                for k, ids in zip(rows, self._merge_rows([raws[k] for k in rows], size[at], most), strict=True):
+                    out[k] = ids
+        return out
 
-    def pieces(self, text: str) -> list[str]:
-        """Normalize text without special tokens (composed form, lower case) and cut it into pieces."""
+    def _merge_rows(self, raws: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
+        rank, none, pad = self.pairs.rank, self.pairs.none, (1 << ID_BITS) - 1
+        data = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raws]), np.uint8).reshape(-1, width)
+        col, row = np.arange(width), np.arange(len(raws))
+        ids = np.full((len(raws), width + 1), pad, np.int32)
+        ids[:, :width] = np.array(self.inner, np.int32)[data]
+        ids[row, size - 1] = np.array(self.final, np.int32)[data[row, size - 1]]
+        ids[:, :width][col >= size[:, None]] = pad
+        r = np.full((len(raws), width), none, np.int32)
+        real = col < size[:, None] - 1
+        r[real] = rank(ids[:, :-1][real], ids[:, 1:][real])
+        out, size = np.zeros((len(raws), width), "<u4"), size.copy()
+        while len(row):
+            j = r.argmin(axis=1)
+            low = r[np.arange(len(row)), j]
+            go = low < none
+            if not go.all():
+                out[row[~go]] = ids[~go, :width]
+                row, ids, r, j, low = row[go], ids[go], r[go], j[go], low[go]
+            at = np.arange(len(row))
+            ids[at, j] = self.pairs.merged[low]
+            ids[:, :-1] = np.take_along_axis(ids, col + (col > j[:, None]), 1)
+            ids[:, -1] = pad
+            r[:, :-1] = np.take_along_axis(r, col[:-1] + (col[:-1] >= j[:, None]), 1)
+            r[:, -1] = none
+            r[at, j] = rank(ids[at, j], ids[at, j + 1])
+            k = np.flatnonzero(j)
+            r[k, j[k] - 1] = rank(ids[k, j[k] - 1], ids[k, j[k]])
+            size[row] -= 1
+        raw, wide = out.tobytes(), 4 * width
+        return [raw[k : k + 4 * n] for k, n in zip(range(0, wide * len(raws), wide), size.tolist(), strict=True)]
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Put the packed ids of pieces into the cache, those of short new pieces all at once."""
+        new = set(pieces).difference(self.packed)
+        new = [p for p in (new.difference(self.packed.old) if self.packed.old else new) if len(p) <= WIDTHS[-1]]
+        raws = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [k for k, x in enumerate(raws) if len(x) <= WIDTHS[-1]]
+        if short:
+            for k, ids in zip(short, self.merge_many([raws[k] for k in short]), strict=True):
+                self.packed.put(new[k], ids)
+
+    def normalized(self, text: str) -> tuple[str, dict]:
+        """Text without special tokens in composed form and lower case, and the classes of characters that regular
+        expressions here see otherwise than the library."""
         if text.isascii():
-            return LATIN.findall(text.lower())
+            return text.lower(), {}
         plain = unicodedata.normalize("NFC", text).lower()
         if not BEYOND_LATIN.search(plain):
-            return LATIN.findall(plain)
+            return plain, {}
         rare = {c for c in set(text) if c >= "\u0370"}
         text = self.chars.composed(text) if any(map(unicodedata.combining, rare)) else unicodedata.normalize("NFC", text)
         odd = self.chars.odd_in(rare | set(text)) if rare else {}
         low = text.replace("Σ", "σ")
         if not odd:
-            return PIECES.findall(low.lower())
-        return self._pieces_by_class("".join(odd[c][0] if c in odd else c.lower() for c in low), odd)
+            return low.lower(), {}
+        return "".join(odd[c][0] if c in odd else c.lower() for c in low), dict(odd.values())
 
-    def _pieces_by_class(self, text: str, odd: dict) -> list[str]:
-        """The pattern as a state machine over character classes, for characters whose class differs between tables."""
-        kinds = {low: kind for low, kind in odd.values()}
+    def pieces(self, text: str) -> list[str]:
+        return self.cut(*self.normalized(text))
+
+    def cut(self, low: str, kinds: dict) -> list[str]:
+        """Pieces of normalized text."""
+        if kinds:
+            return self._cut_by_class(low, kinds)
+        return PIECES.findall(low) if BEYOND_LATIN.search(low) else LATIN.findall(low)
 
-        def kind(c: str) -> str:
-            return kinds.get(c) or ("L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if regex.match(r"\s", c) else "P")
+    @staticmethod
+    def kind(c: str, kinds: dict) -> str:
+        return kinds.get(c) or ("L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if regex.match(r"\s", c) else "P")
 
-        kind_of = [kind(c) for c in text]
+    def _cut_by_class(self, text: str, kinds: dict) -> list[str]:
+        """The pattern as a state machine over character classes, for characters whose class differs between tables."""
+        kind_of = [self.kind(c, kinds) for c in text]
         out, i = [], 0
         while i < len(text):
             short = next((c for c in CONTRACTIONS if text.startswith(c, i)), None)
@@ -232,15 +382,22 @@ class WordBpe:
 
     def encode_ids(self, text: str) -> list[int]:
         """All ids of a text."""
+        if "<|" not in text:
+            return list(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
         ids: list[int] = []
-        for part, special in self.segments(text) if "<|" in text else ((text, None),):
-            get = self.cache.get
-            for p in self.pieces(part):
-                ids += get(p) or self.piece(p)
+        for part, special in self.segments(text):
+            ids += chain.from_iterable(map(self.cache.__getitem__, self.pieces(part)))
             if special is not None:
                 ids.append(special)
         return ids
 
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as unsigned 32-bit integers."""
+        cut = [None if "<|" in t else self.pieces(t) for t in texts]
+        self.learn(chain.from_iterable(filter(None, cut)))
+        get = self.packed.__getitem__
+        return [array("I", self.encode_ids(t)).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+
     def decimal(self, ids: Iterable[int]) -> str:
         """The ids in decimal, joined by a space."""
         numerals = self.numerals
@@ -268,7 +425,11 @@ class PieceStream:
 
     def feed(self, raw: bytes) -> list[int]:
         out: list[int] = []
-        step, least = 4 * self.bpe.lookahead, self.bpe.lookahead
+        least = self.bpe.lookahead
+        if least is None:
+            self.held += raw
+            return out
+        step = 4 * least
         for at in range(0, len(raw), step):
             self.held += raw[at : at + step]
             if len(self.held) <= 2 * least:
@@ -289,31 +450,119 @@ class PieceStream:
         return self.bpe.merge([self.bpe.inner[b] for b in raw[:-1]] + [self.bpe.final[raw[-1]]])
 
 
+class Unbroken:
+    """Text without blanks in, stable ids out: holds the end that composition, a special token or the last two pieces
+    can still change."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.bpe, self.raw, self.low = bpe, "", ""
+        self.kinds: dict = {}
+        self.run: tuple[str, PieceStream] | None = None
+        self.reach = max(map(len, bpe.special), default=1)
+
+    def feed(self, text: str) -> list[int]:
+        self.raw += text
+        cut = len(self.raw) - self.reach
+        while cut > 0 and not safe_start(self.raw[cut]):
+            cut -= 1
+        if cut <= 0:
+            return []
+        spans = [m.span() for m in self.bpe.specials.finditer(self.raw)]
+        cut = next((s for s, e in spans if s < cut < e), cut)
+        done, self.raw = self.raw[:cut], self.raw[cut:]
+        return self._segments(done)
+
+    def end(self) -> list[int]:
+        done, self.raw = self.raw, ""
+        return self._segments(done) + self._close()
+
+    def _segments(self, text: str) -> list[int]:
+        out: list[int] = []
+        for part, special in self.bpe.segments(text):
+            low, kinds = self.bpe.normalized(part)
+            self.kinds |= kinds
+            out += self._pieces(low)
+            if special is not None:
+                out += [*self._close(), special]
+        return out
+
+    def _pieces(self, low: str) -> list[int]:
+        out: list[int] = []
+        if self.run:
+            kind, stream = self.run
+            n = 0
+            while n < len(low) and self.bpe.kind(low[n], self.kinds) == kind:
+                n += 1
+            out += stream.feed(low[:n].encode("utf-8", "surrogatepass"))
+            if n == len(low):
+                return out
+            out += stream.end()
+            self.run, low = None, low[n:]
+        self.low += low
+        pieces = self.bpe.cut(self.low, self.kinds)
+        for p in pieces[:-2]:
+            out += self.bpe.cache[p]
+        at = len(self.low)
+        for p in pieces[:-3:-1]:
+            at = self.low.rindex(p, 0, at)
+        self.low = self.low[at:]
+        if pieces and len(pieces[-1]) > LONG_PIECE:  # too long to be a contraction, and the piece before it ends where it begins
+            for p in pieces[-2:-1]:
+                out += self.bpe.cache[p]
+            self.run = (self.bpe.kind(pieces[-1][0], self.kinds), PieceStream(self.bpe))
+            out += self.run[1].feed(pieces[-1].encode("utf-8", "surrogatepass"))
+            self.low = ""
+        return out
+
+    def _close(self) -> list[int]:
+        out = self.run[1].end() if self.run else []
+        out += chain.from_iterable(map(self.bpe.cache.__getitem__, self.bpe.cut(self.low, self.kinds)))
+        self.run, self.low, self.kinds = None, "", {}
+        return out
+
+    @property
+    def held(self) -> int:
+        return len(self.raw) + len(self.low) + (len(self.run[1].held) if self.run else 0)
+
+
 class StreamingEncoder:
-    """Text chunks in, stable ids out. Holds the text after the last whitespace, which no piece and no special token crosses."""
+    """Text chunks in, stable ids out; all text up to the last blank is stable."""
 
     def __init__(self, bpe: WordBpe) -> None:
         self.bpe, self.held = bpe, ""
+        self.unbroken: Unbroken | None = None
 
     def feed(self, chunk: str) -> list[int]:
+        out: list[int] = []
+        if self.unbroken:
+            blank = min((i for i in (chunk.find(" "), chunk.find("\n")) if i >= 0), default=-1)
+            if blank < 0:
+                return self.unbroken.feed(chunk)
+            out = self.unbroken.feed(chunk[:blank]) + self.unbroken.end()
+            self.unbroken, chunk = None, chunk[blank:]
         self.held += chunk
-        cut = max(self.held.rfind(" "), self.held.rfind("\n"))
-        if cut < 0:
-            return []
-        done, self.held = self.held[: cut + 1], self.held[cut + 1 :]
-        return self.bpe.encode_ids(done)
+        cut = 1 + max(self.held.rfind(" "), self.held.rfind("\n"))
+        if cut:
+            done, self.held = self.held[:cut], self.held[cut:]
+            out += self.bpe.encode_ids(done)
+        if len(self.held) > HOLD:
+            self.unbroken, done, self.held = Unbroken(self.bpe), self.held, ""
+            out += self.unbroken.feed(done)
+        return out
 
     def end(self) -> list[int]:
+        out: list[int] = []
+        if self.unbroken:
+            out += self.unbroken.end()
+            self.unbroken = None
         done, self.held = self.held, ""
-        return self.bpe.encode_ids(done)
+        return out + self.bpe.encode_ids(done)
 
 
 class ByteTextDecoder:
     """Bytes to text, one token at a time: keeps only the bytes of an unfinished character; bad bytes become U+FFFD."""
 
     def __init__(self) -> None:
-        import codecs
-
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, raw: bytes) -> str:
@@ -323,12 +572,37 @@ class ByteTextDecoder:
         return self.state.decode(b"", final=True)
 
 
+class StreamingDecoder:
+    """Ids in, the library's decoding out: the tokens' strings joined by a space, by an incremental byte-to-text machine."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.utf8, self.bytes, self.begun = bpe.token_utf8, ByteTextDecoder(), False
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        raw = b" ".join(map(self.utf8.__getitem__, ids))
+        raw, self.begun = (b" " + raw if self.begun else raw), True
+        return self.bytes.feed(raw)
+
+    def end(self) -> str:
+        return self.bytes.end()
+
+
 def decode_text(bpe: WordBpe, ids: Iterable[int]) -> str:
     """The (lower-cased, space-separated) text that ids stand for."""
     state = ByteTextDecoder()
     return ("".join(state.feed(bpe.token_bytes(i)) for i in ids) + state.end()).removesuffix(" ")
 
 
+def stream_ids(bpe: WordBpe, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
+    """The ids of a text as the transducer gives them out."""
+    machine = StreamingEncoder(bpe)
+    for at in range(0, len(text), chunk):
+        yield machine.feed(text[at : at + chunk])
+    yield machine.end()
+
+
 _BPE: dict[int, WordBpe] = {}
 
 
@@ -357,16 +631,24 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe = bpe_of(spec.value)
         for b in batches:
-            ids = [bpe.encode_ids(t or "") for t in b.column(1).to_pylist()]
+            ids, texts = [], []
+            for t in b.column(1).to_pylist():
+                decoder, own, parts = StreamingDecoder(bpe), [], []
+                for more in stream_ids(bpe, t or ""):
+                    own += more
+                    parts.append(decoder.feed(more))
+                ids.append(own)
+                texts.append("".join(parts) + decoder.end())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string()),
+                b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string()),
             ], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_decode``, hashed where they are made instead of shipped."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_decode``; ids and text are hashed as the machines give them
+    out, so a text of any length needs no more than its chunks."""
     tune(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
@@ -374,9 +656,14 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = bpe_of(spec.value)
         out: list[tuple] = []
         for doc, text in rows_of(batches):
-            ids = bpe.encode_ids(text or "")
-            decoded = bpe.decode(ids).encode()
-            out.append((doc, len(ids), hashlib.sha256(bpe.decimal(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            decoder, said, back, n = StreamingDecoder(bpe), hashlib.sha256(), hashlib.sha256(), 0
+            for ids in stream_ids(bpe, text or ""):
+                if ids:
+                    said.update((" " * (n > 0) + bpe.decimal(ids)).encode())
+                    back.update(decoder.feed(ids).encode("utf-8", "surrogatepass"))
+                    n += len(ids)
+            back.update(decoder.end().encode("utf-8", "surrogatepass"))
+            out.append((doc, n, said.hexdigest(), back.hexdigest()))
             if len(out) >= 2000:
                 yield digest_batch(out)
                 out = []
@@ -388,6 +675,3 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def ids_array(bpe: WordBpe, text: str | None) -> np.ndarray:
-    return np.array(bpe.encode_ids(text or ""), np.uint32)
