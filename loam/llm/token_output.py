@@ -1,10 +1,14 @@
 """Token-id files: canonical length-limited Huffman coding (operator 8).
 
 A dataset is a folder of files, one or more for each range of doc_id in ascending order. A file holds blocks; a block
-is self-contained given the code lengths: magic, token, document and checkpoint counts, doc_ids, document lengths, the
-bit offset of every ``STEP``-th token, and the bits. Code lengths come from the ids' counts over the whole corpus by
+is self-contained given the code lengths: magic, token, document and checkpoint counts, doc_ids, a bit for each null
+doc_id, document lengths, the bit offset of every ``STEP``-th token, and the bits. Code lengths come from the ids' counts over the whole corpus by
 the package-merge method, at most ``MAX_BITS`` long; codes are canonical, so the lengths alone rebuild them. Decoding
 looks up ``MAX_BITS`` bits at a time in one table, at all checkpoints of a block at once.
+
+Ids come from ``bpe.WordBpe``, which reads the vocabulary file itself and gives what the tokenizers library gives at less
+cost; the tests hold it against the library. Ranges have about equal bytes of text, so a task's share does not depend on
+how texts are spread over the ids; a doc_id that fills several ranges is dealt over them.
 """
 
 from __future__ import annotations
@@ -15,16 +19,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe_of, read_spec
 from .common import documents, materialize, rows_of, shared_dir, tune
 
-MAX_BITS, STEP, MAGIC = 20, 256, b"LHF1"
+MAX_BITS, STEP, MAGIC = 20, 256, b"LHF2"
 BLOCK_TOKENS = 1 << 18
-RANGE_CHARS = 64 << 20
+#: Text of a doc_id range, and the most ranges: beyond that ranges grow.
+RANGE_CHARS, MOST_RANGES = 4 << 20, 50_000
+#: Texts encoded at once.
+GROUP_CHARS = 1 << 20
 END_ID = 2
 
 
@@ -94,9 +100,10 @@ def pack_block(docs: list[tuple[int | None, np.ndarray]], lengths: np.ndarray, c
         words[word[first]] += np.add.reduceat(bits >> np.uint64(32), first)
         words[word[first] + 1] += np.add.reduceat(bits & np.uint64(0xFFFFFFFF), first)
     points = offs[::STEP].astype("<u8")
-    keys = np.array([-(1 << 63) if d is None else d for d, _ in docs], "<i8")
+    keys = np.array([0 if d is None else d for d, _ in docs], "<i8")
+    nulls = np.packbits([d is None for d, _ in docs]) if docs else np.zeros(0, np.uint8)
     sizes = np.array([len(x) for _, x in docs], "<u4")
-    return b"".join([MAGIC, struct.pack("<III", len(ids), len(docs), len(points)), keys.tobytes(), sizes.tobytes(), points.tobytes(), words.astype(">u4").tobytes()])
+    return b"".join([MAGIC, struct.pack("<III", len(ids), len(docs), len(points)), keys.tobytes(), nulls.tobytes(), sizes.tobytes(), points.tobytes(), words.astype(">u4").tobytes()])
 
 
 def unpack_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[tuple[int | None, np.ndarray]]:
@@ -106,6 +113,8 @@ def unpack_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[tuple
     at = 16
     keys = np.frombuffer(raw, "<i8", docs, at)
     at += 8 * docs
+    nulls = np.unpackbits(np.frombuffer(raw, np.uint8, -(-docs // 8), at), count=docs).tolist()
+    at += -(-docs // 8)
     sizes = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
     at += 4 * docs
     offs = np.frombuffer(raw, "<u8", points, at).astype(np.int64)
@@ -120,61 +129,104 @@ def unpack_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[tuple
         out[step] = symbols[ahead]
         offs = offs + size[ahead]
     ids = out.T.reshape(-1)[:n]
-    return [(None if k == -(1 << 63) else int(k), x) for k, x in zip(keys, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)] if docs else []
+    return [(None if null else k, x) for k, null, x in zip(keys.tolist(), nulls, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)] if docs else []
 
 
-def range_bounds(docs: DataFrame, chars: int) -> list[int]:
-    """Upper ends of doc_id ranges of about equal row counts; one range for each RANGE_CHARS of text."""
-    n = max(1, -(-chars // RANGE_CHARS))
-    if n == 1:
-        return []
-    return sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n)})
+def range_bounds(docs: DataFrame) -> tuple[int, list[int]]:
+    """Ranges of null doc_ids, and upper ends of doc_id ranges of about equal text bytes. An end comes several times if
+    its doc_id fills several ranges."""
+    size = F.coalesce(F.length("text"), F.lit(0)) + 16
+    total, null = docs.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    n = min(MOST_RANGES, -(-(total or 0) // RANGE_CHARS))
+    if n <= 1:
+        return 1, []
+    share = (total or 0) / n
+    nulls = max(1, round((null or 0) / share))
+    ids = docs.filter("doc_id is not null")
+    fine = min(4 * n, 2 * MOST_RANGES)
+    ends = np.unique(np.array(ids.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / fine for i in range(1, fine)], 0.25 / fine), np.float64))
+    ends = np.unique(np.clip(ends, -(2.0**62), 2.0**62).astype(np.int64))
+
+    def tally(batches):
+        got = np.zeros(len(ends) + 1, np.int64)
+        for b in batches:
+            np.add.at(got, np.searchsorted(ends, b.column(0).to_numpy(), "left"), b.column(1).to_numpy())
+        at = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["at", "size"])
+
+    counted = ids.select("doc_id", size.cast("long").alias("size")).mapInArrow(tally, "at long, size long").groupBy("at").agg(F.sum("size").alias("size"))
+    sizes, out, held = {r["at"]: r["size"] for r in counted.collect()}, [], 0.0  # a few rows for each range
+    for k, end in enumerate(ends.tolist()):
+        held += sizes.get(k, 0)
+        while held >= share:
+            out.append(end)
+            held -= share
+    return nulls, out
 
 
 def encode_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Ids of every document by doc_id range, and each task's id counts, written once.
 
-    Columns part, doc_id, crc, n, ids (compressed), count_ids, counts. The last two are set on count rows only.
+    Columns part, doc_id, crc, n, ids, count_ids, counts. The last two are set on count rows only.
     """
     spark = docs.sparkSession
     spec, plain = spark.sparkContext.broadcast(read_spec(tokenizer)), documents(docs)
-    chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
-    bounds = np.array(range_bounds(plain, chars), np.int64)
+    nulls, bounds = range_bounds(plain)
+    ends, parts, wide = np.array(bounds, np.int64), nulls + len(bounds) + 1, _wide(tokenizer, end_id)
     names = ["part", "doc_id", "crc", "n", "ids", "count_ids", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches):
-        bpe, squeeze = bpe_of(spec.value), zstandard.ZstdCompressor(1)
-        counts = np.zeros(max(len(bpe.tokens), end_id + 1), np.int64)
-        rows, held, seed = [], 0, 0
+        bpe, end = bpe_of(spec.value), np.array([end_id], "<u4").tobytes()
+        counts = np.zeros(wide, np.int64)
+        turn = 0
+
+        def part_of(doc):
+            if doc is None:
+                return turn % nulls
+            low, high = int(np.searchsorted(ends, doc, "left")), int(np.searchsorted(ends, doc, "right"))
+            return nulls + (low + turn % (high - low) if high > low else low)
+
+        def encode(held):
+            nonlocal counts, turn
+            rows = []
+            for (doc, _), raw in zip(held, bpe.encode_packed([t for _, t in held]), strict=True):
+                raw += end
+                ids = np.frombuffer(raw, "<u4")
+                rows.append((part_of(doc), doc, zlib.crc32(raw), len(ids), (ids.astype("<u2") if wide <= 1 << 16 else ids).tobytes(), None, None))
+                turn += 1
+                if len(ids) > wide:
+                    counts += np.bincount(ids, minlength=wide)
+            short = b"".join(r[4] for r in rows if r[3] <= wide)
+            counts += np.bincount(np.frombuffer(short, "<u2" if wide <= 1 << 16 else "<u4"), minlength=wide)
+            return batch(rows)
+
+        held, size = [], 0
         for doc, text in rows_of(batches):
-            ids = np.array(bpe.encode_ids(text or "") + [end_id], np.uint32)
-            counts += np.bincount(ids, minlength=len(counts))
-            crc = zlib.crc32(ids.astype("<u4").tobytes())
-            part = 0 if doc is None else int(np.searchsorted(bounds, doc, "left"))
-            seed = seed * 31 + crc
-            rows.append((part, doc, crc, len(ids), squeeze.compress(ids.astype("<u2" if len(counts) <= 1 << 16 else "<u4").tobytes()), None, None))
-            held += len(ids)
-            if held > 1 << 21:
-                yield batch(rows)
-                rows, held = [], 0
+            held.append((doc, text or ""))
+            size += len(held[-1][1])
+            if size >= GROUP_CHARS:
+                yield encode(held)
+                held, size = [], 0
+        if held:
+            yield encode(held)
         used = np.flatnonzero(counts)
         if len(used):
-            rows.append((-1 - seed % 1009, None, 0, 0, None, used.tolist(), counts[used].tolist()))
-        if rows:
-            yield batch(rows)
+            yield batch([(int(counts[used].sum()) % parts, None, 0, 0, None, used.tolist(), counts[used].tolist())])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     encoded = plain.mapInArrow(run, "part long, doc_id long, crc long, n long, ids binary, count_ids array<int>, counts array<long>")
-    return materialize(encoded.repartition("part").sortWithinPartitions("part", "doc_id", "crc"), "ids")
+    dealt = encoded.repartitionById(parts, F.col("part").cast("int"))
+    return materialize(dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc"), "ids")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Encode, append ``end_id`` to each document and write the dataset: ``path``/blocks and ``path``/code.
 
-    A null text is empty and gives the end id alone; a null doc_id comes first; rows of one doc_id follow each other.
+    A null text is empty and gives the end id alone; null doc_ids come first; rows of one doc_id follow each other, equal
+    or not. Other columns are not read. No documents: no files but the code. Texts of any length are one row each.
     """
     tune(docs.sparkSession)
     spark = docs.sparkSession
@@ -186,17 +238,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), MAX_BITS, STEP)], "lengths binary, max_bits int, step int").coalesce(1).write.parquet(f"{path}/code")
     sent, wide = spark.sparkContext.broadcast(lengths), "<u2" if _wide(tokenizer, end_id) <= 1 << 16 else "<u4"
-    names = ["part", "block", "first_doc", "first_crc", "n_tokens", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["part", "block", "first_doc", "first_crc", "last_doc", "last_crc", "n_tokens", "payload"]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
 
     def run(batches):
-        lens, codes, expand = sent.value, canonical_codes(sent.value), zstandard.ZstdDecompressor()
+        lens, codes = sent.value, canonical_codes(sent.value)
         held: list = []
-        head, n = None, 0
+        head, last, n = None, None, 0
 
         def flush():
-            part, doc, crc = head
-            row = (part, uuid.uuid4().hex, doc, crc, n, pack_block(held, lens, codes))
+            row = (head[0], uuid.uuid4().hex, *head[1:], *last, n, pack_block(held, lens, codes))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for b in batches:
@@ -206,12 +257,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
                     held, n = [], 0
                 if not held:
                     head = (part, doc, crc)
-                held.append((doc, np.frombuffer(expand.decompress(ids), wide).astype(np.uint32)))
+                held.append((doc, np.frombuffer(ids, wide).astype(np.uint32)))
+                last = (doc, crc)
                 n += len(held[-1][1])
         if held:
             yield flush()
 
-    coded = table.filter("count_ids is null").select("part", "doc_id", "crc", "ids").mapInArrow(run, "part long, block string, first_doc long, first_crc long, n_tokens long, payload binary")
+    coded = table.filter("count_ids is null").select("part", "doc_id", "crc", "ids").mapInArrow(run, "part long, block string, first_doc long, first_crc long, last_doc long, last_crc long, n_tokens long, payload binary")
     coded.write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -227,7 +279,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/code").first()["lengths"]), np.uint8)
     sent = spark.sparkContext.broadcast(lengths)
-    schema = "block string, first_doc long, first_crc long, n_tokens long, payload binary, part long"
+    schema = "block string, first_doc long, first_crc long, last_doc long, last_crc long, n_tokens long, payload binary, part long"
     blocks = spark.read.schema(schema).parquet(f"{path}/blocks")
 
     def run(batches):
@@ -247,8 +299,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for r in sizes:
         bases.append((r["part"], base))
         base += r["n"]
-    before = Window.partitionBy("part").orderBy(F.col("first_doc").asc_nulls_first(), "first_crc", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("part", "block", "first_doc", "first_crc", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    before = Window.partitionBy("part").orderBy(F.col("first_doc").asc_nulls_first(), "first_crc", F.col("last_doc").asc_nulls_first(), "last_crc", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("part", "block", "first_doc", "first_crc", "last_doc", "last_crc", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     offsets = offsets.join(F.broadcast(spark.createDataFrame(bases, "part long, base long")), "part").select("block", (F.col("base") + F.col("before")).alias("block_start"))
     return rows.join(offsets, "block").select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
