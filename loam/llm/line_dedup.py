@@ -1,15 +1,18 @@
 """Repeated runs of lines by winnowing (operator 4).
 
-The lines with a word are a document's sequence of line hashes. In each window of ``run`` lines the smallest hash (the
-last among equals) is selected, so any repeated run of that length has a selected line at the same place in it: a
-guaranteed fingerprint. A window of fewer lines counts if it holds ``words`` words or more, and is its own fingerprint;
-so long passages are found on one or two lines too, in short documents too. Positions of fingerprints that occur more
-than once are joined, the hashes around them extend the match both ways, and a window that occurs earlier (in a smaller
-doc_id, or before it in the same document) marks its lines; windows that touch or overlap make one run. Marked is thus
-each line of any repeated run of ``run`` lines or ``words`` words. Lines of later repeats go, the first stays.
-
-Only windows with a shared fingerprint travel, each as one key; the earliest place of a key is found by partial
-aggregation, so a passage that a third of all documents hold is one row for each map task.
+The lines with a word are a document's sequence of line hashes. A window is ``run`` lines, or fewer with ``words`` words
+or more. In each window the smallest hash (the last among equals) is selected, so a repeated window has a selected line
+at the same place in it wherever it stands: a guaranteed fingerprint. Each selected line is a place: its hash, its
+position, and the hashes and word counts of the ``run`` - 1 lines on either side.
+
+Places are joined by fingerprint, and those that occur once drop out. Matches are extended both ways from the selected
+line over the lines beside it to the windows that it was selected for; a window that stands earlier (in a smaller doc_id,
+or before it in the same document) marks its lines, and windows that touch or overlap make one run, as long as the match
+goes. Marked is thus each line of any repeated run of ``run`` lines or ``words`` words. Lines of later repeats go, the
+first stays.
+
+Nothing is paired with all its equals: a window is compared with its earliest place only, found by partial aggregation,
+so a passage that a third of all documents hold is one row for each map task. Joins on a line or a window are salted.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 RUN = 3
 WORDS = 50
+#: Shares of a hot line or window.
+SHARES = 8
 _M = (1 << 64) - 1
 
 
@@ -48,57 +53,86 @@ def selected(h: np.ndarray, run: int) -> np.ndarray:
     return np.arange(len(view)) + run - 1 - view.argmin(axis=1)
 
 
-def window_keys(h: np.ndarray, run: int) -> np.ndarray:
-    k = np.full(len(h) - run + 1, run, np.uint64)
-    for i in range(run):
-        k = (k * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(k)]) ^ (k >> np.uint64(29))
-    return k
+def window_key(window: list[int]) -> int:
+    k = len(window)
+    for x in window:
+        k = (k * 0x9E3779B97F4A7C15 + x & _M) ^ (k >> 29)
+    return k - (1 << 64) if k >> 63 else k
 
 
-def long_windows(n_words: np.ndarray, size: int, words: int) -> np.ndarray:
-    """Starts of the windows of ``size`` lines that hold at least ``words`` words."""
+def own_windows(hashes: list[int], counts: list[int], before: int, run: int, words: int) -> list[tuple[int, int, int]]:
+    """(key, start, size) of the windows over a place's lines that select the line number ``before``."""
+    h, out = [x & _M for x in hashes], []
+    least = h[before]
+    for low in range(max(0, before - run + 1), before + 1):
+        for high in range(before + 1, min(low + run, len(h)) + 1):
+            if (high - low == run or sum(counts[low:high]) >= words) and min(h[low:high]) == least and least not in h[before + 1 : high]:
+                out.append((window_key(h[low:high]), low, high - low))
+    return out
+
+
+def selections(h: np.ndarray, n_words: np.ndarray, run: int, words: int) -> np.ndarray:
+    """Positions that some window selects."""
+    out = np.zeros(len(h), bool)
     total = np.r_[0, np.cumsum(n_words)]
-    return np.flatnonzero(total[size:] - total[:-size] >= words)
+    for size in range(1, min(run, len(h)) + 1):
+        own = selected(h, size)
+        out[own if size == run else own[total[size:] - total[:-size] >= words]] = True
+    return np.flatnonzero(out)
+
+
+PLACE = "fp long, doc long, uid long, at int, before int, hashes array<long>, counts array<int>"
 
 
 def _places(docs: DataFrame, run: int, words: int) -> DataFrame:
-    """fp, doc, uid, at, size, keys: each fingerprint with the windows it stands for (first window, lines of each, their keys)."""
+    """PLACE: each selected line with the hashes and word counts of the lines around it; ``before`` of them stand before it."""
 
     def go(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-
-            def put(*row, cols=cols):
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-
+            cols: list[list] = [[] for _ in kinds]
             for doc, uid, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = lines_of(text)[1]
                 h, n_words = line_hashes(lines), np.array([len(x.split()) for x in lines], np.int64)
-                for size in range(1, min(run, len(h) + 1)):
-                    starts = long_windows(n_words, size, words)
-                    for lo, key in zip(starts.tolist(), window_keys(h, size).view(np.int64)[starts].tolist(), strict=True):
-                        put(key, doc, uid, lo, size, [key])
-                if len(h) < run:
-                    continue
-                own, keys = selected(h, run), window_keys(h, run).view(np.int64)
-                new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(own)], strict=True):
-                    put(int(h[own[lo]].view(np.int64)), doc, uid, lo, run, keys[lo:hi].tolist())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "doc", "uid", "at", "size", "keys"])
-
-    return docs.mapInArrow(go, "fp long, doc long, uid long, at int, size int, keys array<long>")
+                hs, ws = h.view(np.int64).tolist(), n_words.tolist()
+                for at in selections(h, n_words, run, words).tolist():
+                    low, high = max(0, at - run + 1), at + run
+                    for c, v in zip(cols, (hs[at], doc, uid, at, at - low, hs[low:high], ws[low:high]), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "doc", "uid", "at", "before", "hashes", "counts"])
+
+    return docs.mapInArrow(go, PLACE)
+
+
+def _extended(places: DataFrame, run: int, words: int) -> DataFrame:
+    """key, doc, uid, at, size: the windows around each place that its line was selected for."""
+
+    def go(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        for b in batches:
+            cols: list[list] = [[] for _ in kinds]
+            for doc, uid, at, before, hashes, counts in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                for key, low, size in own_windows(hashes, counts, before, run, words):
+                    for c, v in zip(cols, (key, doc, uid, at - before + low, size), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "doc", "uid", "at", "size"])
+
+    return places.select("doc", "uid", "at", "before", "hashes", "counts").mapInArrow(go, "key long, doc long, uid long, at int, size int")
+
+
+def _spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Join on a key that may hold a third of ``rows``: dealt by the document as well, ``few`` copied to every share."""
+    few = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("_share", F.pmod(F.xxhash64("doc", "uid"), F.lit(SHARES)).cast("int")).join(few, [key, "_share"]).drop("_share")
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc, uid, spans: the later repeats (at, size) among each document's windows of ``run`` lines or ``words`` words. ``docs``: doc, uid, text."""
-    places = _places(docs, run, words)
+    places = materialize(_places(docs, run, words), "places")
     often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
-    shared = places.join(often, "fp").select("doc", "uid", F.posexplode("keys").alias("i", "key"), "at", "size")
-    shared = shared.select("key", "doc", "uid", (F.col("at") + F.col("i")).alias("at"), "size").checkpoint()
+    shared = _extended(_spread(places, often, "fp"), run, words).checkpoint()
     first = shared.groupBy("key").agg(F.min(F.struct("doc", "uid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "first")
-    later = shared.join(first, "key").filter(F.struct("doc", "uid", "at") > F.col("first"))
+    later = _spread(shared, first, "key").filter(F.struct("doc", "uid", "at") > F.col("first"))
     return later.groupBy("doc", "uid").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
 
 
