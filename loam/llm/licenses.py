@@ -1,10 +1,11 @@
 """License scans by ordered signature rules (operator 6).
 
 A rule is a regular expression over the document's words joined by single spaces, with a keyword that must be among
-the words before the expression is tried, a priority and a label. Rules are laid out by families, versions and forms
-(name with version, "or later", identifier line, "licensed under", name alone), some hundreds in all. Overlapping
-detections are resolved by priority: a detection inside the interval of one of higher priority, or of the same priority
-and greater length, is suppressed.
+the words before the expression is tried, a priority and a label. Two tables make the rules: ``BODIES`` has signatures
+of license bodies, notices and addresses, written one by one, and ``FAMILIES`` has names, laid out by version and form
+(name with version, "or later", joined short form, identifier line, "licensed under", name alone), some hundreds in all.
+Overlapping detections are resolved by priority: a detection inside the interval of one of higher priority, or of the
+same priority and greater length, is suppressed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -65,7 +67,8 @@ FAMILIES: dict[str, tuple[str, list[str], list[str]]] = {
     "upl": ("universal", ["universal permissive licen[sc]e"], ["1.0"]),
     "wtfpl": ("wtfpl", ["wtfpl"], ["1.0", "2.0"]),
     "unlicense": ("unlicense", ["the unlicense", "unlicense"], []),
-    "cc0": ("cc0", ["cc0", "creative commons zero"], ["1.0"]),
+    "cc0": ("zero", ["creative commons zero"], ["1.0"]),
+    "cc0-short": ("cc0", ["cc0"], ["1.0"]),
     "cc-by": ("commons", ["creative commons attribution(?: international)?(?: licen[sc]e)?"], ["1.0", "2.0", "2.5", "3.0", "4.0"]),
     "cc-by-sa": ("commons", ["creative commons attribution share ?alike(?: licen[sc]e)?"], ["1.0", "2.0", "2.5", "3.0", "4.0"]),
     "cc-by-nc": ("commons", ["creative commons attribution non ?commercial(?: licen[sc]e)?"], ["1.0", "2.0", "2.5", "3.0", "4.0"]),
@@ -78,8 +81,134 @@ FAMILIES: dict[str, tuple[str, list[str], list[str]]] = {
     "cc-by-nd-short": ("cc", ["cc by nd"], ["2.0", "3.0", "4.0"]),
     "proprietary": ("reserved", ["all rights reserved"], []),
 }
-IDENTIFIER, LATER, VERSIONED, GRANTED, NAMED = 50, 40, 30, 20, 10
-CONFIDENCE = {IDENTIFIER: 0.99, LATER: 0.95, VERSIONED: 0.95, GRANTED: 0.9, NAMED: 0.7, 0: 0.6}
+#: label, keyword, signature: phrases of license texts, notices and addresses, as lower-cased words with single spaces.
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "neither the names? of (?:[^ ]+ ){1,16}may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "endorse", "the names? of (?:[^ ]+ ){1,8}may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause-views", "views", "the views and conclusions contained in the software and documentation are those of the authors"),
+    ("bsd-patent", "perpetual", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual"),
+    ("bsd-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("apache-2.0", "compliance", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "limitations", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution 1 definitions"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl-2.0-or-later", "redistribute", "this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "redistribute", "this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "published", "under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-2.0-only", "only", "under the terms of version 2 of the gnu general public license only"),
+    ("gpl-3.0", "published", "under the terms of the gnu general public license version 3 as published by the free software foundation"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with this (?:program|library|software|package)"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0", "gnu", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "gnu", "gnu general public license version 3 29 june 2007"),
+    ("gpl-1.0", "gnu", "gnu general public license version 1 february 1989"),
+    ("lgpl-2.1-or-later", "redistribute", "this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", "redistribute", "this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.0-or-later", "either", "under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public license along with this (?:program|library|software|package)"),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "lesser", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0-or-later", "affero", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", "affero", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gcc-exception-3.1", "exception", "gcc runtime library exception version 3 1"),
+    ("classpath-exception", "dynamically", "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("mpl-2.0", "form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1 the license"),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0 the license"),
+    ("npl-1.1", "netscape", "the contents of this file are subject to the netscape public license version 1 1"),
+    ("epl-1.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v 1 0"),
+    ("epl-2.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("edl-1.0", "distribution", "made available under the terms of the eclipse distribution license v 1 0"),
+    ("cddl-1.0", "development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", "accompanying", "the accompanying program is provided under the terms of this common public license"),
+    ("zlib", "liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "plainly", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", "libpng", "this code is released under the libpng license"),
+    ("boost-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost-1.0", "boost", "distributed under the boost software license version 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "waived", "to the extent possible under law (?:[^ ]+ ){1,10}waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("public-domain", "public", "this (?:software|file|work|code|document|text|image|book|article) is in the public domain"),
+    ("public-domain", "public", "(?:placed|released|put) (?:this |it )?(?:[^ ]+ ){0,3}(?:in|into) the public domain"),
+    ("public-domain", "public", "dedicated to the public domain"),
+    ("public-domain", "copyright", "no copyright is claimed"),
+    ("wtfpl-2.0", "fuck", "do what the fuck you want to public license"),
+    ("beerware", "beer", "the beer ware license"),
+    ("beerware", "stuff", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("postgresql", "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "documentation", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and without fee)? is hereby granted"),
+    ("x11", "contained", "except as contained in this notice the names? of (?:[^ ]+ ){1,12}shall not be used in advertising"),
+    ("ncsa", "university", "university of illinois open source license"),
+    ("ncsa", "deal", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("python-2.0", "nonexclusive", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("ruby", "verbatim", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "preamble", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms"),
+    ("perl", "perl", "you can redistribute it and or modify it under the same terms as perl itself"),
+    ("perl", "perl", "under the same terms as (?:the )?perl(?: 5)?(?: programming language)?(?: system)? itself"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "font", "none of the font software may be sold by itself|the font software may not be sold by itself"),
+    ("odbl-1.0", "database", "is made available under the open database license"),
+    ("pddl-1.0", "dedication", "is made available under the public domain dedication and license"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("cecill", "cecill", "this software is governed by the cecill(?: [bc])? license"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("apsl-2.0", "apple", "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license version 2 0"),
+    ("upl-1.0", "lrgrwrks", "and any piece of software and or hardware listed in the lrgrwrks txt file"),
+    ("bsl-1.1", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1.0", "server", "server side public license version 1"),
+    ("elastic-2.0", "elastic", "elastic license 2 0"),
+    ("commons-clause", "licensor", "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("polyform-noncommercial", "polyform", "polyform noncommercial license 1 0 0"),
+    ("cc-by", "commons", "this work is licensed under (?:a|the) creative commons attribution(?: [34] 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-sa", "commons", "this work is licensed under (?:a|the) creative commons attribution share ?alike(?: [34] 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-nc", "commons", "this work is licensed under (?:a|the) creative commons attribution non ?commercial(?: [34] 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-sa-3.0", "commons", "text is available under the creative commons attribution share ?alike"),
+    ("proprietary", "confidential", "this (?:document|file|software) (?:contains|is) (?:proprietary and )?confidential"),
+    ("proprietary", "prohibited", "(?:unauthori[sz]ed )?(?:copying|reproduction|distribution|redistribution) (?:[^ ]+ ){0,8}(?:is )?strictly prohibited"),
+    ("proprietary", "reproduced", "no part of this (?:publication|book|document|work) may be reproduced"),
+    ("apache-2.0", "apache", "apache org licenses license 2 0"),
+    ("gpl-2.0", "gnu", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", "gnu", "gnu org licenses gpl 3 0"),
+    ("lgpl-2.1", "gnu", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", "gnu", "gnu org licenses lgpl 3 0"),
+    ("agpl-3.0", "gnu", "gnu org licenses agpl 3 0"),
+    ("mit", "opensource", "opensource org licenses? mit"),
+    ("bsd-2-clause", "opensource", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "opensource", "opensource org licenses? bsd 3 clause"),
+    ("isc", "opensource", "opensource org licenses? isc"),
+    ("mpl-2.0", "mozilla", "mozilla org mpl 2 0"),
+    ("epl-1.0", "eclipse", "eclipse org legal epl v10"),
+    ("epl-2.0", "eclipse", "eclipse org legal epl 2 0|eclipse org legal epl v20"),
+    ("boost-1.0", "boost", "boost org license 1 0"),
+    ("unlicense", "unlicense", "unlicense org"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons", "creativecommons org publicdomain mark 1 0"),
+    ("wtfpl-2.0", "wtfpl", "wtfpl net"),
+]
+#: Short forms written in one word ("gplv3") or with a bare number ("apache 2 0"): label -> names and versions.
+SHORT: dict[str, tuple[str, list[str]]] = {
+    "gpl": ("gpl", ["2.0", "3.0"]), "lgpl": ("lgpl", ["2.0", "2.1", "3.0"]), "agpl": ("agpl", ["3.0"]), "mpl": ("mpl", ["1.1", "2.0"]), "epl": ("epl", ["1.0", "2.0"]),
+    "apache": ("apache", ["1.1", "2.0"]), "cddl": ("cddl", ["1.0", "1.1"]), "eupl": ("eupl", ["1.1", "1.2"]), "artistic": ("artistic", ["1.0", "2.0"]), "ofl": ("ofl", ["1.0", "1.1"]),
+}
+CREATIVE = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
+BODY, IDENTIFIER, LATER, VERSIONED, GRANTED, NAMED = 60, 50, 40, 30, 20, 10
+CONFIDENCE = {BODY: 1.0, IDENTIFIER: 0.99, LATER: 0.95, VERSIONED: 0.95, GRANTED: 0.9, NAMED: 0.7, 0: 0.6}
 
 
 @dataclass(frozen=True)
@@ -111,7 +240,48 @@ def signature_rules() -> list[Rule]:
             rule("spdx", rf"spdx licen[sc]e identifier {spdx} {major} {minor} or later", IDENTIFIER + 2, f"{label}-{v}-or-later")
             rule(keyword, rf"{name} {number}", VERSIONED, f"{label}-{v}")
             rule("later", rf"{name} {number} or (?:any |at your option any )?later(?: version)?", LATER, f"{label}-{v}-or-later")
-    return sorted(out, key=lambda r: -r.priority)
+    for label, keyword, body in BODIES:
+        rule(keyword, body, BODY, label)
+    for label, (name, versions) in SHORT.items():
+        for v in versions:
+            major, minor = v.split(".")
+            tail = f"(?: {minor})" + ("?" if minor == "0" else "")
+            rule(f"{name}v{major}", rf"(?:gnu )?{name}v{major}{tail}", VERSIONED, f"{label}-{v}")
+            rule(f"{name}v{major}", rf"(?:gnu )?{name}v{major}{tail} or (?:any )?later(?: version)?", LATER, f"{label}-{v}-or-later")
+            rule(f"{name}{major}", rf"{name}{major}{tail}", VERSIONED, f"{label}-{v}")
+            rule(name, rf"{name} {major} {minor}", VERSIONED, f"{label}-{v}")
+            rule(name, rf"{name} {major} {minor} only", VERSIONED + 1, f"{label}-{v}-only")
+            rule(name, rf"{name} {major} {minor} or later", LATER, f"{label}-{v}-or-later")
+    for kind in CREATIVE:
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            rule("creativecommons", f"creativecommons org licenses {kind} {v.replace('.', ' ')}", BODY, f"cc-{kind.replace(' ', '-')}-{v}")
+    return sorted({(r.keyword, r.pattern.pattern, r.label): r for r in out}.values(), key=lambda r: -r.priority)
+
+
+class MostEnd:
+    """Largest end among the intervals that start at or before a word."""
+
+    def __init__(self, starts: list[int]) -> None:
+        self.at = {v: i + 1 for i, v in enumerate(sorted(set(starts)))}
+        self.tree = [0] * (len(self.at) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = self.at[start]
+        while i < len(self.tree):
+            self.tree[i] = max(self.tree[i], end)
+            i += i & -i
+
+    def reach(self, start: int) -> int:
+        i, out = self.at[start], 0
+        while i:
+            out = max(out, self.tree[i])
+            i -= i & -i
+        return out
+
+
+def word_starts(ws: list[bytes]) -> np.ndarray:
+    """Byte offset of each word of the words joined by single spaces."""
+    return np.cumsum([0, *(len(w) + 1 for w in ws)])[:-1]
 
 
 def detect(ws: list[bytes], rules: list[Rule]) -> list[tuple[int, int, int, str]]:
@@ -120,30 +290,34 @@ def detect(ws: list[bytes], rules: list[Rule]) -> list[tuple[int, int, int, str]
     live = [r for r in rules if r.keyword in there]
     if not live:
         return []
-    text, found = b" ".join(ws), []
+    text, starts, found = b" ".join(ws), word_starts(ws), []
     for r in live:
-        for m in r.pattern.finditer(text):
-            start = text.count(b" ", 0, m.start())
-            found.append((start, start + m[0].count(b" ") + 1, r.priority, r.label))
+        spans = [m.span() for m in r.pattern.finditer(text)]
+        if spans:
+            low, high = np.searchsorted(starts, np.array(spans).T, "right") - [[1], [0]]
+            found += [(a, b, r.priority, r.label) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
     found.sort(key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
     kept: list[tuple[int, int, int, str]] = []
+    ends = MostEnd([d[0] for d in found])
     for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+        if ends.reach(d[0]) < d[1]:
             kept.append(d)
+            ends.add(d[0], d[1])
     return sorted(kept)
 
 
 def base_places(ws: list[bytes]) -> list[tuple[int, str]]:
     """(start word, label) of every place of a base phrase."""
-    there = set(ws)
-    out = []
+    there, out, text, starts = set(ws), [], b"", None
     for phrase, label in BASE.items():
-        seq = phrase.encode().split()
-        if all(w in there for w in seq):
-            text, at = b" " + b" ".join(ws) + b" ", -1
-            want = b" " + phrase.encode() + b" "
-            while (at := text.find(want, at + 1)) >= 0:
-                out.append((text.count(b" ", 0, at), label))
+        if not there.issuperset(phrase.encode().split()):
+            continue
+        if starts is None:
+            text, starts = b" " + b" ".join(ws) + b" ", word_starts(ws)
+        at, want, places = -1, b" " + phrase.encode() + b" ", []
+        while (at := text.find(want, at + 1)) >= 0:
+            places.append(at)
+        out += [(k, label) for k in np.searchsorted(starts, places).tolist()]
     return sorted(out)
 
 
@@ -151,7 +325,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections; one row per input row.
 
     A null or empty text has no words, no places, empty label strings and score 0. ``detections`` lists
-    label:start:end of the rules' detections in words, comma-joined.
+    label:start:end of the rules' detections in words, comma-joined. Repeated rows repeat, a null doc_id is a row like
+    any other, other columns are not read, and the time of a text grows with its length, long or not.
     """
     tune(docs.sparkSession)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
