@@ -82,18 +82,11 @@ def test_jaccard_join(docs, n, percent):
     assert got == want
 
 
-def test_jaccard_join_in_blocks(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # read on the driver: buckets of more than four documents go in block pairs
-    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(docs, 4, 85).collect()}
-    monkeypatch.setattr(ngram_join, "BLOCK", 1024)
-    assert got == {r.doc_id: r.component_id for r in ngram_join.jaccard_join(docs, 4, 85).collect()}
-
-
 def test_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 62, 80, dtype=np.uint64)) for _ in range(60)]
     sets += [np.unique(np.r_[s[: len(s) - k], rng.integers(0, 1 << 62, k, dtype=np.uint64)]) for s in sets[:30] for k in (2, 9)]
-    pts, size = ngram_join.points([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+    pts, size = ngram_join.points([ngram_join.point(s) for s in sets], ngram_join.GROUPS), np.array([len(s) for s in sets])
     tree = ngram_join.Tree(pts, size, np.arange(len(sets)))
     found = {(int(a), int(b)) for q, p in tree.search(pts, size, np.arange(len(sets)), 80) for a, b in zip(q, p, strict=True)}
     for i, a in enumerate(sets):
@@ -173,8 +166,8 @@ def test_line_dedup(spark):
     got = Counter((r.doc_id, r.text or "") for r in out.collect())
     assert got == Counter(lines_truth(rows, 3))
     assert out.filter("doc_id = 50").first().text is None
-    report = {r.doc_id: r for r in line_dedup.line_report(df).collect()}
-    assert report[53].n_removed == 8 - 3 or report[53].n_removed == 7
+    report = Counter((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) for r in line_dedup.line_report(df).collect())
+    assert report == report_truth(rows, 3, 50)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -205,7 +198,28 @@ def test_line_dedup_of_long_passages(spark):
     assert drop[1] and drop[13] and drop[8] and not drop[3] and not drop[4] and not drop[12]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i]) for i, t in rows}
-    assert {r.doc_id: r.n_removed for r in line_dedup.line_report(df).collect()} == {i: len(d) for i, d in drop.items()}
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) for r in line_dedup.line_report(df).collect()) == report_truth(rows, 3, 50)
+
+
+def report_truth(rows, run, words):
+    """n_lines, n_removed, n_runs and the digest of the text left, of each row; a null id comes before all others."""
+    drop = passages_truth([(-1 if i is None else i, t) for i, t in rows], run, words)
+    out = Counter()
+    for i, t in rows:
+        gone, lines = drop[-1 if i is None else i], (t or "").split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        runs = sum(k in gone and (n == 0 or full[n - 1] not in gone) for n, k in enumerate(full))
+        out[i, len(full), len(gone), runs, hashlib.sha256("\n".join(x for k, x in enumerate(lines) if k not in gone).encode()).hexdigest()] += 1
+    return out
+
+
+def test_line_dedup_of_random_lines(spark):
+    """Many documents over few lines: windows that repeat inside and across documents, in every overlap."""
+    rng = random.Random(21)
+    lines = ["a", "b", "c", prose(rng, 30), prose(rng, 26), prose(rng, 55), ""]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) for r in line_dedup.line_report(df).collect()) == report_truth(rows, 3, 50)
 
 
 def quality_truth(text):
@@ -273,27 +287,70 @@ def test_bpe_equals_the_library(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (g.n_tokens, hashlib.sha256(" ".join(map(str, g.ids)).encode()).hexdigest(), hashlib.sha256(g.decoded.encode()).hexdigest())
 
 
-def test_transducer_emits_the_same_ids_in_constant_memory():
+def test_transducer_emits_the_same_ids_in_constant_memory(monkeypatch):
     b = bpe.WordBpe(bpe.read_spec(TOKENIZER))
     rng = random.Random(4)
-    for t in [*texts_for_bpe()[:60], prose(rng, 300)]:
-        s, out = bpe.StreamingEncoder(b), []
-        for i in range(0, len(t), 7):
-            out += s.feed(t[i : i + 7])
-        assert out + s.end() == b.encode_ids(t)
-    b.lookahead = 200  # far below the proven bound, and yet enough for this run
-    raw = "".join(rng.choice("etaoinshr") for _ in range(20_000)).encode()
-    s, out, most = bpe.PieceStream(b), [], 0
-    for i in range(0, len(raw), 100):
-        out += s.feed(raw[i : i + 100])
-        most = max(most, len(s.held))
-    whole = b.merge([b.inner[x] for x in raw[:-1]] + [b.final[raw[-1]]])
-    assert out + s.end() == whole and most <= 600
+    long = "".join(rng.choice(["don't", "x'", "re", "\u00e9", "e\u0301", "7", "!!'", "\t", "\u00a0", "\u0391\u03a3", "<|endoftext|>", "<|end", "\u3042", "\uac00\u11a8"]) for _ in range(4000))
+    monkeypatch.setattr(bpe, "HOLD", 40)
+    for t in [*texts_for_bpe()[:60], prose(rng, 300), long, "y" * 9000, "y" * 3000 + "'re!" * 900 + "z" * 3000, "a'" * 50 + "ll " + "b" * 90]:
+        for step in (1, 7, 64):
+            s, out, held = bpe.StreamingEncoder(b), [], 0
+            for i in range(0, len(t), step):
+                out += s.feed(t[i : i + step])
+                held = max(held, len(s.held), s.unbroken.held if s.unbroken else 0)
+            assert out + s.end() == b.encode_ids(t)
+            assert held < 8 * b.lookahead
     assert bpe.decode_text(b, b.encode_ids("Hello, wörld's end")) == "hello , wörld 's end"
     d = bpe.ByteTextDecoder()
     assert "".join(d.feed(bytes([x])) for x in "é\U0001f600".encode()) + d.end() == "é\U0001f600"
 
 
+def test_lookahead_is_sufficient():
+    """Pieces that begin alike have the same tokens up to the lookahead before the first difference, and no less holds for
+    a small merge list made to move far."""
+    b = bpe.WordBpe(bpe.read_spec(TOKENIZER))
+    assert 0 < b.lookahead < 2000
+    rng = random.Random(9)
+    common = [t.removesuffix(bpe.END) for t in list(b.vocab)[1000:20000] if t.isascii() and t.removesuffix(bpe.END).isalpha()]
+    worst = 0
+    for _ in range(400):
+        head = "".join(rng.choice(common) for _ in range(rng.randint(5, 30)))
+        ends = []
+        for _ in range(2):
+            raw = (head + rng.choice(["", *rng.sample(common, 3)])).encode()
+            ends.append([b.tokens[i] for i in b.merge([b.inner[x] for x in raw[:-1]] + [b.final[raw[-1]]])])
+        same = 0
+        for x, y in zip(*ends, strict=False):
+            if x != y:
+                break
+            same += len(x)
+        worst = max(worst, len(head) - same)
+    assert worst <= b.lookahead
+    merges = [["y", "z"], ["x", "y"], ["w", "xy"], ["v", "wxy"]]  # 'vwxy' + 'z': z takes y, and all before it falls apart
+    assert bpe.WordBpe._lookahead(b, merges) == 4
+    assert bpe.WordBpe._lookahead(b, [["a", "bc"], ["b", "c"]]) is None and bpe.WordBpe._lookahead(b, [["a", "b"], ["ab", "c"], ["b", "c"], ["a", "bc"]]) is None
+
+
+def test_stream_of_chunks(spark):
+    """Chunks of any size give the ids and the text of the whole."""
+    b = bpe.WordBpe(bpe.read_spec(TOKENIZER))
+    for t in [*texts_for_bpe()[:40], "y" * 3000, ""]:
+        for chunk in (3, 100, 1 << 16):
+            d, ids, text = bpe.StreamingDecoder(b), [], ""
+            for more in bpe.stream_ids(b, t, chunk):
+                ids += more
+                text += d.feed(more)
+            assert ids == b.encode_ids(t) and text + d.end() == b.decode(ids)
+
+
+def test_packed_ids_of_many_texts():
+    b = bpe.WordBpe(bpe.read_spec(TOKENIZER))
+    rng = random.Random(2)
+    texts = [*texts_for_bpe(), "", "a" * 16 + " " + "b" * 17, "aaaaaa aaa aa a", " ".join("".join(rng.choice("etaoinsrhé") for _ in range(rng.randint(1, 18))) for _ in range(3000))]
+    for t, raw in zip(texts, b.encode_packed(texts), strict=True):
+        assert np.frombuffer(raw, np.uint32).tolist() == b.encode_ids(t)
+
+
 def test_license_scan(docs, spark):
     text = "Licensed under the Apache License, Version 2.0. GNU General Public License v3 or later; MIT license, cc-by 4.0\nSPDX-License-Identifier: MIT"
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, text), (901, "apache  LICENSE apache license")], "doc_id long, text string"))
@@ -305,7 +362,65 @@ def test_license_scan(docs, spark):
         assert got[i].n_words == len(W_ALNUM.findall(lower(t)))
     spans = licenses.detect(decontamination.words("the gnu lesser general public license version 2.1 or later"), licenses.signature_rules())
     assert [s[3] for s in spans] == ["lgpl-2.1-or-later"]
-    assert len(licenses.signature_rules()) > 300
+    assert len({(r.keyword, r.pattern.pattern) for r in licenses.signature_rules()}) > 500
+
+
+LICENSE_TEXTS = {
+    "GPLv3": "gpl-3.0", "under LGPLv2.1 here": "lgpl-2.1", "Apache-2.0": "apache-2.0", "Creative Commons Zero 1.0": "cc0-1.0", "CC0": "cc0", "see http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0", "GPL-2.0-or-later": "gpl-2.0-or-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3.0-or-later",
+}
+
+
+@pytest.mark.parametrize("text", LICENSE_TEXTS)
+def test_license_signatures(text):
+    """Bodies, notices, addresses and short ids; what lies inside a stronger detection is not reported."""
+    found = licenses.detect(decontamination.words("some words " + text + " and more"), licenses.signature_rules())
+    assert [d[3] for d in found] == [LICENSE_TEXTS[text]]
+
+
+def test_every_rule_can_match():
+    """The keyword of each body is a word that whatever matches it holds."""
+    for label, keyword, body in licenses.BODIES:
+        fixed = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?]?(?:\{[0-9,]+\})?", " ", body)
+        for way in fixed.split("|"):
+            assert keyword in re.findall(r"[a-z0-9]+", re.sub(r"[a-z][?]", "", way)), label
+
+
+def test_license_base_and_containment(spark):
+    """All base columns against brute force over random words, repeats and a clashing column; the time is linear."""
+    rng = random.Random(12)
+    pool = ["MIT", "license", "apache", "License", "gnu", "general", "public", "CC", "by", "x1", "é", "cc-by"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(3, "mit license"), (3, "mit license"), (None, "gnu general public license"), (900, None)]
+    got = Counter(tuple(r)[:6] for r in licenses.license_scan(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")).collect())
+    want = Counter()
+    for i, t in rows:
+        w = W_ALNUM.findall(lower(t))
+        places = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in places]
+        want[i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    assert got == want
+    rules = licenses.signature_rules()
+    for _ in range(60):
+        ws = [x.encode() for x in (rng.choice(["gpl", "v3", "3", "0", "or", "later", "gnu", "general", "public", "license", "version", "apache", "2", "mit", "x"]) for _ in range(80))]
+        found = []
+        for r in rules:
+            if r.keyword in ws:
+                for m in r.pattern.finditer(b" ".join(ws)):
+                    start = b" ".join(ws).count(b" ", 0, m.start())
+                    found.append((start, start + m[0].count(b" ") + 1, r.priority, r.label))
+        found.sort(key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
+        kept = []
+        for d in found:
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert licenses.detect(ws, rules) == sorted(kept)
+    import time
+
+    began = time.process_time()
+    assert len(licenses.detect([b"mit", b"license"] * 40_000, rules)) == 40_000
+    assert time.process_time() - began < 5
 
 
 PII_TEXTS = [
@@ -331,7 +446,7 @@ def test_pii_base(spark):
         want = pii_truth(t)
         said = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
-        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
         assert set(filter(None, said.split(","))) <= set(got[i].spans.split(","))
     assert got[100].spans == "" and got[100].n_email == 0
     assert pii.personal_data(df.limit(0)).count() == 0
@@ -351,14 +466,30 @@ def test_skip_edges_carry_evidence():
     assert by_text["999"].max() < 0.3
 
 
-def test_field_learns_weak_labels(spark):
-    rng = random.Random(6)
-    rows = [(i, f"{prose(rng, 20)} u{i}@mail{i % 7}.org {prose(rng, 5)} {rng.randrange(256)}.1.2.{rng.randrange(256)} and {i} of {i + 1}") for i in range(300)]
-    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
-    held = [f"{prose(rng, 9)} x{i}@host.net then {i}.2.3.4 no {i}" for i in range(50)]
-    nodes = pii.Nodes(held, [pii.base_spans(t) for t in held])
-    truth, nodes.label = nodes.label, np.zeros_like(nodes.label)
-    assert (pii.marginals(nodes, model).argmax(axis=1) == truth).mean() > 0.9
+def test_field_on_held_out_texts():
+    """Precision and recall of the spans that the base patterns do not give, on made texts of another seed."""
+    model, rng, hit, said, there = pii.fit(), random.Random(99), 0, 0, 0
+    for _ in range(300):
+        text, truth = pii.made_text(rng)
+        base = pii.base_spans(text)
+        nodes = pii.Nodes([text], [base])
+        got = set(pii.added_spans(nodes, pii.marginals(nodes, model), [text])[0])
+        want = {(k, *x) for k, xs in truth.items() for x in xs if x not in base.get(k, ())}
+        hit, said, there = hit + len(got & want), said + len(got), there + len(want)
+    assert there > 200 and hit / said > 0.95 and hit / there > 0.9
+
+
+def test_field_adds_repeated_numbers_and_secrets(spark):
+    key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    text = f"tel. 0301 5550123, born 12.4.1987, pays $12.50 for order no 123456; token = \"{key}\" " + "word " * 300 + f"again 0301 5550123 and {key}."
+    rows = [(1, text, "x"), (1, text, "x"), (None, "tel. (030) 5550-1234", "x"), (2, "version 1.2, page 12 of 300 in 1999", "x"), (3, "1." + "0" * 5000 + ".2.3 " + "7" * 5000, "x"), (4, "a@b.cc " * 3000, "x")]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    one = [r.spans.split(",") for r in got if r.doc_id == 1]
+    assert len(one) == 2 and one[0] == one[1]
+    words = [(k, text[int(s) : int(e)]) for k, s, e in (x.split(":") for x in one[0])]
+    assert words == [("phone", "0301 5550123"), ("phone", "0301 5550123"), ("secret", key), ("secret", key)]
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[None].spans.startswith("phone:") and by_id[2].spans == "" and by_id[3].n_ip == 1 and by_id[4].n_email == 3000
 
 
 def test_huffman_codes():
@@ -383,17 +514,33 @@ def test_blocks_round_trip():
     assert [d for d, _ in back] == [d for d, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(docs, back, strict=True))
 
 
-def test_token_output(spark, monkeypatch):
-    monkeypatch.setattr(token_output, "RANGE_CHARS", 2000)
-    rng = random.Random(8)
-    rows = [(i * 3, prose(rng, rng.randint(0, 60))) for i in range(80)] + [(500, None), (501, ""), (502, "x<|endoftext|>")]
+@pytest.mark.parametrize("chars", [500, 2000, 1 << 22])
+def test_token_output(spark, monkeypatch, chars):
+    """Against the library: null, smallest and repeated ids, one id with a third of the text, a long text, a clashing column."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "RANGE_CHARS", chars)  # read on the driver
+    rng, lib = random.Random(8), Tokenizer.from_file(TOKENIZER)
+    lib.no_truncation()
+    rows = [(i * 3, prose(rng, rng.randint(0, 60))) for i in range(80)] + [(500, None), (501, ""), (502, "x<|endoftext|>"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    rows += [(None, prose(rng, 20)) for _ in range(30)] + [(77, prose(rng, 30)) for _ in range(40)] + [(78, "same")] * 50 + [(600, prose(rng, 30_000)), *zip(range(700, 760), texts_for_bpe(), strict=False)]
     rng.shuffle(rows)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), TOKENIZER).collect()}
-    b, at = bpe.WordBpe(bpe.read_spec(TOKENIZER)), 0
-    for i, t in sorted(rows):
-        ids = [*b.encode_ids(t or ""), 2]
-        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, part string").repartition(5)
+    got = token_output.token_output(df, TOKENIZER).collect()
+    want = Counter()
+    for i, t in rows:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    at, got = 0, sorted(got, key=lambda r: r.start)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+
+
+def test_token_output_of_nothing(spark):
     assert token_output.token_output(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
 
