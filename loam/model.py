@@ -15,13 +15,29 @@ CITATION_SOURCES = ["literature_api", "parsed_bib", "manual"]
 LEGACY_TYPES = ["extends", "supersedes"]
 LEGACY_PAPER_PAPER = ["extends", "supersedes", "inspired_by", "contradicts", "supports"]
 LEGACY_PAPER_CONCEPT = ["supports", "extends"]
-PAPER_PAPER_SYMMETRIC = ["same_problem_as", "similar_method_to", "complementary_to"]
-PAPER_PAPER_DIRECTED = ["builds_on", "compares_against", "improves_on", "challenges", "surveys"]
-PAPER_CONCEPT = ["introduces_concept", "uses_concept", "extends_concept", "critiques_concept"]
-WORKFLOW_TYPES = {
-    "supports": "claim_evidence", "contradicts": "claim_evidence", "tested_by": "experiment", "invalidates": "experiment",
-    "addresses_gap": "idea", "derived_from": "provenance", "inspired_by": "idea",
-}
+#: type, from_kind, to_kind, direction, confidence, workflow
+EDGE_TYPES = [
+    ("same_problem_as", "papers", "papers", "symmetric", "required", "ingest"),
+    ("similar_method_to", "papers", "papers", "symmetric", "required", "ingest"),
+    ("complementary_to", "papers", "papers", "symmetric", "required", "ingest"),
+    ("builds_on", "papers", "papers", "directed", "required", "ingest"),
+    ("compares_against", "papers", "papers", "directed", "required", "ingest"),
+    ("improves_on", "papers", "papers", "directed", "required", "ingest"),
+    ("challenges", "papers", "papers", "directed", "required", "ingest"),
+    ("surveys", "papers", "papers", "directed", "required", "ingest"),
+    ("introduces_concept", "papers", "concepts", "directed", "required", "ingest"),
+    ("uses_concept", "papers", "concepts", "directed", "required", "ingest"),
+    ("extends_concept", "papers", "concepts", "directed", "required", "ingest"),
+    ("critiques_concept", "papers", "concepts", "directed", "required", "ingest"),
+    ("supports", "*", "*", "directed", "none", "claim_evidence"),
+    ("contradicts", "*", "*", "directed", "none", "claim_evidence"),
+    ("tested_by", "*", "*", "directed", "none", "experiment"),
+    ("invalidates", "*", "*", "directed", "none", "experiment"),
+    ("addresses_gap", "*", "*", "directed", "none", "idea"),
+    ("derived_from", "*", "*", "directed", "none", "provenance"),
+    ("inspired_by", "*", "*", "directed", "none", "idea"),
+]
+SYMMETRIC_TYPES = [row[0] for row in EDGE_TYPES if row[3] == "symmetric"]
 REQUIRED_FIELDS = {
     "papers": ["title", "slug", "paper_type", "tags", "research_modes", "research_object_tags", "importance"],
     "concepts": ["title", "tags", "maturity", "key_papers"],
@@ -83,11 +99,7 @@ PAGE_SCHEMA = "kind string, slug string, path string, header string, body string
 
 def edge_types_table(spark: SparkSession) -> DataFrame:
     """type, from_kind, to_kind, direction, confidence, workflow: one row for each of the registered edge types."""
-    rows = [(t, "papers", "papers", "symmetric", "required", "ingest") for t in PAPER_PAPER_SYMMETRIC]
-    rows += [(t, "papers", "papers", "directed", "required", "ingest") for t in PAPER_PAPER_DIRECTED]
-    rows += [(t, "papers", "concepts", "directed", "required", "ingest") for t in PAPER_CONCEPT]
-    rows += [(t, "*", "*", "directed", "none", w) for t, w in WORKFLOW_TYPES.items()]
-    return spark.createDataFrame(rows, "type string, from_kind string, to_kind string, direction string, confidence string, workflow string")
+    return spark.createDataFrame(EDGE_TYPES, "type string, from_kind string, to_kind string, direction string, confidence string, workflow string")
 
 
 def edge_types_matching(spark: SparkSession, **wanted: str | None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,52 +41,73 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, types: list[st
     return found
 
 
-def descendants(spark: SparkSession, tree: DataFrame, root: DataFrame, most_depth: int = 50) -> DataFrame:
-    """id, depth of everything below the roots. ``tree``: id, parent. A cycle ends a branch; so does ``most_depth``."""
-    tree.createOrReplaceTempView("_loam_tree")
-    root.createOrReplaceTempView("_loam_root")
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, depth, path) AS (
-          SELECT id, 0, array(id) FROM _loam_root
-          UNION ALL
-          SELECT t.id, d.depth + 1, array_append(d.path, t.id) FROM _loam_tree t JOIN down d ON t.parent = d.id
-          WHERE d.depth < {int(most_depth)} AND NOT array_contains(d.path, t.id)
-        ) SELECT id, min(depth) AS depth FROM down WHERE depth > 0 GROUP BY id""")
+def descendants(spark: SparkSession, tree: DataFrame, root: DataFrame, levels: int = 8) -> DataFrame:
+    """id, depth of everything below the roots, at its least depth; the roots are not below themselves. ``tree``: id, parent.
+
+    Level by level until nothing new is reached, so any depth; a row that is known ends a cycle. ``levels`` of them are
+    one job.
+    """
+    steps = tree.select("id", F.col("parent").alias("_up")).distinct()
+    known = root.select("id", F.lit(0).alias("depth")).distinct()
+    frontier, at = known, 0
+    while not frontier.isEmpty():
+        found = []
+        for _ in range(levels):
+            at += 1
+            frontier = steps.join(frontier.select(F.col("id").alias("_up")), "_up").select("id", F.lit(at).alias("depth")).distinct()
+            found.append(frontier)
+        reached = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("depth").alias("depth")).join(known.select("id"), "id", "left_anti").checkpoint()
+        known = known.unionByName(reached)
+        frontier = reached.filter(F.col("depth") == at)
+    return known.filter("depth > 0")
+
+
+def _climbed(tree: DataFrame, value: Column) -> DataFrame:
+    """id, path (the ``value`` of each row from the root down to the row), cyclic (the way up never ends).
+
+    Each round joins every row to where its way up has come so far, so ways double and depth n takes log2(n) rounds.
+    """
+    ways = tree.select("id", F.col("parent").alias("_at"), F.array(value).alias("path")).checkpoint()
+    rounds = max(1, ways.count()).bit_length()
+    for _ in range(rounds + 1):
+        if ways.filter("_at is not null").isEmpty():
+            break
+        above = ways.select(F.col("id").alias("_at"), F.col("_at").alias("_next"), F.col("path").alias("_path"))
+        on = ways.join(above, "_at", "left")
+        # a parent that is not there ends the way like a root
+        ways = on.select("id", F.col("_next").alias("_at"), F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path")).checkpoint()
+    return ways.select("id", "path", F.col("_at").isNotNull().alias("cyclic"))
 
 
-def root_paths(spark: SparkSession, tree: DataFrame, most_depth: int = 50) -> DataFrame:
-    """id, path (names from the root down to the row). ``tree``: id, parent, name."""
-    tree.createOrReplaceTempView("_loam_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, depth, path) AS (
-          SELECT id, 0, array(name) FROM _loam_tree WHERE parent IS NULL
-          UNION ALL
-          SELECT t.id, u.depth + 1, array_append(u.path, t.name) FROM _loam_tree t JOIN up u ON t.parent = u.id WHERE u.depth < {int(most_depth)}
-        ) SELECT id, path FROM up""")
+def root_paths(spark: SparkSession, tree: DataFrame) -> DataFrame:
+    """id, path (names from the root down to the row), at any depth. ``tree``: id, parent, name. Rows without a way to a
+    root (below a cycle, or below a parent that is not there) have no path and are absent."""
+    there = tree.select(F.col("id").alias("parent")).distinct().withColumn("_there", F.lit(True))
+    rooted = tree.join(there, "parent", "left").withColumn("name", F.struct("name", (F.col("parent").isNotNull() & F.col("_there").isNull()).alias("lost")))
+    climbed = _climbed(rooted.select("id", "parent", "name"), F.col("name")).filter(~F.col("cyclic") & ~F.exists("path", lambda x: x["lost"]))
+    return climbed.select("id", F.transform("path", lambda x: x["name"]).alias("path"))
 
 
 def path_suffix(paths: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows whose path ends with the wanted names, with ``matches`` (1 is a find, more is ambiguous)."""
     n = len(wanted)
     hit = paths.filter((F.size("path") >= n) & (F.slice("path", -n, n) == F.array(*[F.lit(w) for w in wanted])))
-    return hit.withColumn("matches", F.lit(hit.count()))
+    return hit.crossJoin(F.broadcast(hit.agg(F.count(F.lit(1)).cast("int").alias("matches"))))  # one row: the count
 
 
 def tree_order(spark: SparkSession, tree: DataFrame) -> DataFrame:
-    """Depth-first order of a tree, siblings by (name, id); rows whose parent is missing are roots marked as orphans.
+    """Depth-first order of a tree of any depth, siblings by (name, id); rows whose parent is missing are roots marked as
+    orphans; rows of a cycle or below one come last, marked ``cyclic``, by (name, id).
 
-    Adds ``depth``, ``orphan`` and ``place`` (sort key).
+    Adds ``depth`` (null if cyclic), ``orphan``, ``cyclic`` and ``place`` (sort key).
     """
     ids = tree.select(F.col("id").alias("parent")).distinct().withColumn("_there", F.lit(True))
     marked = tree.join(ids, "parent", "left").withColumn("orphan", F.col("parent").isNotNull() & F.col("_there").isNull()).drop("_there")
-    marked.createOrReplaceTempView("_loam_tree")
-    walked = spark.sql("""
-        WITH RECURSIVE walk(id, depth, place) AS (
-          SELECT id, 0, array(struct(orphan, name, id)) FROM _loam_tree WHERE parent IS NULL OR orphan
-          UNION ALL
-          SELECT t.id, w.depth + 1, array_append(w.place, struct(t.orphan, t.name, t.id)) FROM _loam_tree t JOIN walk w ON t.parent = w.id WHERE NOT t.orphan AND w.depth < 60
-        ) SELECT * FROM walk""")
-    return marked.join(walked, "id").orderBy("place")
+    own = F.struct(F.lit(False).alias("cyclic"), "orphan", "name", "id")
+    climbed = _climbed(marked.withColumn("parent", F.when(~F.col("orphan"), F.col("parent"))), own)
+    last = F.struct(F.lit(True).alias("cyclic"), "orphan", "name", "id")
+    out = marked.join(climbed, "id").withColumn("place", F.when(F.col("cyclic"), F.array(last)).otherwise(F.col("path")))
+    return out.withColumn("depth", F.when(~F.col("cyclic"), F.size("path") - 1)).drop("path").orderBy("place")
 
 
 def canonical(edges: DataFrame, symmetric: Column) -> DataFrame:
@@ -96,14 +119,14 @@ def canonical(edges: DataFrame, symmetric: Column) -> DataFrame:
     }).withColumns({"from_id": F.col("_a"), "to_id": F.col("_b"), "symmetric": F.when(symmetric, F.lit(True))}).drop("_a", "_b")
 
 
-def leaf_first(tree: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, round: order in which rows can be removed, leaves first; rows of a cycle never come and are absent."""
-    left, out = tree.select("id", "parent").checkpoint(), None
-    for i in range(most_rounds):
+def leaf_first(tree: DataFrame) -> DataFrame:
+    """id, round: order in which rows can be removed, leaves first, at any depth; rows of a cycle never come and are absent."""
+    left, out, i = tree.select("id", "parent").checkpoint(), None, 0
+    while True:
         parents = left.select(F.col("parent").alias("id")).filter("id is not null").distinct()
         leaves = left.join(parents, "id", "left_anti").select("id", F.lit(i).alias("round")).checkpoint()
         if leaves.isEmpty():
             break
         out = leaves if out is None else out.unionByName(leaves)
-        left = left.join(leaves, "id", "left_anti").checkpoint()
+        left, i = left.join(leaves, "id", "left_anti").checkpoint(), i + 1
     return out if out is not None else left.select("id", F.lit(0).alias("round")).limit(0)

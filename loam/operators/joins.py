@@ -34,20 +34,66 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return a.join(b, "token").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("common"))
 
 
+def jaccard_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
+    """left_id, right_id of all pairs whose token sets can reach a Jaccard of ``least``, and few others.
+
+    Such pairs share one of the rarest n - ceil(least n) + 1 tokens of either side, so only those meet, and a frequent
+    token pairs nothing unless a set has no rarer ones.
+    """
+    both = left.select(F.explode(F.array_distinct(left_tokens)).alias("token")).unionByName(right.select(F.explode(F.array_distinct(right_tokens)).alias("token")))
+    often = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(df: DataFrame, key: str, tokens: str) -> DataFrame:
+        long = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(often, "token")
+        own = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
+        return own.select(key, F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least).cast("int") + 1)).alias("x")).select(key, "x.token")
+
+    return rarest(left, left_id, left_tokens).join(rarest(right, right_id, right_tokens), "token").select(left_id, right_id).distinct()
+
+
+def containment_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str) -> DataFrame:
+    """left_id, right_id of all pairs of which one text, of two words or more, can stand inside the other, mid-word too.
+
+    Where it stands, its first gap stands on a gap: up to four letters before and after it are the key of the shorter
+    text, and the longer one offers all such keys of all its gaps.
+    """
+    most = 4
+
+    def first_gap(df: DataFrame, key: str, text: str) -> DataFrame:
+        w = F.split(text, " ")
+        return df.filter(F.size(w) >= 2).select(key, F.concat_ws(" ", F.right(w[0], F.lit(most)), F.left(w[1], F.lit(most)), F.least(F.length(w[0]), F.lit(most)), F.least(F.length(w[1]), F.lit(most))).alias("gap"))
+
+    def gaps(df: DataFrame, key: str, text: str) -> DataFrame:
+        w = df.withColumn("_w", F.split(text, " ")).filter(F.size("_w") >= 2)
+        pairs = w.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b")))).alias("x")).select(key, "x.*")
+        sizes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, most + 1) for j in range(1, most + 1)])
+        cut = pairs.withColumn("s", F.explode(sizes)).filter((F.length("a") >= F.col("s.i")) & (F.length("b") >= F.col("s.j")))
+        return cut.select(key, F.concat_ws(" ", F.right("a", F.col("s.i")), F.left("b", F.col("s.j")), "s.i", "s.j").alias("gap"))
+
+    inside = first_gap(left, left_id, left_text).join(gaps(right, right_id, right_text), "gap").select(left_id, right_id)
+    around = first_gap(right, right_id, right_text).join(gaps(left, left_id, left_text), "gap").select(left_id, right_id)
+    return inside.unionByName(around).distinct()
+
+
 def similar_names(candidates: DataFrame, entities: DataFrame, least: float = 0.40) -> DataFrame:
-    """name, entity, score of every pair that reaches ``least``.
+    """name, entity, label, _ord, score of every pair that reaches ``least`` (at least .40, below which no score lies).
 
-    Equal names and Jaccard need a common token, containment a common word of two-word phrases, so the pairs come from
-    an equality join on words (a pair whose texts contain each other mid-word, without a common word, is not looked for).
-    Columns: candidates name; entities entity, label, _ord.
+    Equal texts, containment (of two words and more, mid-word too) and Jaccard each have a join of their own that loses
+    no pair; the score is made on those pairs only. Columns: candidates name; entities entity, label, _ord.
     """
-    a = candidates.select("name", X.normalize_text("name").alias("na"), X.content_tokens("name").alias("ta")).withColumn("wa", X.words("na"))
-    b = entities.select("entity", "label", "_ord", X.normalize_text("label").alias("nb"), X.content_tokens("label").alias("tb")).withColumn("wb", X.words("nb"))
-    pairs = overlap_join(a.select("name", "wa").distinct(), b.select("_ord", "wb"), "name", "_ord", "wa", "wb").select("name", "_ord")
+    a = candidates.select("name", X.normalize_text("name").alias("na"), X.content_tokens("name").alias("ta"))
+    b = entities.select("entity", "label", "_ord", X.normalize_text("label").alias("nb"), X.content_tokens("label").alias("tb"))
+    pairs = a.join(b, a["na"] == b["nb"]).select("name", "_ord")
+    pairs = pairs.unionByName(jaccard_candidates(a, b, "name", "_ord", "ta", "tb", 0.4)).unionByName(containment_candidates(a, b, "name", "_ord", "na", "nb")).distinct()
     joined = pairs.join(a, "name").join(b, "_ord")
     return joined.withColumn("score", scoring.phrase_score(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"))).filter(F.col("score") >= least).select("name", "entity", "label", "_ord", "score")
 
 
+def best_similar_name(candidates: DataFrame, entities: DataFrame, least: float = 0.40) -> DataFrame:
+    """name, entity, label, score: for each name and entity the best of the entity's labels (the first among equals)."""
+    return similar_names(candidates, entities, least).groupBy("name", "entity").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("_ord"))).alias("x")).select("name", "entity", "x.*")
+
+
 def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, levels: list[tuple[str, Column, Column, bool]]) -> DataFrame:
     """Match by levels, the first that decides wins. A level: name, left key, right key, whether several hits end the cascade.
 

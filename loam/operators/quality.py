@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import markdown
 from ..functions import text as X
 from . import predicates, windows
 
@@ -125,25 +126,31 @@ def evidence_coverage(required: DataFrame, available: DataFrame) -> DataFrame:
     return both.select("page", "label", gap.alias("missing")).filter("missing > 0")
 
 
-def text_findings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Source screening by expressions: key, rule, severity, n (places). Math balance and masks are in ``udfs``."""
-    t = F.col(text)
-    rules = [
-        ("empty-source", "red", F.when(F.trim(F.coalesce(t, F.lit(""))) == "", 1).otherwise(0)),
-        ("missing-character", "red", F.regexp_count(t, F.lit(r"\?{2,}|\x{fffd}"))),
-        ("control-character", "red", F.regexp_count(t, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))),
-        ("suspicious-word", "warn", F.size(F.filter(F.regexp_extract_all(t, F.lit(r"\b[a-z][A-Za-z]{11,}\b"), F.lit(0)), lambda w: F.size(F.regexp_extract_all(w, F.lit(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])"), F.lit(0))) >= 4))),
-        ("abstract-not-located", "info", F.when(t.rlike(r"(?im)^(#{1,6}\s+)?\**abstract\**:?\s*$"), 0).otherwise(1)),
-        ("math-delimiter", "warn", F.when(F.regexp_count(t, F.lit(r"(?<!\\)\$\$")) % 2 == 1, 1).otherwise(0)),
-    ]
-    found = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for r, s, n in rules])
-    return df.select(key, F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(key, "x.*")
+def text_findings(df: DataFrame, key: str, text: str, files: str | None = None) -> DataFrame:
+    """Source screening: key, rule, severity, scope, line, column of all findings of all sixteen rules, on text whose code,
+    comments, link targets and header are masked. ``files``: column with the image files that exist, if known."""
+    there = F.col(files) if files else F.lit(None).cast("array<string>")
+    return df.select(key, F.explode(markdown.screen(F.col(text), there)).alias("x")).select(key, "x.*")
+
+
+def counted_findings(findings: DataFrame, key: str) -> DataFrame:
+    """key, rule, severity, scope, n (places)."""
+    return findings.groupBy(key, "rule", "severity", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordered_findings(findings: DataFrame, key: str) -> DataFrame:
+    """Findings in reading order: by file, line, column, rule."""
+    return findings.orderBy(key, "line", "column", "rule")
 
 
-def scan_status(findings: DataFrame, key: str) -> DataFrame:
-    """Blocked by a red finding of the whole document, else to be reviewed."""
-    doc_red = F.count_if((F.col("severity") == "red") & F.col("rule").isin("empty-source", "frontmatter-invalid"))
-    return findings.groupBy(key).agg(F.when(doc_red > 0, "blocked").otherwise("review_required").alias("status"), F.sum("n").alias("n"))
+def scan_status(findings: DataFrame, key: str, all_keys: DataFrame | None = None) -> DataFrame:
+    """key, status, n: blocked by a red finding of the whole document, else to be reviewed; with ``all_keys`` also the
+    texts without any finding."""
+    doc_red = F.count_if((F.col("severity") == "red") & (F.col("scope") == "document"))
+    out = findings.groupBy(key).agg(F.when(doc_red > 0, "blocked").otherwise("review_required").alias("status"), F.count(F.lit(1)).alias("n"))
+    if all_keys is None:
+        return out
+    return all_keys.select(key).distinct().join(out, key, "left").select(key, F.coalesce("status", F.lit("no_findings")).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def repeated_paragraphs(df: DataFrame, key: str, text: str, least: int = 180) -> DataFrame:

@@ -24,10 +24,16 @@ def swap(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     new, old, at = P(f"{path}.new-{tag}"), P(f"{path}.old-{tag}"), P(path)
     df.write.format(fmt).save(new.toString())
     fs = at.getFileSystem(conf)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        fs.delete(new, True)
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, at):
+        if had and not fs.rename(old, at):
+            raise OSError(f"the old table is at {old.toString()}, the new one at {new.toString()}")
+        raise OSError(f"cannot move the new table to {path}; the old one stays")
+    if had:
+        fs.delete(old, True)
 
 
 def insert_edges(edges: DataFrame, rows: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,13 +173,16 @@ def save_checkpoint(state: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[bool, DataFrame | None]:
-    """(exists, state); an unreadable table counts as absent."""
-    try:
-        df = spark.read.parquet(path)
-        df.limit(1).count()
-        return True, df
-    except Exception:  # noqa: BLE001
+    """(exists, state). A folder that is not there is absent; one that cannot be read raises, so no work is lost by
+    starting over on top of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return False, None
+    df = spark.read.parquet(path)
+    df.limit(1).count()
+    if not {"task", "item", "status"} <= set(df.columns):
+        raise ValueError(f"{path} is no checkpoint: {df.columns}")
+    return True, df
 
 
 def upsert_membership(have: DataFrame, wanted: DataFrame, most_rows: int = 2000, most_keys: int = 32) -> tuple[DataFrame, DataFrame]:

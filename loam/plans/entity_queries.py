@@ -84,7 +84,7 @@ def degree_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def line_edges(spark: SparkSession, d: str) -> DataFrame:
     """Lines as edges of a small graph with all registered types, some of them wrong on purpose."""
-    types = [*model.PAPER_PAPER_SYMMETRIC, "builds_on", "uses_concept", "supports", "extends", "nonsense"]
+    types = [*model.SYMMETRIC_TYPES, "builds_on", "uses_concept", "supports", "extends", "nonsense"]
     t = F.get(F.array(*map(F.lit, types)), (F.col("l_partkey") % len(types)).cast("int"))
     to = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("concepts/n"), F.col("l_suppkey") % 40)).otherwise(F.concat(F.lit("papers/n"), F.col("l_suppkey") % 40))
     return table(spark, d, "lineitem").select(
@@ -109,7 +109,7 @@ _EDGES_SQL = """e AS (
            type, min(ord) AS first_ord FROM k GROUP BY ALL""")
 def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = line_edges(spark, d)
-    sym = F.col("type").isin(model.PAPER_PAPER_SYMMETRIC)
+    sym = F.col("type").isin(model.SYMMETRIC_TYPES)
     return K.dedup_edges(e, sym).select("from_id", "to_id", "type", F.col("_ord").alias("first_ord"))
 
 
@@ -242,19 +242,10 @@ def catalog_union(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("""WITH l AS (SELECT DISTINCT p_brand AS topic, unnest([lower(p_type), p_name]) AS w0 FROM part WHERE p_size = 1), lt AS (SELECT DISTINCT topic, unnest(string_split(w0, ' ')) AS w FROM l),
-          r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 300)
-          SELECT topic, p_partkey, count(*) AS common FROM lt JOIN r USING (w) GROUP BY ALL""")
-def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """The first parts only, as its SQL has it; ``topic_overlap_all`` is the whole job."""
-    p = table(spark, d, "part")
-    return J.overlap_join(_topics(p), p.filter("p_partkey < 300").withColumn("pt", X.words("p_name")), "topic", "p_partkey", "tt", "pt")
-
-
 @query("""WITH l AS (SELECT DISTINCT p_brand AS topic, unnest([lower(p_type), p_name]) AS w0 FROM part WHERE p_size = 1), lt AS (SELECT DISTINCT topic, unnest(string_split(w0, ' ')) AS w FROM l),
           r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
           SELECT topic, p_partkey, count(*) AS common FROM lt JOIN r USING (w) GROUP BY ALL""")
-def topic_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+def topic_overlap(spark: SparkSession, d: str) -> DataFrame:
     """All parts: each name is held against the topics once, and its parts take the result."""
     p = table(spark, d, "part")
     names = p.select("p_name").distinct().withColumn("pt", X.words("p_name"))
@@ -269,25 +260,13 @@ _PHRASE = """CASE WHEN na = nb THEN 1.0 WHEN (contains(nb, na) OR contains(na, n
   WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE j END"""
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, p_name AS na FROM part WHERE p_partkey < 20), e AS (SELECT s_suppkey AS ord, (SELECT p_name FROM part WHERE p_partkey = s_suppkey % 200) || ' ' || lower(s_name) AS label FROM supplier),
-  e2 AS (SELECT *, trim(regexp_replace(regexp_replace(label, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS nb FROM e),
-  t AS (SELECT *, list_filter(string_split(na, ' '), lambda x: length(x) >= 3) AS ta, list_distinct(list_filter(string_split(nb, ' '), lambda x: length(x) >= 3)) AS tb FROM n, e2),
-  s AS (SELECT *, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS j0 FROM t),
-  f AS (SELECT *, CASE WHEN j0 >= 0.7 THEN j0 WHEN j0 >= 0.4 THEN 0.4 + (j0 - 0.4) * 0.5 ELSE 0.0 END AS j FROM s)
-  SELECT name, ord, round_even(({_PHRASE})::DOUBLE, 6) AS score FROM f WHERE ({_PHRASE}) >= 0.4""")
-def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of the first parts only, as its SQL has it; ``similar_names_all`` is the whole job."""
-    p = table(spark, d, "part")
-    return _similar_names(p.filter("p_partkey < 20"), p, table(spark, d, "supplier"))
-
-
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS name, p_name AS na FROM part), e AS (SELECT s_suppkey AS ord, (SELECT p_name FROM part WHERE p_partkey = s_suppkey % 200) || ' ' || lower(s_name) AS label FROM supplier),
   e2 AS (SELECT *, trim(regexp_replace(regexp_replace(label, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS nb FROM e),
   t AS (SELECT *, list_filter(string_split(na, ' '), lambda x: length(x) >= 3) AS ta, list_distinct(list_filter(string_split(nb, ' '), lambda x: length(x) >= 3)) AS tb FROM n, e2),
   s AS (SELECT *, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS j0 FROM t),
   f AS (SELECT *, CASE WHEN j0 >= 0.7 THEN j0 WHEN j0 >= 0.4 THEN 0.4 + (j0 - 0.4) * 0.5 ELSE 0.0 END AS j FROM s)
   SELECT name, ord, round_even(({_PHRASE})::DOUBLE, 6) AS score FROM f WHERE ({_PHRASE}) >= 0.4""")
-def similar_names_all(spark: SparkSession, d: str) -> DataFrame:
+def similar_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     return _similar_names(p, p, table(spark, d, "supplier"))
 
@@ -379,16 +358,9 @@ def log_buckets(spark: SparkSession, d: str) -> DataFrame:
     return A.counts_by(K.log_rows(m), "period", "skill")
 
 
-@query("""WITH f(field, fix) AS (VALUES ('k', false), ('status', true), ('tags', true)) SELECT event_id, 'Missing required field: ' || field AS message, fix AS fixable FROM events, f
-          WHERE NOT list_contains(json_keys(props), field) AND event_id < 500""")
-def missing_fields(spark: SparkSession, d: str) -> DataFrame:
-    """The first events only, as its SQL has it; ``missing_fields_all`` is the whole job."""
-    return _missing_fields(spark, table(spark, d, "events").filter("event_id < 500"))
-
-
 @query("""WITH f(field, fix) AS (VALUES ('k', false), ('status', true), ('tags', true)) SELECT event_id, 'Missing required field: ' || field AS message, fix AS fixable FROM events, f
           WHERE NOT list_contains(json_keys(props), field)""")
-def missing_fields_all(spark: SparkSession, d: str) -> DataFrame:
+def missing_fields(spark: SparkSession, d: str) -> DataFrame:
     return _missing_fields(spark, table(spark, d, "events"))
 
 
@@ -439,17 +411,9 @@ def library_status(spark: SparkSession, d: str) -> DataFrame:
     return J.library_status(o, lib).select("o_orderkey", "status")
 
 
-@query("""WITH w AS (SELECT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders), h AS (SELECT DISTINCT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders WHERE o_orderstatus = 'F')
-  SELECT item, count(DISTINCT c) - count(DISTINCT c) FILTER ((item, c) IN (SELECT item, c FROM h)) AS added, added > 0 AS changed FROM w WHERE item < 900 GROUP BY item""")
-def membership_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The first customers only, as its SQL has it; ``membership_upsert_all`` is the whole job."""
-    have, o = _memberships(spark, d)
-    return K.upsert_membership(have, _wanted(o.filter("item < 900")))[1]
-
-
 @query("""WITH w AS (SELECT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders), h AS (SELECT DISTINCT o_custkey AS item, 'c' || o_orderkey % 7 AS c FROM orders WHERE o_orderstatus = 'F')
   SELECT item, count(DISTINCT c) - count(DISTINCT c) FILTER ((item, c) IN (SELECT item, c FROM h)) AS added, added > 0 AS changed FROM w GROUP BY item""")
-def membership_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+def membership_upsert(spark: SparkSession, d: str) -> DataFrame:
     have, o = _memberships(spark, d)
     return K.upsert_all_membership(have, _wanted(o))[1]
 

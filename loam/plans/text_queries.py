@@ -46,8 +46,11 @@ _REL = ", ".join(
   r AS (SELECT doc_id, list_max([{_REL}]) AS m FROM e, q)
   SELECT doc_id, round_even(m.score, 6) AS score, m.matches AS matches FROM r WHERE m.matches >= 1 AND m.score >= 0.16""")
 def topic_relevance(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").select("doc_id", X.topic_tokens(F.left("text", F.lit(80))).alias("t"), X.topic_tokens("text").alias("b"))
-    m = df.select("doc_id", S.topic_relevance(F.col("t"), F.col("b"), [X.topic_tokens(F.lit(q)) for q in TOPICS]).alias("m")).select("doc_id", "m.score", "m.matches")
+    """The first 80 characters stand for a title. A generator between the steps keeps each row's tokens and score made once:
+    a filter is pushed below a projection together with what it names, but not below a generator."""
+    tokens = F.struct(X.topic_tokens(F.left("text", F.lit(80))).alias("t"), X.topic_tokens("text").alias("b"))
+    df = table(spark, d, "documents").select("doc_id", F.explode(F.array(tokens)).alias("x"))
+    m = df.select("doc_id", F.explode(F.array(S.topic_relevance(F.col("x.t"), F.col("x.b"), [X.topic_tokens(F.lit(q)) for q in TOPICS]))).alias("m")).select("doc_id", "m.score", "m.matches")
     return m.filter(P.topic_gate(F.col("score"), F.col("matches"), TOPICS)).select("doc_id", S.half_even(F.col("score"), 6).alias("score"), F.col("matches").cast("long").alias("matches"))
 
 
@@ -112,16 +115,9 @@ def html_unescape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(unescape(X.clean_markup("html"))).alias("digest"))
 
 
-@query(r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(left(text, 90)), '[ \t\n\r\f\v]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
-  SELECT item_id, EXISTS (SELECT 1 FROM t WHERE contains(t.t, q.q)) AS grounded FROM q""")
-def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """The start of each item only, as its SQL has it; ``quote_grounding_whole`` is the whole job."""
-    return _quote_grounding(spark, d, F.left("text", F.lit(90)))
-
-
 @query(r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
   SELECT item_id, EXISTS (SELECT 1 FROM t WHERE contains(t.t, q.q)) AS grounded FROM q""")
-def quote_grounding_whole(spark: SparkSession, d: str) -> DataFrame:
+def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
     return _quote_grounding(spark, d, F.col("text"))
 
 
@@ -131,17 +127,32 @@ def _quote_grounding(spark: SparkSession, d: str, quote: Column) -> DataFrame:
     return J.quote_grounding(q, s).select(F.col("qid").alias("item_id"), "grounded")
 
 
-@query(r"""WITH r AS (SELECT doc_id, unnest([struct_pack(rule := 'empty-source', n := (trim(text) = '')::BIGINT), struct_pack(rule := 'missing-character', n := len(regexp_extract_all(text, '\?{2,}|\x{fffd}'))),
-    struct_pack(rule := 'abstract-not-located', n := (NOT regexp_matches(text, '(?im)^(#{1,6}\s+)?\**abstract\**:?\s*$'))::BIGINT)]) AS x FROM documents)
-  SELECT x.rule AS rule, count(*) AS files, sum(x.n)::BIGINT AS places FROM r WHERE x.n > 0 GROUP BY 1""")
+@query(r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+  p AS (SELECT doc_id, unnest(list_transform(ls, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS line, unnest(range(len(ls))) AS i FROM l),
+  s AS (SELECT *, (line = '' OR regexp_matches(line, '^#{1,6} .') OR regexp_matches(lower(rtrim(line, ':')), '^(abstract|keywords|article info|introduction|background|methods?|materials and methods|theory|results|results and discussion|discussion|conclusions?|summary|references|bibliography|literature cited|acknowledge?ments|funding|data availability|appendix|supplementary material|supplementary information)$')) AS stop FROM p),
+  g AS (SELECT *, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM s), b AS (SELECT doc_id, block, string_agg(line, ' ' ORDER BY i) AS para, min(i) AS i FROM g WHERE NOT stop GROUP BY ALL),
+  d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, para ORDER BY i) AS k FROM b WHERE length(para) >= 180 AND NOT regexp_matches(para, '[$|<#]')),
+  r AS (SELECT doc_id, 'empty-source' AS rule, (NOT regexp_matches(text, '\S'))::BIGINT AS n FROM l UNION ALL SELECT doc_id, 'missing-character', len(regexp_extract_all(text, '\?{2,}|\x{fffd}')) FROM l
+    UNION ALL SELECT doc_id, 'control-character', len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')) FROM l
+    UNION ALL SELECT doc_id, 'abstract-not-located', (NOT regexp_matches(text, '(?im)^\s*(#{1,6}\s+)?(abstract|摘要)[:：]*\s*$'))::BIGINT FROM l
+    UNION ALL SELECT doc_id, 'repeated-paragraph', count(*) FILTER (k > 1) FROM d GROUP BY doc_id)
+  SELECT rule, count(*) AS files, sum(n)::BIGINT AS places FROM r WHERE n > 0 GROUP BY 1""")
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
-    f = Q.text_findings(table(spark, d, "documents"), "doc_id", "text").filter(F.col("rule").isin("empty-source", "missing-character", "abstract-not-located"))
+    """Screening of whole texts by the rules that have an SQL form; ``source_screen`` has all of them."""
+    names = ["empty-source", "missing-character", "control-character", "abstract-not-located", "repeated-paragraph"]
+    f = Q.counted_findings(Q.text_findings(table(spark, d, "documents"), "doc_id", "text").filter(F.col("rule").isin(names)), "doc_id")
     return f.groupBy("rule").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("places"))
 
 
+def source_screen(spark: SparkSession, d: str) -> DataFrame:
+    """All sixteen screening rules over whole texts, and each text's status (state machines: no SQL form)."""
+    docs = table(spark, d, "documents")
+    return Q.scan_status(Q.text_findings(docs, "doc_id", "text"), "doc_id", docs)
+
+
 def math_quality(spark: SparkSession, d: str) -> DataFrame:
     """Math balance outside code (a state machine: no SQL form)."""
-    from ..functions.udfs import math_rules
+    from ..functions.markdown import math_rules
 
     f = table(spark, d, "documents").select("doc_id", F.explode(math_rules("text")).alias("rule"))
     return A.counts_by(f, "rule")
@@ -187,16 +198,9 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _NORM = r"list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, 120) AS t FROM documents), w AS (SELECT doc_id, {_NORM} AS w FROM d), k AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_STOP}) AND length(x) > 1) AS k FROM w)
-  SELECT doc_id, array_to_string(w, ' ') AS norm, CASE WHEN len(k) > 0 THEN array_to_string(k[1:6], '-') WHEN len(w) > 0 THEN array_to_string(w[1:6], '-') ELSE 'untitled' END AS slug FROM k""")
-def slug_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The start of each text only, as its SQL has it; ``slug_keys_whole`` is the whole job."""
-    return _slug_keys(spark, d, F.left("text", F.lit(120)))
-
-
 @query(f"""WITH d AS (SELECT doc_id, text AS t FROM documents), w AS (SELECT doc_id, {_NORM} AS w FROM d), k AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_STOP}) AND length(x) > 1) AS k FROM w)
   SELECT doc_id, array_to_string(w, ' ') AS norm, CASE WHEN len(k) > 0 THEN array_to_string(k[1:6], '-') WHEN len(w) > 0 THEN array_to_string(w[1:6], '-') ELSE 'untitled' END AS slug FROM k""")
-def slug_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+def slug_keys(spark: SparkSession, d: str) -> DataFrame:
     return _slug_keys(spark, d, F.col("text"))
 
 
@@ -211,19 +215,19 @@ def slug_keys_unicode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.slug_part(nfkd_ascii("text")).alias("part"), nfkc_key("text").alias("key"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, 80) AS t, source, lang FROM documents) SELECT doc_id, CASE WHEN source = 'src1' THEN regexp_replace(lang || ':' || doc_id, '[^A-Za-z0-9_.+-]+', '', 'g')
+@query(f"""WITH d AS (SELECT doc_id, text AS t, source, lang FROM documents) SELECT doc_id, CASE WHEN source = 'src1' THEN regexp_replace(lang || ':' || doc_id, '[^A-Za-z0-9_.+-]+', '', 'g')
     ELSE 'smith_' || (1990 + doc_id % 30) || CASE WHEN len(w2) > 0 THEN '_' || array_to_string(w2[1:3], '-') ELSE '' END END AS slug FROM (SELECT *, list_filter({_NORM}, lambda x: length(x) >= 2) AS w2 FROM d)""")
 def paper_slugs(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "documents")
     key = F.when(F.col("source") == "src1", F.concat_ws(":", "lang", "doc_id")).otherwise("")
-    return df.select("doc_id", X.paper_slug(F.left("text", F.lit(80)), key, F.lit("Smith, Ann and Lee, Bo"), F.concat(F.lit("c. "), 1990 + F.col("doc_id") % 30)).alias("slug"))
+    return df.select("doc_id", X.paper_slug("text", key, F.lit("Smith, Ann and Lee, Bo"), F.concat(F.lit("c. "), 1990 + F.col("doc_id") % 30)).alias("slug"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(t, '[0-9]') AND (regexp_matches(t, '[_-]') OR len(list_filter(string_split(regexp_replace(t, '[-_ \t\n\r\f\v]+', ' ', 'g'), ' '), lambda x: x <> '')) <= 3) OR regexp_matches(t, '[/\\]') OR ends_with(lower(t), '.pdf') AS filename_like,
-    regexp_matches(lower(t), '^10\.[0-9]{4,9}/[^ \t\n\r\f\v]+$') AS doi_like FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '10.1234/abc' || doc_id WHEN 1 THEN left(text, 10) WHEN 2 THEN 'a_' || doc_id ELSE 'x.PDF' END AS t FROM documents)""")
+    regexp_matches(lower(t), '^10\.[0-9]{4,9}/[^ \t\n\r\f\v]+$') AS doi_like FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '10.1234/abc' || doc_id WHEN 1 THEN text WHEN 2 THEN 'a_' || doc_id ELSE 'x.PDF' END AS t FROM documents)""")
 def query_shapes(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("doc_id") % 4
-    t = F.when(m == 0, F.concat(F.lit("10.1234/abc"), "doc_id")).when(m == 1, F.left("text", F.lit(10))).when(m == 2, F.concat(F.lit("a_"), "doc_id")).otherwise("x.PDF")
+    t = F.when(m == 0, F.concat(F.lit("10.1234/abc"), "doc_id")).when(m == 1, F.col("text")).when(m == 2, F.concat(F.lit("a_"), "doc_id")).otherwise("x.PDF")
     return table(spark, d, "documents").select("doc_id", P.looks_like_filename(t).alias("filename_like"), X.looks_like_doi(t).alias("doi_like"))
 
 
@@ -232,16 +236,9 @@ def report_by_file(spark: SparkSession, d: str) -> DataFrame:
     return A.report_by_file(table(spark, d, "labels").select((F.col("doc_id") % 20).alias("file"), F.when(F.col("quality") == 0, "red").otherwise("warn").alias("severity")))
 
 
-@query("""SELECT item_id, doc_id, common FROM (SELECT b.item_id, t.doc_id, count(*) AS common FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b
-  JOIN (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'de') t USING (w) GROUP BY ALL) WHERE common >= 12""")
-def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one language only, as its SQL has it; ``shared_vocabulary_all`` is the whole job."""
-    return _shared_vocabulary(spark, d, table(spark, d, "documents").filter("lang = 'de'"))
-
-
 @query("""SELECT item_id, doc_id, common FROM (SELECT b.item_id, t.doc_id, count(*) AS common FROM (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) b
   JOIN (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) t USING (w) GROUP BY ALL) WHERE common >= 12""")
-def shared_vocabulary_all(spark: SparkSession, d: str) -> DataFrame:
+def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return _shared_vocabulary(spark, d, table(spark, d, "documents"))
 
 
@@ -269,5 +266,5 @@ def provider_fallback(spark: SparkSession, d: str) -> DataFrame:
     return got.select("key", F.col("_p").cast("int").alias("provider"))
 
 
-for _f in (html_unescape, math_quality, slug_keys_unicode):
+for _f in (html_unescape, math_quality, slug_keys_unicode, source_screen):
     query()(_f)

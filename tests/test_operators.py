@@ -111,6 +111,38 @@ def test_closure_survives_a_cycle(spark):
     root = spark.createDataFrame([("a",)], "id string")
     assert {(r.id, r.depth) for r in graph.descendants(spark, t, root).collect()} == {("b", 1), ("c", 2)}
     assert graph.leaf_first(t).count() == 0
+    assert graph.root_paths(spark, t).count() == 0
+    assert [(r.id, r.cyclic, r.depth) for r in graph.tree_order(spark, t.unionByName(spark.createDataFrame([("z", None, "Z"), ("y", "gone", "Y")], t.schema))).collect()] == [
+        ("z", False, 0), ("y", False, 0), ("a", True, None), ("b", True, None), ("c", True, None)]
+
+
+def test_trees_of_any_depth(spark):
+    n = 130
+    t = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(n)], "id long, parent long, name string").repartition(3)
+    assert {r.id: len(r.path) for r in graph.root_paths(spark, t).collect()} == {i: i + 1 for i in range(n)}
+    assert [(r.id, r.depth) for r in graph.tree_order(spark, t).collect()] == [(i, i) for i in range(n)]
+    root = spark.createDataFrame([(0,)], "id long")
+    assert {r.id: r.depth for r in graph.descendants(spark, t, root, levels=16).collect()} == {i: i for i in range(1, n)}
+    short = t.filter("id < 20")
+    assert {r.id: r.round for r in graph.leaf_first(short).collect()} == {i: 19 - i for i in range(20)}
+
+
+def test_checkpoints_that_cannot_be_read(spark, tmp_path):
+    assert sinks.load_checkpoint(spark, str(tmp_path / "none")) == (False, None)
+    spark.createDataFrame([("t", "i", "failed")], "task string, item string, status string").write.parquet(str(tmp_path / "good"))
+    assert sinks.load_checkpoint(spark, str(tmp_path / "good"))[1].count() == 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        sinks.load_checkpoint(spark, str(tmp_path / "bad"))
+
+
+def test_similar_names_mid_word(spark):
+    """Containment that begins and ends inside words, equal texts without key words, and Jaccard; best label of an entity."""
+    names = spark.createDataFrame([("ed gea",), ("of the",), ("deep neural nets",), ("x",), ("a b",), ("graph neural network methods",)], "name string")
+    ents = spark.createDataFrame([("e1", "red gear box", 0), ("e2", "of the", 1), ("e3", "very deep neural netscape", 2), ("e3", "deep neural nets", 3), ("e4", "aa bb", 4), ("e5", "graph neural network", 5)], "entity string, label string, _ord long")
+    got = {(r.name, r.entity): round(r.score, 3) for r in joins.best_similar_name(names, ents).collect()}
+    assert got == {("ed gea", "e1"): 0.85, ("of the", "e2"): 1.0, ("deep neural nets", "e3"): 1.0, ("a b", "e4"): 0.85, ("graph neural network methods", "e5"): 0.85}
 
 
 def edges(spark, *rows):
@@ -184,7 +216,7 @@ def test_cascade_levels(spark):
 
 def test_text_rules_on_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a ?? b � \x01"), (4, "# Abstract\nfine")], "k long, t string")
-    got = {(r.k, r.rule): r.n for r in quality.text_findings(df, "k", "t").collect()}
+    got = {(r.k, r.rule): r.n for r in quality.counted_findings(quality.text_findings(df, "k", "t"), "k").collect()}
     assert got[(1, "empty-source")] == got[(2, "empty-source")] == 1
     assert got[(3, "missing-character")] == 2
     assert got[(3, "control-character")] == 1

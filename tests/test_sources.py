@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.functions import udfs
+from loam.functions import markdown, udfs
 from loam.operators import sinks
 from loam.sources import tables, vault
 
@@ -88,17 +88,9 @@ def test_header_reader():
     assert udfs.read_header(None) == ({}, "", "none")
 
 
-def test_math():
-    assert udfs.math_findings("a $x$ b $$y$$ \\(z\\)") == []
-    assert udfs.math_findings("a $x\n\nb") == ["math-delimiter"]
-    assert udfs.math_findings("$a{b$") == ["math-braces"]
-    assert udfs.math_findings(r"$\begin{a}\end{b}$") == ["math-environment"]
-    assert udfs.repair_math(r"\( x _ { 2 } \) `$\ beta$` $\ alpha$") == (r"$x_{2}$ `$\ beta$` $\alpha$", udfs.repair_math(r"\( x _ { 2 } \) `$\ beta$` $\ alpha$")[1])
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab$\\{}_^`\n ()[]~-#|", max_size=60))
 def test_masks_keep_offsets_and_repairs_settle(text):
-    assert len(udfs.mask_noncontent(text)) == len(text)
-    once, _ = udfs.repair_math(text)
+    assert len(markdown.mask_noncontent(text)) == len(text)
+    once, _ = markdown.repair_math(text)
     assert isinstance(once, str)
