@@ -620,6 +620,31 @@ def test_contamination_of_repeated_rows_in_item_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == contamination_truth(rows, items)
 
 
+def test_index_is_stored_by_term(spark, tmp_path, monkeypatch):
+    """Every word of every document is in the index once, in the bucket of its term, whatever the pages."""
+    monkeypatch.setattr(decontamination, "PAGE_WORDS", 200)
+    rows = [(i, t) for i, t in corpus() if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.xxhash64("text")).repartition(2)
+    got = decontamination.write_index(df, str(tmp_path / "index")).collect()
+    pages = {r.page: r for r in got if r.bucket == -1}
+    assert len(pages) > 5 and Counter(d for r in pages.values() for d in r.docs) == Counter(i for i, _ in rows)
+    back = {p: [0] * (sum(r.sizes) + len(r.sizes)) for p, r in pages.items()}
+    for r in got:
+        if r.bucket >= 0:
+            terms, counts, places = (np.frombuffer(x, k) for x, k in ((r.terms, "<u8"), (r.counts, "<u4"), (r.positions, "<u4")))
+            assert (terms >> np.uint64(64 - decontamination.BUCKET_BITS) == r.bucket).all()
+            for t, at in zip(np.repeat(terms, counts).tolist(), places.tolist(), strict=True):
+                assert back[r.page][at] == 0
+                back[r.page][at] = t
+    by_doc = Counter()
+    for p, r in pages.items():
+        at = 0
+        for d, n in zip(r.docs, r.sizes, strict=True):
+            by_doc[d, tuple(back[p][at : at + n])] += 1
+            at += n + 1
+    assert by_doc == Counter((i, tuple(decontamination.term_lists([decontamination.word_bytes(t)])[0].tolist())) for i, t in rows)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x b y c z z z z c b a"), (2, "a b"), (3, None)], "doc_id long, text string")
     i = spark.createDataFrame([(9, "c b a")], "item_id long, text string")
@@ -636,3 +661,6 @@ def test_empty_tables(empty, spark):
     assert bpe.encode_digests(empty, TOKENIZER).count() == 0
     assert licenses.license_scan(empty).count() == 0
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontamination.contamination(empty, items).count() == 0 and decontamination.clean_documents(empty, items).count() == 0
+    assert ngram_join.keep_one(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0 and quality.keep_good(empty, labels).count() == 0
