@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, release, shared_dir, small_enough, tune
+from .common import documents, materialize, release, small_enough, tune
 from .components import connected_components
 from .exchange import BUCKET_KEYS, REQUEST, answers_by_page, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
 
@@ -39,6 +38,9 @@ GROUPS, WIDE, LEAF, BLOCK = 64, 256, 16, 512
 TOPS = (1, 4, 32)
 #: Buckets of more than this many pairs of blocks propose leaders in a round, and no more.
 MOST_COMBOS, LEADERS = 9, 3
+#: Sets beyond this size are first compared by the low 32 bits of their members; an overlap that is less than SURE above
+#: the threshold is then counted on whole members.
+WHOLE, SURE = 512, 8
 #: Rows searched at once in a task.
 SEARCH_ROWS = 16_384
 PAGE_CHARS = 8 << 20
@@ -321,49 +323,94 @@ def _buckets(pages: DataFrame, chosen: DataFrame, total: int, percent: int) -> D
     return materialize(rep.join(answers, "page").select("blob", "ats", "answers").mapInArrow(take, "key long, node long, n long, point binary"), "buckets")
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, pa, pb) whose points allow the threshold."""
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each member, in a power of two of at least eight times as many bits."""
+    size = 1 << max(9, (8 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = points(b.column(4).to_pylist(), WIDE), points(b.column(5).to_pylist(), WIDE)
-                n, m = np.array(b.column(2)), np.array(b.column(3))
-                ok = np.minimum(x, y).sum(axis=1) >= need(n, m, percent)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+def bitmap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
+    """Most members that two sets of n and m members can share: a bit that the other lacks is a member that it lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # the larger one folded
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. Sets are made again from the texts of the documents in question only,
-    and only those of pairs that pass the bound of more groups are shipped."""
-    at = f"{shared_dir(docs.sparkSession)}/loam/sets-{uuid.uuid4().hex}"
-    schema = "node long, n long, point binary, s binary"
-    _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, WIDE).write.parquet(at)
-    made = docs.sparkSession.read.schema(schema).parquet(at)
-    info = made.select("node", "n", "point")
-    both = pairs.join(info.selectExpr("node as a", "n as na", "point as pa"), "a").join(info.selectExpr("node as b", "n as nb", "point as pb"), "b")
-    pairs = _bounded(both, percent).distinct().checkpoint()
-    release(docs.sparkSession)
-    made = _only(made.select("node", "s"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-
-    def check(batches):
+def short_set(s: np.ndarray) -> bytes:
+    return s.tobytes() if len(s) <= WHOLE else np.sort(s.astype(np.uint32)).tobytes()
+
+
+def shared_members(a: bytes, b: bytes, n: int, m: int) -> tuple[int, bool]:
+    """(overlap, whether it is exact) of two short sets; one that is not exact is not below the true overlap."""
+    wide = [len(x) == 8 * k for x, k in ((a, n), (b, m))]
+    x, y = (np.frombuffer(r, np.uint64 if w else np.uint32) for r, w in ((a, wide[0]), (b, wide[1])))
+    if all(wide):
+        return int(member(x, y).sum()), True
+    x, y = (np.sort(v.astype(np.uint32)) for v in (x, y))
+    return min(int(member(x, y).sum()), int(member(y, x).sum())), False
+
+
+def _with_both(pairs: DataFrame, made: DataFrame, *columns: str) -> DataFrame:
+    """a, b and the columns of both documents (x_ of a, y_ of b), each with n. Only what the pairs need of ``made`` is shipped."""
+    made = _only(made.select("node", "n", *columns), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    left, right = (made.select(F.col("node").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("n", *columns)]) for k, p in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", *[f"{p}_{c}" for c in ("n", *columns) for p in "xy"])
+
+
+def _held(pairs: DataFrame, made: DataFrame, column: str, test) -> DataFrame:
+    """a, b, sure: the pairs for whose documents ``test`` (of both values of the column and both sizes) is not None."""
+
+    def run(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = int(member(s, t).sum())
-                ok.append(both >= need(len(s), len(t), percent) and both > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
-
-    left = made.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = made.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    out = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct().checkpoint()
-    discard(docs.sparkSession, at)
+            a, c, n, m, x, y = (b.column(i).to_pylist() for i in range(6))
+            said = [test(p, q, i, j) for p, q, i, j in zip(x, y, n, m, strict=True)]
+            at = [k for k, v in enumerate(said) if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in at], pa.int64()), pa.array([c[k] for k in at], pa.int64()), pa.array([said[k] for k in at], pa.bool_())], ["a", "b", "sure"])
+
+    out = _with_both(pairs, made, column).mapInArrow(run, "a long, b long, sure boolean")
+    out = out.groupBy("a", "b").agg(F.max("sure").alias("sure")).checkpoint()
+    release(pairs.sparkSession)
     return out
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold.
+
+    Bounds come first, each on less and more: counts of more groups, then a bitmap of about a byte a member; then the
+    members, the long sets' cut to 32 bits, and whole members where that leaves doubt. Each is made again from the texts
+    of the documents that are still in question.
+    """
+
+    def close(x, y, i, j):
+        a, b = points([x], WIDE), points([y], WIDE)
+        return True if int(np.minimum(a, b).sum()) >= need(i, j, percent) else None
+
+    def closer(x, y, i, j):
+        return True if bitmap_bound(x, y, i, j) >= need(i, j, percent) else None
+
+    def counted(x, y, i, j):
+        both, exact = shared_members(x, y, i, j)
+        least = max(1, need(i, j, percent))
+        return None if both < least else exact or both >= least + SURE
+
+    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("node"))
+    bounds = materialize(_sets(docs, ids(pairs), n, {"point": lambda s: point(s, WIDE), "bits": bitmap}), "bounds")
+    pairs = _held(pairs, bounds, "point", close)
+    pairs = _held(pairs, bounds, "bits", closer)
+    pairs = _held(pairs, materialize(_sets(docs, ids(pairs), n, {"s": short_set}), "sets"), "s", counted)
+    links, doubt = pairs.filter("sure").select("a", "b"), pairs.filter("not sure")
+    if doubt.isEmpty():
+        return links
+    whole = _sets(docs, ids(doubt), n, {"s": lambda s: s.tobytes()})
+    return links.unionByName(_held(doubt, whole, "s", counted).select("a", "b")).checkpoint()
+
+
 def _sorted_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -591,17 +638,16 @@ def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if small_enough(keys, BROADCAST_IDS) else keys, keys.columns, "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, groups: int) -> DataFrame:
-    """node, n, point, s: the sets of the documents in ``ids`` (node), from their texts, and points of ``groups`` groups."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int, columns: dict) -> DataFrame:
+    """node, n and ``columns`` (name -> function of the set) of the documents in ``ids`` (node), made from their texts.
+    Rows of one doc_id with several texts have a row each."""
 
     def run(batches):
         for b in batches:
             made = shingle_sets(b.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([point(s, groups) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary()),
-            ], ["node", "n", "point", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array([f(s) for s in made], pa.binary()) for f in columns.values())], ["node", "n", *columns])
 
-    return _only(docs, ids.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(run, "node long, n long, point binary, s binary")
+    return _only(docs, ids.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(run, "node long, n long, " + ", ".join(f"{c} binary" for c in columns))
 
 
 def _links(rows: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -634,12 +680,12 @@ def _links(rows: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -
         if live.isEmpty():
             return links
         if k == 0:  # few are left, so they get points of more groups
-            groups, info = WIDE, materialize(_sets(docs, live, n, WIDE).drop("s"), "points")
+            groups, info = WIDE, materialize(_sets(docs, live, n, {"point": lambda s: point(s, WIDE)}), "points")
     has = _proposals(_placed(_deal(live, _mixed(live), block), info), percent, 0, groups).select("key", F.col("a").alias("node")).distinct().checkpoint()
     if has.isEmpty():
         return links
     live = _only(live, has).checkpoint()
-    made = materialize(_sets(docs, live, n, groups), "sets")
+    made = materialize(_sets(docs, live, n, {"point": lambda s: point(s, groups), "s": lambda s: s.tobytes()}), "sets")
     # rows of one doc_id with several texts have several sets: each is a row of its own in the runs
     placed = _placed(_deal(live, _mixed(live), block), made, "s")
     return links.unionByName(_forest(placed, percent, groups).distinct().checkpoint())

@@ -175,4 +175,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     good = F.broadcast(good) if small_enough(good, MOST_STRATA * 10) else good
     held = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).join(good, "doc_id", "left_semi")
     cutoffs = certified_cutoffs(features(held, stratum).drop("n_upper", "n_lines").checkpoint(), labels, alpha, delta)
-    return apply_rules(features(docs, stratum, row=True), cutoffs).filter("kept").select("row.*")
+    # a filter is pushed below projections with all that it names, but not below a generator: the features are made once
+    scored = features(docs, stratum, row=True).select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
+    return apply_rules(scored, cutoffs).filter("kept").select("row.*")
