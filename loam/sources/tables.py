@@ -166,3 +166,39 @@ def preferred_entries(entries: DataFrame) -> DataFrame:
     pref = entry_preference(F.col("format"), F.col("abstract"))
     rest = [c for c in entries.columns if c not in ("id", "warnings")]
     return entries.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(pref.alias("p"), -F.col("_ord"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("warnings")).select("id", "r.*", "warnings")
+
+
+_DATE = "struct<`date-parts`:array<array<int>>>"
+#: The parts of a second provider's works that are read; fields that are not named are not parsed.
+SECOND_WORK = (
+    "struct<DOI:string,URL:string,title:array<string>,abstract:string,author:array<struct<given:string,family:string,name:string>>,`container-title`:array<string>,"
+    f"`published-print`:{_DATE},`published-online`:{_DATE},issued:{_DATE},`is-referenced-by-count`:bigint,type:string>"
+)
+
+
+def second_works(pages: DataFrame, since: int | None = None) -> DataFrame:
+    """Works of recorded answers of a second provider, one row each, with the plain columns of a candidate. ``pages``: page,
+    json (an answer with message.items). Only the named fields are parsed; works before ``since`` go before they are shaped."""
+    from ..functions import text as X
+
+    items = F.from_json("json", f"struct<message:struct<items:array<{SECOND_WORK}>>>")["message"]["items"]
+    w = pages.select("page", F.posexplode(items).alias("pos", "w")).select("page", "pos", "w.*")
+    years = [F.get(F.get(F.col(f"`{c}`")["date-parts"], F.lit(0)), F.lit(0)) for c in ("published-print", "published-online", "issued")]
+    w = w.withColumn("year", F.coalesce(*years))
+    w = w if since is None else w.filter(F.col("year") >= since)
+    clean = X.clean_markup
+    name = lambda a: X.clean_markup(F.coalesce(F.nullif(F.trim(F.concat_ws(" ", a["given"], a["family"])), F.lit("")), a["name"]))
+    title, doi = clean(F.get("title", F.lit(0))), F.coalesce("DOI", F.lit(""))
+    return w.select(
+        "page", "pos", F.coalesce(F.nullif(doi, F.lit("")), "URL", title).alias("id"), doi.alias("doi"), title.alias("title"), clean(F.col("abstract")).alias("abstract"), clean(F.get("container-title", F.lit(0))).alias("venue"),
+        F.coalesce("URL", F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)), F.lit("")).alias("url"), "year", F.coalesce("is-referenced-by-count", F.lit(0)).cast("long").alias("citations"),
+        F.filter(F.transform(F.coalesce("author", F.array()), name), lambda a: a != "").alias("authors"), F.coalesce("type", F.lit("work")).alias("type"),
+    )
+
+
+def paged_items(spark: SparkSession, path: str, size: int = 100) -> DataFrame:
+    """page, pos, item (JSON text) of recorded answers kept as one JSON list a file, read in parallel; pages after the first
+    short one are not part of the listing."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int").alias("page"), F.from_json("value", "array<string>").alias("items"))
+    last = files.filter(F.size("items") < size).agg(F.coalesce(F.min("page"), F.lit(2**31 - 1)).alias("last"))
+    return files.crossJoin(F.broadcast(last)).filter("page <= last").select("page", F.posexplode("items").alias("pos", "item"))  # one row: the last page
