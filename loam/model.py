@@ -38,6 +38,8 @@ EDGE_TYPES = [
     ("inspired_by", "*", "*", "directed", "none", "idea"),
 ]
 SYMMETRIC_TYPES = [row[0] for row in EDGE_TYPES if row[3] == "symmetric"]
+RESEARCH_MODES = ["theory", "computation", "experiment"]
+BIBTEX_FIELDS = ["author", "title", "year", "journal", "booktitle", "publisher", "school", "institution", "howpublished", "volume", "number", "pages", "doi"]
 REQUIRED_FIELDS = {
     "papers": ["title", "slug", "paper_type", "tags", "research_modes", "research_object_tags", "importance"],
     "concepts": ["title", "tags", "maturity", "key_papers"],

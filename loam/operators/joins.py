@@ -187,11 +187,15 @@ def members(collection_items: DataFrame, items: DataFrame, deleted: DataFrame, c
     return live.groupBy("itemID").agg(F.min(F.struct("orderIndex", "itemID")).alias("place"))
 
 
-def broken_links(pages: DataFrame, targets: DataFrame, text: str = "body") -> DataFrame:
-    """page, target: wiki links whose target is no page; links to an anchor of the page itself are no links."""
+def wiki_links(pages: DataFrame, text: str = "body") -> DataFrame:
+    """page, target: wiki links of pages; links to an anchor of the page itself are no links."""
     found = pages.select("page", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\]|]+)"), F.lit(1))).alias("raw")).filter(~F.col("raw").startswith("#"))
-    links = found.select("page", X.reference_slug("raw").alias("target")).distinct()
-    return links.join(targets.select(F.col("slug").alias("target")), "target", "left_anti").select("page", "target")
+    return found.select("page", X.reference_slug("raw").alias("target")).distinct()
+
+
+def broken_links(pages: DataFrame, targets: DataFrame, text: str = "body") -> DataFrame:
+    """page, target: wiki links whose target is no page."""
+    return wiki_links(pages, text).join(targets.select(F.col("slug").alias("target")), "target", "left_anti").select("page", "target")
 
 
 def asymmetric_refs(refs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -186,3 +186,25 @@ def bibtex_core(df: DataFrame, bibtex: str) -> DataFrame:
 def valid_receipts(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """Jobs whose receipt has the same input, output and engine hashes."""
     return jobs.join(receipts, ["id", "pdf_sha256", "output_sha256", "engine"], "left_semi")
+
+
+def content_quality(pages: DataFrame) -> DataFrame:
+    """Suggestions: papers of importance 5 that no concept page names, stable concepts with one key paper at most, topics
+    with an empty section of open problems. ``pages``: kind, slug, path, body, header (JSON)."""
+    said = pages.filter("kind = 'concepts'").select(F.concat_ws("\n", "header", "body").alias("text"))
+    head = lambda k: F.get_json_object("header", f"$.{k}")
+    top = pages.filter((F.col("kind") == "papers") & (head("importance") == "5"))
+    named = said.select(F.explode(F.split("text", r"[^A-Za-z0-9_.+-]+")).alias("slug")).select(F.regexp_replace("slug", r"\.(md)?$", "").alias("slug")).distinct()
+    papers = top.join(named, "slug", "left_anti").select(*finding("blue", "quality", F.col("path"), F.lit("importance=5 but no concept page references this paper")))
+    few = F.coalesce(F.size(F.from_json(head("key_papers"), "array<string>")), F.lit(0)) <= 1
+    stable = pages.filter((F.col("kind") == "concepts") & (head("maturity") == "stable") & few)
+    concepts = stable.select(*finding("blue", "quality", F.col("path"), F.lit("maturity=stable but only 1 key_paper")))
+    open_ = F.trim(F.regexp_replace(X.section("body", "Open problems"), r"\s+", " "))
+    topics = pages.filter((F.col("kind") == "topics") & F.col("body").contains("## Open problems") & open_.isin("", "—"))
+    return papers.unionByName(concepts).unionByName(topics.select(*finding("blue", "quality", F.col("path"), F.lit("no open problems"))))
+
+
+def orphan_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Pages that no other page links to. ``links``: page (a path), target (a slug)."""
+    named = links.join(pages.select(F.col("path").alias("page"), F.col("slug").alias("_own")), "page").filter("target <> _own").select(F.col("target").alias("slug")).distinct()
+    return pages.join(named, "slug", "left_anti").select(*finding("yellow", "orphan-page", F.col("path"), F.lit("no incoming links")))

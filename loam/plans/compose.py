@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as X
-from ..operators import aggregates, graph, joins, predicates, quality, scoring, sinks, windows
+from ..operators import aggregates, graph, joins, predicates, quality, reports, scoring, sinks, windows
 
 
 def recommend(hits: DataFrame, anchors: DataFrame, negatives: DataFrame, limit: int) -> DataFrame:
@@ -122,6 +122,52 @@ def lint(spark: SparkSession, pages: DataFrame, fields: dict[str, list[str]], ed
     return quality.union_all(parts).orderBy("rule_order", "file", "category", "message")
 
 
+#: Pairs of kinds whose links are expected in both directions.
+BOTH_WAYS = [("papers", "concepts"), ("papers", "topics"), ("papers", "people"), ("claims", "papers"), ("ideas", "experiments")]
+
+
+def lint_all(spark: SparkSession, pages: DataFrame, edges: DataFrame, citations: DataFrame, conflicts: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+    """All thirteen checks and the sync conflicts as findings, in the checks' order. ``pages``: kind, slug, path, body, header
+    (JSON); ``conflicts``: path. The path filter takes findings of pages; those of the graph stay."""
+    head = lambda k: F.get_json_object("header", f"$.{k}")
+    of = lambda kind: pages.filter(F.col("kind") == kind)
+    listed = lambda k, t="array<string>": F.from_json(head(k), t)
+    own = pages.withColumnRenamed("path", "page")
+    links = joins.wiki_links(own)
+    cells = pages.select(F.col("path").alias("file"), "kind", F.explode(F.from_json("header", "map<string,string>")).alias("field", "value"))
+    kinds = pages.select("slug", "path", "kind")
+    pairs = spark.createDataFrame(BOTH_WAYS, "kind string, to_kind string")
+    there = links.join(kinds.select(F.col("path").alias("page"), "kind", F.col("slug").alias("own")), "page").join(kinds.select(F.col("slug").alias("target"), F.col("kind").alias("to_kind")), "target")
+    refs = there.join(F.broadcast(pairs), ["kind", "to_kind"], "left_semi").select(F.col("own").alias("page"), "target", F.col("page").alias("path"))  # five rows
+    one_way = joins.asymmetric_refs(refs.select("page", "target"), pages.select("slug", "body")).join(refs, ["page", "target"])
+    nodes = pages.select(F.concat_ws("/", "kind", "slug").alias("node"))
+    line = F.concat(F.lit("edges:"), F.col("_ord"))
+    papers = of("papers").select(F.col("path").alias("file"), listed("research_modes").alias("research_modes"), F.coalesce(head("bibtex"), F.lit("")).alias("bibtex"))
+    claims = of("claims").select(F.col("path").alias("file"), listed("source_papers").alias("source_papers"), listed("evidence", "array<struct<source:string,source_anchor:string>>").alias("evidence"), head("confidence").alias("confidence"))
+    ideas = of("ideas").select(F.col("path").alias("file"), head("status").alias("status"), head("failure_reason").alias("failure_reason"))
+    clash = pages.limit(0).select("path") if conflicts is None else conflicts
+    of_pages = [
+        clash.select(*quality.finding("red", "sync-conflict", F.col("path"), F.lit("copy left by a sync conflict"))),
+        quality.missing_fields(pages.select("kind", F.col("path").alias("file"), F.json_object_keys("header").alias("present")), model.required_fields_table(spark)).drop("field"),
+        quality.paper_classification(papers, model.RESEARCH_MODES, model.BIBTEX_FIELDS),
+        quality.source_excerpts(of("concepts").select(F.col("path").alias("file"), "body")),
+        quality.provenance_shape(claims),
+        joins.broken_links(own, pages).select(*quality.finding("yellow", "broken-link", F.col("page"), F.col("target"))),
+        quality.orphan_pages(pages, links),
+        quality.bad_values(cells, model.valid_values_table(spark)).unionByName(quality.confidence_range(claims)),
+        quality.failed_without_reason(ideas),
+        reports.claim_links(of("experiments").select(F.col("path").alias("file"), F.coalesce(head("target_claim"), F.lit("")).alias("target_claim")), of("claims").select("slug")),
+        one_way.select(*quality.finding("yellow", "xref-asymmetry", F.col("path"), F.col("target"), True)),
+    ]
+    of_graph = [
+        quality.edge_findings(edges, model.edge_types_table(spark), nodes).select("level", "category", line.alias("file"), F.lit("").alias("message"), F.lit(False).alias("fixable")),
+        quality.citation_findings(citations).select(F.lit("yellow").alias("level"), "category", F.concat(F.lit("citations:"), F.col("_ord")).alias("file"), F.lit("").alias("message"), F.lit(False).alias("fixable")),
+    ]
+    last = quality.content_quality(pages)
+    kept = [p.filter(predicates.under_paths(F.col("file"), only)) if only else p for p in [*of_pages, last]]
+    return quality.union_all([*kept[:-1], *of_graph, kept[-1]]).orderBy("rule_order", "file", "category", "message")
+
+
 def shared_source_counts(papers: DataFrame, concepts: DataFrame, claims: DataFrame) -> DataFrame:
     """slug, concepts, claims: concepts that share a source with a paper, claims that name it (source_papers or evidence)."""
     shared = joins.overlap_join(papers, concepts, "slug", "concept", "sources", "concept_sources").groupBy("slug").agg(F.count(F.lit(1)).alias("concepts"))

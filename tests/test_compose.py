@@ -81,6 +81,36 @@ def test_open_questions_and_lint(spark):
     assert {r.category for r in only} == {"broken-link"}
 
 
+def test_all_checks_of_lint(spark):
+    """One page or line that breaks each of the checks; the path filter takes findings of pages only."""
+    import json
+
+    full = {"papers": {"title": "T", "slug": "p", "paper_type": "paper", "tags": [], "research_modes": ["theory"], "research_object_tags": [], "importance": "3"}, "concepts": {"title": "T", "tags": [], "maturity": "active", "key_papers": ["p", "q"]}}
+    rows = [
+        ("papers", "p", full["papers"] | {"importance": 5, "research_modes": ["magic"], "bibtex": "@article{k,\n  abstract = {x}\n}"}, "see [[concepts/c]] and [[gone]] [[#here]]"),
+        ("papers", "q", full["papers"], "[[p]]"), ("concepts", "c", full["concepts"] | {"maturity": "stable", "key_papers": ["q"]}, "## Source excerpts\ntext"),
+        ("claims", "m", {"title": "T", "status": "odd", "confidence": 2, "source_papers": ["[[p]]"], "evidence": []}, ""), ("ideas", "i", {"title": "T", "status": "failed"}, ""),
+        ("experiments", "x", {"title": "T", "target_claim": "claims/none"}, ""), ("topics", "t", {"title": "T", "tags": []}, "## Open problems\n\n## Next\nx"),
+    ]
+    pages = spark.createDataFrame([(k, s, f"{k}/{s}.md", b, json.dumps(h)) for k, s, h, b in rows], "kind string, slug string, path string, body string, header string")
+    e = spark.createDataFrame([("papers/p", "papers/p", "builds_on", "e", "2024-01-01", "high", None, 0)], model.EDGE_SCHEMA + ", _ord long")
+    c = spark.createDataFrame([("papers/p", "papers/q", "cites", "manual", "x", 0)], model.CITATION_SCHEMA + ", _ord long")
+    copies = spark.createDataFrame([("papers/p nsconflict.md",)], "path string")
+    got = compose.lint_all(spark, pages, e, c, copies).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.category, set()).add((r.file, r.message))
+    assert [r.rule_order for r in got] == sorted(r.rule_order for r in got) and {r.rule_order for r in got} == set(range(14))
+    assert by["invalid-mode"] == {("papers/p.md", "magic")} and by["bibtex-field"] == {("papers/p.md", "abstract")} and by["broken-link"] == {("papers/p.md", "gone")}
+    assert by["source-excerpts"] == {("concepts/c.md", "no source link")} and by["provenance"] == {("claims/m.md", "source_papers")} and by["failure-reason"] == {("ideas/i.md", "failed idea without failure_reason")}
+    assert by["broken-claim-ref"] == {("experiments/x.md", "target_claim=none")} and by["xref-asymmetry"] == {("papers/p.md", "c")} and by["invalid-confidence"] == {("claims/m.md", "confidence=2")}
+    assert by["invalid-value"] == {("claims/m.md", "status=odd")} and {f for f, _ in by["orphan-page"]} == {"papers/q.md", "claims/m.md", "ideas/i.md", "experiments/x.md", "topics/t.md"}
+    assert {f for f, _ in by["quality"]} == {"papers/p.md", "concepts/c.md", "topics/t.md"} and "self-edge" in by and "citation-date" in by and "sync-conflict" in by
+    assert {f for f, _ in by["missing-field"]} == {"claims/m.md", "ideas/i.md", "experiments/x.md"}
+    some = compose.lint_all(spark, pages, e.limit(0), c.limit(0), None, ["topics/"]).collect()
+    assert {(r.category, r.file) for r in some} == {("orphan-page", "topics/t.md"), ("quality", "topics/t.md")}
+
+
 def test_small_pieces(spark):
     df = spark.createDataFrame([("2024-05-W2.md",), ("20240503",), ("log",)], "n string")
     assert [r.x for r in df.select(compose.weekly_name(F.col("n")).alias("x")).collect()] == ["2024-05-w2", None, None]
