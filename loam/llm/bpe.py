@@ -40,7 +40,7 @@ from .common import documents, rows_of, tune
 
 END = "</w>"
 #: Pieces cached per worker, in two generations: a full one becomes the old one, and pieces met again move up.
-CACHE = 250_000
+CACHE, PACKED = 150_000, 400_000
 #: Bits of a token id in the packed pair and merge keys.
 ID_BITS, NO_MERGE = 20, 1 << 62
 #: Longer pieces are not cached and go through the streaming path.
@@ -111,9 +111,9 @@ class Alphabet:
 class PieceCache(dict):
     """piece -> ``make(piece)``, in two generations: a full one becomes the old one, and pieces met again move up."""
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.most = make, {}, most
 
     def __missing__(self, piece: str):
         found = self.old.get(piece)
@@ -124,7 +124,7 @@ class PieceCache(dict):
         return found
 
     def put(self, piece: str, value) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = value
@@ -200,8 +200,8 @@ class WordBpe:
         self.token_utf8 = [t.encode("utf-8", "surrogatepass") for t in self.tokens]
         self.ints = list(range(len(self.tokens)))  # one object for each id, shared by all cached pieces
         self.pairs: PairTable | None = None
-        self.cache = PieceCache(self._made)
-        self.packed = PieceCache(lambda p: array("I", self._made(p)).tobytes())
+        self.cache = PieceCache(self._made, CACHE)
+        self.packed = PieceCache(lambda p: array("I", self._made(p)).tobytes(), PACKED)
         self.lookahead = self._lookahead(model["merges"])
 
     def _lookahead(self, merges: list) -> int | None:

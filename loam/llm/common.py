@@ -7,14 +7,14 @@ an executor, so a lost executor costs a recomputation and nothing else.
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as shared_dir
+
 #: Rows in one Arrow batch. Texts have no length limit, so batches are also cut by bytes (``TEXT_BATCH_BYTES``).
 ARROW_ROWS = 1000
 TEXT_BATCH_BYTES = 32 << 20
@@ -22,20 +22,6 @@ TEXT_BATCH_BYTES = 32 << 20
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables that the cluster names in ``spark.checkpoint.dir``.
-
-    Where none is named, a session that runs in this process alone gets a temporary one; any other must name one.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark.sparkContext, "_loam_shared", None)
-        if not at and not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = spark.sparkContext._loam_shared = at or tempfile.mkdtemp(prefix="loam-")
-    return at
-
-
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

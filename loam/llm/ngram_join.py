@@ -480,8 +480,9 @@ def _tree_candidates(c: dict[str, np.ndarray], pts: np.ndarray, percent: int):
 
 
 def candidates(table: pa.Table, percent: int, groups: int):
-    """(columns, run of each row, x, y, score): all pairs of different components in whole runs whose bound reaches the
-    threshold; the score is the Jaccard that the bound allows."""
+    """(columns, run of each row, x, y, score): the pairs of different components in whole runs whose bound reaches the
+    threshold; the score is the Jaccard that the bound allows. First those of all leaves, then those of each larger run, so
+    no more is held than one run has."""
     names = ["key", "i", "j", "role", "node", "n", "comp"]
     c = {k: table.column(k).to_numpy() for k in names}
     pts = points(table.column("point").to_pylist(), groups)
@@ -489,14 +490,18 @@ def candidates(table: pa.Table, percent: int, groups: int):
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(new)])
     run = np.cumsum(new) - 1
+
+    def scored(found: list):
+        x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        step = 1 << 20 >> (groups.bit_length() - 1)
+        overlap = np.concatenate([np.minimum(pts[x[k : k + step]], pts[y[k : k + step]]).sum(axis=1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0)
+        return c, run, x, y, overlap / np.maximum(c["n"][x] + c["n"][y] - overlap, 1)
+
     leaf = (size <= LEAF) & (c["role"][first] == BOTH)
     at = np.flatnonzero(leaf[run])
-    found = [(at[x], at[y]) for x, y in _leaf_candidates({k: v[at] for k, v in c.items()}, pts[at], run[at], percent)]
+    yield scored([(at[x], at[y]) for x, y in _leaf_candidates({k: v[at] for k, v in c.items()}, pts[at], run[at], percent)])
     for f, s in zip(first[~leaf].tolist(), size[~leaf].tolist(), strict=True):
-        found += [(f + x, f + y) for x, y in _tree_candidates({k: v[f : f + s] for k, v in c.items()}, pts[f : f + s], percent)]
-    x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    overlap = np.concatenate([np.minimum(pts[x[k : k + 65536]], pts[y[k : k + 65536]]).sum(axis=1) for k in range(0, len(x), 65536)]) if len(x) else np.zeros(0)
-    return c, run, x, y, overlap / np.maximum(c["n"][x] + c["n"][y] - overlap, 1)
+        yield scored([(f + x, f + y) for x, y in _tree_candidates({k: v[f : f + s] for k, v in c.items()}, pts[f : f + s], percent)])
 
 
 def best_of(run: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
@@ -520,16 +525,16 @@ def _proposals(placed: DataFrame, percent: int, top: int, groups: int) -> DataFr
 
     def run(batches):
         for table in _whole_runs(batches, 3, SEARCH_ROWS):
-            c, runs, x, y, score = candidates(table, percent, groups)
-            if not len(x):
-                continue
-            a, b = np.minimum(c["node"][x], c["node"][y]), np.maximum(c["node"][x], c["node"][y])
-            take = best_of(runs[x], a, b, score, top)
-            pairs = np.unique(np.stack([a[take], b[take]]), axis=1)
-            yield batch(pairs[0], pairs[1], [None] * pairs.shape[1])
-            x, y = x[~take], y[~take]
-            left = np.unique(np.stack([np.r_[c["key"][x], c["key"][y]], np.r_[c["node"][x], c["node"][y]]]), axis=1)
-            yield batch(left[1], [None] * left.shape[1], left[0])
+            for c, runs, x, y, score in candidates(table, percent, groups):
+                if not len(x):
+                    continue
+                a, b = np.minimum(c["node"][x], c["node"][y]), np.maximum(c["node"][x], c["node"][y])
+                take = best_of(runs[x], a, b, score, top)
+                pairs = np.unique(np.stack([a[take], b[take]]), axis=1)
+                yield batch(pairs[0], pairs[1], [None] * pairs.shape[1])
+                x, y = x[~take], y[~take]
+                left = np.unique(np.stack([np.r_[c["key"][x], c["key"][y]], np.r_[c["node"][x], c["node"][y]]]), axis=1)
+                yield batch(left[1], [None] * left.shape[1], left[0])
 
     return placed.mapInArrow(run, "a long, b long, key long")
 
@@ -602,7 +607,6 @@ def _forest(placed: DataFrame, percent: int, groups: int) -> DataFrame:
 
     def run(batches):
         for table in _whole_runs(batches, 3, 1):
-            c, runs, x, y, score = candidates(table, percent, groups)
             up: dict[tuple[int, int], tuple[int, int]] = {}
 
             def root(v):
@@ -613,16 +617,17 @@ def _forest(placed: DataFrame, percent: int, groups: int) -> DataFrame:
 
             out = [[], []]
             raws = table.column("s")
-            for k in np.lexsort((c["node"][y], c["node"][x], -score)).tolist():
-                i, j = int(x[k]), int(y[k])
-                u, v = root((int(runs[i]), int(c["comp"][i]))), root((int(runs[i]), int(c["comp"][j])))
-                if u == v:
-                    continue
-                s, t = (np.frombuffer(raws[m].as_py(), np.uint64) for m in (i, j))
-                if int(member(s, t).sum()) >= need(len(s), len(t), percent):
-                    up[u] = v
-                    out[0].append(int(c["node"][i]))
-                    out[1].append(int(c["node"][j]))
+            for c, runs, x, y, score in candidates(table, percent, groups):
+                for k in np.lexsort((c["node"][y], c["node"][x], -score)).tolist():
+                    i, j = int(x[k]), int(y[k])
+                    u, v = root((int(runs[i]), int(c["comp"][i]))), root((int(runs[i]), int(c["comp"][j])))
+                    if u == v:
+                        continue
+                    s, t = (np.frombuffer(raws[m].as_py(), np.uint64) for m in (i, j))
+                    if int(member(s, t).sum()) >= need(len(s), len(t), percent):
+                        up[u] = v
+                        out[0].append(int(c["node"][i]))
+                        out[1].append(int(c["node"][j]))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
     return placed.mapInArrow(run, "a long, b long")

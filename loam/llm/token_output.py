@@ -28,7 +28,7 @@ from .common import documents, materialize, rows_of, shared_dir, tune
 MAX_BITS, STEP, MAGIC = 20, 256, b"LHF2"
 BLOCK_TOKENS = 1 << 18
 #: Text of a doc_id range, and the most ranges: beyond that ranges grow.
-RANGE_CHARS, MOST_RANGES = 4 << 20, 50_000
+RANGE_CHARS, MOST_RANGES = 8 << 20, 50_000
 #: Texts encoded at once.
 GROUP_CHARS = 1 << 20
 END_ID = 2
@@ -63,26 +63,29 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
 
 
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
-    """Codes in order of (length, id)."""
+    """Codes in order of (length, id): within a length they count up from the first, which follows from the shorter ones."""
+    many = np.bincount(lengths, minlength=MAX_BITS + 2)
+    many[0] = 0
+    first, code = np.zeros(len(many), np.int64), 0
+    for size in range(1, len(many)):
+        code = (code + int(many[size - 1])) << 1
+        first[size] = code
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order].astype(np.int64)
+    place = np.arange(len(order)) - (np.cumsum(many) - many)[size]
     codes = np.zeros(len(lengths), np.uint64)
-    code = prev = 0
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    for i in order[np.count_nonzero(lengths == 0) :]:
-        size = int(lengths[i])
-        code <<= size - prev
-        codes[i], prev = code, size
-        code += 1
+    codes[order] = (first[size] + place).astype(np.uint64)
     return codes
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length for every value of the next MAX_BITS bits."""
-    codes = canonical_codes(lengths)
+    """Id and length for every value of the next MAX_BITS bits: canonical codes fill it in order of (length, id)."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    wide = 1 << (MAX_BITS - lengths[order].astype(np.int64))
     ids, size = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.uint8)
-    for i in np.flatnonzero(lengths):
-        spare = MAX_BITS - int(lengths[i])
-        at = int(codes[i]) << spare
-        ids[at : at + (1 << spare)], size[at : at + (1 << spare)] = i, lengths[i]
+    ids[: wide.sum()], size[: wide.sum()] = np.repeat(order, wide), np.repeat(lengths[order], wide)
     return ids, size
 
 
