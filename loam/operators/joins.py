@@ -27,30 +27,46 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame
     return edges.filter(F.col(end).contains("/")).join(nodes.select(F.col("node").alias(end)), end, "left_anti")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str) -> DataFrame:
-    """left_id, right_id, common: pairs with a common token, by exploding both sides into an equality join."""
-    a = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("token"))
-    b = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("token"))
-    return a.join(b, "token").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("common"))
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: int = 1) -> DataFrame:
+    """left_id, right_id, common: pairs with ``least`` common tokens or more.
 
-
-def jaccard_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
-    """left_id, right_id of all pairs whose token sets can reach a Jaccard of ``least``, and few others.
-
-    Such pairs share one of the rarest n - ceil(least n) + 1 tokens of either side, so only those meet, and a frequent
-    token pairs nothing unless a set has no rarer ones.
+    For one token both sides are exploded into an equality join. For more, such pairs share one of the n - least + 1 rarest
+    tokens of either side, so only those meet, and the common tokens of those pairs are counted on the arrays: for thresholds that few pairs reach.
     """
+    if least <= 1:
+        a = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("token"))
+        b = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("token"))
+        return a.join(b, "token").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("common"))
+    pairs = _rare_pairs(left, right, left_id, right_id, left_tokens, right_tokens, lambda n: n - least + 1)
+    sets = [df.select(key, F.array_distinct(tokens).alias(name)) for df, key, tokens, name in ((left, left_id, left_tokens, "_a"), (right, right_id, right_tokens, "_b"))]
+    both = pairs.join(sets[0], left_id).join(sets[1], right_id)
+    return both.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("common")).filter(F.col("common") >= least)
+
+
+def _rare_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, prefix) -> DataFrame:
+    """left_id, right_id of pairs that share one of the ``prefix`` (of the number of tokens) rarest tokens of either side.
+    Tokens of one side only drop out of the join, not of the prefix."""
     both = left.select(F.explode(F.array_distinct(left_tokens)).alias("token")).unionByName(right.select(F.explode(F.array_distinct(right_tokens)).alias("token")))
     often = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def rarest(df: DataFrame, key: str, tokens: str) -> DataFrame:
         long = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(often, "token")
         own = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
-        return own.select(key, F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least).cast("int") + 1)).alias("x")).select(key, "x.token")
+        kept = F.greatest(prefix(F.size("w")), F.lit(0))
+        return own.select(key, F.explode(F.slice("w", F.lit(1), kept)).alias("x")).select(key, "x.token")
 
     return rarest(left, left_id, left_tokens).join(rarest(right, right_id, right_tokens), "token").select(left_id, right_id).distinct()
 
 
+def jaccard_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
+    """left_id, right_id of all pairs whose token sets can reach a Jaccard of ``least``, and few others.
+
+    Such pairs share one of the rarest n - ceil(least n) + 1 tokens of either side, so only those meet, and a frequent
+    token pairs nothing unless a set has no rarer ones.
+    """
+    return _rare_pairs(left, right, left_id, right_id, left_tokens, right_tokens, lambda n: n - F.ceil(n * least).cast("int") + 1)
+
+
 def containment_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str) -> DataFrame:
     """left_id, right_id of all pairs of which one text, of two words or more, can stand inside the other, mid-word too.
 

@@ -7,17 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources.tables import table
 from ..streaming import log
 from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output and checkpoint, in the shared folder if the cluster names one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's output and checkpoint, in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,3 +35,17 @@ def ready(spark: SparkSession) -> SparkSession:
     if at not in paths:
         env["PYTHONPATH"] = os.pathsep.join([at, *filter(None, paths)])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session that runs in this process alone gets a temporary one; any other must name one.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = getattr(spark.sparkContext, "_loam_shared", None)
+        if not at and not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = spark.sparkContext._loam_shared = at or tempfile.mkdtemp(prefix="loam-")
+    return at
