@@ -40,7 +40,7 @@ from .common import documents, rows_of, tune
 
 END = "</w>"
 #: Pieces cached per worker, in two generations: a full one becomes the old one, and pieces met again move up.
-CACHE, PACKED = 150_000, 400_000
+CACHE, PACKED = 150_000, 250_000
 #: Bits of a token id in the packed pair and merge keys.
 ID_BITS, NO_MERGE = 20, 1 << 62
 #: Longer pieces are not cached and go through the streaming path.

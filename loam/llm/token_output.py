@@ -138,16 +138,16 @@ def unpack_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[tuple
 def range_bounds(docs: DataFrame) -> tuple[int, list[int]]:
     """Ranges of null doc_ids, and upper ends of doc_id ranges of about equal text bytes. An end comes several times if
     its doc_id fills several ranges."""
-    size = F.coalesce(F.length("text"), F.lit(0)) + 16
-    total, null = docs.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    sizes = materialize(docs.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) + 16).cast("long").alias("size")), "text-sizes")
+    total, null = sizes.agg(F.sum("size"), F.sum(F.when(F.col("doc_id").isNull(), F.col("size")))).first()
     n = min(MOST_RANGES, -(-(total or 0) // RANGE_CHARS))
     if n <= 1:
         return 1, []
     share = (total or 0) / n
     nulls = max(1, round((null or 0) / share))
-    ids = docs.filter("doc_id is not null")
+    ids = sizes.filter("doc_id is not null")
     fine = min(4 * n, 2 * MOST_RANGES)
-    ends = np.unique(np.array(ids.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / fine for i in range(1, fine)], 0.25 / fine), np.float64))
+    ends = np.array(ids.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / fine for i in range(1, fine)], 0.25 / fine), np.float64)
     ends = np.unique(np.clip(ends, -(2.0**62), 2.0**62).astype(np.int64))
 
     def tally(batches):
@@ -157,10 +157,10 @@ def range_bounds(docs: DataFrame) -> tuple[int, list[int]]:
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["at", "size"])
 
-    counted = ids.select("doc_id", size.cast("long").alias("size")).mapInArrow(tally, "at long, size long").groupBy("at").agg(F.sum("size").alias("size"))
-    sizes, out, held = {r["at"]: r["size"] for r in counted.collect()}, [], 0.0  # a few rows for each range
+    counted = ids.select("doc_id", "size").mapInArrow(tally, "at long, size long").groupBy("at").agg(F.sum("size").alias("size"))
+    by_end, out, held = {r["at"]: r["size"] for r in counted.collect()}, [], 0.0  # a few rows for each range
     for k, end in enumerate(ends.tolist()):
-        held += sizes.get(k, 0)
+        held += by_end.get(k, 0)
         while held >= share:
             out.append(end)
             held -= share
