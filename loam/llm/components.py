@@ -20,7 +20,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges, state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint(), None
-    few = edges.count() <= FEW
+    n = edges.count()
+    few = n <= FEW
+    if not n:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for k in range(MOST_ROUNDS):
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few, larger_only=True)
         small = _star(large, few, larger_only=False).checkpoint()

@@ -399,10 +399,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         least = max(1, need(i, j, percent))
         return None if both < least else exact or both >= least + SURE
 
+    if pairs.isEmpty():
+        return pairs
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("node"))
     bounds = materialize(_sets(docs, ids(pairs), n, {"point": lambda s: point(s, WIDE), "bits": bitmap}), "bounds")
     pairs = _held(pairs, bounds, "point", close)
     pairs = _held(pairs, bounds, "bits", closer)
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     pairs = _held(pairs, materialize(_sets(docs, ids(pairs), n, {"s": short_set}), "sets"), "s", counted)
     links, doubt = pairs.filter("sure").select("a", "b"), pairs.filter("not sure")
     if doubt.isEmpty():

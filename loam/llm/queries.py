@@ -64,7 +64,86 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_licenses, op7_pii, op8_token_output, op9_url_filter, op10_decontamination,
     )
 }
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), ways AS (
+  SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links
+), reach AS (
+  SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)
+""",
+    "op3_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)
+), f AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM g
+), cover AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS pos FROM f WHERE again
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (pos - 1 <> prev OR prev IS NULL) AS n_spans FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM cover) GROUP BY doc_id
+), kept AS (
+  SELECT b.doc_id, string_agg(substr(b.h, 2 * b.p + 1, 2), '' ORDER BY b.p) AS rest FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM cover)) b
+  LEFT JOIN cover c ON c.doc_id = b.doc_id AND c.pos = b.p WHERE c.pos IS NULL GROUP BY b.doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(rest, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op4_line_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+), l AS (
+  SELECT doc_id, i, line, trim(line, E' \t\n\x0b\x0c\r') AS v FROM raw
+), f AS (
+  SELECT doc_id, i, v, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, len(regexp_extract_all(v, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS words FROM l WHERE v <> ''
+), w AS (
+  SELECT a.doc_id, a.pos, 1 AS size, [a.v] AS key FROM f a WHERE a.words >= 50
+  UNION ALL SELECT a.doc_id, a.pos, 2, [a.v, b.v] FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.words + b.words >= 50
+  UNION ALL SELECT a.doc_id, a.pos, 3, [a.v, b.v, c.v] FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN f c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
+), again AS (
+  SELECT doc_id, pos, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS k FROM w) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM again
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prev IS NULL OR prev < pos - 1) AS n_runs FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM gone) GROUP BY doc_id
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS rest FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.i = l.i LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos WHERE g.pos IS NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op10_decontamination": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), i AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+), hit AS (
+  SELECT g.doc_id, g.s, g.k, i.item_id FROM g JOIN i USING (k, g)
+), words AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS said FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op9_url_filter": """
 WITH cut AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
