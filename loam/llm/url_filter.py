@@ -140,7 +140,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]]
 
     A null url or one without ``://`` has an empty host and path and fits no rule; its verdict is ``default``, as is
     that of every url without a listed key. ``rules``: (verdict, host, path) rows; of equal keys the block rule wins.
-    No rules: every url gets the default. Ties in length go to the longer host.
+    No rules: every url gets the default. Ties in length go to the longer host. Repeated rows repeat, a null page_id is a
+    row like any other, other columns are not read, urls of any length are judged whole.
     """
     tune(pages.sparkSession)
     sc = pages.sparkSession.sparkContext
@@ -150,7 +151,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]]
             raise ValueError(f"more than {MOST_RULES} rules")
         rules = [(r["verdict"], r["host"] or "", r["path"] or "") for r in got]
     rules = RULES if rules is None else rules
-    verdicts = {(h.lower(), p): v for v, h, p in sorted(rules, key=lambda r: r[0] == "block")}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # as urls are: A-Z only
+    verdicts = {(h.translate(low), p): v for v, h, p in sorted(rules, key=lambda r: r[0] == "block")}
     lengths = sorted({len(p) for _, p in verdicts})
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
 

@@ -559,6 +559,15 @@ def test_url_filter(spark):
     assert all(r.verdict == "block" and r.rule is None for r in url_filter.url_verdicts(df, rules=[], default="block").collect())
 
 
+def test_url_filter_on_repeats_and_long_urls(spark):
+    long = "https://" + "a." * 300 + "EXAMPLE.com/en/7" + "x" * 50_000
+    rows = [(1, long, "x", "y"), (1, long, "x", "y"), (None, "http://b.net/de/1", "x", "y"), (2, "http://\u00c9.org/es/", "x", "y")]
+    got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")).collect()
+    assert Counter((r.page_id, r.rule, r.verdict) for r in got) == Counter({(1, "example.com/en/7", "allow"): 2, (None, "net/de/", "allow"): 1, (2, "org/es/", "block"): 1})
+    ruled = url_filter.url_verdicts(spark.createDataFrame([(1, "http://a.\u00c9X/")], "page_id long, url string"), [("block", "\u00c9X", "/")]).collect()
+    assert (ruled[0].verdict, ruled[0].rule) == ("block", "\u00c9x/")
+
+
 def test_cascade_has_no_errors(spark):
     """Exact membership over the universe, and a size that follows the list."""
     keys = [url_filter.key_hash((f"h{i}.com", "/")) for i in range(20_000)]
