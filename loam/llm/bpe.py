@@ -36,11 +36,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, rows_of, tune
+from .common import documents, rows_of, trimmed, tune
 
 END = "</w>"
 #: Pieces cached per worker, in two generations: a full one becomes the old one, and pieces met again move up.
-CACHE, PACKED = 150_000, 250_000
+CACHE, PACKED = 80_000, 250_000
 #: Bits of a token id in the packed pair and merge keys.
 ID_BITS, NO_MERGE = 20, 1 << 62
 #: Longer pieces are not cached and go through the streaming path.
@@ -673,5 +673,5 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     def digest_batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

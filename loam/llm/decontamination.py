@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, shared_dir, small_enough, tune
+from .common import discard, documents, shared_dir, small_enough, trimmed, tune
 from .ngram_join import new_page_id, word_hashes
 
 WINDOW = 10
@@ -115,7 +115,7 @@ def write_index(docs: DataFrame, path: str) -> DataFrame:
         if rows:
             yield flush()
 
-    made = docs.select("doc_id", "text", "uid").mapInArrow(run, INDEX)
+    made = docs.select("doc_id", "text", "uid").mapInArrow(trimmed(run), INDEX)
     share = F.pmod(F.xxhash64("page"), F.lit(1 << 20)) % F.lit(FILE_PAGES)
     made.withColumn("share", share).repartition("bucket", "share").drop("share").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
@@ -232,7 +232,7 @@ def _by_page(index: DataFrame, phrases) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["page", "ids", "counts", "positions"])
 
     pages = index.filter("bucket = -1").select("page", "docs", "uids", "sizes")
-    lists = index.filter(F.col("bucket").isin(used) if used else F.lit(False)).select("page", "terms", "counts", "positions").mapInArrow(run, "page long, ids binary, counts binary, positions binary")
+    lists = index.filter(F.col("bucket").isin(used) if used else F.lit(False)).select("page", "terms", "counts", "positions").mapInArrow(trimmed(run), "page long, ids binary, counts binary, positions binary")
     met = lists.groupBy("page").agg(F.collect_list(F.struct("ids", "counts", "positions")).alias("lists"))  # a row for each bucket at most
     return pages.join(met, "page", "left")
 
@@ -264,7 +264,7 @@ def _marked(index: DataFrame, items: list[tuple[int, str | None]], window: int)
                     pa.array(hits, pa.binary()), pa.array([[p.item_ids[i] for i in sorted(f)] for f in found], pa.list_(pa.int64())),
                 ], ["page", "at", "doc_id", "uid", "n_words", "hit", "found"])
 
-    return _by_page(index, phrases).select("page", "docs", "uids", "sizes", "lists").mapInArrow(run, FOUND)
+    return _by_page(index, phrases).select("page", "docs", "uids", "sizes", "lists").mapInArrow(trimmed(run), FOUND)
 
 
 def _indexed(docs: DataFrame) -> tuple[DataFrame, str]:

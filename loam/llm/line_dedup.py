@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import materialize, trimmed, tune
 
 RUN = 3
 WORDS = 50
@@ -101,7 +101,7 @@ def _places(docs: DataFrame, run: int, words: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["fp", "doc", "uid", "at", "before", "hashes", "counts"])
 
-    return docs.mapInArrow(go, PLACE)
+    return docs.mapInArrow(trimmed(go), PLACE)
 
 
 def _extended(places: DataFrame, run: int, words: int) -> DataFrame:
@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFram
             yield pa.RecordBatch.from_arrays(cols, docs_names)
 
     docs_names = list(docs.columns)
-    return joined.mapInArrow(go, docs.schema)
+    return joined.mapInArrow(trimmed(go), docs.schema)
 
 
 def line_report(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:

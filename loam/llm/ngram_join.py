@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, small_enough, tune
+from .common import documents, materialize, release, small_enough, trimmed, tune
 from .components import connected_components
 from .exchange import BUCKET_KEYS, REQUEST, answers_by_page, keys_in, member, new_page_id, request_batch, requests_of, shared_keys
 
@@ -224,7 +224,7 @@ def common_members(docs: DataFrame, n: int) -> np.ndarray:
             yield flush()
 
     total = docs.count()
-    tally = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(20, COMMON * total))
+    tally = docs.mapInArrow(trimmed(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(20, COMMON * total))
     return np.sort(np.array([r["h"] for r in tally.select("h").collect()], np.int64).view(np.uint64))
 
 
@@ -269,7 +269,7 @@ def signature_pages(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if rows:
             yield flush()
 
-    return materialize(docs.mapInArrow(run, "page long, blob binary"), "signatures")
+    return materialize(docs.mapInArrow(trimmed(run), "page long, blob binary"), "signatures")
 
 
 def _members(pages: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def _buckets(pages: DataFrame, chosen: DataFrame, total: int, percent: int) -> D
                     o = own[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000].view(np.int64)), pa.array(x["doc"][o]), pa.array(x["n"][o]), pa.array([pts[i] for i in o.tolist()], pa.binary())], ["key", "node", "n", "point"])
 
-    return materialize(rep.join(answers, "page").select("blob", "ats", "answers").mapInArrow(take, "key long, node long, n long, point binary"), "buckets")
+    return materialize(rep.join(answers, "page").select("blob", "ats", "answers").mapInArrow(trimmed(take), "key long, node long, n long, point binary"), "buckets")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -373,7 +373,7 @@ def _held(pairs: DataFrame, made: DataFrame, column: str, test) -> DataFrame:
             at = [k for k, v in enumerate(said) if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in at], pa.int64()), pa.array([c[k] for k in at], pa.int64()), pa.array([said[k] for k in at], pa.bool_())], ["a", "b", "sure"])
 
-    out = _with_both(pairs, made, column).mapInArrow(run, "a long, b long, sure boolean")
+    out = _with_both(pairs, made, column).mapInArrow(trimmed(run), "a long, b long, sure boolean")
     out = out.groupBy("a", "b").agg(F.max("sure").alias("sure")).checkpoint()
     release(pairs.sparkSession)
     return out
@@ -540,7 +540,7 @@ def _proposals(placed: DataFrame, percent: int, top: int, groups: int) -> DataFr
                 left = np.unique(np.stack([np.r_[c["key"][x], c["key"][y]], np.r_[c["node"][x], c["node"][y]]]), axis=1)
                 yield batch(left[1], [None] * left.shape[1], left[0])
 
-    return placed.mapInArrow(run, "a long, b long, key long")
+    return placed.mapInArrow(trimmed(run), "a long, b long, key long")
 
 
 def _deal(tagged: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -634,7 +634,7 @@ def _forest(placed: DataFrame, percent: int, groups: int) -> DataFrame:
                         out[1].append(int(c["node"][j]))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _tag(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -656,7 +656,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, columns: dict) -> DataFrame:
             made = shingle_sets(b.column(1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int64()), *(pa.array([f(s) for s in made], pa.binary()) for f in columns.values())], ["node", "n", *columns])
 
-    return _only(docs, ids.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(run, "node long, n long, " + ", ".join(f"{c} binary" for c in columns))
+    return _only(docs, ids.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(trimmed(run), "node long, n long, " + ", ".join(f"{c} binary" for c in columns))
 
 
 def _links(rows: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe_of, read_spec
-from .common import documents, materialize, rows_of, shared_dir, tune
+from .common import documents, materialize, rows_of, shared_dir, trimmed, tune
 
 MAX_BITS, STEP, MAGIC = 20, 256, b"LHF2"
 BLOCK_TOKENS = 1 << 18
@@ -220,7 +220,7 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    encoded = plain.mapInArrow(run, "part long, doc_id long, crc long, n long, ids binary, count_ids array<int>, counts array<long>")
+    encoded = plain.mapInArrow(trimmed(run), "part long, doc_id long, crc long, n long, ids binary, count_ids array<int>, counts array<long>")
     dealt = encoded.repartitionById(parts, F.col("part").cast("int"))
     return materialize(dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc"), "ids")
 
@@ -266,7 +266,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if held:
             yield flush()
 
-    coded = table.filter("count_ids is null").select("part", "doc_id", "crc", "ids").mapInArrow(run, "part long, block string, first_doc long, first_crc long, last_doc long, last_crc long, n_tokens long, payload binary")
+    coded = table.filter("count_ids is null").select("part", "doc_id", "crc", "ids").mapInArrow(trimmed(run), "part long, block string, first_doc long, first_crc long, last_doc long, last_crc long, n_tokens long, payload binary")
     coded.write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -296,7 +296,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in docs], pa.int64()),
                 ], ["block", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    rows = blocks.select("block", "payload").mapInArrow(run, "block string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = blocks.select("block", "payload").mapInArrow(trimmed(run), "block string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base, bases = 0, []
     for r in sizes:
