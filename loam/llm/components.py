@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import release
 
 MOST_ROUNDS = 60
-#: Up to this many edges, the smallest neighbours (a row for each node at most) are broadcast instead of shuffled.
-FEW = 500_000
+#: Up to this many edges, the smallest neighbours (a row for each node at most) are broadcast instead of shuffled, and a few
+#: partitions hold them all: rounds would else leave files for every partition of the cluster.
+FEW, PARTS = 500_000, 8
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,6 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     few = n <= FEW
     if not n:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    edges = edges.coalesce(PARTS) if few else edges
     for k in range(MOST_ROUNDS):
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few, larger_only=True)
         small = _star(large, few, larger_only=False).checkpoint()
@@ -44,9 +46,11 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, few: bool, larger_only: bool) -> DataFrame:
     """For each u with neighbours v: link (v > u only, or u itself and v < u) to the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = least.coalesce(PARTS) if few else least
     both = edges.join(F.broadcast(least) if few else least, "u").withColumn("m", F.least("u", "m"))
     if larger_only:
         out = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(both.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    out = out.filter("u <> v").distinct()
+    return out.coalesce(PARTS) if few else out
