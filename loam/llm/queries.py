@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ready
-from . import bpe, decontamination, licenses, line_dedup, ngram_join, pii, quality, suffix_dedup, token_output, url_filter
+from . import bpe, conversation_repair, decontamination, licenses, line_dedup, ngram_join, pii, prefix_trie, quality, secrets_scan, suffix_dedup, token_output, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,15 +57,125 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(turns), turns)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_join, op3_suffix_dedup, op4_line_dedup, op5_bpe,
         op6_licenses, op7_pii, op8_token_output, op9_url_filter, op10_decontamination,
+        op11_conversation_repair, op12_secret_scan, op13_prefix_trie,
     )
 }
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPACE = r"E' \t\n\x0b\x0c\r'"
+#: The table of the CRC-32 polynomial, and the checksum of an ASCII string by it.
+_CRC = """crc AS (
+  SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))
+)"""
+
+
+def _crc32(said: str) -> str:
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({said}, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _more(x: str, cost: int, edit: str, where: str = "TRUE") -> str:
+    """State ``x`` of the repair after one more edit."""
+    return f"CASE WHEN {x} IS NOT NULL AND {where} THEN {{'cost': {x}.cost + {cost}, 'audit': {x}.audit || '{edit}'}} END"
+
+
+#: States after inserts behind the last turn, as list expressions over b (nothing yet, after s, u, a).
+_AFTER = [
+    "b[1]", "b[2]",
+    f"list_min([b[3], {_more('b[1]', 2, 'I')}, {_more('b[2]', 2, 'I')}, {_more('b[4]', 2, 'I')}])",
+    f"list_min([b[4], {_more('b[3]', 2, 'I')}, {_more('b[1]', 4, 'II')}, {_more('b[2]', 4, 'II')}])",
+]
+
+
+def _step() -> str:
+    """The states after one more turn of role initial k; gone: must go; t: 1 if truncated. c has the states after inserts."""
+    kept = lambda q, role: _more(f"c[{q}]", 0, "K", f"NOT gone AND k = '{role}'")
+    given = lambda q: _more(f"c[{q}]", 2, "R", "NOT gone")
+    paid = lambda ways: "list_transform([" + ", ".join(ways) + "], lambda x: CASE WHEN x IS NOT NULL THEN {'cost': x.cost + t, 'audit': x.audit} END)"
+    into = [[], [kept(1, "s")], [kept(1, "u"), kept(2, "u"), kept(4, "u"), given(1), given(2), given(4)], [kept(3, "a"), given(3)]]
+    return "[" + ", ".join(f"list_min([{_more(f'c[{q + 1}]', 3, 'D')}]" + (f" || {paid(ways)}" if ways else "") + ")" for q, ways in enumerate(into)) + "]"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE {_CRC}, said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (
+  SELECT *, {_crc32('key')} % 20 AS kind FROM said, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM damaged
+), f AS (
+  SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(rtrim(text, {_SPACE}), 1) NOT IN ('.', '!', '?') AS cut FROM r
+), g AS (
+  SELECT *, blank OR again AS gone, (cut AND NOT blank AND NOT again)::INT AS t FROM f
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (t = 1) AS truncated,
+    count(*) FILTER (i > 1 AND before || k NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id
+), dp(conv_id, i, b) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, [{{'cost': 0::BIGINT, 'audit': ''}}, NULL, NULL, NULL] FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_step()} FROM (SELECT d.conv_id, g.i, k, gone, t, [{', '.join(_AFTER)}] AS c FROM dp d JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id AND g.i = d.i + 1)
+), best AS (
+  SELECT conv_id, n, list_min([b[1], {_AFTER[3]}]) AS x FROM (SELECT dp.conv_id, dp.i, b, coalesce(n, 0) AS n FROM dp LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id) WHERE i = n
+), edits AS (
+  SELECT conv_id, p, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS place
+  FROM (SELECT conv_id, unnest(string_split(x.audit, '')) AS e, unnest(range(length(x.audit))) AS p FROM best WHERE x.audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), placed AS (
+  SELECT e.*, g.role, g.text, g.k, bool_or(e.place = 1 AND e.e = 'K' AND g.k = 's') OVER (PARTITION BY e.conv_id) AS led FROM edits e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i AND e.e <> 'I' WHERE e.e <> 'D'
+), whole AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place + coalesce(led, FALSE)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS said FROM placed GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, x.cost AS cost, x.audit AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM b.conv_id
+""",
+    "op13_prefix_trie": rf"""
+WITH {_CRC}, said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT c, role, text, sha256(length(role) || ':' || role || ':' || text) AS label, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text)) AS pos FROM said
+), size AS (
+  SELECT c, count(*) AS n FROM t GROUP BY c
+), ids AS (
+  SELECT c, c - c % 20 AS base, {_crc32('c::VARCHAR')} % 4 AS h FROM size, crc
+), turns AS (
+  SELECT i.c, t.pos AS d, label, text FROM ids i JOIN t ON t.c = i.base AND t.pos <= i.h
+  UNION ALL
+  SELECT i.c, least(h, coalesce(s.n, 0)) + pos - h, label, text FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h LEFT JOIN size s ON s.c = i.base
+), member AS (
+  SELECT c, d, string_agg(label, '') OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids
+), node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n, any_value(words) AS words FROM member GROUP BY path, d
+), kids AS (
+  SELECT left(path, 64 * (d - 1)) AS path, count(*) AS k FROM node WHERE d > 0 GROUP BY 1
+), own AS (
+  SELECT n.*, coalesce(k, 0) AS k FROM node n LEFT JOIN kids USING (path)
+), up AS (
+  SELECT left(path, 64 * a) AS path, sum((n - 1) * words)::BIGINT AS saved, count(*) FILTER (k = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM own) GROUP BY 1
+), ends AS (
+  SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, path, d, max(d) OVER (PARTITION BY c) AS m FROM member) WHERE d = m GROUP BY path
+)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own o JOIN up USING (path) LEFT JOIN ends USING (path) LEFT JOIN node p ON o.d > 0 AND p.path = left(o.path, 64 * (o.d - 1))
+""",
     "op2_ngram_join": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents
