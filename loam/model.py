@@ -84,6 +84,16 @@ TRANSITIONS = {
     },
 }
 AUTO_DATE_FIELDS = {("ideas", "failed"): "date_resolved", ("ideas", "validated"): "date_resolved", ("experiments", "completed"): "date_completed"}
+#: kind, header field (None: links in the text), kind of the target, its section, line, how a target shows that it knows.
+BACK_LINKS = [
+    ("concepts", "key_papers", "papers", "## Related", "- [[%s]]", "link"),
+    ("papers", None, "people", "## Key papers", "- [[%s]]", "link"),
+    ("claims", "source_papers", "papers", "## Related", "- [[%s]]", "link"),
+    ("ideas", "origin_gaps", "claims", "## Linked ideas", "- [[%s]]", "link"),
+    ("experiments", "target_claim", "claims", "## Evidence summary", "- Tested by: [[%s]]", "name"),
+]
+#: Ways in which pages name a source file; the first is the folder itself.
+SOURCE_LINK_PREFIXES = ["sources/papers/", "@configured-sources-papers/", "@wiki-sources-papers/", "wiki/sources/papers/"]
 SECTIONS = ["claims", "gaps", "failed", "papers", "experiments", "edges", "stale"]
 CONTEXT_BUDGETS = {
     "ideation": [1500, 2000, 2000, 1000, 500, 500, 500],

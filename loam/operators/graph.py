@@ -62,21 +62,35 @@ def descendants(spark: SparkSession, tree: DataFrame, root: DataFrame, levels: i
     return known.filter("depth > 0")
 
 
-def _climbed(tree: DataFrame, value: Column) -> DataFrame:
-    """id, path (the ``value`` of each row from the root down to the row), cyclic (the way up never ends).
+def _cyclic(tree: DataFrame) -> DataFrame:
+    """id of the rows whose way up never ends: pointers double until all are at a root or as many steps as rows are taken.
 
-    Each round joins every row to where its way up has come so far, so ways double and depth n takes log2(n) rounds.
+    Only (id, pointer) pairs are shipped, so a cycle costs rounds and no memory. ``tree``: id, parent; a parent that is not there ends
+    the way like a root.
     """
-    ways = tree.select("id", F.col("parent").alias("_at"), F.array(value).alias("path")).checkpoint()
-    rounds = max(1, ways.count()).bit_length()
-    for _ in range(rounds + 1):
-        if ways.filter("_at is not null").isEmpty():
+    up = tree.select("id", F.col("parent").alias("_at")).filter("_at is not null").checkpoint()
+    for _ in range(max(1, tree.count()).bit_length() + 1):
+        if up.isEmpty():
             break
+        above = up.select(F.col("id").alias("_at"), F.col("_at").alias("_next"))
+        up = up.join(above, "_at").select("id", F.col("_next").alias("_at")).checkpoint()  # rows that reached their root drop out
+    return up.select("id")
+
+
+def _climbed(tree: DataFrame, value: Column) -> DataFrame:
+    """id, path (the ``value`` of each row from the root down to the row; null if cyclic), cyclic (the way up never ends).
+
+    Each round joins every row to where its way up has come so far, so ways double and depth n takes log2(n) rounds. Cyclic rows
+    are found first and have no path, so no path is longer than the depth.
+    """
+    cyclic = _cyclic(tree)
+    ways = tree.join(cyclic, "id", "left_anti").select("id", F.col("parent").alias("_at"), F.array(value).alias("path")).checkpoint()
+    while not ways.filter("_at is not null").isEmpty():
         above = ways.select(F.col("id").alias("_at"), F.col("_at").alias("_next"), F.col("path").alias("_path"))
         on = ways.join(above, "_at", "left")
         # a parent that is not there ends the way like a root
         ways = on.select("id", F.col("_next").alias("_at"), F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path")).checkpoint()
-    return ways.select("id", "path", F.col("_at").isNotNull().alias("cyclic"))
+    return ways.select("id", "path", F.lit(False).alias("cyclic")).unionByName(cyclic.select("id", F.lit(True).alias("cyclic")), allowMissingColumns=True)
 
 
 def root_paths(spark: SparkSession, tree: DataFrame) -> DataFrame:
@@ -84,7 +98,7 @@ def root_paths(spark: SparkSession, tree: DataFrame) -> DataFrame:
     root (below a cycle, or below a parent that is not there) have no path and are absent."""
     there = tree.select(F.col("id").alias("parent")).distinct().withColumn("_there", F.lit(True))
     rooted = tree.join(there, "parent", "left").withColumn("name", F.struct("name", (F.col("parent").isNotNull() & F.col("_there").isNull()).alias("lost")))
-    climbed = _climbed(rooted.select("id", "parent", "name"), F.col("name")).filter(~F.col("cyclic") & ~F.exists("path", lambda x: x["lost"]))
+    climbed = _climbed(rooted.select("id", "parent", "name"), F.col("name")).filter(~F.col("cyclic")).filter(~F.exists("path", lambda x: x["lost"]))
     return climbed.select("id", F.transform("path", lambda x: x["name"]).alias("path"))
 
 
@@ -95,6 +109,47 @@ def path_suffix(paths: DataFrame, wanted: list[str]) -> DataFrame:
     return hit.crossJoin(F.broadcast(hit.agg(F.count(F.lit(1)).cast("int").alias("matches"))))  # one row: the count
 
 
+def resolve_paths(tree: DataFrame, wanted: DataFrame, levels: int = 4) -> DataFrame:
+    """Where paths of names lead: rid, id, status, segment, matches; one row for each row of ``wanted`` (rid, path, key).
+
+    ``tree``: id, parent, name, key. A path is taken level by level from the top, all requests in one join a level: the frontier
+    carries each request's place. status is found, top (no path and no key, or a path of slashes: id is null), missing or
+    conflict (the first ``segment`` that no row, or several rows, of that level have; nothing is looked up below), or invalid (a blank
+    path, a key that is not eight letters and digits). A key goes before a path, in any case of letters. ``levels`` joins are one job.
+    """
+    children = tree.groupBy("parent", "name").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).select(F.col("parent").alias("_p"), F.col("name").alias("_name"), "_n", "_id").checkpoint()
+    by_key = tree.filter("key is not null").groupBy(F.upper("key").alias("_key")).agg(F.min("id").alias("_kid"))
+    has_key = F.coalesce(F.col("key"), F.lit("")) != ""
+    asked = wanted.select("rid", "path", "key").withColumn("_key", F.when(has_key, F.upper("key"))).join(by_key, "_key", "left")
+    segments = F.filter(F.transform(F.split("path", "/"), lambda s: F.trim(s)), lambda s: s != "")
+    start = (
+        F.when(has_key & ~F.col("key").rlike("^[A-Za-z0-9]{8}$"), "invalid").when(has_key & F.col("_kid").isNull(), "missing").when(has_key, "found")
+        .when(F.col("path").isNull(), "top").when(F.trim("path") == "", "invalid").when(F.size(segments) == 0, "top")
+    )
+    state = asked.select(
+        "rid", F.when(start == "found", F.col("_kid")).alias("id"), start.alias("status"), F.when(start.isNull(), segments).alias("_todo"),
+        F.when(start == "missing", F.col("key")).alias("segment"), F.lit(None).cast("long").alias("matches"),
+    ).checkpoint()
+    done, at = state.filter("status is not null"), 0
+    state = state.filter("status is null")
+    while not state.isEmpty():
+        for _ in range(levels):
+            at += 1
+            here = F.when(F.col("status").isNull(), F.get("_todo", F.lit(at - 1)))
+            step = state.withColumn("_s", here).join(children, F.col("id").eqNullSafe(F.col("_p")) & (F.col("_s") == F.col("_name")), "left")
+            n = F.coalesce("_n", F.lit(0))
+            stop = F.when(n == 0, "missing").when(n > 1, "conflict").when(F.size("_todo") == at, "found")
+            on = F.col("status").isNull()
+            state = step.select(
+                "rid", F.when(on & (n == 1), F.col("_id")).when(on & (n != 1), F.lit(None)).otherwise(F.col("id")).alias("id"), F.when(on, stop).otherwise(F.col("status")).alias("status"), "_todo",
+                F.when(on & (n != 1), F.col("_s")).otherwise(F.col("segment")).alias("segment"), F.when(on & (n > 1), n).otherwise(F.col("matches")).alias("matches"),
+            )
+        state = state.checkpoint()
+        done = done.unionByName(state.filter("status is not null"))
+        state = state.filter("status is null")
+    return done.drop("_todo")
+
+
 def tree_order(spark: SparkSession, tree: DataFrame) -> DataFrame:
     """Depth-first order of a tree of any depth, siblings by (name, id); rows whose parent is missing are roots marked as
     orphans; rows of a cycle or below one come last, marked ``cyclic``, by (name, id).
