@@ -47,6 +47,8 @@ ID_BITS, NO_MERGE = 20, 1 << 62
 LONG_PIECE = 512
 #: Characters fed at once, and those held without a blank before the finer machines take over.
 CHUNK, HOLD = 1 << 16, 1 << 13
+#: Bytes of normalized text that are cut and looked up at once.
+PART_BYTES = 4 << 20
 #: Pieces of at most so many bytes are merged in bulk, in groups by these sizes.
 WIDTHS = (6, 8, 10, 12, 16)
 
@@ -163,6 +165,90 @@ class PairTable:
         return np.where(self.keys[one] == key, self.ranks[one], np.where(self.keys[two] == key, self.ranks[two], self.none)).astype(np.int32)
 
 
+#: Classes of bytes and characters below U+0370: blank, letter, number, anything else.
+BLANK, LETTER, NUMBER, OTHER = range(4)
+#: Letters after an apostrophe that are one piece with it: one by itself, or two.
+ONE_LETTER, TWO_LETTERS = frozenset(b"stmd"), (b"re", b"ve", b"ll")
+
+
+@functools.cache
+def latin_classes() -> np.ndarray:
+    out = np.full(0x370, OTHER, np.uint8)
+    for i in range(0x370):
+        kind = unicodedata.category(chr(i))[0]
+        out[i] = LETTER if kind == "L" else NUMBER if kind == "N" else BLANK if i in (*range(9, 14), 32, 0x85, 0xA0) else OTHER
+    return out
+
+
+def latin_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the pieces of normalized text whose characters are below U+0370, as ``LATIN`` cuts it."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = latin_classes()[np.minimum(data, 0x7F)]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        kind[wide] = kind[wide + 1] = latin_classes()[(data[wide].astype(np.int64) & 0x1F) << 6 | (data[wide + 1] & 0x3F)]
+    border = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)]
+    border[wide + 1] = False
+    quote = np.flatnonzero((data[:-1] == 39) & border[:-1] & (kind[1:] == LETTER))
+    if len(quote):
+        ahead = np.r_[data, np.zeros(2, np.uint8)]
+        a, b = ahead[quote + 1], ahead[quote + 2]
+        two = np.zeros(len(quote), bool)
+        for x, y in TWO_LETTERS:
+            two |= (a == x) & (b == y)
+        one = np.isin(a, list(ONE_LETTER))
+        for hit, size in ((one, 1), (two & ~one, 2)):
+            at = quote[hit]
+            border[at + 1] = False
+            after = at + 1 + size
+            after = after[after < len(data)]
+            border[after[kind[after] == LETTER]] = True
+    cuts = np.flatnonzero(border)
+    ends = np.r_[cuts[1:], len(data)]
+    real = kind[cuts] != BLANK
+    return cuts[real], ends[real]
+
+
+def cut_at_blanks(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(number of the text, part): texts of over ``PART_BYTES`` are cut behind blanks, where every piece ends."""
+    for k, x in enumerate(texts):
+        at = 0
+        while at < len(x):
+            stop = len(x)
+            if stop - at > PART_BYTES:
+                stop = 1 + max(x.rfind(b" ", at, at + PART_BYTES), x.rfind(b"\n", at, at + PART_BYTES)) or len(x)
+            yield k, x[at:stop]
+            at = stop
+
+
+def distinct_pieces(raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each piece's text, a piece with each text). ``raw`` goes on for 16 bytes after the last piece.
+
+    Up to 16 bytes are compared as two words and the length, under a mixed key whose groups are verified; longer ones by themselves.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(start):
+        return none, none
+    words = np.lib.stride_tricks.as_strided(np.frombuffer(raw, "<u8", 1), (len(raw) - 7,), (1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    a = words[start] & masks[np.minimum(size, 8)]
+    b = words[start + 8] & masks[np.clip(size - 8, 0, 8)]
+    key = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + size.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(29)
+    long = np.flatnonzero(size > 16)
+    for k, (s, n) in enumerate(zip(start[long].tolist(), size[long].tolist(), strict=True)):
+        key[long[k]] = hash(raw[s : s + n]) & ((1 << 64) - 1)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    same = (a == a[first][which]) & (b == b[first][which]) & (size == size[first][which])
+    for k in long.tolist():
+        s, t, n = int(start[k]), int(start[first[which[k]]]), int(size[k])
+        same[k] &= raw[s : s + n] == raw[t : t + n]
+    odd = np.flatnonzero(~same)  # two texts under one key: each piece for itself
+    which[odd] = len(first) + np.arange(len(odd))
+    return which, np.r_[first, odd]
+
+
 @functools.cache
 def _second_halves() -> frozenset[str]:
     """Characters that can compose with the one before."""
@@ -201,6 +287,7 @@ class WordBpe:
         self.ints = list(range(len(self.tokens)))  # one object for each id, shared by all cached pieces
         self.pairs: PairTable | None = None
         self.cache = PieceCache(self._made, CACHE)
+        self.by_bytes: dict[bytes, bytes] = {}
         self.packed = PieceCache(lambda p: array("I", self._made(p)).tobytes(), PACKED)
         self.lookahead = self._lookahead(model["merges"])
 
@@ -398,6 +485,74 @@ class WordBpe:
         get = self.packed.__getitem__
         return [array("I", self.encode_ids(t)).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
 
+    def encode_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has.
+
+        Latin texts are cut together, byte by byte in numpy; every distinct piece is merged or looked up once, and ids are
+        gathered by piece. Others take the plain way.
+        """
+        low, plain = [], {}
+        for k, t in enumerate(texts):
+            said, kinds = ("", None) if "<|" in t else self.normalized(t)
+            if kinds is None or kinds or (said and BEYOND_LATIN.search(said)):
+                plain[k], said = np.frombuffer(self.encode_packed([t])[0], "<u4"), ""
+            low.append(said.encode("utf-8", "surrogatepass"))
+        ids, n = self._in_parts(low)
+        if not plain:
+            return ids, n
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for k, x in plain.items():
+            parts[k], n[k] = x, len(x)
+        return np.concatenate(parts), n
+
+    def _in_parts(self, low: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``_latin_ids`` of texts in parts of about ``PART_BYTES``."""
+        ids, n, held, owners, size = [np.zeros(0, "<u4")], np.zeros(len(low), np.int64), [], [], 0
+
+        def flush():
+            found, many = self._latin_ids(held)
+            ids.append(found)
+            np.add.at(n, owners, many)
+
+        for k, part in cut_at_blanks(low):
+            held.append(part)
+            owners.append(k)
+            size += len(part)
+            if size >= PART_BYTES:
+                flush()
+                held, owners, size = [], [], 0
+        if held:
+            flush()
+        return np.concatenate(ids), n
+
+    def _latin_ids(self, low: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = b"\n".join(low) + bytes(16)
+        start, end = latin_pieces(np.frombuffer(raw, np.uint8)[:-16])
+        size = end - start
+        which, first = distinct_pieces(raw, start, size)
+        known, pool = self.by_bytes, []
+        own = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = [p for p in own if p not in known]
+        if new:
+            if len(known) > PACKED:
+                known.clear()
+                new = own
+            short = [p for p in new if len(p) <= WIDTHS[-1]]
+            known.update(zip(short, self.merge_many(short), strict=True))
+            known.update((p, array("I", self._made(p.decode("utf-8", "surrogatepass"))).tobytes()) for p in new if len(p) > WIDTHS[-1])
+        pool = [known[p] for p in own]
+        ids = np.frombuffer(b"".join(pool), "<u4")
+        many = np.fromiter(map(len, pool), np.int64, len(pool)) >> 2
+        for p in own:
+            if len(p) > LONG_PIECE:
+                known.pop(p, None)
+        n = many[which]
+        ends = np.cumsum(n)
+        place = (np.cumsum(many) - many)[which] - (ends - n)
+        out = ids[np.repeat(place, n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.searchsorted(start, np.cumsum([len(x) + 1 for x in low]))  # pieces up to the end of each text
+        return out, np.diff(np.r_[0, np.r_[0, ends][cuts]])
+
     def decimal(self, ids: Iterable[int]) -> str:
         """The ids in decimal, joined by a space."""
         numerals = self.numerals

@@ -30,7 +30,7 @@ BLOCK_TOKENS = 1 << 18
 #: Text of a doc_id range, and the most ranges: beyond that ranges grow.
 RANGE_CHARS, MOST_RANGES = 8 << 20, 50_000
 #: Texts encoded at once.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 4 << 20
 END_ID = 2
 
 
@@ -180,7 +180,7 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches):
-        bpe, end = bpe_of(spec.value), np.array([end_id], "<u4").tobytes()
+        bpe, kind = bpe_of(spec.value), "<u2" if wide <= 1 << 16 else "<u4"
         counts = np.zeros(wide, np.int64)
         turn = 0
 
@@ -191,17 +191,20 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
             return nulls + (low + turn % (high - low) if high > low else low)
 
         def encode(held):
+            """Rows of a group of documents: ids of all of them at once, each with the end id behind it."""
             nonlocal counts, turn
-            rows = []
-            for (doc, _), raw in zip(held, bpe.encode_packed([t for _, t in held]), strict=True):
-                raw += end
-                ids = np.frombuffer(raw, "<u4")
-                rows.append((part_of(doc), doc, zlib.crc32(raw), len(ids), (ids.astype("<u2") if wide <= 1 << 16 else ids).tobytes(), None, None))
-                turn += 1
-                if len(ids) > wide:
-                    counts += np.bincount(ids, minlength=wide)
-            short = b"".join(r[4] for r in rows if r[3] <= wide)
-            counts += np.bincount(np.frombuffer(short, "<u2" if wide <= 1 << 16 else "<u4"), minlength=wide)
+            ids, many = bpe.encode_arrays([t for _, t in held])
+            ends = np.cumsum(many + 1)
+            out = np.full(int(ends[-1]), end_id, "<u4")
+            inner = np.ones(len(out), bool)
+            inner[ends - 1] = False
+            out[inner] = ids
+            counts += np.bincount(out, minlength=wide)
+            rows, raw, lean = [], out.tobytes(), out.astype(kind).tobytes()
+            step, at = np.dtype(kind).itemsize, 0
+            for (doc, _), stop in zip(held, ends.tolist(), strict=True):
+                rows.append((part_of(doc), doc, zlib.crc32(raw[4 * at : 4 * stop]), stop - at, lean[step * at : step * stop], None, None))
+                turn, at = turn + 1, stop
             return batch(rows)
 
         held, size = [], 0

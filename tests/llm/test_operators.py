@@ -540,6 +540,19 @@ def test_token_output(spark, monkeypatch, chars):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("part", [1 << 22, 40])
+def test_pieces_cut_in_numpy(monkeypatch, part):
+    """Ids of texts cut and looked up together are those of the pieces one by one."""
+    monkeypatch.setattr(bpe, "PART_BYTES", part)
+    b, rng = bpe.WordBpe(bpe.read_spec(TOKENIZER)), random.Random(8)
+    some = [*"ab's tmdrevl0123\n-\x00\u00e9\u00b2\u0130\u00df\u03a3\u03ac\u6f22<|>\u0301\x85\xa0 '", "<|endoftext|>", "'re", "'ll", "'s", "'d", "x" * 20, "y" * 600, "dont't", "l'\u00e9t"]
+    for _ in range(600):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 6))]
+        ids, n = b.encode_arrays(texts)
+        want = [b.encode_ids(t) for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and n.tolist() == list(map(len, want)), texts
+
+
 def test_token_output_of_nothing(spark):
     assert token_output.token_output(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
