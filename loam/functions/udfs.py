@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from . import headers
+
 STRING = T.StringType()
 
 
@@ -58,92 +60,15 @@ def title_heading_matches(heading: str, title: str) -> bool:
     return len(heading) >= 60 and len(title) >= 60 and heading[:60] == title[:60]
 
 
-_FENCE = re.compile(r"\A\ufeff?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", re.S)
-
-
-def scalar(raw: str):
-    """bool before float before int before string; quotes dropped."""
-    x = raw.strip()
-    if len(x) >= 2 and x[0] == x[-1] and x[0] in "'\"":
-        return x[1:-1]
-    if x.lower() in ("true", "yes"):
-        return True
-    if x.lower() in ("false", "no"):
-        return False
-    if re.fullmatch(r"-?\d+\.\d+", x):
-        return float(x)
-    if re.fullmatch(r"-?\d+", x):
-        return int(x)
-    return x
-
-
-def inline_list(x: str) -> list:
-    return [scalar(p) for p in re.findall(r"\"[^\"]*\"|'[^']*'|[^,\[\]]+", x[1:-1]) if p.strip()]
-
-
-def yaml_subset(block: str) -> dict:
-    """Tolerant header reader: scalars, inline and block lists, lists of maps, one level of nested map."""
-    out: dict = {}
-    lines = block.split("\n")
-    i = 0
-    while i < len(lines):
-        m = re.match(r"([A-Za-z_][\w-]*):[ \t]*(.*)$", lines[i])
-        i += 1
-        if not m:
-            continue
-        key, value = m[1], m[2].strip()
-        if value.startswith("[") and value.endswith("]"):
-            out[key] = inline_list(value)
-        elif value:
-            out[key] = scalar(value)
-        else:
-            items, inner = [], {}
-            while i < len(lines) and (lines[i].startswith((" ", "\t", "- ")) or not lines[i].strip()):
-                line = lines[i].strip()
-                i += 1
-                if line.startswith("- "):
-                    pair = re.match(r"([A-Za-z_][\w-]*):[ \t]+(.*)$", line[2:])
-                    items.append({pair[1]: scalar(pair[2])} if pair else scalar(line[2:]))
-                elif pair := re.match(r"([A-Za-z_][\w-]*):[ \t]*(.*)$", line):
-                    (items[-1] if items and isinstance(items[-1], dict) else inner)[pair[1]] = scalar(pair[2])
-            out[key] = items or inner or ""
-    return out
-
-
-def read_header(text: str | None) -> tuple[dict, str, str]:
-    """(header, body, mode). Mode: yaml, fallback, or none. Dates become ISO strings."""
-    m = _FENCE.match(text or "")
-    if not m:
-        return {}, text or "", "none"
-    body = text[m.end() :]
-    try:
-        import yaml
-
-        got = yaml.safe_load(m[1])
-        if isinstance(got, dict):
-            return got, body, "yaml"
-    except Exception:  # noqa: BLE001  no parser, or not its YAML: the tolerant reader takes it
-        pass
-    return yaml_subset(m[1]), body, "fallback"
-
-
 def header_of(text: str) -> tuple[dict, bool]:
     """The header, and whether there is one that no reader takes."""
-    m = _FENCE.match(text)
+    m = headers.FENCE.match(text)
     try:
-        got, _, _ = read_header(text)
-        return got, False
+        return headers.read(text)[0], False
     except ValueError:
         return {}, bool(m)
 
 
-@pandas_udf(T.StructType().add("header", STRING).add("body", STRING).add("parse_mode", STRING))
-def header_json(s: pd.Series) -> pd.DataFrame:
-    """Header as JSON text, body, and how it was read."""
-    rows = [read_header(x) for x in s]
-    return pd.DataFrame({"header": [json.dumps(h, default=str, ensure_ascii=False) for h, _, _ in rows], "body": [b for _, b, _ in rows], "parse_mode": [m for _, _, m in rows]})
-
-
 @pandas_udf(STRING)
 def header_text(s: pd.Series) -> pd.Series:
     """A JSON header as header text with its fence."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -66,6 +66,45 @@ def provenance_shape(claims: DataFrame) -> DataFrame:
     return papers.unionByName(marks.select(*finding("yellow", "provenance", F.col("file"), F.format_string("evidence[%d]", F.col("i") + 1))))
 
 
+def anchor_of(heading: Column) -> Column:
+    """Anchor of a heading: lower case, letters, digits, '-' and '_' of any script, blanks as '-'."""
+    plain = F.regexp_replace(F.lower(F.trim(heading)), r"(?U)[^\w\s-]", "")
+    return F.regexp_replace(F.trim(plain), r"\s+", "-")
+
+
+def anchor_index(sources: DataFrame) -> DataFrame:
+    """source, pos, heading, base, anchor, same: the headings of each source outside fenced code. ``base`` is the plain anchor, ``anchor`` is
+    numbered where earlier headings have the same (-1, -2, ...), ``same`` how many headings have it. ``sources``: source, text."""
+    bare = F.regexp_replace("text", r"(?ms)^[ ]{0,3}(`{3,}|~{3,}).*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\z)", "")
+    heads = F.regexp_extract_all(bare, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"), F.lit(1))
+    each = sources.select("source", F.posexplode(heads).alias("pos", "heading")).withColumn("base", anchor_of(F.col("heading"))).filter("base <> ''")
+    same = Window.partitionBy("source", "base")  # headings of one text
+    n = F.row_number().over(same.orderBy("pos")) - 1
+    return each.withColumns({"anchor": F.when(n > 0, F.concat_ws("-", "base", n.cast("string"))).otherwise(F.col("base")), "same": F.count(F.lit(1)).over(same)})
+
+
+def anchors(claims: DataFrame, index: DataFrame) -> DataFrame:
+    """Evidence items without an anchor (nor a ``source_anchor:`` mark in their detail), with one that no heading of the source has, or with
+    one that several headings have. ``claims``: file, evidence (source, source_anchor, detail); ``index``: ``anchor_index``.
+
+    An anchor is quoted as heading text or as '#anchor'; the latter, and a numbered one, name one heading and are never ambiguous.
+    """
+    items = claims.select("file", F.posexplode("evidence").alias("i", "e")).select("file", (F.col("i") + 1).alias("i"), "e.source", F.trim(F.coalesce("e.source_anchor", F.lit(""))).alias("said"), F.coalesce("e.detail", F.lit("")).alias("detail"))
+    none = items.filter((F.col("said") == "") & ~F.col("detail").rlike(r"(?i)source_anchor\s*:"))
+    quoted = items.filter("said <> ''").withColumn("anchor", anchor_of(F.col("said")))
+    there = index.select("source", "anchor", F.when(F.col("anchor") == F.col("base"), F.col("same")).otherwise(1).alias("same")).groupBy("source", "anchor").agg(F.max("same").alias("same"))
+    met = quoted.join(there, ["source", "anchor"], "left")
+    lost = met.filter("same IS NULL")
+    many = met.filter((F.col("same") > 1) & ~F.col("said").startswith("#"))
+    at = F.format_string("evidence[%d]", F.col("i"))
+    said = F.concat(at, F.lit(": "), F.coalesce("source", F.lit("")), F.lit("#"), F.col("said"))
+    return (
+        none.select(*finding("red", "missing-source-anchor", F.col("file"), at))
+        .unionByName(lost.select(*finding("red", "anchor-not-found", F.col("file"), said)))
+        .unionByName(many.select(*finding("yellow", "anchor-ambiguous", F.col("file"), F.concat(said, F.lit(" ("), F.col("same").cast("string"), F.lit(" headings)")))))
+    )
+
+
 def failed_without_reason(ideas: DataFrame) -> DataFrame:
     bad = (F.col("status") == "failed") & (F.trim(F.coalesce("failure_reason", F.lit(""))) == "")
     return ideas.filter(bad).select(*finding("red", "failure-reason", F.col("file"), F.lit("failed idea without failure_reason")))

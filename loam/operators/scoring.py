@@ -144,9 +144,13 @@ def half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 
 
-def entry_preference(fmt: Column, abstract: Column) -> Column:
-    """Sort key of duplicate entries: format rank, then length of the abstract."""
-    rank = F.when(fmt == "md", 3).when(fmt == "tex", 2).when(fmt == "pdf", 1).otherwise(0)
+def entry_preference(original: Column, ingested: Column, abstract: Column) -> Column:
+    """Sort key of duplicate entries: rank of the formats, then length of the abstract."""
+    said = F.coalesce(original, F.lit("")), F.coalesce(ingested, F.lit(""))
+    rank = (
+        F.when((said[0] == "tex") & (said[1] == "tex"), 4).when(said[0].isin("archive", "directory") & said[1].isin("tex", "directory"), 3)
+        .when((said[0] == "pdf") & (said[1] == "tex"), 2).when(said[1] == "pdf", 1).when(said[1].isin("mineru-md", "directory"), 3).otherwise(0)
+    )
     return F.struct(rank.alias("rank"), F.length(F.coalesce(abstract, F.lit(""))).alias("abstract"))
 
 

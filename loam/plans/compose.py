@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -76,6 +76,81 @@ def context_pack(spark: SparkSession, lines: DataFrame, purpose: str, most_chars
     return whole.select("pos", "section", F.left("text", F.col("taken")).alias("text")).orderBy("pos")
 
 
+#: Headings of the sections of a context pack, with the number of rows where they say it.
+PACK_HEADINGS = {
+    "claims": "## Claims (%d total)", "gaps": "## Open Gaps", "failed": "## Failed Ideas (avoid repeating)", "papers": "## Papers (%d total)",
+    "experiments": "## Experiments (%d total)", "edges": "## Recent Relationships (%d total)", "stale": "## Stale Entities",
+}
+
+
+def context_lines(pages: DataFrame, edges: DataFrame, gaps: DataFrame, as_of: str) -> DataFrame:
+    """section, rank, line, total: what each section of a context pack chooses, in its own order; ``total`` are all its rows.
+
+    claims by degree, then path; gaps the lines that are no headings; failed (or rejected) ideas, experiments by path; papers the 15 of
+    highest degree; edges the last 25 in file order; stale the first 10 pages, by kind and path, whose last date is over 30 days
+    before ``as_of``. ``pages``: kind, slug, path, header (map); ``edges``: from_id, to_id, type, _ord; ``gaps``: _ord, line. No section keeps more
+    rows than the largest budget has characters, so nothing here grows with the corpus but the counts.
+    """
+    most = max(max(b) for b in model.CONTEXT_BUDGETS.values())
+    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    at = lambda k: F.nullif(F.try_element_at("header", F.lit(k)), F.lit(""))
+    title = F.coalesce(at("title"), "slug")
+    of = lambda k: pages.filter(F.col("kind") == k)
+    ranked = lambda k: of(k).withColumn("node", F.concat(F.lit(f"{k}/"), "slug")).join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    joined = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    after = lambda mark, c, end="": F.coalesce(F.concat(F.lit(mark), c, F.lit(end)), F.lit(""))
+    date = F.coalesce(at("date_updated"), at("date_added"), at("date_proposed"))
+    day = F.when(date.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), date.try_cast("date"))
+    old = pages.withColumn("_day", day).filter(F.col("_day").cast("timestamp") < F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 30 DAYS"))
+    kind = F.array_position(F.array(*map(F.lit, model.KINDS)), F.col("kind"))
+    path = F.col("path")
+    parts = {
+        "claims": (ranked("claims"), [F.col("degree").desc(), path], joined("- [", F.coalesce(at("status"), F.lit("unknown")), "] ", title, " (conf: ", F.coalesce(at("confidence"), F.lit("?")), ")"), most),
+        "gaps": (gaps.filter(~F.col("line").startswith("#") & (F.trim("line") != "")), [F.col("_ord")], F.col("line"), most),
+        "failed": (of("ideas").filter(at("status").isin("failed", "rejected")), [path], joined("- ", title, after(" — ", at("failure_reason"))), most),
+        "papers": (ranked("papers"), [F.col("degree").desc(), path], joined("- [", F.coalesce(at("importance"), F.lit("?")), "] ", title, after(" (", at("domain"), ")")), 15),
+        "experiments": (of("experiments"), [path], joined("- [", F.coalesce(at("status"), F.lit("")), "] ", title, after(" → ", at("target_claim")), after(" (", at("outcome"), ")")), most),
+        "edges": (edges, [F.col("_ord").desc()], joined("  ", F.col("from_id"), " --", F.col("type"), "--> ", F.col("to_id")), 25),
+        "stale": (old, [kind, path], joined("- ", F.col("kind"), "/", F.col("slug"), " (last: ", date, ")"), 10),
+    }
+    out = []
+    for name, (rows, order, line, k) in parts.items():
+        best = windows.top_k(rows.withColumn("line", line), k, *order)
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # over k rows
+        best = best.select(F.lit(name).alias("section"), (-rank if name == "edges" else rank).alias("rank"), "line")
+        out.append(best.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))))  # one row: the count
+    return quality.union_all(out).drop("rule_order")
+
+
+def compile_context(spark: SparkSession, pages: DataFrame, edges: DataFrame, gaps: DataFrame, purposes: list[str], as_of: str, most_chars: int = 8000) -> DataFrame:
+    """purpose, text: the context pack of each purpose, from one gathering of the seven sections (``context_lines``).
+
+    A section is its heading and its lines, cut to the budget that the purpose gives it; one without rows or budget is left out. Sections
+    follow one another while the whole fits ``most_chars``; the first that does not is cut with a mark if over 100 characters are left, and
+    nothing follows it. A purpose that is not known has the budgets of ``general``.
+    """
+    lines = context_lines(pages, edges, gaps, as_of).checkpoint()
+    budgets = model.budgets_table(spark)
+    known = [r[0] for r in budgets.select("purpose").distinct().collect()]  # the registry
+    wanted = spark.createDataFrame([(p, p if p in known else "general") for p in purposes], "purpose string, of string")
+    of = wanted.join(budgets.withColumnRenamed("purpose", "of"), "of").filter("budget > 0").drop("of")
+    text = lines.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("total").alias("total"))  # bounded by the largest budget
+    heading = F.element_at(F.create_map(*[F.lit(x) for kv in PACK_HEADINGS.items() for x in kv]), F.col("section"))
+    part = F.concat(F.replace(heading, F.lit("%d"), F.col("total").cast("string")), F.lit("\n"), F.left("text", F.col("budget")), F.lit("\n"))
+    parts = of.join(text, "section").groupBy("purpose").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))  # seven of each purpose
+
+    def put(s, p):
+        fits = F.length(s["pack"]) + F.length(p["part"]) <= most_chars
+        left = F.lit(most_chars - 25) - F.length(s["pack"])
+        cut = F.when(left > 100, F.concat(s["pack"], F.substring(p["part"], F.lit(1), left), F.lit("\n...(truncated)\n"))).otherwise(s["pack"])
+        return F.when(s["full"], s).when(fits, F.struct(F.concat(s["pack"], p["part"]).alias("pack"), F.lit(False).alias("full"))).otherwise(F.struct(cut.alias("pack"), F.lit(True).alias("full")))
+
+    head = F.concat(F.lit("# Query Pack ("), F.col("purpose"), F.lit(")\n\n_Auto-generated compressed context. Do not edit._\n\n"))
+    found = wanted.select("purpose").join(parts, "purpose", "left")
+    none = F.array().cast("array<struct<pos:int,part:string>>")
+    return found.select("purpose", F.aggregate(F.coalesce("parts", none), F.struct(head.alias("pack"), F.lit(False).alias("full")), put, lambda s: s["pack"]).alias("text"))
+
+
 def collection_listing(spark: SparkSession, tree: DataFrame, wanted: str, collection_items: DataFrame, items: DataFrame, deleted: DataFrame, recursive: bool = True) -> DataFrame:
     """Items of the collection whose path ends with ``wanted`` ('a/b'), with those below it; none or several is an error.
 

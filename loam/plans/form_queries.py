@@ -251,8 +251,8 @@ def anchor_scores(spark: SparkSession, d: str) -> DataFrame:
   SELECT user_id, arg_max(event_id, (r, n, -event_id)) AS event_id FROM k GROUP BY 1""")
 def entry_choice(spark: SparkSession, d: str) -> DataFrame:
     """The best of duplicate entries by format, then by the length of the abstract."""
-    f = F.when(F.col("event_type") == "view", "md").when(F.col("event_type") == "click", "tex").when(F.col("event_type") == "error", "pdf").otherwise("x")
-    e = table(spark, d, "events").select("user_id", "event_id", S.entry_preference(f, F.col("props")).alias("p"))
+    f = F.when(F.col("event_type") == "view", "mineru-md").when(F.col("event_type") == "click", "tex").when(F.col("event_type") == "error", "pdf").otherwise("x")
+    e = table(spark, d, "events").select("user_id", "event_id", S.entry_preference(F.lit("pdf"), f, F.col("props")).alias("p"))
     return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("p", -F.col("event_id"))).alias("event_id"))
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import commits, edits, graph
+from ..functions import headers
+from ..operators import commits, edits, graph, quality
 from ..session import shared_folder
-from ..sources import works
+from ..sources import tables, works
 from ..sources.tables import table
+from . import compose
 from .registry import query
 
 
@@ -131,3 +133,90 @@ def graph_remap(spark: SparkSession, d: str) -> DataFrame:
     assert last == first + 1
     both = store.read("edges").withColumn("table", F.lit("edges")).select("table", "from_id", "to_id", "_ord").unionByName(store.read("citations").withColumn("table", F.lit("citations")).select("table", "from_id", "to_id", "_ord"))
     return both.withColumnRenamed("_ord", "ord")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{}' ELSE '{"title": "T: ' || doc_id || '", "n": ' || doc_id || ', "bad": "[open", "ratio": 0.5, "ok": true, "tags": ["a", "b, c", 2], "evidence": [{"source": "s' || doc_id || '", "pages": [3, {"deep": "d"}]}, "plain"], "setup": {"inner": {"model": "' || coalesce(lang, '?') || '"}}, "note": "one\\n two", "last": ""}' END AS header,
+  CASE WHEN doc_id % 9 = 0 THEN '{}' ELSE '{"title": "\\"T: ' || doc_id || '\\" # said", "n": "' || doc_id || '", "bad": "[open", "ratio": "0.5", "ok": "yes", "tags": ["a", "b", "c", "2"], "evidence": ["source: s' || doc_id || '", "3", "deep: d", "plain"], "setup": [], "note": "|", "last": []}' END AS lint,
+  CASE WHEN doc_id % 9 = 0 THEN 'none' ELSE 'fallback' END AS mode, CASE WHEN doc_id % 9 = 0 THEN 'none' ELSE 'lint' END AS lint_mode, sha256(CASE WHEN doc_id % 9 = 0 THEN '--- no header' || chr(10) ELSE '' END || coalesce(text, '')) AS body FROM documents""")
+def header_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Headers that are no YAML (a list is open) over whole texts, by both readers: types and nesting, and the lint's texts and lists."""
+    n = F.col("doc_id")
+    head = text(
+        '---\ntitle: "T: ', n, '" # said\n# a comment\nn: ', n, '\nbad: [open\nratio: 0.5\nok: yes\ntags: [a, "b, c", 2]\nevidence:\n  - source: s', n, "\n    pages:\n      - 3\n      - deep: d\n  - plain\nsetup:\n  inner:\n    model: ",
+        F.coalesce("lang", F.lit("?")), "\nnote: |\n  one\n   two\n   stray line\nlast:\n---\n",
+    )
+    head = F.replace(head, F.lit("   stray line\n"), F.lit(""))
+    page = text(F.when(n % 9 == 0, "--- no header\n").otherwise(head), F.coalesce("text", F.lit("")))
+    both = table(spark, d, "documents").select("doc_id", page.alias("page")).withColumns({"h": headers.header_json("page"), "l": headers.lint_header_json("page")})
+    return both.select("doc_id", F.col("h.header").alias("header"), F.col("l.header").alias("lint"), F.col("h.parse_mode").alias("mode"), F.col("l.parse_mode").alias("lint_mode"), F.sha2("h.body", 256).alias("body"))
+
+
+_PACK_SQL = """WITH d AS (SELECT doc_id, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS slug, doc_id % 4 AS m, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source FROM documents),
+  e AS (SELECT 'papers/d' || lpad((doc_id - doc_id % 4 + 1)::VARCHAR, 9, '0') AS f, 'claims/d' || lpad((doc_id - doc_id % 8)::VARCHAR, 9, '0') AS t, doc_id FROM documents),
+  g AS (SELECT node, count(*) AS n FROM (SELECT f AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1),
+  l AS (SELECT 0 AS pos, row_number() OVER (ORDER BY coalesce(n, 0) DESC, slug) AS k, '- [' || lang || '] T' || doc_id || ' (conf: ' || CASE WHEN doc_id % 8 = 0 THEN '0.5' ELSE '?' END || ')' AS line, 10000 AS most FROM d LEFT JOIN g ON node = 'claims/' || slug WHERE m = 0
+    UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id), 'gap ' || doc_id, 10000 FROM d WHERE doc_id % 5 > 1
+    UNION ALL SELECT 2, row_number() OVER (ORDER BY slug), '- ' || slug || CASE WHEN doc_id % 8 = 2 THEN ' — why ' || lang ELSE '' END, 10000 FROM d WHERE m = 2 AND doc_id % 3 < 2
+    UNION ALL SELECT 3, row_number() OVER (ORDER BY coalesce(n, 0) DESC, slug), '- [' || doc_id % 5 || '] T' || doc_id || ' (' || source || ')', 15 FROM d LEFT JOIN g ON node = 'papers/' || slug WHERE m = 1
+    UNION ALL SELECT 4, row_number() OVER (ORDER BY slug), '- [planned] T' || doc_id || ' → c' || CASE WHEN doc_id % 8 = 3 THEN ' (failed)' ELSE '' END, 10000 FROM d WHERE m = 3
+    UNION ALL SELECT 5, row_number() OVER (ORDER BY doc_id DESC), '  ' || f || ' --supports--> ' || t, 25 FROM e
+    UNION ALL SELECT 6, row_number() OVER (ORDER BY m IN (2, 3, 0), m = 3 OR m = 0, m = 0, slug), '- ' || ['claims', 'papers', 'ideas', 'experiments'][m + 1] || '/' || slug || ' (last: 2024-01-0' || 1 + doc_id % 9 || ')', 10 FROM d WHERE doc_id % 50 = 7),
+  s AS (SELECT pos, count(*) AS total, string_agg(line, chr(10) ORDER BY CASE WHEN pos = 5 THEN -k ELSE k END) FILTER (k <= most) AS body FROM l GROUP BY pos),
+  b(purpose, budgets) AS (VALUES ('ideation', [1500, 2000, 2000, 1000, 500, 500, 500]), ('writing', [2000, 500, 200, 2500, 500, 800, 0]), ('other', [2000, 1500, 1500, 2000, 0, 1000, 0])),
+  p AS (SELECT purpose, pos, CASE pos WHEN 0 THEN '## Claims (' || total || ' total)' WHEN 1 THEN '## Open Gaps' WHEN 2 THEN '## Failed Ideas (avoid repeating)' WHEN 3 THEN '## Papers (' || total || ' total)' WHEN 4 THEN '## Experiments (' || total || ' total)'
+      WHEN 5 THEN '## Recent Relationships (' || total || ' total)' ELSE '## Stale Entities' END || chr(10) || left(body, budgets[pos + 1]) || chr(10) AS part, '# Query Pack (' || purpose || ')' || chr(10) || chr(10) || '_Auto-generated compressed context. Do not edit._' || chr(10) || chr(10) AS head FROM s, b WHERE budgets[pos + 1] > 0),
+  c AS (SELECT *, length(head) + sum(length(part)) OVER (PARTITION BY purpose ORDER BY pos) AS upto FROM p), o AS (SELECT *, min(CASE WHEN upto > MOST THEN pos END) OVER (PARTITION BY purpose) AS first_over FROM c),
+  w AS (SELECT purpose, head, string_agg(part, '' ORDER BY pos) FILTER (first_over IS NULL OR pos < first_over) AS whole, max(part) FILTER (pos = first_over) AS last, max(MOST - 25 - (upto - length(part))) FILTER (pos = first_over) AS room FROM o GROUP BY purpose, head)
+  SELECT purpose, head || coalesce(whole, '') || CASE WHEN room > 100 THEN left(last, room::BIGINT) || chr(10) || '...(truncated)' || chr(10) ELSE '' END AS text FROM w""".replace("MOST", "5000")
+
+
+@query(_PACK_SQL)
+def context_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Context packs for three purposes from one gathering of seven sections, cut to 5,000 characters."""
+    docs, n = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source")), F.col("doc_id")
+    slug = lambda x: text("d", F.lpad(x.cast("string"), 9, "0"))
+    none, title = F.lit(None).cast("string"), text("T", n)
+    old = F.when(n % 50 == 7, text("2024-01-0", 1 + n % 9)).when(n % 50 == 9, "2024-1-x").otherwise("2024-03-01")
+    fields = {
+        "title": F.when(n % 4 != 2, title), "status": F.when(n % 4 == 0, F.col("lang")).when(n % 4 == 2, F.when(n % 3 == 0, "failed").when(n % 3 == 1, "rejected").otherwise("open")).when(n % 4 == 3, "planned"), "confidence": F.when(n % 8 == 0, "0.5"),
+        "failure_reason": F.when(n % 8 == 2, text("why ", F.col("lang"))).otherwise(""), "importance": (n % 5).cast("string"), "domain": F.col("source"), "target_claim": F.lit("c"), "outcome": F.when(n % 8 == 3, "failed").otherwise(none),
+        "date_updated": F.when(n % 50 != 7, old).otherwise(""), "date_added": old,
+    }
+    kind = F.element_at(F.array(*map(F.lit, ("claims", "papers", "ideas", "experiments"))), (n % 4 + 1).cast("int"))
+    header = F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    pages = docs.select(kind.alias("kind"), slug(n).alias("slug"), text(kind, "/", slug(n), ".md").alias("path"), header.alias("header"))
+    edges = docs.select(text("papers/", slug(n - n % 4 + 1)).alias("from_id"), text("claims/", slug(n - n % 8)).alias("to_id"), F.lit("supports").alias("type"), n.alias("_ord"))
+    gaps = docs.select(n.alias("_ord"), F.when(n % 5 == 0, "## a heading").when(n % 5 == 1, "  ").otherwise(text("gap ", n)).alias("line"))
+    return compose.compile_context(spark, pages, edges, gaps, ["ideation", "writing", "other"], "2024-03-10", 5000)
+
+
+@query("""WITH q AS (SELECT doc_id, doc_id % 7 AS m FROM documents) SELECT doc_id AS file, CASE m WHEN 0 THEN 'anchor-ambiguous' WHEN 3 THEN 'anchor-not-found' WHEN 4 THEN 'missing-source-anchor' ELSE 'anchor-not-found' END AS category,
+  CASE m WHEN 0 THEN 'evidence[2]: s' || doc_id || '#Alpha: Beta (3 headings)' WHEN 3 THEN 'evidence[2]: s' || doc_id || '#alpha-beta-3' WHEN 4 THEN 'evidence[2]' ELSE 'evidence[2]: s' || doc_id || '#Hidden' END AS message FROM q WHERE m IN (0, 3, 4, 6)""")
+def anchor_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted anchors against the headings of whole sources: missing, ambiguous and not given."""
+    n = F.col("doc_id")
+    body = text("# Alpha, beta\n", F.coalesce("text", F.lit("")), "\n```\n# Hidden\n```\n## Alpha -  Beta ##\n### alpha beta\n## alpha--beta\n## Último: año ", n, "\n")
+    body = F.replace(body, F.lit("## Alpha -  Beta ##"), F.lit("## *Alpha* Beta ##"))
+    sources = table(spark, d, "documents").select(text("s", n).alias("source"), body.alias("text"))
+    said = F.element_at(F.array(F.lit("Alpha: Beta"), F.lit("#alpha-beta"), F.lit("Alpha beta-2"), F.lit("alpha-beta-3"), F.lit(""), F.lit(" "), F.lit("Hidden")), (n % 7 + 1).cast("int"))
+    item = lambda s, dt: F.struct(text("s", n).alias("source"), s.alias("source_anchor"), dt.alias("detail"))
+    evidence = F.array(item(text("último año ", n), F.lit("x")), item(said, F.when(n % 7 == 5, "Source_Anchor : p. 3").otherwise("d")))
+    claims = table(spark, d, "documents").select(n.alias("file"), evidence.alias("evidence"))
+    return quality.anchors(claims, quality.anchor_index(sources)).select("file", "category", "message")
+
+
+@query("""WITH e AS (SELECT doc_id AS o, doc_id - doc_id % 5 AS id, doc_id % 5 AS m, coalesce(n_chars, 0) AS n, coalesce(lang, '?') AS lang FROM documents),
+  r AS (SELECT *, CASE m WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 3 END AS rank, CASE WHEN m = 3 THEN 7 ELSE 7 + n % 2 END AS len FROM e),
+  w AS (SELECT *, max((rank, len)) OVER (PARTITION BY id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r),
+  k AS (SELECT *, best IS NULL OR (rank, len) > best AS wins FROM w), l AS (SELECT *, max(CASE WHEN wins THEN o END) OVER (PARTITION BY id ORDER BY o) AS kept FROM k),
+  s AS (SELECT id, 'w' || lang AS x FROM l UNION SELECT id, 'duplicate local source skipped in favor of preferred source: raw/' || kept FROM l WHERE best IS NOT NULL)
+  SELECT 'c' || id AS id, 'raw/' || max(kept) AS source_path, (SELECT string_agg(x, '|' ORDER BY x) FROM s WHERE s.id = l.id) AS warnings FROM l GROUP BY id""")
+def merged_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of several readers merged by preference, with the warnings of all."""
+    n = F.col("doc_id")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (n % 5 + 1).cast("int"))
+    e = table(spark, d, "documents").select(
+        text("c", n - n % 5).alias("id"), pick("pdf", "md", "pdf", "archive", "x").alias("original_format"), pick("pdf", "md", "tex", "tex", "mineru-md").alias("ingest_format"),
+        F.when((n % 5 != 3) & (F.coalesce("n_chars", F.lit(0)) % 2 == 1), "8 signs.").otherwise("7 signs").alias("abstract"), text("raw/", n).alias("source_path"), F.array(text("w", F.coalesce("lang", F.lit("?")))).alias("warnings"), n.alias("_ord"),
+    )
+    return tables.preferred_entries(e).select("id", "source_path", F.array_join("warnings", "|").alias("warnings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -160,12 +160,26 @@ def legacy_log(logs: DataFrame) -> DataFrame:
 
 
 def preferred_entries(entries: DataFrame) -> DataFrame:
-    """One entry of each id: the strictly preferred, else the first; warnings of all united."""
+    """One entry for each id out of several readers' (columns id, original_format, ingest_format, abstract, source_path, warnings, _ord, ...).
+
+    Entries are met in ``_ord``; a later one wins only if it is strictly preferred. Its ``warnings`` are those of all, and one for each entry
+    in favor of which another was skipped; sorted and distinct, so that neither partitions nor the order of input show.
+    """
     from ..operators.scoring import entry_preference
 
-    pref = entry_preference(F.col("format"), F.col("abstract"))
+    w = Window.partitionBy("id").orderBy("_ord")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    seen = entries.withColumn("_p", entry_preference(F.col("original_format"), F.col("ingest_format"), F.col("abstract")))
+    seen = seen.withColumn("_best", F.max("_p").over(before))
+    wins = F.col("_best").isNull() | (F.col("_p") > F.col("_best"))
+    # the winner so far, at every row but the first, is the one that the other was skipped for
+    seen = seen.withColumn("_wins", wins).withColumn("_kept", F.last(F.when(wins, F.col("source_path")), ignorenulls=True).over(w))
+    said = F.when(F.col("_best").isNotNull(), F.concat(F.lit("duplicate local source skipped in favor of preferred source: "), "_kept"))
     rest = [c for c in entries.columns if c not in ("id", "warnings")]
-    return entries.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(pref.alias("p"), -F.col("_ord"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("warnings")).select("id", "r.*", "warnings")
+    own = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array_compact(F.array(said)))
+    each = seen.select("id", F.when(F.col("_wins"), F.struct(*rest)).alias("_r"), F.col("_ord").alias("_o"), F.explode_outer(own).alias("_w"))
+    best = each.groupBy("id").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_o"))).alias("r"), F.sort_array(F.collect_set("_w")).alias("warnings"))
+    return best.select("id", "r.*", "warnings")
 
 
 _DATE = "struct<`date-parts`:array<array<int>>>"

@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.udfs import header_json
+from ..functions import markdown
+from ..functions.headers import header_json
 from ..operators import predicates
 from ..operators.windows import dense_ordinal
 
@@ -45,6 +48,50 @@ def unreadable(spark: SparkSession, roots: list[str]) -> DataFrame:
     return files(spark, roots).filter(F.try_validate_utf8(F.col("raw").cast("string")).isNull()).select("path", F.lit("blocked").alias("status"))
 
 
+def disjoint(roots: list[str]) -> list[str]:
+    """The paths that no other one contains, in order: a folder takes in all below it, a path that is named twice stays once."""
+    out: list[str] = []
+    for r in sorted({re.sub(r"/+$", "", r) or "/" for r in roots}, key=lambda r: r.split("/")):
+        if not (out and (r == out[-1] or r.startswith(out[-1].rstrip("/") + "/"))):
+            out.append(r)
+    return out
+
+
+def scan_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, sha256, status, text, body_characters of every Markdown file below or at the paths, each once, however they overlap.
+
+    Bytes that are no UTF-8 are not dropped or replaced: the row is blocked, and text and body_characters are null. Copies left by sync conflicts
+    are left out. A path that is not there, a file that is no Markdown and a folder without any are errors, before anything is read.
+    """
+    P, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for at in paths:
+        fs = P(at).getFileSystem(conf)
+        if not fs.exists(P(at)) or fs.getFileStatus(P(at)).isFile() and not at.lower().endswith(".md"):
+            raise ValueError(f"no Markdown source: {at}")
+        if fs.getFileStatus(P(at)).isDirectory() and files(spark, [at], "*.[mM][dD]", True).limit(1).count() == 0:
+            raise ValueError(f"no Markdown sources in {at}")
+    found = files(spark, disjoint(paths), "*.[mM][dD]", True).filter(predicates.not_conflict_copy(F.col("name")))
+    text = F.try_validate_utf8(F.col("raw").cast("string"))
+    out = found.select("path", F.sha2("raw", 256).alias("sha256"), text.alias("text"))
+    body = F.regexp_replace("text", r"(?s)\A\x{feff}?---[^\S\n]*\n.*?\n(?:---|\.\.\.)[^\S\n]*(?:\n|\z)", "")
+    return out.select("path", "sha256", F.when(F.col("text").isNull(), "blocked").otherwise("read").alias("status"), "text", F.length(F.trim(body)).cast("long").alias("body_characters"))
+
+
+def scan_findings(scanned: DataFrame, images: Column | None = None) -> DataFrame:
+    """path, rule, severity, scope, line, column: what screening says of read files; a blocked one has one finding, invalid-utf8."""
+    rows = scanned.filter("status = 'read'").select("path", F.explode(markdown.screen(F.col("text"), images if images is not None else F.lit(None).cast("array<string>"))).alias("f")).select("path", "f.*")
+    bad = scanned.filter("status = 'blocked'").select("path", F.lit("invalid-utf8").alias("rule"), F.lit("red").alias("severity"), F.lit("document").alias("scope"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    return rows.unionByName(bad)
+
+
+def scan_summary(scanned: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files, with_findings, with_red, blocked."""
+    per_file = findings.groupBy("path").agg(F.bool_or(F.col("severity") == "red").alias("red"))
+    return scanned.select("path", "status").join(per_file, "path", "left").agg(
+        F.count(F.lit(1)).alias("files"), F.count("red").alias("with_findings"), F.count_if("red").alias("with_red"), F.count_if(F.col("status") == "blocked").alias("blocked")
+    )
+
+
 def fields(pages_: DataFrame, names: list[str]) -> DataFrame:
     """Typed view: a string column for each header field, null where absent."""
     return pages_.select("kind", "slug", "path", "body", "_ord", *[F.try_variant_get("header", f"$.{n}", "string").alias(n) for n in names])

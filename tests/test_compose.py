@@ -116,3 +116,17 @@ def test_small_pieces(spark):
     assert [r.x for r in df.select(compose.weekly_name(F.col("n")).alias("x")).collect()] == ["2024-05-w2", None, None]
     b = spark.range(1).select(compose.bibtex(F.lit("article"), F.lit("k"), {"title": F.lit("T"), "year": F.lit("")}, F.lit(True)).alias("b")).first().b
     assert b == "@article{k,\n  title = {T},\n  note = {UNCONFIRMED}\n}"
+
+
+def test_context_pack_of_nothing_and_cut(spark):
+    pages = spark.createDataFrame([("claims", f"c{i}", f"claims/c{i}.md", {"title": "x" * 50}) for i in range(30)], "kind string, slug string, path string, header map<string,string>")
+    edges = spark.createDataFrame([("claims/c7", "claims/c9", "supports", 0), ("claims/c7", "papers/p", "supports", 1)], "from_id string, to_id string, type string, _ord long")
+    gaps = spark.createDataFrame([], "_ord long, line string")
+    got = {r.purpose: r.text for r in compose.compile_context(spark, pages, edges, gaps, ["ideation", "nope"], "2024-01-01", 700).collect()}
+    lines = got["ideation"].split("\n")
+    assert lines[4] == "## Claims (30 total)" and len(got["ideation"]) <= 700 and got["ideation"].endswith("\n...(truncated)\n")
+    assert got["nope"].startswith("# Query Pack (nope)")
+    whole = compose.compile_context(spark, pages, edges, gaps, ["ideation"], "2024-01-01").first().text
+    assert "## Recent Relationships (2 total)\n  claims/c7 --supports--> claims/c9\n  claims/c7 --supports--> papers/p\n" in whole and "Gaps" not in whole
+    empty = compose.compile_context(spark, pages.limit(0), edges.limit(0), gaps, ["ideation"], "2024-01-01").first().text
+    assert empty == "# Query Pack (ideation)\n\n_Auto-generated compressed context. Do not edit._\n\n"

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.functions import markdown, udfs
+from loam.functions import headers, markdown
 from loam.operators import sinks
 from loam.sources import tables, vault
 
@@ -79,13 +79,13 @@ def test_append_log_twice(spark, tmp_path):
 
 
 def test_header_reader():
-    h, body, mode = udfs.read_header('---\ntitle: "A: b"\nn: 3\nf: 0.5\nok: yes\ntags: [a, "b, c"]\nevidence:\n  - source: x\n    strength: strong\nsetup:\n  model: m\n---\nrest')
+    h, body, mode = headers.read('---\ntitle: "A: b"\nn: 3\nf: 0.5\nok: yes\ntags: [a, "b, c"]\nevidence:\n  - source: x\n    strength: strong\nsetup:\n  model: m\n---\nrest')
     assert body == "rest"
     assert h["title"] == "A: b" and h["n"] == 3 and h["tags"] == ["a", "b, c"]
     assert h["evidence"] == [{"source": "x", "strength": "strong"}] and h["setup"] == {"model": "m"}
     assert mode in ("yaml", "fallback")
-    assert udfs.yaml_subset("a: no\nb: -2\nc: -1.5\nd:\n  - x\n  - 2") == {"a": False, "b": -2, "c": -1.5, "d": ["x", 2]}
-    assert udfs.read_header(None) == ({}, "", "none")
+    assert headers.subset("a: no\nb: -2\nc: -1.5\nd:\n  - x\n  - 2") == {"a": False, "b": -2, "c": -1.5, "d": ["x", 2]}
+    assert headers.read(None) == ({}, "", "none")
 
 
 @settings(max_examples=100, deadline=None)
@@ -94,3 +94,96 @@ def test_masks_keep_offsets_and_repairs_settle(text):
     assert len(markdown.mask_noncontent(text)) == len(text)
     once, _ = markdown.repair_math(text)
     assert isinstance(once, str)
+
+
+HEADER = """title: "A: b" # c
+n: 3
+f: 0.5
+ok: yes
+tags: [a, "b, c", 2, [x]]
+evidence:
+  - source: x
+    strength: strong   # note
+    more:
+      - 1
+      - deep: no
+  - source: y
+  -
+setup:
+  model: m
+  nested:
+    a: 1
+flat:
+- p
+- q: r
+# comment
+note: |
+  two
+   lines
+
+  end
+fold: >-
+  a
+  b
+url: http://x.y/z#a
+tight:value
+   stray: 1
+- lost
+empty:
+last: no"""
+
+
+def test_both_header_readers_on_one_header():
+    assert headers.subset(HEADER) == {
+        "title": "A: b", "n": 3, "f": 0.5, "ok": True, "tags": ["a", "b, c", 2, ["x"]], "evidence": [{"source": "x", "strength": "strong", "more": [1, {"deep": False}]}, {"source": "y"}, ""],
+        "setup": {"model": "m", "nested": {"a": 1}}, "flat": ["p", {"q": "r"}], "note": "two\n lines\n\nend", "fold": "a b", "url": "http://x.y/z#a", "tight": "value", "empty": "", "last": False,
+    }
+    lint = headers.lint_fields(HEADER)
+    assert lint["title"] == '"A: b" # c' and lint["n"] == "3" and lint["ok"] == "yes" and lint["empty"] == []
+    assert lint["evidence"] == ["source: x", "1", "deep: no", "source: y"] and lint["setup"] == [] and lint["flat"] == ["p", "q: r"]
+    assert headers.read(f"---\n{HEADER}\nbad: [open\n---\nx")[2] == "fallback" and headers.read(f"---\n{HEADER}\nbad: [open\n---\nx", lint=True)[2] == "lint"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab:-# \n[]\"'|>\t1.", max_size=80))
+def test_header_readers_never_fail(block):
+    assert isinstance(headers.subset(block), dict) and isinstance(headers.lint_fields(block), dict)
+    deep = headers.subset("\n".join(" " * i + f"k{i}:" for i in range(500)))
+    assert list(deep) == ["k0"]
+
+
+def test_scan_of_overlapping_paths(spark, tmp_path):
+    top = tmp_path / "top"
+    (top / "in" / "deep").mkdir(parents=True)
+    (top / "inner").mkdir()
+    (top / "a.md").write_text("---\nx: 1\n---\nbody é ", encoding="utf-8")
+    (top / "in" / "b.MD").write_text("# Abstract\nfine ??", encoding="utf-8")
+    (top / "in" / "deep" / "bad.md").write_bytes(b"# x\n\xff\xfe")
+    (top / "inner" / "c.md").write_text("# Abstract\nx", encoding="utf-8")
+    (top / "in" / "b-NSConflict-1.md").write_text("x", encoding="utf-8")
+    (top / "in" / "d.txt").write_text("x", encoding="utf-8")
+    at = lambda *p: str(top.joinpath(*p))
+    assert vault.disjoint([at("in", "deep"), at("in"), at("inner") + "/", at("in"), at("a.md")]) == [at("a.md"), at("in"), at("inner")]
+    scanned = vault.scan_paths(spark, [at("in", "deep"), at("in"), at("a.md"), at("inner"), at("in", "b.MD"), at("a.md")])
+    got = {r.path.rsplit("/", 1)[1]: r for r in scanned.collect()}
+    assert {k: (r.status, r.body_characters) for k, r in got.items()} == {"a.md": ("read", 6), "b.MD": ("read", 18), "bad.md": ("blocked", None), "c.md": ("read", 12)}
+    findings = vault.scan_findings(scanned)
+    assert {(r.path.rsplit("/", 1)[1], r.rule) for r in findings.collect() if r.severity == "red"} == {("b.MD", "missing-character"), ("bad.md", "invalid-utf8")}
+    assert tuple(vault.scan_summary(scanned, findings).first()) == (4, 3, 2, 1)
+    for bad in (at("nowhere"), at("in", "d.txt"), str(tmp_path / "empty")):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(ValueError):
+            vault.scan_paths(spark, [at("in"), bad])
+
+
+def test_entries_merge_alike_in_any_order(spark):
+    rows = [
+        ("a", "pdf", "pdf", "x", "p0", ["w"], 0), ("a", "md", "md", "long abstract", "p1", None, 1), ("a", "pdf", "tex", "", "p2", ["v", "w"], 2), ("a", "tex", "tex", None, "p3", [], 3), ("a", "tex", "tex", None, "p4", ["z"], 4),
+        ("b", "pdf", "pdf", "x", "p5", [], 5), ("c", "x", "directory", "ab", "p6", None, 6), ("c", "archive", "tex", "abc", "p7", None, 7),
+    ]
+    schema = "id string, original_format string, ingest_format string, abstract string, source_path string, warnings array<string>, _ord long"
+    said = "duplicate local source skipped in favor of preferred source: "
+    want = {"a": ("p3", sorted(["w", "v", "z", f"{said}p0", f"{said}p2", f"{said}p3"])), "b": ("p5", []), "c": ("p7", [f"{said}p7"])}
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = {r.id: (r.source_path, r.warnings) for r in tables.preferred_entries(spark.createDataFrame(order, schema).repartition(3)).collect()}
+        assert got == want
