@@ -59,28 +59,34 @@ def line_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
   SELECT doc_id, md5(array_to_string(list_transform(list_filter(ls, lambda x: trim(x) <> ''), lambda x: trim(x)), '|')) AS items, len(list_filter(ls, lambda x: trim(x) <> '')) AS n_items,
-    md5(array_to_string(list_filter(string_split(regexp_replace(left(text, 100000), '\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ')) AS abstract FROM documents JOIN p USING (doc_id)""")
+    md5(left(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, '') || ' Second part ' || doc_id, '\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' '), 1200)) AS abstract,
+    CASE doc_id % 3 WHEN 0 THEN 'A title of ' || doc_id || ' words' WHEN 1 THEN 'Long enough' ELSE 'none' END AS title FROM documents JOIN p USING (doc_id)""")
 def section_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as the bullets of a page's section and as its abstract, read back."""
+    """Each document as the bullets of a page's section and as the first of two paragraphs of its abstract, read back; titles from lines."""
     df = table(spark, d, "documents")
     bullets = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), F.trim(x))), "\n")
     body = F.concat(F.lit("# T\n\n## Notes\n"), bullets, F.lit("\n\n## Next\n- other\n"))
     one = F.array_join(X.words("text"), " ")
     items = X.section_items(body, "notes")
+    m = F.col("doc_id") % 3
+    titles = F.concat(F.lit("Short\nPublished as a thing\n"), F.when(m == 0, F.concat(F.lit("  ## A  title of\t"), "doc_id", F.lit("  words ##  \nx"))).when(m == 1, "Year 2024 first\n#Long   enough#").otherwise("Introduction\n# tiny #"))
     return df.select(
         "doc_id", F.md5(F.array_join(items, "|")).alias("items"), F.size(items).cast("long").alias("n_items"),
-        F.md5(X.abstract_excerpt(F.concat(F.lit("Title\n\nAbstract: \n"), one, F.lit("\n\n# Introduction\nx")), 100_000)).alias("abstract"),
+        F.md5(X.abstract_excerpt(F.concat(F.lit("Title\n\n Abstract: \n"), one, F.lit("\n\nSecond part "), "doc_id", F.lit("\n\n 1. Introduction\nx")))).alias("abstract"),
+        X.guess_title(titles, F.lit("none")).alias("title"),
     )
 
 
-@query(rf"""WITH {_LINES}, h AS (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN '## ' || (line + 1) || '.' || doc_id || ' Head' WHEN 1 THEN '**Bold ' || doc_id || '**' WHEN 2 THEN 'A b s t r a c t' ELSE 'plain' END AS v FROM l)
-  SELECT doc_id, line::INT AS line, CASE line % 4 WHEN 0 THEN (line + 1) || '.' || doc_id || ' Head' WHEN 1 THEN 'Bold ' || doc_id WHEN 2 THEN 'A b s t r a c t' END AS heading,
-    CASE line % 4 WHEN 2 THEN 'abstract' ELSE lower(v) END AS name, CASE WHEN line % 4 = 0 THEN 2 ELSE 0 END::INT AS depth FROM h""")
+@query(rf"""WITH {_LINES} SELECT doc_id, line::INT AS line, CASE line % 7 WHEN 0 THEN (line + 1) || '.' || doc_id || ' head' WHEN 1 THEN NULL WHEN 2 THEN 'abstract' WHEN 3 THEN NULL WHEN 4 THEN '2.1. part ' || doc_id WHEN 5 THEN 'results and discussion' END AS heading,
+    CASE line % 7 WHEN 0 THEN '## ' || (line + 1) || '.' || doc_id || ' head ##' WHEN 1 THEN '**ann bell ' || doc_id || '**' WHEN 2 THEN 'abstract' WHEN 3 THEN 'p l a i n' WHEN 4 THEN '**2.1. part ' || doc_id || '**' WHEN 5 THEN '__results and discussion:__' ELSE 'plain' END AS name, CASE WHEN line % 7 = 0 THEN 2 ELSE 0 END::INT AS depth FROM l""")
 def heading_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of every form, their names and depths."""
-    i, m = F.col("doc_id").cast("string"), F.col("line") % 4
+    """Headings of every form, their names and depths: bylines are bold and no headings, letters of other words stay apart."""
+    i, m = F.col("doc_id").cast("string"), F.col("line") % 7
     number = F.concat((F.col("line") + 1).cast("string"), F.lit("."), i, F.lit(" Head"))
-    v = F.when(m == 0, F.concat(F.lit("## "), number)).when(m == 1, F.concat(F.lit("**Bold "), i, F.lit("**"))).when(m == 2, "A b s t r a c t").otherwise("plain")
+    v = (
+        F.when(m == 0, F.concat(F.lit("## "), number, F.lit(" ##"))).when(m == 1, F.concat(F.lit("**Ann Bell "), i, F.lit("**"))).when(m == 2, " A b s t r a c t :").when(m == 3, "P l a i n")
+        .when(m == 4, F.concat(F.lit("**2.1.  Part "), i, F.lit("**"))).when(m == 5, "__Results and Discussion:__").otherwise("plain")
+    )
     df = _lines(spark, d).select("doc_id", "line", v.alias("v"))
     return df.select("doc_id", "line", X.section_heading("v").alias("heading"), X.normalize_section("v").alias("name"), X.heading_depth(F.regexp_replace("v", "^#+ ", "")).cast("int").alias("depth"))
 
