@@ -19,6 +19,7 @@ import functools
 import hashlib
 import random
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "secret"]
 TRAIN_TEXTS = 2000
 MARGINAL, ROUNDS = 0.9, 8
-BLOCK_CHARS = 4 << 20
+#: Nodes and characters of the documents that are judged at once, and nodes whose messages are made at once.
+BLOCK_NODES, BLOCK_CHARS, STEP = 50_000, 4 << 20, 1 << 14
 
 # Fixed values of the base contract.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -132,43 +134,65 @@ def features(token: str, before: str, after: str) -> list[int]:
 
 
 class Nodes:
-    """Tokens of a block of documents, the labels of the spans they lie in (0: none), features, chain and skip edges."""
-
-    def __init__(self, texts: list[str], known: list[dict[str, list[tuple[int, int]]]]) -> None:
-        self.doc, self.span, self.label, self.on, self.chain, self.skip = [], [], [], [], [], []
-        for d, (text, base) in enumerate(zip(texts, known, strict=True)):
-            spans = sorted((s, e, 1 + KINDS.index(k)) for k, x in base.items() for s, e in x)
-            first, last, at = len(self.doc), {}, 0
-            for m in TOKEN.finditer(text):
-                n = len(self.doc)
-                while at < len(spans) and spans[at][1] <= m.start():
-                    at += 1
-                inside = next((k for s, e, k in spans[at : at + len(KINDS)] if s < m.end() and e > m.start()), 0)
-                self.doc.append(d)
-                self.span.append(m.span())
-                self.label.append(inside)
-                self.on.append(features(m[0], text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 16]))
-                if n > first and m.start() - self.span[n - 1][1] <= 2:
-                    self.chain.append((n - 1, n))
-                key = form(m[0])
-                if key in last:
-                    self.skip.append((last[key], n))
-                last[key] = n
-        self.label = np.array(self.label, np.int64)
-
-    def matrix(self) -> np.ndarray:
-        x = np.zeros((len(self.on), N_FEATURES), np.float32)
-        for i, on in enumerate(self.on):
-            x[i, on] = 1
-        return x
-
-
-def train(on: list[list[int]], label: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> dict[str, np.ndarray]:
+    """Tokens of a block of documents in arrays, some 70 bytes each: place, label of the span they lie in (0: none), numbers of their
+    features one after the other, whether the token before is a neighbour, and the tokens of the same form before and after."""
+
+    def __init__(self, texts: list[str] = (), known: list[dict[str, list[tuple[int, int]]]] = ()) -> None:
+        self.doc, self.start, self.end, self.label, self.joined = array("i"), array("q"), array("q"), array("b"), array("b")
+        self.flat, self.first, self.before, self.docs = array("B"), array("q"), array("i"), 0
+        for text, base in zip(texts, known, strict=True):
+            self.add(text, base)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def add(self, text: str, base: dict[str, list[tuple[int, int]]]) -> None:
+        spans = sorted((s, e, 1 + KINDS.index(k)) for k, x in base.items() for s, e in x)
+        last, at, stop = {}, 0, None
+        for m in TOKEN.finditer(text):
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            self.label.append(next((k for s, e, k in spans[at : at + len(KINDS)] if s < m.end() and e > m.start()), 0))
+            self.doc.append(self.docs)
+            self.start.append(m.start())
+            self.end.append(m.end())
+            self.first.append(len(self.flat))
+            self.flat.extend(features(m[0], text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 16]))
+            self.joined.append(stop is not None and m.start() - stop <= 2)
+            key, stop = form(m[0]), m.end()
+            self.before.append(last.get(key, -1))
+            last[key] = len(self.doc) - 1
+        self.docs += 1
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of each node's feature weights, some thousand nodes at a time."""
+        out = np.zeros((len(self), weights.shape[1]), np.float32)
+        flat, first = np.frombuffer(self.flat, np.uint8) if len(self.flat) else np.zeros(0, np.uint8), np.append(np.array(self.first, np.int64), len(self.flat))
+        for lo in range(0, len(self), STEP):
+            hi = min(lo + STEP, len(self))
+            out[lo:hi] = np.add.reduceat(weights[flat[first[lo] : first[hi]]], first[lo:hi] - first[lo])
+        return out
+
+    def links(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For chain and skip edges: the node at the other end before each node, and behind it (-1: none)."""
+        n = len(self)
+        left = np.where(np.array(self.joined, bool), np.arange(n) - 1, -1)
+        right = np.where(np.append(np.array(self.joined, bool)[1:], False), np.arange(n) + 1, -1) if n else left
+        before, after = np.array(self.before, np.int64), np.full(n, -1, np.int64)
+        own = np.flatnonzero(before >= 0)
+        after[before[own]] = own
+        return (left, right), (before, after)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the chain edges and of the skip edges."""
+        return tuple(np.stack([side[side >= 0], np.flatnonzero(side >= 0)], 1) for side, _ in self.links())
+
+
+def train(nodes: Nodes) -> dict[str, np.ndarray]:
     """Weights: node (features x kinds), chain and skip (kinds x kinds, logs)."""
-    k = len(KINDS) + 1
-    x = np.zeros((len(on), N_FEATURES), np.float32)
-    for i, f in enumerate(on):
-        x[i, f] = 1
+    k, label = len(KINDS) + 1, np.array(nodes.label, np.int64)
+    x = np.zeros((len(nodes), N_FEATURES), np.float32)
+    x[np.repeat(np.arange(len(nodes)), np.diff([*nodes.first, len(nodes.flat)])), np.array(nodes.flat, np.int64)] = 1
     w, y = np.zeros((N_FEATURES, k), np.float32), np.eye(k, dtype=np.float32)[label]
     for _ in range(300 if len(x) else 0):
         z = x @ w
@@ -176,7 +200,7 @@ def train(on: list[list[int]], label: np.ndarray, chain: np.ndarray, skip: np.nd
         p /= p.sum(axis=1, keepdims=True)
         w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
 
-    def pairs(edges: np.ndarray) -> np.ndarray:
+    def lifts(edges: np.ndarray) -> np.ndarray:
         counts = np.ones((k, k))
         if len(edges):
             np.add.at(counts, (label[edges[:, 0]], label[edges[:, 1]]), 1)
@@ -184,48 +208,59 @@ def train(on: list[list[int]], label: np.ndarray, chain: np.ndarray, skip: np.nd
         lift = np.log(both / np.outer(both.sum(axis=1), both.sum(axis=0)))
         return np.clip(lift, -2.0, 2.0)  # weak enough for message passing to settle
 
-    return {"node": w, "chain": pairs(chain), "skip": (lambda s: (s + s.T) / 2)(pairs(skip))}
+    chain, skip = map(lifts, nodes.pairs())
+    return {"node": w, "chain": chain, "skip": (skip + skip.T) / 2}
+
+
+def sent(belief: np.ndarray, back: np.ndarray, old: np.ndarray, source: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    """New messages, half old: to each node from ``source`` (-1: none), whose belief is taken without what came from the node (``back``)."""
+    out = np.zeros_like(old)
+    own = np.flatnonzero(source >= 0)
+    for lo in range(0, len(own), STEP):
+        to = own[lo : lo + STEP]
+        cavity = belief[source[to]] - back[source[to]]
+        cavity -= cavity.max(axis=1, keepdims=True)
+        new = np.log(np.exp(cavity) @ lift)
+        out[to] = 0.5 * old[to] + 0.5 * (new - new.max(axis=1, keepdims=True))
+    return out
 
 
 def marginals(nodes: Nodes, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Loopy belief propagation, all messages at once, damped; a fixed number of rounds."""
-    k = len(KINDS) + 1
-    node = nodes.matrix() @ model["node"]
-    node = node - np.log(np.exp(node - node.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - node.max(axis=1, keepdims=True)
-    known = nodes.label > 0
+    """Loopy belief propagation, all messages at once, damped; a fixed number of rounds.
+
+    A node has one neighbour of each sort at most (before and behind it in the chain, and of its form), so messages are four arrays by node:
+    some 200 bytes a node. The two potentials are shared by all edges.
+    """
+    node = nodes.scores(model["node"])
+    node -= node.max(axis=1, keepdims=True)
+    node -= np.log(np.exp(node).sum(axis=1, keepdims=True))
+    label = np.array(nodes.label, np.int64)
+    known = np.flatnonzero(label)
     node[known] = -30.0
-    node[known, nodes.label[known]] = 0.0
-    edges = np.array(nodes.chain + nodes.skip, np.int64).reshape(-1, 2)
-    pot = np.concatenate([np.repeat(model["chain"][None], len(nodes.chain), 0), np.repeat(model["skip"][None], len(nodes.skip), 0)]) if len(edges) else np.zeros((0, k, k))
-    src, dst = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-    pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-    back = np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
-    msg = np.zeros((len(src), k))
-    for _ in range(ROUNDS if len(src) else 0):
-        belief = node.astype(np.float64).copy()
-        np.add.at(belief, dst, msg)
-        cavity = belief[src] - msg[back]
-        z = cavity[:, :, None] + pot
-        top = z.max(axis=1, keepdims=True)
-        new = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
-        new -= new.max(axis=1, keepdims=True)
-        msg = 0.5 * msg + 0.5 * new
-    belief = node.astype(np.float64).copy()
-    np.add.at(belief, dst, msg)
-    p = np.exp(belief - belief.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    node[known, label[known]] = 0.0
+    ways = [(near, far, np.exp(model[kind]).astype(np.float32)) for (near, far), kind in zip(nodes.links(), ("chain", "skip"), strict=True)]
+    messages = [[np.zeros_like(node), np.zeros_like(node)] for _ in ways]
+    for _ in range(ROUNDS if any((near >= 0).any() for near, _, _ in ways) else 0):
+        belief = node + sum(m for both in messages for m in both)
+        for both, (near, far, lift) in zip(messages, ways, strict=True):
+            forth, back = both
+            both[0] = sent(belief, back, forth, near, lift)
+            both[1] = sent(belief, forth, back, far, lift.T)
+    belief = node + sum(m for both in messages for m in both)
+    belief -= belief.max(axis=1, keepdims=True)
+    np.exp(belief, out=belief)
+    return belief / belief.sum(axis=1, keepdims=True)
 
 
 def added_spans(nodes: Nodes, p: np.ndarray, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Runs of neighbouring tokens of one kind above the marginal that touch no base span; stray marks at the ends go."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    joined = {b for a, b in nodes.chain}
     best = p.argmax(axis=1)
     held: tuple[str, int, int, int] | None = None  # kind, first node, last node, document
 
     def put():
         kind, first, last, doc = held
-        s, e = nodes.span[first][0], nodes.span[last][1]
+        s, e = nodes.start[first], nodes.end[last]
         while s < e and texts[doc][s] in ".,:;/-)%":
             s += 1
         while s < e and texts[doc][e - 1] in ".,:;/-(%":
@@ -233,9 +268,9 @@ def added_spans(nodes: Nodes, p: np.ndarray, texts: list[str]) -> list[list[tupl
         if s < e:
             out[doc].append((kind, s, e))
 
-    for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= MARGINAL) & (nodes.label == 0)).tolist():
+    for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= MARGINAL) & (np.array(nodes.label) == 0)).tolist():
         kind = KINDS[best[i] - 1]
-        if held and held[2] == i - 1 and held[0] == kind and i in joined:
+        if held and held[2] == i - 1 and held[0] == kind and nodes.joined[i]:
             held = (kind, held[1], i, held[3])
             continue
         if held:
@@ -287,9 +322,7 @@ def fit(texts: int = TRAIN_TEXTS, seed: int = 11) -> dict[str, np.ndarray]:
     """Train on ``texts`` made texts; the same numbers give the same model."""
     rng = random.Random(seed)
     made = [made_text(rng) for _ in range(texts)]
-    nodes = Nodes([t for t, _ in made], [s for _, s in made])
-    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (nodes.chain, nodes.skip)]
-    return train(nodes.on, nodes.label, *edges)
+    return train(Nodes([t for t, _ in made], [s for _, s in made]))
 
 
 def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -297,21 +330,19 @@ def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -
 
     The counts and the digest are of base spans; ``spans`` has the field's too, of the base kinds, ``iban`` and
     ``secret``, none of them inside or across a base span. A null or empty text has none. Repeated rows repeat, a null
-    doc_id is a row like any other, other columns are not read. A long text is one block, whose nodes (some 300 bytes a
-    token with a digit or an @) have to fit a task.
+    doc_id is a row like any other, other columns are not read. Documents are judged in blocks of ``BLOCK_NODES`` tokens with a digit or
+    an @; a text is never cut, so one that is made of nothing else needs some 300 bytes a token.
     """
     tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model if model is not None else fit())
+    field = docs.sparkSession.sparkContext.broadcast(model if model is not None else fit())
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2
 
-    def judge(held):
-        texts = [t for _, t in held]
-        bases = [base_spans(t) for t in texts]
-        nodes = Nodes(texts, bases)
-        more = added_spans(nodes, marginals(nodes, sent.value), texts) if len(nodes.doc) else [[] for _ in held]
+    def judge(held, nodes):
+        texts = [t for _, t, _ in held]
+        more = added_spans(nodes, marginals(nodes, field.value), texts) if len(nodes) else [[] for _ in held]
         rows = []
-        for (doc, _), base, extra in zip(held, bases, more, strict=True):
+        for (doc, _, base), extra in zip(held, more, strict=True):
             own = [(k, s, e) for k in BASE for s, e in base[k]]
             both = sorted({*own, *extra}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
             said = ",".join(f"{k}:{s}:{e}" for k, s, e in own)
@@ -319,14 +350,15 @@ def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        held, n = [], 0
+        held, nodes, n = [], Nodes(), 0
         for doc, text in rows_of(batches):
-            held.append((doc, text or ""))
+            held.append((doc, text or "", base_spans(text or "")))
+            nodes.add(*held[-1][1:])
             n += len(held[-1][1])
-            if n >= BLOCK_CHARS:
-                yield judge(held)
-                held, n = [], 0
+            if n >= BLOCK_CHARS or len(nodes) >= BLOCK_NODES:
+                yield judge(held, nodes)
+                held, nodes, n = [], Nodes(), 0
         if held:
-            yield judge(held)
+            yield judge(held, nodes)
 
     return documents(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
