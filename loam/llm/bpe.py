@@ -288,6 +288,7 @@ class WordBpe:
         self.pairs: PairTable | None = None
         self.cache = PieceCache(self._made, CACHE)
         self.by_bytes: dict[bytes, bytes] = {}
+        self.old_bytes: dict[bytes, bytes] = {}
         self.packed = PieceCache(lambda p: array("I", self._made(p)).tobytes(), PACKED)
         self.lookahead = self._lookahead(model["merges"])
 
@@ -493,8 +494,8 @@ class WordBpe:
         """
         low, plain = [], {}
         for k, t in enumerate(texts):
-            said, kinds = ("", None) if "<|" in t else self.normalized(t)
-            if kinds is None or kinds or (said and BEYOND_LATIN.search(said)):
+            said = t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower()
+            if "<|" in t or not (t.isascii() or said.isascii()) and BEYOND_LATIN.search(said):
                 plain[k], said = np.frombuffer(self.encode_packed([t])[0], "<u4"), ""
             low.append(said.encode("utf-8", "surrogatepass"))
         ids, n = self._in_parts(low)
@@ -505,6 +506,26 @@ class WordBpe:
             parts[k], n[k] = x, len(x)
         return np.concatenate(parts), n
 
+    def known_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces; new ones are merged all at once. Two generations: a full one becomes the old one."""
+        new = [p for p in pieces if p not in self.by_bytes]
+        if new:
+            if len(self.by_bytes) + len(new) > PACKED:
+                self.old_bytes, self.by_bytes = self.by_bytes, {}
+                new = pieces
+            old = self.old_bytes
+            met = {p: old[p] for p in new if p in old}
+            fresh = [p for p in new if p not in met] if met else new
+            short = [p for p in fresh if len(p) <= WIDTHS[-1]]
+            met.update(zip(short, self.merge_many(short), strict=True))
+            met.update((p, array("I", self._made(p.decode("utf-8", "surrogatepass"))).tobytes()) for p in fresh if len(p) > WIDTHS[-1])
+            self.by_bytes.update(met)
+        pool = [self.by_bytes[p] for p in pieces]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del self.by_bytes[p]
+        return pool
+
     def _in_parts(self, low: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``_latin_ids`` of texts in parts of about ``PART_BYTES``."""
         ids, n, held, owners, size = [np.zeros(0, "<u4")], np.zeros(len(low), np.int64), [], [], 0
@@ -530,26 +551,14 @@ class WordBpe:
         start, end = latin_pieces(np.frombuffer(raw, np.uint8)[:-16])
         size = end - start
         which, first = distinct_pieces(raw, start, size)
-        known, pool = self.by_bytes, []
         own = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        new = [p for p in own if p not in known]
-        if new:
-            if len(known) > PACKED:
-                known.clear()
-                new = own
-            short = [p for p in new if len(p) <= WIDTHS[-1]]
-            known.update(zip(short, self.merge_many(short), strict=True))
-            known.update((p, array("I", self._made(p.decode("utf-8", "surrogatepass"))).tobytes()) for p in new if len(p) > WIDTHS[-1])
-        pool = [known[p] for p in own]
+        pool = self.known_ids(own)
         ids = np.frombuffer(b"".join(pool), "<u4")
-        many = np.fromiter(map(len, pool), np.int64, len(pool)) >> 2
-        for p in own:
-            if len(p) > LONG_PIECE:
-                known.pop(p, None)
+        many = np.fromiter(map(len, pool), np.int32, len(pool)) >> 2
         n = many[which]
-        ends = np.cumsum(n)
-        place = (np.cumsum(many) - many)[which] - (ends - n)
-        out = ids[np.repeat(place, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = ((np.cumsum(many) - many)[which] - (ends - n)).astype(np.int32)
+        out = ids[np.repeat(place, n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         cuts = np.searchsorted(start, np.cumsum([len(x) + 1 for x in low]))  # pieces up to the end of each text
         return out, np.diff(np.r_[0, np.r_[0, ends][cuts]])
 

@@ -120,17 +120,17 @@ def unpack_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> list[tuple
     at += -(-docs // 8)
     sizes = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
     at += 4 * docs
-    offs = np.frombuffer(raw, "<u8", points, at).astype(np.int64)
-    bits = np.frombuffer(raw, np.uint8, -1, at + 8 * points).astype(np.uint32)
+    offs = np.frombuffer(raw, "<u8", points, at).astype(np.int64)  # a copy
+    at += 8 * points
+    bits = np.lib.stride_tricks.as_strided(np.frombuffer(raw, ">u4", 1, at), (len(raw) - at - 3,), (1,))  # 32 bits from every byte on
     out = np.zeros((STEP, points), np.uint32)
     symbols, size = table
-    limit = len(bits) - 4
+    limit = len(bits) - 1
     for step in range(STEP if points else 0):
-        byte = np.minimum(offs >> 3, limit)
-        ahead = (bits[byte] << 24) | (bits[byte + 1] << 16) | (bits[byte + 2] << 8) | bits[byte + 3]
+        ahead = bits[np.minimum(offs >> 3, limit)].astype(np.uint32)
         ahead = (ahead << (offs & 7).astype(np.uint32)) >> np.uint32(32 - MAX_BITS)
         out[step] = symbols[ahead]
-        offs = offs + size[ahead]
+        offs += size[ahead]
     ids = out.T.reshape(-1)[:n]
     return [(None if null else k, x) for k, null, x in zip(keys.tolist(), nulls, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)] if docs else []
 
