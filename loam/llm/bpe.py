@@ -36,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, rows_of, trimmed, tune
+from .common import KEPT, documents, rows_of, trimmed, tune
 
 END = "</w>"
 #: Pieces cached per worker, in two generations: a full one becomes the old one, and pieces met again move up.
@@ -776,6 +776,7 @@ def bpe_of(spec: str) -> WordBpe:
     if key not in _BPE:
         _BPE.clear()
         _BPE[key] = WordBpe(spec)
+    KEPT["bpe"] = _BPE.clear
     return _BPE[key]
 
 
@@ -837,5 +838,5 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     def digest_batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(trimmed(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

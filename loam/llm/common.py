@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +55,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def trimmed(run):
+#: Memory that an operator keeps in its workers between its own tasks: name -> what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str | None) -> None:
+    for name in [k for k in KEPT if k != but]:
+        KEPT.pop(name)()
+
+
+def trimmed(run, keeps: str | None = None):
     """``run`` for mapInArrow, after which the worker gives free memory back: workers are kept for later tasks of any kind,
-    and share an executor's memory with its heap."""
+    and share an executor's memory with its heap. What other operators than ``keeps`` have kept is dropped first."""
 
     def go(batches):
+        drop_kept(keeps)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

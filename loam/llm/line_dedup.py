@@ -12,7 +12,8 @@ goes. Marked is thus each line of any repeated run of ``run`` lines or ``words``
 first stays.
 
 Nothing is paired with all its equals: a window is compared with its earliest place only, found by partial aggregation,
-so a passage that a third of all documents hold is one row for each map task. Joins on a line or a window are salted.
+so a passage that a third of all documents hold is one row for each map task. A line or window with more rows than one task
+should have is dealt over as many shares as it fills, by its counted rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import materialize, trimmed, tune
 
 RUN = 3
 WORDS = 50
-#: Shares of a hot line or window.
-SHARES = 8
+#: Rows of a line or window that go to one task, and the most keys that are known to have more.
+SHARE_ROWS, MOST_HOT = 100_000, 50_000
 _M = (1 << 64) - 1
 
 
@@ -120,19 +121,24 @@ def _extended(places: DataFrame, run: int, words: int) -> DataFrame:
     return places.select("doc", "uid", "at", "before", "hashes", "counts").mapInArrow(go, "key long, doc long, uid long, at int, size int")
 
 
-def _spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Join on a key that may hold a third of ``rows``: dealt by the document as well, ``few`` copied to every share."""
-    few = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return rows.withColumn("_share", F.pmod(F.xxhash64("doc", "uid"), F.lit(SHARES)).cast("int")).join(few, [key, "_share"]).drop("_share")
+def _spread(rows: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:
+    """Join on a key that may hold a third of ``rows`` (``total`` of them): a key with more than its share of rows (``few`` has their
+    count c) is dealt by the document as well, to as many shares as it fills. Such keys are at most MOST_HOT, whatever the input."""
+    share = max(SHARE_ROWS, -(-total // MOST_HOT))
+    few = few.withColumn("_n", F.ceil(F.col("c") / share).cast("int")).drop("c")
+    hot = few.filter("_n > 1").select(key, "_n")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_share", F.pmod(F.xxhash64("doc", "uid"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    copies = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return dealt.join(copies, [key, "_share"]).drop("_share")
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """doc, uid, spans: the later repeats (at, size) among each document's windows of ``run`` lines or ``words`` words. ``docs``: doc, uid, text."""
     places = materialize(_places(docs, run, words), "places")
-    often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
-    shared = _extended(_spread(places, often, "fp"), run, words).checkpoint()
-    first = shared.groupBy("key").agg(F.min(F.struct("doc", "uid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "first")
-    later = _spread(shared, first, "key").filter(F.struct("doc", "uid", "at") > F.col("first"))
+    often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").checkpoint()
+    shared = _extended(_spread(places, often, "fp", places.count()), run, words).checkpoint()
+    first = shared.groupBy("key").agg(F.min(F.struct("doc", "uid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").checkpoint()
+    later = _spread(shared, first, "key", shared.count()).filter(F.struct("doc", "uid", "at") > F.col("first"))
     return later.groupBy("doc", "uid").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
 
 

@@ -223,7 +223,7 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    encoded = plain.mapInArrow(trimmed(run), "part long, doc_id long, crc long, n long, ids binary, count_ids array<int>, counts array<long>")
+    encoded = plain.mapInArrow(trimmed(run, "bpe"), "part long, doc_id long, crc long, n long, ids binary, count_ids array<int>, counts array<long>")
     dealt = encoded.repartitionById(parts, F.col("part").cast("int"))
     return materialize(dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc"), "ids")
 

@@ -467,6 +467,19 @@ def test_skip_edges_carry_evidence():
     assert by_text["999"].max() < 0.3
 
 
+def test_hot_lines_are_dealt_over_shares(spark, monkeypatch):
+    """The same runs go, however few rows a share has; a doubled line doubles its shares."""
+    rows = [(i, "hot one\nhot two\nhot three\n" + (f"own {i}\nown {i % 7}\nown {i % 3}" if i % 2 else ""), None) for i in range(60)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    want = sorted(tuple(r) for r in line_dedup.line_report(df).collect())
+    monkeypatch.setattr(line_dedup, "SHARE_ROWS", 4)
+    assert sorted(tuple(r) for r in line_dedup.line_report(df).collect()) == want
+    for n in (40, 80):
+        few = spark.createDataFrame([(1, n), (2, 3)], "k long, c long")
+        dealt = line_dedup._spread(spark.range(n).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("doc"), F.col("id").alias("uid")), few, "k", n)
+        assert dealt.count() == n and f"{-(-n // 4)}" in str(few.withColumn("_n", F.ceil(F.col("c") / 4)).agg(F.max("_n")).first()[0])
+
+
 def test_field_on_held_out_texts():
     """Precision and recall of the spans that the base patterns do not give, on made texts of another seed."""
     model, rng, hit, said, there = pii.fit(), random.Random(99), 0, 0, 0
