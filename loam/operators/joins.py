@@ -127,12 +127,32 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, leve
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"m.{right_id}").alias(right_id), F.coalesce("m.name", F.lit("unresolved")).alias("level"))
 
 
+def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """lid, rid of titles that are equal, of which one contains the other, or whose words have a Jaccard of ``least``.
+
+    Each has a join of its own, so a word that all titles share pairs nothing. Containment goes mid-word for two words and more; a
+    one-word title stands as a word of the other, and of the titles that have it the two first of each year are enough to tell the best and
+    its lead. Columns lid, lt, lw; rid, rt, rw, ry: ids, titles, words, the year of the right one.
+    """
+    pairs = left.join(right, left["lt"] == right["rt"]).select("lid", "rid")
+    pairs = pairs.unionByName(jaccard_candidates(left, right, "lid", "rid", "lw", "rw", least)).unionByName(containment_candidates(left, right, "lid", "rid", "lt", "rt"))
+    inside = left.select("lid", F.explode(F.array_distinct("lw")).alias("word")).join(right.filter(F.size("rw") == 1).select("rid", F.col("rt").alias("word")), "word")
+    said = right.select("rid", "ry", F.explode(F.array_distinct("rw")).alias("word"))
+    first = said.withColumn("_n", F.row_number().over(Window.partitionBy("word", "ry").orderBy("rid"))).filter("_n <= 2")
+    around = left.filter(F.size("lw") == 1).select("lid", F.col("lt").alias("word")).join(first, "word")
+    return pairs.unionByName(inside.select("lid", "rid")).unionByName(around.select("lid", "rid")).distinct()
+
+
 def fuzzy_title_match(left: DataFrame, right: DataFrame, least: float = 0.82, margin: float = 0.08) -> DataFrame:
     """lid, rid, score: titles equal .92, contained .78, token Jaccard of .82 .72, the same year .04 more; accepted at
-    ``least`` with a lead of ``margin`` over the second. Columns lid, title, year; rid, title, year (titles normalized)."""
-    a = left.select("lid", F.col("title").alias("lt"), F.col("year").alias("ly"), X.words("title").alias("lw"))
-    b = right.select("rid", F.col("title").alias("rt"), F.col("year").alias("ry"), X.words("title").alias("rw"))
-    pairs = overlap_join(a, b, "lid", "rid", "lw", "rw").select("lid", "rid").join(a, "lid").join(b, "rid")
+    ``least`` with a lead of ``margin`` over the second. Columns lid, title, year; rid, title, year (titles normalized).
+
+    Of equal titles of one year only the first two are looked at: more of them have the same score and cannot change what is decided.
+    """
+    a = left.select("lid", F.col("title").alias("lt"), F.col("year").alias("ly"), X.words("title").alias("lw")).filter(F.size("lw") > 0)
+    b = right.select("rid", F.col("title").alias("rt"), F.col("year").alias("ry"), X.words("title").alias("rw")).filter(F.size("rw") > 0)
+    b = b.withColumn("_n", F.row_number().over(Window.partitionBy("rt", "ry").orderBy("rid"))).filter("_n <= 2").drop("_n")
+    pairs = title_candidates(a, b, 0.82).join(a, "lid").join(b, "rid")
     base = F.when(F.col("lt") == F.col("rt"), 0.92).when(F.col("lt").contains(F.col("rt")) | F.col("rt").contains(F.col("lt")), 0.78)
     base = base.when(scoring.jaccard(F.array_distinct("lw"), F.array_distinct("rw")) >= 0.82, 0.72).otherwise(0.0)
     score = F.when(base > 0, base + F.when(F.col("ly") == F.col("ry"), 0.04).otherwise(0.0)).otherwise(0.0)

@@ -245,8 +245,7 @@ def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def _shared_vocabulary(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("bw"))
     t = docs.select("doc_id", F.split(F.lower("text"), " ").alias("dw"))
-    # every twelfth pair reaches the threshold here, so counting all common words costs less than picking pairs first
-    return J.overlap_join(b, t, "item_id", "doc_id", "bw", "dw").filter("common >= 12")
+    return J.overlap_join(b, t, "item_id", "doc_id", "bw", "dw", least=12)
 
 
 @query("""SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS last_role, max(CASE WHEN role = 'user' THEN turn END) AS last_user FROM conversations GROUP BY conv_id""")

@@ -1,5 +1,7 @@
 """Operators on small fixtures: edge cases of filters, keys, graph writes, windows and scores."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,32 @@ def test_text_rules_on_nulls(spark):
     assert got[(3, "missing-character")] == 2
     assert got[(3, "control-character")] == 1
     assert (4, "abstract-not-located") not in got
+
+
+def test_titles_meet_by_rare_words(spark):
+    """Titles that share a word make no pairs; the decisions are those of all pairs."""
+    rng = random.Random(6)
+    words = ["the", "a", "study", "of", "graph", "graphs", "deep"]
+    side = lambda k, n: [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), rng.choice([None, 2000, 2001])) for i in range(n)]
+    left, right = side("l", 60), side("r", 50)
+
+    def best(lt, ly):
+        out = []
+        for i, rt, ry in right:
+            a, b = set(lt.split()), set(rt.split())
+            if not a or not b:
+                continue
+            mid = min(lt, rt, key=len)
+            held = (lt in rt or rt in lt) and (" " in mid or mid in max(lt, rt, key=len).split())
+            base = 0.92 if lt == rt else 0.78 if held else 0.72 if len(a & b) / len(a | b) >= 0.82 else 0
+            if base:
+                out.append((-(base + (0.04 if ly is not None and ly == ry else 0)), i))
+        out.sort()
+        return out[0] if out and -out[0][0] >= 0.82 and (len(out) < 2 or out[1][0] - out[0][0] >= 0.08) else None
+
+    got = {r.lid: (r.rid, round(r.score, 2)) for r in joins.fuzzy_title_match(spark.createDataFrame(left, "lid long, title string, year int"), spark.createDataFrame(right, "rid long, title string, year int")).collect()}
+    assert got == {i: (b[1], round(-b[0], 2)) for i, t, y in left if (b := best(t, y))}
+    many = spark.range(2000).select(F.col("id").alias("lid"), F.concat(F.lit("the w"), "id").alias("lt"))
+    a = many.withColumn("lw", F.split("lt", " "))
+    b = a.select(F.col("lid").alias("rid"), F.col("lt").alias("rt"), F.col("lw").alias("rw"), F.lit(2000).alias("ry"))
+    assert joins.title_candidates(a, b, 0.82).count() < 30_000
