@@ -220,3 +220,37 @@ def merged_entries(spark: SparkSession, d: str) -> DataFrame:
         F.when((n % 5 != 3) & (F.coalesce("n_chars", F.lit(0)) % 2 == 1), "8 signs.").otherwise("7 signs").alias("abstract"), text("raw/", n).alias("source_path"), F.array(text("w", F.coalesce("lang", F.lit("?")))).alias("warnings"), n.alias("_ord"),
     )
     return tables.preferred_entries(e).select("id", "source_path", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("""WITH d AS (SELECT doc_id, ['ideas', 'experiments', 'claims'][doc_id % 3 + 1] AS kind, ['tested', 'running', 'proposed'][doc_id % 3 + 1] AS was, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'validated' ELSE 'failed' END WHEN 1 THEN CASE WHEN doc_id % 4 = 0 THEN 'planned' ELSE 'completed' END ELSE 'weakly_supported' END AS wish,
+    CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE ' of ' || coalesce(lang, '?') || ' ' END AS reason, doc_id % 7 = 0 AS lost FROM documents),
+  o AS (SELECT *, CASE WHEN lost THEN 'no page' WHEN kind = 'experiments' AND wish = 'planned' THEN 'not allowed' WHEN wish = 'failed' AND trim(reason) = '' THEN 'no reason' ELSE 'moved' END AS outcome FROM d)
+  SELECT kind, doc_id, outcome, CASE WHEN lost THEN NULL WHEN outcome = 'moved' THEN wish ELSE was END AS status, CASE WHEN outcome = 'moved' AND wish IN ('failed', 'validated') THEN 'date_resolved=2024-05-06' WHEN outcome = 'moved' AND wish = 'completed' THEN 'date_completed=2024-05-06' END AS dated,
+    CASE WHEN outcome = 'moved' AND wish = 'failed' THEN trim(reason) END AS failure_reason FROM o""")
+def status_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Status changes along the life cycles, with the fields that come with them, and what becomes of each request."""
+    n = F.col("doc_id")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (n % 3 + 1).cast("int"))
+    slug = text("d", n)
+    all_ = table(spark, d, "documents").select(n, pick("ideas", "experiments", "claims").alias("kind"), slug.alias("slug"), pick("tested", "running", "proposed").alias("was"), F.coalesce("lang", F.lit("?")).alias("lang"))
+    pages = all_.filter(n % 7 != 0).select("kind", "slug", F.create_map(F.lit("title"), F.col("slug"), F.lit("status"), F.col("was")).alias("header"))
+    wish = F.when(n % 3 == 0, F.when(n % 4 == 0, "validated").otherwise("failed")).when(n % 3 == 1, F.when(n % 4 == 0, "planned").otherwise("completed")).otherwise("weakly_supported")
+    moves = all_.select("kind", "slug", wish.alias("status"), F.when(n % 5 == 0, " ").otherwise(text(" of ", F.col("lang"), " ")).alias("reason"))
+    after, report = edits.transition(pages, moves, "2024-05-06")
+    at = lambda k: F.try_element_at("header", F.lit(k))
+    dated = F.coalesce(F.concat(F.lit("date_resolved="), at("date_resolved")), F.concat(F.lit("date_completed="), at("date_completed")))
+    now = after.select("kind", "slug", at("status").alias("status"), dated.alias("dated"), at("failure_reason").alias("failure_reason"))
+    return report.drop("status").join(now, ["kind", "slug"], "left").select("kind", F.substring("slug", 2, 20).cast("long").alias("doc_id"), "outcome", "status", "dated", "failure_reason")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '["' || coalesce(lang, '?') || '"]' WHEN 1 THEN '["a","' || coalesce(lang, '?') || '"]' ELSE '["' || coalesce(lang, '?') || '","b"]' END AS tags,
+  sha256(CASE WHEN doc_id % 2 = 0 THEN '## Notes' || chr(10) || '- new ' || doc_id || chr(10) || '- old' || chr(10) || '## End' || chr(10) || coalesce(text, '') ELSE rtrim('# T' || chr(10) || coalesce(text, ''), E' \\t\\n\\x0b\\x0c\\r') || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || '- new ' || doc_id || chr(10) || '- old' || chr(10) END) AS digest FROM documents""")
+def appended_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A value appended to a list field once, and lines to a section of whole texts, which is made where it is not there."""
+    n, lang = F.col("doc_id"), F.coalesce("lang", F.lit("?"))
+    have = F.when(n % 3 == 1, F.lit('["a"]')).when(n % 3 == 2, text('["', lang, '","b"]'))
+    header = F.map_filter(F.create_map(F.lit("tags"), have, F.lit("title"), F.lit("T")), lambda _, v: v.isNotNull())
+    body = F.when(n % 2 == 0, text("## Notes\n- old\n## End\n", F.coalesce("text", F.lit("")))).otherwise(text("# T\n", F.coalesce("text", F.lit(""))))
+    lines = F.array(text("- new ", n), F.lit("- old"))
+    df = table(spark, d, "documents").select("doc_id", header.alias("header"), body.alias("body"), lang.alias("l"), lines.alias("lines"))
+    return df.select("doc_id", edits.append_meta(F.col("header"), "tags", F.col("l"))["tags"].alias("tags"), F.sha2(edits.append_to_section(F.col("body"), "## Notes", F.col("lines")), 256).alias("digest"))
