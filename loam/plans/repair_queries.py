@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import headers
-from ..operators import commits, edits, graph, quality
+from ..operators import commits, edits, graph, quality, sinks
 from ..session import shared_folder
 from ..sources import tables, works
 from ..sources.tables import table
@@ -254,3 +254,88 @@ def appended_fields(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(text("- new ", n), F.lit("- old"))
     df = table(spark, d, "documents").select("doc_id", header.alias("header"), body.alias("body"), lang.alias("l"), lines.alias("lines"))
     return df.select("doc_id", edits.append_meta(F.col("header"), "tags", F.col("l"))["tags"].alias("tags"), F.sha2(edits.append_to_section(F.col("body"), "## Notes", F.col("lines")), 256).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id AS i, 'd' || doc_id AS slug, doc_id % 4 AS m FROM documents), p AS (SELECT *, ['papers', 'concepts', 'claims', 'ideas'][m + 1] || '/' || slug || '.md' AS file FROM d)
+  SELECT 'red' AS level, 'sync-conflict' AS category, 'papers/' || slug || '-NSConflict-1.md' AS file, 'copy left by a sync conflict' AS message, FALSE AS fixable FROM p WHERE i % 50 = 7
+  UNION ALL SELECT 'red', 'missing-field', file, 'Missing required field: importance', TRUE FROM p WHERE i % 8 = 0 UNION ALL SELECT 'red', 'missing-field', file, 'Missing required field: origin', FALSE FROM p WHERE i % 16 = 3
+  UNION ALL SELECT 'yellow', 'invalid-value', file, 'paper_type=odd', FALSE FROM p WHERE m = 0 AND i % 12 = 4 UNION ALL SELECT 'red', 'invalid-confidence', file, 'confidence=1.5', FALSE FROM p WHERE i % 8 = 2
+  UNION ALL SELECT 'yellow', 'broken-link', file, 'nowhere', FALSE FROM p WHERE i % 16 = 1 UNION ALL SELECT 'yellow', 'broken-link', file, 'd' || (i + 1), FALSE FROM p WHERE m = 0 AND i + 1 NOT IN (SELECT i FROM d)
+  UNION ALL SELECT 'yellow', 'orphan-page', file, 'no incoming links', FALSE FROM p WHERE m = 3 OR m IN (0, 2) AND i + 1 NOT IN (SELECT i FROM d) OR m = 1 AND i - 1 NOT IN (SELECT i FROM d)
+  UNION ALL SELECT 'red', 'failure-reason', file, 'failed idea without failure_reason', FALSE FROM p WHERE i % 8 = 3
+  UNION ALL SELECT 'yellow', 'xref-asymmetry', file, 'd' || (i + 1), TRUE FROM p WHERE m = 0 AND i % 20 = 0 AND i + 1 IN (SELECT i FROM d)
+  UNION ALL SELECT 'blue', 'quality', file, 'maturity=stable but only 1 key_paper', FALSE FROM p WHERE m = 1 AND i % 24 = 5
+  UNION ALL SELECT 'yellow', 'self-citation', 'citations:' || i, '', FALSE FROM d WHERE i % 30 = 0 UNION ALL SELECT 'yellow', 'citation-date', 'citations:' || i, '', FALSE FROM d WHERE i % 30 > 0 AND i % 45 = 0
+  UNION ALL SELECT 'yellow', 'legacy-edge-type', 'edges:' || i, '', FALSE FROM d WHERE i % 28 = 0""")
+def lint_findings(spark: SparkSession, d: str) -> DataFrame:
+    """All checks of the lint over a vault of one page for each document, with its graph, as findings."""
+    docs, n = table(spark, d, "documents").select("doc_id"), F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("papers", "concepts", "claims", "ideas"))), (n % 4 + 1).cast("int"))
+    slug, none = text("d", n), F.lit(None).cast("string")
+    fields = {
+        "papers": {"title": F.lit("t"), "slug": slug, "paper_type": F.when(n % 12 == 4, "odd").otherwise("paper"), "tags": F.lit("[]"), "research_modes": F.array().cast("array<string>"), "research_object_tags": F.lit("[]"), "importance": F.when(n % 8 != 0, "3")},
+        "concepts": {"title": F.lit("t"), "tags": F.lit("[]"), "maturity": F.when(n % 24 == 5, "stable").otherwise("active"), "key_papers": F.array(text("d", n - 1))},
+        "claims": {"title": F.lit("t"), "slug": slug, "status": F.lit("proposed"), "confidence": F.when(n % 8 == 2, "1.5").otherwise("0.5"), "tags": F.lit("[]"), "source_papers": F.array().cast("array<string>"), "evidence": F.array().cast("array<string>")},
+        "ideas": {"title": F.lit("t"), "slug": slug, "status": F.when(n % 8 == 3, "failed").otherwise("proposed"), "origin": F.when(n % 16 != 3, "x"), "tags": F.lit("[]"), "priority": F.lit("3")},
+    }
+    header = F.coalesce(*[F.when(kind == k, F.to_json(F.struct(*[v.alias(f) for f, v in fs.items()]))) for k, fs in fields.items()])
+    body = (
+        F.when(n % 4 == 0, text("[[d", n + 1, "|next]]")).when(n % 4 == 1, text("## Source excerpts\n[x](sources/a.md)\n> q\n", F.when((n - 1) % 20 == 0, text("[[papers/d", n - 1, "]]")).otherwise(text("[[d", n - 1, "]]")), F.when(n % 16 == 1, "[[nowhere#a]]").otherwise("")))
+        .when(n % 4 == 3, text("[[d", n - 1, "]]")).otherwise("no links [[#here]]")
+    )
+    pages = docs.select(kind.alias("kind"), slug.alias("slug"), text(kind, "/", slug, ".md").alias("path"), body.alias("body"), header.alias("header"))
+    edges = docs.filter(n % 28 == 0).select(text("papers/", slug).alias("from_id"), text("papers/", slug).alias("to_id"), F.lit("extends").alias("type"), F.lit("e").alias("evidence"), none.alias("confidence"), F.lit(None).cast("boolean").alias("symmetric"), n.alias("_ord"))
+    cites = docs.filter((n % 30 == 0) | (n % 45 == 0)).select(text("papers/", slug).alias("from_id"), text("papers/d", F.when(n % 30 == 0, n).otherwise(n + 1)).alias("to_id"), F.lit("cites").alias("type"), F.lit("manual").alias("source"), F.when(n % 30 == 0, "2024-01-01").otherwise("May").alias("date"), n.alias("_ord"))
+    copies = docs.filter(n % 50 == 7).select(text("papers/", slug, "-NSConflict-1.md").alias("path"))
+    return compose.lint_all(spark, pages, edges, cites, copies).select("level", "category", "file", "message", "fixable")
+
+
+@query("""WITH e AS (SELECT doc_id, 'papers/d' || doc_id AS from_id, 'concepts/' || coalesce(lang, '?') AS to_id, coalesce(source, '?') AS evidence FROM documents)
+  SELECT from_id, to_id, CASE WHEN doc_id = 7 THEN 'checked' ELSE evidence END AS evidence, CASE WHEN doc_id = 5 THEN 'low' ELSE 'high' END AS confidence FROM e WHERE doc_id <> 9""")
+def edge_updates(spark: SparkSession, d: str) -> DataFrame:
+    """One edge's confidence set, one's evidence compared and set, one removed, out of a whole table."""
+    n = F.col("doc_id")
+    e = table(spark, d, "documents").select(text("papers/d", n).alias("from_id"), text("concepts/", F.coalesce("lang", F.lit("?"))).alias("to_id"), F.lit("uses_concept").alias("type"), F.coalesce("source", F.lit("?")).alias("evidence"), F.lit("high").alias("confidence"))
+    of = {r.from_id: r for r in e.filter(F.col("from_id").isin("papers/d5", "papers/d7", "papers/d9")).collect()}  # three edges
+    e = sinks.set_confidence(e, "papers/d5", of["papers/d5"].to_id, "uses_concept", "low")
+    e, said = sinks.set_evidence(e, "papers/d7", of["papers/d7"].to_id, "uses_concept", "checked", of["papers/d7"].evidence)
+    again, same = sinks.set_evidence(e, "papers/d7", of["papers/d7"].to_id, "uses_concept", "checked")
+    assert (said, same) == ("changed", "unchanged")
+    return sinks.remove_edge(again, "papers/d9", of["papers/d9"].to_id, "uses_concept", of["papers/d9"].evidence).drop("type")
+
+
+@query("""SELECT CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 'papers/d' || doc_id END AS from_id, CASE WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 THEN NULL ELSE 'concepts/' || coalesce(lang, '?') END AS to_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE sha256(coalesce(text, '')) END AS evidence,
+  CASE WHEN doc_id % 17 = 0 THEN 'not json ' || doc_id END AS corrupt FROM documents WHERE doc_id % 19 <> 0""")
+def json_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written as JSON lines with whole texts as evidence, read back: blank lines skipped, lines that are no objects kept as they are."""
+    n = F.col("doc_id")
+    good = F.to_json(F.struct(text("papers/d", n).alias("from"), F.when(n % 11 != 0, text("concepts/", F.coalesce("lang", F.lit("?")))).alias("to"), F.lit("supports").alias("type"), F.coalesce("text", F.lit("")).alias("evidence"), F.lit(3).alias("more")))
+    at = scratch(spark, "json-edges")
+    table(spark, d, "documents").select(F.when(n % 19 == 0, " ").when(n % 17 == 0, text("not json ", n)).otherwise(good).alias("value")).write.text(at)
+    return tables.edges(spark, at).select("from_id", "to_id", F.sha2("evidence", 256).alias("evidence"), F.col("_corrupt").alias("corrupt"))
+
+
+@query("""SELECT doc_id, coalesce(lang, '?') AS lang, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 4 < 3""")
+def sqlite_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts written as SQLite databases, one for each task, and read back through the source in ranges of rows."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    at = tables.write_sqlite(docs, scratch(spark, "sqlite"), "docs")
+    back = tables.sqlite(spark, f"{at}/*.db", "SELECT doc_id, lang, text FROM docs WHERE doc_id % 4 < 3", "doc_id long, lang string, text string", 2, "doc_id")
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'd' || doc_id AS slug FROM documents), l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents WHERE doc_id % 3 < 2),
+  b AS (SELECT doc_id, trim(x, E' \\t\\n\\x0b\\x0c\\r') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM l WHERE trim(x, E' \\t\\n\\x0b\\x0c\\r') <> '')
+  SELECT (doc_id % 3)::INT AS branch, 'd' || doc_id AS slug, pos::INT AS pos, sha256(line) AS line FROM b UNION ALL SELECT 2, slug, 0, sha256('weak claim: T' || doc_id) FROM d WHERE doc_id % 3 = 2 AND (doc_id % 2 = 0 OR doc_id % 5 = 0)""")
+def open_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Bullets of the open sections of topics and concepts (whole texts, a bullet a line), then weak claims."""
+    n = F.col("doc_id")
+    trimmed = lambda x: F.regexp_replace(x, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), trimmed), lambda x: x != "")
+    bullets = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
+    body = F.concat(F.when(n % 3 == 0, "# T\n## Open problems\n").otherwise("## Open Questions\nnot a bullet\n"), bullets, F.lit("\n## Next\n- other\n"))
+    docs = table(spark, d, "documents").select(n, body.alias("body"))
+    pages = docs.filter("doc_id % 3 < 2").select(F.when(n % 3 == 0, "topics").otherwise("concepts").alias("kind"), text("d", n).alias("slug"), "body", n.alias("_ord"))
+    claims = docs.filter("doc_id % 3 = 2").select(text("d", n).alias("slug"), text("T", n).alias("title"), n.alias("_ord"), F.when(n % 5 == 0, "0.2").otherwise("0.9").alias("confidence"), F.when(n % 2 == 0, "proposed").otherwise("supported").alias("status"))
+    out = compose.open_questions(pages, claims, {"topics": "open problems", "concepts": "Open questions"})
+    return out.select(F.col("branch").cast("int"), "slug", F.col("pos").cast("int"), F.sha2("line", 256).alias("line"))

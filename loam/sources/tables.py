@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -49,26 +50,65 @@ class SqliteSource(DataSource):
 
 
 class SqliteReader(DataSourceReader):
+    """A part is a file (``path`` may be a pattern) and a share of its rows by ``partitioncolumn`` modulo ``numpartitions``."""
+
     def __init__(self, options) -> None:
         self.options = dict(options)
 
     def partitions(self):
-        return [InputPartition(i) for i in range(int(self.options.get("numpartitions", "1")))]
+        import glob
+
+        at = self.options["path"]
+        files = sorted(glob.glob(at)) if "*" in at else [at]
+        return [InputPartition((f, i)) for f in files for i in range(int(self.options.get("numpartitions", "1")))] or [InputPartition(None)]
 
     def read(self, partition):
         import sqlite3
+        from contextlib import closing
 
-        n = int(self.options.get("numpartitions", "1"))
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
+        if partition.value is None:
+            return
+        (file, share), n = partition.value, int(self.options.get("numpartitions", "1"))
+        with closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as db:
             query = self.options.get("query") or f"SELECT * FROM {self.options['table']}"
             if n > 1:
-                query = f"SELECT * FROM ({query}) WHERE {self.options['partitioncolumn']} % {n} = {partition.value}"
+                query = f"SELECT * FROM ({query}) WHERE coalesce(abs({self.options['partitioncolumn']}), 0) % {n} = {share}"
             yield from db.execute(query)
 
 
-def sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+def sqlite(spark: SparkSession, path: str, query: str, schema: str, partitions: int = 1, column: str = "rowid") -> DataFrame:
+    """Rows of a read-only query over the database (or those that match a pattern), each in ``partitions`` shares by ``column``."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").options(path=path, query=query, schema=schema).schema(schema).load()
+    options = {"path": path.removeprefix("file://"), "query": query, "schema": schema, "numpartitions": str(partitions), "partitioncolumn": column}
+    return spark.read.format("sqlite").options(**options).schema(schema).load()
+
+
+def write_sqlite(df: DataFrame, folder: str, table_: str) -> str:
+    """Write ``df`` as databases below ``folder`` (a path that all executors share), one for each task that has rows, and return the
+    folder. A file gets its name when it is whole, so a task that is tried again leaves no rows twice."""
+    at, names = folder.removeprefix("file://"), df.columns
+
+    def run(batches):
+        import os
+        import sqlite3
+        from contextlib import closing
+
+        from pyspark import TaskContext
+
+        name = f"{at}/part-{TaskContext.get().partitionId():05d}"
+        aside, n = f"{name}.{os.getpid()}.{TaskContext.get().taskAttemptId()}", 0
+        os.makedirs(at, exist_ok=True)
+        with closing(sqlite3.connect(aside)) as db:
+            db.execute(f"create table {table_}({', '.join(names)})")
+            for b in batches:
+                n += b.num_rows
+                db.executemany(f"insert into {table_} values ({', '.join('?' * len(names))})", zip(*(c.to_pylist() for c in b.columns), strict=True))
+            db.commit()
+        os.replace(aside, f"{name}.db") if n else os.remove(aside)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
+    return at
 
 
 def snapshot(spark: SparkSession, make, folder: str, signature: str) -> DataFrame:
