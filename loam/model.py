@@ -39,6 +39,9 @@ EDGE_TYPES = [
 ]
 SYMMETRIC_TYPES = [row[0] for row in EDGE_TYPES if row[3] == "symmetric"]
 RESEARCH_MODES = ["theory", "computation", "experiment"]
+#: Field of detail tags that a paper needs for each of its modes.
+DETAIL_FIELDS = {"theory": "theory_tags", "computation": "computation_tags", "experiment": "experiment_tags"}
+USE_LABELS = ["Problem", "Method", "Results", "Limitations", "Concept", "Claim"]
 BIBTEX_FIELDS = ["author", "title", "year", "journal", "booktitle", "publisher", "school", "institution", "howpublished", "volume", "number", "pages", "doi"]
 REQUIRED_FIELDS = {
     "papers": ["title", "slug", "paper_type", "tags", "research_modes", "research_object_tags", "importance"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
 
 
 def degree(edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame:
@@ -83,6 +84,31 @@ def label_counts(cards: DataFrame, page: str, label: str, labels: list[str]) ->
     return cards.groupBy(page).agg(*[F.count_if(F.col(label) == x).alias(x) for x in labels])
 
 
+def use_counts(pages: DataFrame, page: str, text: str) -> DataFrame:
+    """Evidence cards of a page's section by use label, one column for each of ``model.USE_LABELS``. A card's first line says its use after its
+    id and before a dash; one of the older cards, that does not, counts for the first label in the list that is a word of its line."""
+    lines = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?m)^[ \t]*-\s+`E\d+`.*$"), F.lit(0))
+    said = F.initcap(F.regexp_extract("_l", rf"(?i)^[ \t]*-\s+`E\d+`\s+({'|'.join(model.USE_LABELS)})\s+—", 1))
+    old = F.coalesce(*[F.when(F.col("_l").rlike(rf"(?i)\b{x}\b"), x) for x in model.USE_LABELS])
+    each = pages.select(page, F.explode_outer(lines).alias("_l")).withColumn("_u", F.when(said != "", said).otherwise(old))
+    return label_counts(each, page, "_u", model.USE_LABELS)
+
+
+#: Counts of pages by kind, and by a kind's status.
+STATS = {"papers": "papers", "concepts": "concepts", "topics": "topics", "people": "people", "ideas": "ideas", "experiments": "experiments", "claims": "claims", "summaries": "Summary"}
+STATUS_STATS = {"ideas_validated": ("ideas", "validated"), "ideas_failed": ("ideas", "failed"), "claims_supported": ("claims", "supported"), "claims_challenged": ("claims", "challenged")}
+
+
+def vault_stats(pages: DataFrame, edges: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row of fourteen counts in two passes: pages of each kind (those without a header too), some by their status as it is written, edges
+    and citations. ``pages``: kind, header (map)."""
+    kind, status = F.col("kind"), F.try_element_at("header", F.lit("status"))
+    counts = [F.count_if(kind == k).alias(name) for name, k in STATS.items()] + [F.count_if((kind == k) & (status == v)).alias(name) for name, (k, v) in STATUS_STATS.items()]
+    rows = edges.select(F.lit(1).alias("e")).unionByName(citations.select(F.lit(2).alias("e")))
+    graph = rows.agg(F.count_if(F.col("e") == 1).alias("edges"), F.count_if(F.col("e") == 2).alias("citations"))
+    return pages.agg(*counts).crossJoin(graph)  # one row each
+
+
 def weighted_sum(rules: list[tuple[str, Column, float]]) -> tuple[Column, Column]:
     """(score, reasons) of weighted conditions."""
     score = sum((F.when(F.coalesce(c, F.lit(False)), w).otherwise(0) for _, c, w in rules), F.lit(0))

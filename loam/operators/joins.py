@@ -110,23 +110,55 @@ def best_similar_name(candidates: DataFrame, entities: DataFrame, least: float =
     return similar_names(candidates, entities, least).groupBy("name", "entity").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("_ord"))).alias("x")).select("name", "entity", "x.*")
 
 
-def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, levels: list[tuple[str, Column, Column, bool]]) -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, levels: list[tuple[str, Column, Column, bool | str]]) -> DataFrame:
     """Match by levels, the first that decides wins. A level: name, left key, right key, whether several hits end the cascade.
 
-    A level with exactly one hit matches; with several it is 'ambiguous' if it ends the cascade, else the next decides.
-    Empty and null keys hit nothing. Returns left_id, right_id, level.
+    A level with exactly one hit matches; with several it is 'ambiguous' if it ends the cascade, else the next decides; if it says "first",
+    the least right_id of several matches. Empty and null keys hit nothing. Returns left_id, right_id, level.
     """
     parts = []
     for i, (name, lk, rk, ends) in enumerate(levels):
         a = left.select(left_id, lk.cast("string").alias("k")).filter("k is not null and k <> ''")
         b = right.select(right_id, rk.cast("string").alias("k")).filter("k is not null and k <> ''")
         b = b.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(right_id).alias(right_id))
-        hit = a.join(b, "k").withColumn("level", F.lit(i)).withColumn("name", F.when(F.col("n") == 1, name).otherwise("ambiguous"))
-        parts.append(hit.filter((F.col("n") == 1) | F.lit(ends)).select(left_id, F.when(F.col("n") == 1, F.col(right_id)).alias(right_id), "level", "name"))
+        sure = F.lit(True) if ends == "first" else F.col("n") == 1
+        hit = a.join(b, "k").withColumn("level", F.lit(i)).withColumn("name", F.when(sure, name).otherwise("ambiguous"))
+        parts.append(hit.filter(sure | F.lit(bool(ends))).select(left_id, F.when(sure, F.col(right_id)).alias(right_id), "level", "name"))
     best = reduce(DataFrame.unionByName, parts).groupBy(left_id).agg(F.min(F.struct("level", "name", right_id)).alias("m"))
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"m.{right_id}").alias(right_id), F.coalesce("m.name", F.lit("unresolved")).alias("level"))
 
 
+def _dated(title: Column, n: int, year: Column) -> Column:
+    """First words of a normalized title with the year, a missing one too; null without a title."""
+    return F.when(title != "", F.concat_ws("|", X.first_words(title, n), F.coalesce(year.cast("string"), F.lit(""))))
+
+
+def match_sources(papers: DataFrame, sources: DataFrame) -> DataFrame:
+    """slug, stem, level: the prepared source of each paper. An equal title decides (the first stem of several), then one source alone with the
+    same first 8, 6 or 4 words and year; several at 4 words are ambiguous. Both: normalized title, year; papers slug, sources stem."""
+    t, y = F.col("title"), F.col("year")
+    levels = [("title-exact", t, t, "first")] + [(f"first{n}+year", _dated(t, n, y), _dated(t, n, y), n == 4) for n in (8, 6, 4)]
+    return cascade(papers, sources, "slug", "stem", levels)
+
+
+def match_library(papers: DataFrame, items: DataFrame) -> DataFrame:
+    """slug, item, level: the library item of each paper: the first with its DOI, the only one with its title, the only one with its first six
+    words and year. Both: doi, normalized title, year."""
+    t, y = F.col("title"), F.col("year")
+    return cascade(papers, items, "slug", "item", [("zotero-doi", F.col("doi"), F.col("doi"), "first"), ("zotero-title-exact", t, t, False), ("zotero-first6+year", _dated(t, 6, y), _dated(t, 6, y), False)])
+
+
+def exact_lookup(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """job, paths (sorted): files of the items with a job's DOI, or with its title if it has none; both compared as they are but for case and
+    the ends. ``jobs``: job, doi, title; ``items``: doi, title, paths."""
+    bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    key = F.when(bare("doi") != "", F.concat(F.lit("doi:"), bare("doi"))).otherwise(F.concat(F.lit("title:"), X.normalize_text("title")))
+    by = [items.select(F.concat(F.lit("doi:"), bare("doi")).alias("k"), "paths"), items.select(F.concat(F.lit("title:"), X.normalize_text("title")).alias("k"), "paths")]
+    files = by[0].unionByName(by[1]).select("k", F.explode("paths").alias("path")).filter("k not in ('doi:', 'title:')")
+    found = jobs.select("job", key.alias("k")).join(files, "k").groupBy("job").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return jobs.select("job").join(found, "job", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+
+
 def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """lid, rid of titles that are equal, of which one contains the other, or whose words have a Jaccard of ``least``.
 

@@ -51,6 +51,36 @@ def paper_classification(papers: DataFrame, modes: list[str], bibtex_fields: lis
     return bad_modes.select(*finding("yellow", "invalid-mode", F.col("file"), F.col("x"))).unionByName(extra.select(*finding("yellow", "bibtex-field", F.col("file"), F.col("x"))))
 
 
+def paper_checks(papers: DataFrame) -> DataFrame:
+    """Findings about a paper's entry and classification. ``papers``: file, header (JSON), body.
+
+    The BibTeX entry belongs in its section and nowhere else, with core fields only; research_modes is a list of known modes and not empty,
+    research_object_tags a list and not empty, and each mode needs its own list of detail tags; the body has a section of classification.
+    A header whose modes are no list gets that finding and no more of the classification.
+    """
+    raw = lambda k: F.get_json_object("header", f"$.{k}")
+    none = F.array().cast("array<string>")
+    listed = lambda k: F.coalesce(F.from_json(F.when(raw(k).startswith("["), raw(k)), "array<string>"), none)
+    p = papers.withColumns({"modes": listed("research_modes"), "entry": F.regexp_extract("body", r"(?ms)^## BibTeX\s*\n+```bibtex\n.*?\n```", 0)})
+    extra = F.array_sort(F.array_except(F.array_distinct(F.transform(F.regexp_extract_all("entry", F.lit(r"(?m)^\s*([A-Za-z][A-Za-z0-9_-]*)\s*="), F.lit(1)), F.lower)), F.array(*map(F.lit, model.BIBTEX_FIELDS))))
+    unknown = F.array_except("modes", F.array(*map(F.lit, model.RESEARCH_MODES)))
+    no_list = raw("research_modes").isNotNull() & ~raw("research_modes").startswith("[")
+    said = lambda level, category, when, message: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), (F.lit(message) if isinstance(message, str) else message).alias("message")))
+    rows = [
+        said("red", "paper-bibtex", F.array_contains(F.json_object_keys("header"), "bibtex"), "bibtex in the header"),
+        said("yellow", "paper-bibtex", F.col("entry") == "", "no ## BibTeX section with an entry"),
+        said("yellow", "paper-bibtex", (F.col("entry") != "") & (F.size(extra) > 0), F.concat(F.lit("fields beyond the core: "), F.array_join(extra, ", "))),
+        said("red", "paper-classification", no_list, "research_modes is no list"),
+        said("red", "paper-classification", ~no_list & (F.size(unknown) > 0), F.concat(F.lit("unknown modes: "), F.array_join(unknown, ", "))),
+        said("red", "paper-classification", ~no_list & (F.size("modes") == 0), "research_modes is empty"),
+        said("red", "paper-classification", ~no_list & (F.size(listed("research_object_tags")) == 0), "research_object_tags is no list or empty"),
+        *[said("red", "paper-classification", ~no_list & F.array_contains("modes", m) & (F.size(listed(f)) == 0), f"{f} is no list or empty") for m, f in model.DETAIL_FIELDS.items()],
+        said("red", "paper-classification", ~no_list & ~F.col("body").contains("## Research classification"), "no ## Research classification"),
+    ]
+    each = p.select("file", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(r.isNotNull(), F.lit(False)), r) for r in rows]))).alias("x"))
+    return each.select("x.level", "x.category", "file", "x.message", F.lit(False).alias("fixable"))
+
+
 def source_excerpts(concepts: DataFrame) -> DataFrame:
     """Concept pages whose excerpt section is missing, links no source or quotes nothing."""
     s = X.section("body", "Source excerpts", ignore_case=True)
@@ -201,13 +231,28 @@ def repeated_paragraphs(df: DataFrame, key: str, text: str, least: int = 180) ->
     return long.join(first, [key, "h"]).filter("place > first_place")
 
 
-def migration_findings(pages: DataFrame, sources: DataFrame, most: int = 200) -> DataFrame:
-    """Slugs that are not their file's stem and links to sources that do not exist; a report of at most ``most`` rows."""
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
-    a = pages.filter(F.col("slug") != stem).select(F.col("path").alias("file"), F.lit("slug-mismatch").alias("category"))
-    links = pages.select("path", F.explode(F.regexp_extract_all("body", F.lit(r"sources/papers/([A-Za-z0-9_.+-]+?)(?:\.md)?[)\]|#]"), F.lit(1))).alias("s"))
-    b = links.join(sources.select(F.col("slug").alias("s")), "s", "left_anti").groupBy("path").agg(F.min("s").alias("s")).select(F.col("path").alias("file"), F.lit("missing-source").alias("category"))
-    return a.unionByName(b).orderBy("file", "category").limit(most)
+def migration_findings(papers: DataFrame, sources: DataFrame, texts: DataFrame, most: int | None = 200) -> DataFrame:
+    """file, issue: what a migration of slugs has left behind; a report of at most ``most`` rows by file and issue (None: all).
+
+    A paper's slug and a source's sourceSlug that are not the file's stem; the first asset folder in a source that is another's; in every text that
+    is no source, the first ``papers/x`` that is no paper, and every link to a prepared source that is not there. ``papers``: path, slug; ``sources``:
+    path, slug, text; ``texts``: path, text of all content, sources too.
+    """
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.md$", "")
+    said = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "<missing>").otherwise(F.trim(c))
+    wrong = lambda df, name: df.filter(F.trim(F.coalesce("slug", F.lit(""))) != stem("path")).select(F.col("path").alias("file"), F.concat(F.lit(f"{name} mismatch: "), said(F.col("slug")), F.lit(" != "), stem("path")).alias("issue"))
+    assets = F.filter(F.regexp_extract_all("text", F.lit(r"assets/([^)/]+)/"), F.lit(1)), lambda x: x != stem("path"))
+    foreign = sources.select("path", F.get(assets, F.lit(0)).alias("a")).filter("a is not null").select(F.col("path").alias("file"), F.concat(F.lit("asset stem mismatch: assets/"), "a", F.lit("/")).alias("issue"))
+    own = texts.filter(~F.col("path").startswith("sources/"))
+    ends = F.regexp_extract_all("text", F.lit(r"(?<!sources/)\bpapers/([A-Za-z0-9_.+-]+?)(?=[\s\"',)\]}]|\.md\b|$)"), F.lit(1))
+    points = own.select("path", F.posexplode(ends).alias("at", "s"))
+    lost = points.join(papers.select(stem("path").alias("s")), "s", "left_anti").groupBy("path").agg(F.min_by("s", "at").alias("s"))
+    lost = lost.select(F.col("path").alias("file"), F.concat(F.lit("broken paper endpoint: papers/"), "s").alias("issue"))
+    links = F.regexp_extract_all("text", F.lit(r"(?:\.\./|\./)?sources/papers/[^\s)]+\.md|@(?:configured|wiki)-sources-papers/[^\s)]+\.md"), F.lit(0))
+    each = texts.select("path", F.explode(links).alias("link")).withColumn("s", stem("link"))
+    gone = each.join(sources.select(stem("path").alias("s")), "s", "left_anti").select(F.col("path").alias("file"), F.concat(F.lit("broken prepared-source link: "), "link").alias("issue"))
+    out = wrong(papers, "slug").unionByName(wrong(sources, "sourceSlug")).unionByName(foreign).unionByName(lost).unionByName(gone)
+    return out if most is None else out.orderBy("file", "issue").limit(most)
 
 
 def target_collisions(plan: DataFrame, pages: DataFrame) -> DataFrame:

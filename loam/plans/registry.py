@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "rank_score"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("entity_queries", "text_queries", "form_queries", "report_queries", "repair_queries", "stream_queries")
+MODULES = ("entity_queries", "text_queries", "form_queries", "report_queries", "repair_queries", "check_queries", "stream_queries")
 
 
 def query(sql: str | None = None):
