@@ -1,8 +1,8 @@
 """License scans by ordered signature rules (operator 6).
 
 A rule is a regular expression over the document's words joined by single spaces, with a keyword that must be among
-the words before the expression is tried, a priority and a label. Two tables make the rules: ``BODIES`` has signatures
-of license bodies, notices and addresses, written one by one, and ``FAMILIES`` has names, laid out by version and form
+the words before the expression is tried, a priority and a label. ``BODIES`` and ``NOTICES`` have signatures of license
+bodies, notices, short declarations and addresses, written one by one, and ``FAMILIES`` has names, laid out by version and form
 (name with version, "or later", joined short form, identifier line, "licensed under", name alone), some hundreds in all.
 Overlapping detections are resolved by priority: a detection inside the interval of one of higher priority, or of the
 same priority and greater length, is suppressed.
@@ -201,14 +201,113 @@ BODIES: list[tuple[str, str, str]] = [
     ("public-domain", "creativecommons", "creativecommons org publicdomain mark 1 0"),
     ("wtfpl-2.0", "wtfpl", "wtfpl net"),
 ]
+#: The same for short declarations, further notices and names that have no versions laid out.
+NOTICES: list[tuple[str, str, str]] = [
+    ("mit", "mit", "licen[sc]es? mit(?! licen[sc]e)"),
+    ("mit", "mit", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?mit"),
+    ("mit", "mit", "(?:released|distributed|available) under (?:the )?mit"),
+    ("mit", "mit", "mit licen[sc]ed"),
+    ("mit", "mit", "mit x11 licen[sc]e"),
+    ("mit", "expat", "expat licen[sc]e"),
+    ("mit-0", "attribution", "mit no attribution"),
+    ("mit-cmu", "cmu", "cmu licen[sc]e"),
+    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", "isc", "licen[sc]es? isc"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software"),
+    ("bsd", "bsd", "licen[sc]es? bsd"),
+    ("bsd", "bsd", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?bsd"),
+    ("bsd", "bsd", "bsd licen[sc]ed"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "contributors", "this software is provided by the copyright holders? and contributors as is and any express or implied warranties"),
+    ("bsd", "regents", "this software is provided by the regents and contributors as is"),
+    ("bsd-3-clause", "regents", "copyright c (?:[0-9]{4} ){1,4}the regents of the university of california"),
+    ("0bsd", "clause", "bsd zero clause licen[sc]e|zero clause bsd"),
+    ("apache", "apache", "licen[sc]es? apache"),
+    ("apache", "apache", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?apache"),
+    ("apache", "asf", "licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", "irrevocable", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e"),
+    ("apache-2.0", "notice", "if the work includes a notice text file as part of its distribution"),
+    ("apache-2.0", "llvm", "apache licen[sc]e v2 0 with llvm exceptions"),
+    ("gpl", "gpl", "licen[sc]es? gpl"),
+    ("gpl", "gpl", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl"),
+    ("gpl", "merchantability", "implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e for more details"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed"),
+    ("gpl", "franklin", "free software foundation inc 51 franklin (?:street|st)"),
+    ("gpl", "temple", "free software foundation inc 59 temple place"),
+    ("gpl", "mass", "free software foundation inc 675 mass ave"),
+    ("gpl", "copyleft", "this is a copyleft licen[sc]e"),
+    ("gpl-2.0", "syscall", "linux syscall note"),
+    ("gpl-font-exception", "font", "if you create a document which uses this font and embed this font"),
+    ("bison-exception", "bison", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "autoconf", "if you distribute this file as part of a program that contains a configuration script generated by autoconf"),
+    ("openssl-exception", "openssl", "permission to link (?:the code of portions of )?this program with the openssl"),
+    ("lgpl", "fitness", "fitness for a particular purpose see the gnu (?:lesser|library) general public licen[sc]e for more details"),
+    ("lgpl", "lgpl", "licen[sc]es? lgpl"),
+    ("agpl", "agpl", "licen[sc]es? agpl"),
+    ("agpl-3.0", "remotely", "prominently offer all users interacting with it remotely through a computer network"),
+    ("mpl-2.0", "incompatible", "incompatible with secondary licenses as defined by the mozilla public licen[sc]e"),
+    ("mpl", "mpl", "licen[sc]es? mpl"),
+    ("epl", "eclipse", "eclipse foundation software user agreement"),
+    ("ipl-1.0", "ibm", "ibm public licen[sc]e"),
+    ("spl-1.0", "sun", "sun public licen[sc]e"),
+    ("sissl", "sun", "sun industry standards source licen[sc]e"),
+    ("zpl", "zope", "zope public licen[sc]e"),
+    ("vim", "vim", "vim licen[sc]e"),
+    ("tcl", "tcl", "tcl tk licen[sc]e"),
+    ("w3c", "w3c", "w3c software (?:and document )?notice and licen[sc]e"),
+    ("unicode", "unicode", "unicode (?:inc )?licen[sc]e agreement"),
+    ("icu", "icu", "icu licen[sc]e"),
+    ("curl", "curl", "curl and libcurl are licen[sc]ed"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", "freetype project licen[sc]e"),
+    ("libtiff", "leffler", "copyright c 1988 1997 sam leffler"),
+    ("info-zip", "zip", "info zip licen[sc]e"),
+    ("bzip2", "bzip2", "bzip2 licen[sc]e"),
+    ("sleepycat", "sleepycat", "sleepycat (?:software )?(?:public )?licen[sc]e"),
+    ("qpl-1.0", "public", "q public licen[sc]e"),
+    ("lppl", "latex", "latex project public licen[sc]e"),
+    ("ufl-1.0", "ubuntu", "ubuntu font licen[sc]e"),
+    ("bitstream-vera", "bitstream", "bitstream vera is a trademark of bitstream"),
+    ("intel", "intel", "intel open source licen[sc]e"),
+    ("nasa", "nasa", "nasa open source agreement"),
+    ("blueoak-1.0.0", "oak", "blue oak model licen[sc]e"),
+    ("mulanpsl", "mulan", "mulan (?:permissive|psl)"),
+    ("cern-ohl", "cern", "cern open hardware licen[sc]e"),
+    ("solderpad", "solderpad", "solderpad hardware licen[sc]e"),
+    ("odc-by", "commons", "open data commons attribution licen[sc]e"),
+    ("ogl", "government", "open government licen[sc]e"),
+    ("etalab", "ouverte", "licence ouverte"),
+    ("cdla", "community", "community data licen[sc]e agreement"),
+    ("openrail", "rail", "open rail m"),
+    ("openrail", "responsible", "responsible ai licen[sc]es?"),
+    ("llama", "llama", "llama (?:[0-9] )*community licen[sc]e"),
+    ("gemma", "gemma", "gemma terms of use"),
+    ("bsl-1.1", "business", "business source licen[sc]e"),
+    ("parity", "parity", "parity public licen[sc]e"),
+    ("prosperity", "prosperity", "prosperity public licen[sc]e"),
+    ("hippocratic", "hippocratic", "hippocratic licen[sc]e"),
+    ("cc", "rights", "some rights reserved"),
+    ("cc", "creativecommons", "licen[sc]ed under creativecommons"),
+    ("public-domain", "restrictions", "no known copyright restrictions"),
+    ("public-domain", "government", "(?:is|as) a work of the (?:united states|u s) government"),
+    ("proprietary", "proprietary", "proprietary and confidential"),
+    ("proprietary", "unpublished", "this is an unpublished work"),
+    ("proprietary", "internal", "for internal use only"),
+    ("proprietary", "redistribution", "not for redistribution"),
+    ("proprietary", "evaluation", "for evaluation (?:purposes )?only"),
+    ("proprietary", "agreement", "end user licen[sc]e agreement"),
+    ("proprietary", "written", "without (?:the )?(?:express |prior )+written (?:permission|consent) of the (?:publisher|authors?|copyright holders?|owner)"),
+    ("proprietary", "medium", "copying of this file via any medium is strictly prohibited"),
+]
 #: Short forms written in one word ("gplv3") or with a bare number ("apache 2 0"): label -> names and versions.
 SHORT: dict[str, tuple[str, list[str]]] = {
     "gpl": ("gpl", ["2.0", "3.0"]), "lgpl": ("lgpl", ["2.0", "2.1", "3.0"]), "agpl": ("agpl", ["3.0"]), "mpl": ("mpl", ["1.1", "2.0"]), "epl": ("epl", ["1.0", "2.0"]),
     "apache": ("apache", ["1.1", "2.0"]), "cddl": ("cddl", ["1.0", "1.1"]), "eupl": ("eupl", ["1.1", "1.2"]), "artistic": ("artistic", ["1.0", "2.0"]), "ofl": ("ofl", ["1.0", "1.1"]),
 }
 CREATIVE = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
-BODY, IDENTIFIER, LATER, VERSIONED, GRANTED, NAMED = 60, 50, 40, 30, 20, 10
-CONFIDENCE = {BODY: 1.0, IDENTIFIER: 0.99, LATER: 0.95, VERSIONED: 0.95, GRANTED: 0.9, NAMED: 0.7, 0: 0.6}
+BODY, IDENTIFIER, LATER, VERSIONED, GRANTED, DECLARED, NAMED = 60, 50, 40, 30, 20, 15, 10
+CONFIDENCE = {BODY: 1.0, IDENTIFIER: 0.99, LATER: 0.95, VERSIONED: 0.95, GRANTED: 0.9, DECLARED: 0.8, NAMED: 0.7, 0: 0.6}
 
 
 @dataclass(frozen=True)
@@ -242,6 +341,8 @@ def signature_rules() -> list[Rule]:
             rule("later", rf"{name} {number} or (?:any |at your option any )?later(?: version)?", LATER, f"{label}-{v}-or-later")
     for label, keyword, body in BODIES:
         rule(keyword, body, BODY, label)
+    for label, keyword, body in NOTICES:
+        rule(keyword, body, BODY if body.count(" ") >= 8 else DECLARED, label)
     for label, (name, versions) in SHORT.items():
         for v in versions:
             major, minor = v.split(".")

@@ -367,6 +367,7 @@ def test_license_scan(docs, spark):
 
 
 LICENSE_TEXTS = {
+    "License: MIT": "mit", "Licensed under the MIT": "mit", "is BSD licensed": "bsd", "Some rights reserved.": "cc", "This is proprietary and confidential": "proprietary",
     "GPLv3": "gpl-3.0", "under LGPLv2.1 here": "lgpl-2.1", "Apache-2.0": "apache-2.0", "Creative Commons Zero 1.0": "cc0-1.0", "CC0": "cc0", "see http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
     "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0", "GPL-2.0-or-later": "gpl-2.0-or-later",
@@ -383,7 +384,9 @@ def test_license_signatures(text):
 
 def test_every_rule_can_match():
     """The keyword of each body is a word that whatever matches it holds."""
-    for label, keyword, body in licenses.BODIES:
+    written = [*licenses.BODIES, *licenses.NOTICES]
+    assert len({b for _, _, b in written}) == len(written) >= 200
+    for label, keyword, body in written:
         fixed = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?]?(?:\{[0-9,]+\})?", " ", body)
         for way in fixed.split("|"):
             assert keyword in re.findall(r"[a-z0-9]+", re.sub(r"[a-z][?]", "", way)), label
