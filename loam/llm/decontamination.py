@@ -29,8 +29,8 @@ from .ngram_join import new_page_id, word_hashes
 WINDOW = 10
 ITEM_BLOCK_WORDS = 2_000_000
 PAGE_WORDS = 500_000
-#: Buckets of terms, and pages whose lists share a file.
-BUCKET_BITS, FILE_PAGES = 5, 64
+#: Buckets of terms, and pages whose lists of one bucket are written together.
+BUCKET_BITS, FILE_PAGES = 5, 8
 BROADCAST_KEYS = 1_000_000
 
 #: Bytes of word characters keep their place (A-Z lower-cased); all other bytes separate words.
@@ -80,6 +80,12 @@ def term_lists(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(terms) if terms else none.astype(np.uint64), np.concatenate(sizes) if sizes else none
 
 
+def shares_of(docs: DataFrame) -> int:
+    """Shares of a bucket: one for about ``FILE_PAGES`` pages, so that a frequent term's lists are split as the corpus grows."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return 1 + chars // (6 * PAGE_WORDS * FILE_PAGES)
+
+
 def write_index(docs: DataFrame, path: str) -> DataFrame:
     """Write the index of ``docs`` (doc_id, text, uid) to ``path`` and return it. Bucket -1 lists each page's documents."""
     most = PAGE_WORDS
@@ -116,7 +122,7 @@ def write_index(docs: DataFrame, path: str) -> DataFrame:
             yield flush()
 
     made = docs.select("doc_id", "text", "uid").mapInArrow(trimmed(run), INDEX)
-    share = F.pmod(F.xxhash64("page"), F.lit(1 << 20)) % F.lit(FILE_PAGES)
+    share = F.pmod(F.xxhash64("page"), F.lit(shares_of(docs)))
     made.withColumn("share", share).repartition("bucket", "share").drop("share").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 

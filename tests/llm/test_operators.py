@@ -470,6 +470,12 @@ def test_skip_edges_carry_evidence():
     assert by_text["999"].max() < 0.3
 
 
+def test_index_shares_follow_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PAGE_WORDS", 10)
+    df = spark.createDataFrame([(i, "word " * 96) for i in range(100)], "doc_id long, text string")
+    assert [decontamination.shares_of(x) for x in (df.limit(0), df, df.union(df))] == [1, 101, 201]
+
+
 def test_hot_lines_are_dealt_over_shares(spark, monkeypatch):
     """The same runs go, however few rows a share has; a doubled line doubles its shares."""
     rows = [(i, "hot one\nhot two\nhot three\n" + (f"own {i}\nown {i % 7}\nown {i % 3}" if i % 2 else ""), None) for i in range(60)]
