@@ -112,7 +112,41 @@ def _step() -> str:
     return "[" + ", ".join(f"list_min([{_more(f'c[{q + 1}]', 3, 'D')}]" + (f" || {paid(ways)}" if ways else "") + ")" for q, ways in enumerate(into)) + "]"
 
 
+_RULES = ", ".join(f"('{rule}', {step}, {cut}::DOUBLE)" for rule, grid in quality.GRIDS.items() for step, cut in enumerate(grid))
+_SHARE, _LEVEL = quality.ALPHA / len(quality.GRIDS), quality.DELTA / len(quality.GRIDS)
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+), again AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM g WHERE c > 1) GROUP BY r
+), f AS (
+  SELECT w.r, doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, len(ls) AS n_lines FROM w LEFT JOIN again USING (r)
+), s AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+    n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word FROM f
+), scores AS (
+  UNPIVOT (SELECT r, stratum, doc_id, base_failed, symbol_ratio, upper_ratio, dup_line_ratio, repeat_ratio, mean_word FROM s) ON symbol_ratio, upper_ratio, dup_line_ratio, repeat_ratio, mean_word INTO NAME rule VALUE score
+), rules(rule, step, cutoff) AS (
+  VALUES {_RULES}
+), good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) >= 1
+), held AS (
+  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM scores JOIN rules USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
+), tested AS (
+  SELECT *, k < n * {_SHARE} AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) <= {_LEVEL} / (SELECT greatest(1, count(DISTINCT stratum)) FROM held) AS ok FROM held
+), cut AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, min(CASE WHEN NOT ok THEN step END) OVER (PARTITION BY stratum, rule) AS stop FROM tested) WHERE stop IS NULL OR step < stop GROUP BY ALL
+), failed AS (
+  SELECT s.r, string_agg(s.rule, ',' ORDER BY o.o) AS said FROM scores s JOIN cut c ON c.stratum = s.stratum AND c.rule = s.rule AND s.score > c.cutoff JOIN (SELECT rule, min(rn) AS o FROM (SELECT rule, row_number() OVER () AS rn FROM rules) GROUP BY rule) o ON o.rule = s.rule GROUP BY s.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND said IS NULL AS kept, coalesce(said, '') AS failed_rules FROM s LEFT JOIN failed USING (r)
+""",
     "op11_conversation_repair": rf"""
 WITH RECURSIVE {_CRC}, said AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
@@ -123,7 +157,8 @@ WITH RECURSIVE {_CRC}, said AS (
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM damaged
 ), f AS (
-  SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(rtrim(text, {_SPACE}), 1) NOT IN ('.', '!', '?') AS cut FROM r
 ), g AS (
   SELECT *, blank OR again AS gone, (cut AND NOT blank AND NOT again)::INT AS t FROM f
@@ -161,7 +196,8 @@ WITH {_CRC}, said AS (
   UNION ALL
   SELECT i.c, least(h, coalesce(s.n, 0)) + pos - h, label, text FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h LEFT JOIN size s ON s.c = i.base
 ), member AS (
-  SELECT c, d, string_agg(label, '') OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids
+  SELECT c, d, string_agg(label, '') OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids
 ), node AS (
   SELECT path, d, min(c) AS conv_id, count(*) AS n, any_value(words) AS words FROM member GROUP BY path, d
 ), kids AS (

@@ -12,7 +12,7 @@ from ..test_oracles import as_rows
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, str(SF)), con.sql(queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
