@@ -157,8 +157,7 @@ WITH RECURSIVE {_CRC}, said AS (
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM damaged
 ), f AS (
-  SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^ 	-
-]') AS blank,
+  SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(rtrim(text, {_SPACE}), 1) NOT IN ('.', '!', '?') AS cut FROM r
 ), g AS (
   SELECT *, blank OR again AS gone, (cut AND NOT blank AND NOT again)::INT AS t FROM f
@@ -196,8 +195,7 @@ WITH {_CRC}, said AS (
   UNION ALL
   SELECT i.c, least(h, coalesce(s.n, 0)) + pos - h, label, text FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h LEFT JOIN size s ON s.c = i.base
 ), member AS (
-  SELECT c, d, string_agg(label, '') OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^ 	-
-]+')) AS words FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids
+  SELECT c, d, string_agg(label, '') OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns UNION ALL SELECT c, 0, '', 0 FROM ids
 ), node AS (
   SELECT path, d, min(c) AS conv_id, count(*) AS n, any_value(words) AS words FROM member GROUP BY path, d
 ), kids AS (
