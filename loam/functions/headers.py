@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 STRING = T.StringType()
-FENCE = re.compile(r"\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", re.S)
+FENCE = re.compile(r"\A\ufeff?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", re.S)
 #: Lines deeper than so many containers are passed over.
 MOST_DEPTH = 60
 _PAIR = re.compile(r"(\"[^\"]*\"|'[^']*'|[^\s:#\[\]{}\"'-][^:]*?|-[^\s:][^:]*?)[ \t]*:(?:[ \t]+(.*))?$")
