@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import bpe, decontamination, line_dedup, ngram_join, quality
+from loam.llm.common import discard, swept
 from loam.llm.queries import TOKENIZER
 from loam.session import ready, shared_folder
 
@@ -56,11 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            at = f"{shared_folder(spark)}/loam/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(at)
-            docs = spark.read.parquet(at)
-    return docs
+    """All stages over the documents. What a stage wrote on its way, and what the one before handed on, goes when its own rows are written."""
+    docs, before = ready(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        at = f"{shared_folder(spark)}/loam/pipeline-{uuid.uuid4().hex}"
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(at), at
+    return STAGES[-1][1](spark, docs, sf_dir)
