@@ -10,6 +10,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,31 @@ def tune(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+#: Folders of the tables that operators have written for themselves, while ``swept`` keeps account of them.
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; later passes start from the files."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/loam/{label}-{uuid.uuid4().hex}"
+    for account in _WRITTEN:
+        account.append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within this block a result is made and written; at its end the tables that operators wrote on the way are deleted."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for at in _WRITTEN.pop():
+            discard(spark, at)
+
+
 def discard(spark: SparkSession, at: str) -> None:
     """Delete a written table that no later step reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)

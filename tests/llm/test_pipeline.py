@@ -5,11 +5,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 
 import corpus_pipeline
 from loam.llm import quality
+from loam.session import shared_folder
 
 from .test_ngram_join import components_of
 from .test_operators import W_ASCII, contamination_truth, passages_truth, prose, quality_truth
@@ -79,7 +81,10 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "loam"
+    before = set(folder.iterdir()) if folder.exists() else set()
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [x.name.split("-")[0] for x in set(folder.iterdir()) - before] == ["pipeline"]  # what the last stage reads
 
     cuts, kept = cutoffs_truth(rows, {i for i, q in labels if q}), []
     for i, text, lang in rows:
@@ -105,6 +110,17 @@ def test_pipeline(spark, tmp_path):
     assert got == want
 
 
+def test_null_ids_and_texts_through_the_run(spark, tmp_path):
+    """A row without id is judged, cut and encoded like any other; one without text goes at the quality rules."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 80), "en", None, None) for i in range(12)] + [(None, prose(rng, 90), None, "s", 3), (None, None, "en", "s", 0), (None, prose(rng, 5), "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, "x y"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == Counter([*range(12), None])
+
+
 def test_stages_keep_all_columns(spark, tmp_path):
     """All stages but the last return the columns of documents, on an empty table too."""
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
