@@ -71,24 +71,32 @@ def containment_candidates(left: DataFrame, right: DataFrame, left_id: str, righ
     """left_id, right_id of all pairs of which one text, of two words or more, can stand inside the other, mid-word too.
 
     Where it stands, its first gap stands on a gap: up to four letters before and after it are the key of the shorter
-    text, and the longer one offers all such keys of all its gaps.
+    text, and the longer one offers all such keys of all its gaps. A text of three words and more has its second word, which stands
+    whole, and the next gap in the key too, so that letters that many first gaps share pair only texts that go on alike.
     """
     most = 4
 
-    def first_gap(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = F.split(text, " ")
-        return df.filter(F.size(w) >= 2).select(key, F.concat_ws(" ", F.right(w[0], F.lit(most)), F.left(w[1], F.lit(most)), F.least(F.length(w[0]), F.lit(most)), F.least(F.length(w[1]), F.lit(most))).alias("gap"))
-
-    def gaps(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = df.withColumn("_w", F.split(text, " ")).filter(F.size("_w") >= 2)
-        pairs = w.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b")))).alias("x")).select(key, "x.*")
-        sizes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, most + 1) for j in range(1, most + 1)])
-        cut = pairs.withColumn("s", F.explode(sizes)).filter((F.length("a") >= F.col("s.i")) & (F.length("b") >= F.col("s.j")))
-        return cut.select(key, F.concat_ws(" ", F.right("a", F.col("s.i")), F.left("b", F.col("s.j")), "s.i", "s.j").alias("gap"))
-
-    inside = first_gap(left, left_id, left_text).join(gaps(right, right_id, right_text), "gap").select(left_id, right_id)
-    around = first_gap(right, right_id, right_text).join(gaps(left, left_id, left_text), "gap").select(left_id, right_id)
-    return inside.unionByName(around).distinct()
+    def key(a: Column, between: list[Column], c: Column, i: Column, j: Column) -> Column:
+        return F.concat_ws(" ", F.right(a, i), *between, F.left(c, j), i, j)
+
+    def first(df: DataFrame, name: str, text: str, n: int) -> DataFrame:
+        """Keys of the texts of two words (n = 2), or of three and more (3)."""
+        w = df.select(name, F.split(text, " ").alias("w")).filter(F.size("w") == 2 if n == 2 else F.size("w") >= 3)
+        a, c = F.get("w", F.lit(0)), F.get("w", F.lit(n - 1))
+        return w.select(name, key(a, [F.get("w", F.lit(1))] if n == 3 else [], c, F.least(F.length(a), F.lit(most)), F.least(F.length(c), F.lit(most))).alias("gap"))
+
+    def offered(df: DataFrame, name: str, text: str, n: int) -> DataFrame:
+        w = df.select(name, F.split(text, " ").alias("w")).filter(F.size("w") >= n)
+        runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("m"), F.get("w", i + n - 1).alias("c")))
+        cut = w.select(name, F.explode(runs).alias("x")).select(name, "x.*").withColumn("s", F.explode(sizes)).filter((F.length("a") >= F.col("s.i")) & (F.length("c") >= F.col("s.j")))
+        return cut.select(name, key(F.col("a"), [F.col("m")] if n == 3 else [], F.col("c"), F.col("s.i"), F.col("s.j")).alias("gap"))
+
+    pairs = []
+    for n in (2, 3):
+        # merged: the planner takes exploded keys for as small as the texts, and would broadcast them
+        pairs.append(first(left, left_id, left_text, n).join(offered(right, right_id, right_text, n).hint("merge"), "gap").select(left_id, right_id))
+        pairs.append(first(right, right_id, right_text, n).join(offered(left, left_id, left_text, n).hint("merge"), "gap").select(left_id, right_id))
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def similar_names(candidates: DataFrame, entities: DataFrame, least: float = 0.40) -> DataFrame:

@@ -27,3 +27,18 @@ def test_section_forms_ids_like_years(spark, tmp_path):
     assert got == want and len(got) == 7
     line = spark.range(1).select(X.guess_title(F.lit("# A title of 2001 words\nThe title itself"), F.lit("none")).alias("t")).first().t
     assert line == "The title itself"  # the rule itself stays: a short line with a year is none
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_containment_pairs_of_common_gaps(spark):
+    same = [(k, f"x{k}abcd part {k}") for k in range(600)]
+    odd = [(1000, "abcd part 7"), (1001, "d part"), (1002, "part 59"), (1003, "e part 5 more")]
+    a, b = spark.createDataFrame(same + odd, "l long, lt string"), spark.createDataFrame(same + odd, "r long, rt string")
+    got = J.containment_candidates(a, b, "l", "r", "lt", "rt")
+    assert "Broadcast" not in plan_of(got)
+    pairs = {tuple(r) for r in got.collect()}
+    want = {(i, j) for i, x in same + odd for j, y in same + odd if x in y or y in x}
+    assert want <= pairs and len(pairs) < 20_000  # 360,000 pairs share the letters around the first gap
