@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from ..functions import text as X
 from . import scoring
@@ -56,6 +60,51 @@ def _rare_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         return own.select(key, F.explode(F.slice("w", F.lit(1), kept)).alias("x")).select(key, "x.token")
 
     return rarest(left, left_id, left_tokens).join(rarest(right, right_id, right_tokens), "token").select(left_id, right_id).distinct()
+def _counted(few: list[tuple], kind: DataType, right: DataFrame, left_id: str, right_id: str, right_tokens: str, least: int) -> DataFrame:
+    """``overlap_join`` of rows (id, token) that every task knows: each right row's tokens are looked up and the hits of each id counted."""
+    sent = right.sparkSession.sparkContext.broadcast([tuple(r) for r in few])
+    schema = StructType([StructField(left_id, kind), StructField(right_id, right.schema[right_id].dataType), StructField("common", LongType())])
+
+    def run(batches):
+        places, having = {}, {}
+        for i, token in sent.value:
+            having.setdefault(token, []).append(places.setdefault(i, len(places)))
+        having = {token: np.array(at) for token, at in having.items()}
+        ids = pa.array(list(places), to_arrow_type(kind))
+        for b in batches:
+            for at in range(0, b.num_rows, 100):  # as many results at once as 100 rows can have
+                part, hits, rows = b.slice(at, 100), [], []
+                for k, tokens in enumerate(part.column(1).to_pylist()):
+                    found = [having[t] for t in set(tokens or ()) if t in having]
+                    if len(found) >= least:
+                        n = np.bincount(np.concatenate(found), minlength=len(ids))
+                        good = np.flatnonzero(n >= least)
+                        hits.append((good, n[good]))
+                        rows.append(np.full(len(good), k))
+                if hits:
+                    i, n = (np.concatenate(x) for x in zip(*hits, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), part.column(0).take(pa.array(np.concatenate(rows))), pa.array(n, pa.int64())], [left_id, right_id, "common"])
+
+    return right.select(right_id, right_tokens).mapInArrow(run, schema)
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str) -> DataFrame:
+    """left_id, n: how many right_ids share a token with it, where any do.
+
+    Equal token sets are one class: classes meet and not rows, so many rows that share a token make no pairs. Rows of one id count as
+    one with all their tokens.
+    """
+
+    def classes(df: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
+        return df.select(key, F.explode(tokens).alias("token")).groupBy(key).agg(F.array_sort(F.collect_set("token")).alias(name))
+
+    a, b = classes(left, left_id, left_tokens, "_a"), classes(right, right_id, right_tokens, "_b")
+    many = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
+    one, two = a.select("_a").distinct().select("_a", F.explode("_a").alias("token")), many.select("_b", "_m", F.explode("_b").alias("token"))
+    met = one.join(two, "token").select("_a", "_b", "_m").distinct().groupBy("_a").agg(F.sum("_m").alias("n"))
+    return a.join(met, "_a").select(left_id, "n")
+
+
 
 
 def jaccard_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:

@@ -245,7 +245,7 @@ def lint_all(spark: SparkSession, pages: DataFrame, edges: DataFrame, citations:
 
 def shared_source_counts(papers: DataFrame, concepts: DataFrame, claims: DataFrame) -> DataFrame:
     """slug, concepts, claims: concepts that share a source with a paper, claims that name it (source_papers or evidence)."""
-    shared = joins.overlap_join(papers, concepts, "slug", "concept", "sources", "concept_sources").groupBy("slug").agg(F.count(F.lit(1)).alias("concepts"))
+    shared = joins.overlap_counts(papers, concepts, "slug", "concept", "sources", "concept_sources").withColumnRenamed("n", "concepts")
     named = F.array_distinct(F.concat(F.coalesce("source_papers", F.array().cast("array<string>")), F.coalesce(F.transform("evidence", lambda e: e["source"]), F.array().cast("array<string>"))))
     mentions = claims.select("claim", F.explode(named).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("claims"))
     return papers.select("slug").join(shared, "slug", "left").join(mentions, "slug", "left").fillna(0, ["concepts", "claims"])

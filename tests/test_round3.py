@@ -42,3 +42,12 @@ def test_containment_pairs_of_common_gaps(spark):
     pairs = {tuple(r) for r in got.collect()}
     want = {(i, j) for i, x in same + odd for j, y in same + odd if x in y or y in x}
     assert want <= pairs and len(pairs) < 20_000  # 360,000 pairs share the letters around the first gap
+
+
+def test_shared_source_counts_of_classes(spark):
+    papers = spark.range(20_000).select(F.col("id").cast("string").alias("slug"), F.array((F.col("id") % 2).cast("string"), F.lit("z")).alias("sources"))
+    concepts = spark.range(20_000).select(F.col("id").alias("concept"), F.array(F.when(F.col("id") == 7, "0").otherwise((F.col("id") % 3).cast("string"))).alias("concept_sources"))
+    claims = spark.createDataFrame([(1, ["5", "5"], [("6",)]), (2, ["5"], None)], "claim long, source_papers array<string>, evidence array<struct<source:string>>")
+    got = compose.shared_source_counts(papers, concepts, claims).groupBy("concepts", "claims").count().collect()
+    of = Counter("0" if k == 7 else str(k % 3) for k in range(20_000))
+    assert {tuple(r) for r in got} == {(of["0"], 0, 9_999), (of["1"], 0, 9_999), (of["1"], 2, 1), (of["0"], 1, 1)}
