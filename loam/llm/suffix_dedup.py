@@ -4,9 +4,10 @@ Only windows of ``threshold`` bytes matter, so suffixes are ordered through that
 rank after the last pass are exactly the repeated windows, and a group's smallest doc_id decides. Most significant
 digit first:
 
-* First digit: each window's anchor, the hash of the 16-byte string that is smallest in it. Equal windows have equal
-  anchors at equal offsets. A page of documents asks about its distinct anchors; those that no second document holds
-  end here, with all their windows, which leaves the repeated part of the corpus.
+* First digit: each window's anchor, the hash of the 16-byte string that is smallest in it, with the 17 bytes on its left
+  or on its right, one of which a window holds whole. Equal windows have equal anchors at equal offsets, and so the same
+  side. A page of documents asks about its distinct sides; those that no second document holds end here, with all their
+  windows. The anchor alone would not do: in a large corpus 16 bytes recur by chance nearly everywhere.
 * Windows that survive travel with their anchor: one context of at most ``2 * threshold - 16`` bytes for all windows of
   an anchor, equal contexts of a page once. Contexts are dealt by anchor, so a bucket holds all equal windows.
 * Inside a bucket: equal contexts are one group; where an anchor has several, its windows are refined by digits of
@@ -126,6 +127,37 @@ def page_anchors(x: dict[str, np.ndarray], at: np.ndarray, threshold: int) -> tu
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def sides(raw: np.ndarray, found: tuple[np.ndarray, ...], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, which, split): keys of the anchors with the bytes on their left, then with those on their right, where some window holds
+    them; ``which`` anchor each is of; the last ``split`` of the run's windows that holds the left side whole. Later ones hold the right."""
+    key, pos, lo, hi = found
+    wide = (threshold - GRAM) // 2
+    split = pos - wide
+    left, right = np.flatnonzero(lo <= split), np.flatnonzero(hi > split)
+
+    def mixed(at: np.ndarray, begin: np.ndarray, salt: np.uint64) -> np.ndarray:
+        h = key[at] ^ salt
+        for i in range(wide):
+            h = (h ^ raw[begin + i]) * _B
+            h ^= h >> np.uint64(29)
+        return (h * _A) >> np.uint64(16)
+
+    keys = np.concatenate([mixed(left, pos[left] - wide, _A), mixed(right, pos[right] + GRAM, _C)])
+    return keys, np.concatenate([left, right]), split
+
+
+def repeated(raw: np.ndarray, found: tuple[np.ndarray, ...], shared: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """``found`` without the windows whose side no second document holds."""
+    key, pos, lo, hi = found
+    keys, which, split = sides(raw, found, threshold)
+    hit, n = member(keys, shared), int((lo <= split).sum())
+    left, right = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    left[which[:n][hit[:n]]], right[which[n:][hit[n:]]] = True, True
+    lo, hi = np.where(left, lo, np.maximum(lo, split + 1)), np.where(right, hi, np.minimum(hi, split))
+    keep = left | right
+    return key[keep], pos[keep], lo[keep], hi[keep]
+
+
 def contexts(x: dict[str, np.ndarray], found: tuple[np.ndarray, ...], threshold: int) -> np.ndarray:
     """Rows of key (6 bytes), first and last window offset, and the bytes that the anchor's windows cover; zero outside."""
     key, pos, lo, hi = found
@@ -197,9 +229,7 @@ def window_minima(rows: np.ndarray, doc: np.ndarray, threshold: int) -> tuple[np
 
 
 def _dealt(x: dict, at: np.ndarray, shared: np.ndarray, page: int, buckets: int, threshold: int) -> Iterator[tuple[int, int, bytes]]:
-    found = page_anchors(x, at, threshold)
-    keep = member(found[0], shared)
-    found = tuple(c[keep] for c in found)
+    found = repeated(x["raw"], page_anchors(x, at, threshold), shared, threshold)
     if not len(found[0]):
         return
     rows = contexts(x, found, threshold)
@@ -304,9 +334,10 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = F
         for b in batches:
             for page, blob, ats in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 x = _expand(blob)
-                key, pos, _, _ = page_anchors(x, np.array(sorted(ats)), threshold)
-                own = np.searchsorted(np.cumsum(x["size"]), pos, "right")
-                yield request_batch(requests_of(page, key, own, buckets))
+                found = page_anchors(x, np.array(sorted(ats)), threshold)
+                keys, which, _ = sides(x["raw"], found, threshold)
+                own = np.searchsorted(np.cumsum(x["size"]), found[1], "right")
+                yield request_batch(requests_of(page, keys, own[which], buckets))
 
     answers = materialize(answers_by_page(shared_keys(live.select("page", "blob", "ats").mapInArrow(ask, REQUEST))), "answers")
 

@@ -51,3 +51,25 @@ def test_shared_source_counts_of_classes(spark):
     got = compose.shared_source_counts(papers, concepts, claims).groupBy("concepts", "claims").count().collect()
     of = Counter("0" if k == 7 else str(k % 3) for k in range(20_000))
     assert {tuple(r) for r in got} == {(of["0"], 0, 9_999), (of["1"], 0, 9_999), (of["1"], 2, 1), (of["0"], 1, 1)}
+
+
+def test_suffixes_that_share_an_anchor_only_drop_out():
+    import numpy as np
+
+    from loam.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(5)
+    word, texts = rng.integers(0, 256, 16, np.uint8), []
+    for k in range(40):
+        t = rng.integers(0, 256, 200, np.uint8)
+        t[80:96] = word
+        texts.append(t)
+    texts[7][60:140] = texts[3][60:140]  # 80 bytes are the same, and nothing else
+    x = {"raw": np.concatenate(texts), "size": np.full(40, 200)}
+    found = S.page_anchors(x, np.arange(40), 50)
+    keys, which, _ = S.sides(x["raw"], found, 50)
+    kinds, n = np.unique(keys, return_counts=True)
+    kept = S.repeated(x["raw"], found, kinds[n > 1], 50)
+    assert set(kept[1] // 200) == {3, 7}
+    spans = {int(w) % 200 for lo, hi in zip(kept[2], kept[3], strict=True) for w in range(lo, hi + 1)}
+    assert spans >= set(range(60, 91))  # every repeated window is there
