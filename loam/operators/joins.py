@@ -205,15 +205,22 @@ def match_library(papers: DataFrame, items: DataFrame) -> DataFrame:
     return cascade(papers, items, "slug", "item", [("zotero-doi", F.col("doi"), F.col("doi"), "first"), ("zotero-title-exact", t, t, False), ("zotero-first6+year", _dated(t, 6, y), _dated(t, 6, y), False)])
 
 
-def exact_lookup(jobs: DataFrame, items: DataFrame) -> DataFrame:
-    """job, paths (sorted): files of the items with a job's DOI, or with its title if it has none; both compared as they are but for case and
-    the ends. ``jobs``: job, doi, title; ``items``: doi, title, paths."""
+def exact_lists(jobs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(job, k; k, path): the key of each job, and once for all jobs of a key the files that have it. A key is a job's DOI, or its title if
+    it has none, as it is but for case and the ends. ``jobs``: job, doi, title; ``items``: doi, title, paths."""
     bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     key = F.when(bare("doi") != "", F.concat(F.lit("doi:"), bare("doi"))).otherwise(F.concat(F.lit("title:"), X.normalize_text("title")))
-    by = [items.select(F.concat(F.lit("doi:"), bare("doi")).alias("k"), "paths"), items.select(F.concat(F.lit("title:"), X.normalize_text("title")).alias("k"), "paths")]
-    files = by[0].unionByName(by[1]).select("k", F.explode("paths").alias("path")).filter("k not in ('doi:', 'title:')")
-    found = jobs.select("job", key.alias("k")).join(files, "k").groupBy("job").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    return jobs.select("job").join(found, "job", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    asked = jobs.select("job", key.alias("k"))
+    keys = F.array(F.concat(F.lit("doi:"), bare("doi")), F.concat(F.lit("title:"), X.normalize_text("title")))
+    files = items.select("paths", F.explode(keys).alias("k")).filter("k not in ('doi:', 'title:')").join(asked.select("k").distinct(), "k", "left_semi")
+    return asked, files.select("k", F.explode("paths").alias("path")).filter("path is not null").distinct()
+
+
+def exact_lookup(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """job, paths (sorted): files of the items with a job's DOI, or with its title if it has none (``exact_lists``, put with every job)."""
+    asked, files = exact_lists(jobs, items)
+    lists = files.groupBy("k").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return asked.join(lists, "k", "left").select("job", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
 
 
 def title_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

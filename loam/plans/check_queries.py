@@ -55,7 +55,9 @@ def exact_files(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"))
     items = docs.select(text("10.9/A", n % 50, " ").alias("doi"), F.upper("lang").alias("title"), F.array(text("f", n)).alias("paths"))
     jobs = docs.filter(n % 100 < 4).select(n.alias("job"), F.when(m == 0, text(" 10.9/a", n % 50)).when(m == 2, "10.9/none").otherwise("").alias("doi"), F.when(m == 3, "nothing").otherwise(" De! ").alias("title"))
-    return J.exact_lookup(jobs, items).select("job", F.size("paths").cast("long").alias("files"), F.md5(F.array_join("paths", ",")).alias("digest"))
+    asked, files = J.exact_lists(jobs, items)
+    lists = files.groupBy("k").agg(F.count(F.lit(1)).alias("files"), F.md5(F.array_join(F.sort_array(F.collect_list("path")), ",")).alias("digest"))
+    return asked.join(lists, "k", "left").select("job", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
 
 
 @query("""SELECT count(*) FILTER (doc_id % 8 = 0) AS papers, count(*) FILTER (doc_id % 8 = 1) AS concepts, count(*) FILTER (doc_id % 8 = 2) AS topics, count(*) FILTER (doc_id % 8 = 3) AS people, count(*) FILTER (doc_id % 8 = 4) AS ideas, count(*) FILTER (doc_id % 8 = 5) AS experiments,

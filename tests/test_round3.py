@@ -53,6 +53,23 @@ def test_shared_source_counts_of_classes(spark):
     assert {tuple(r) for r in got} == {(of["0"], 0, 9_999), (of["1"], 0, 9_999), (of["1"], 2, 1), (of["0"], 1, 1)}
 
 
+def test_exact_lists_once_for_all_jobs(spark):
+    items = spark.range(3_000).select(F.lit(" 10.1/A").alias("doi"), F.lit("One").alias("title"), F.array(F.concat(F.lit("f"), "id"), F.lit("f0")).alias("paths"))
+    jobs = spark.range(3_000).select(F.col("id").alias("job"), F.when(F.col("id") % 3 == 0, "10.1/a").alias("doi"), F.when(F.col("id") % 3 == 1, " one! ").otherwise("none").alias("title"))
+    asked, files = J.exact_lists(jobs, items)
+    assert asked.count() == 3_000 and files.count() == 6_000
+    paths = sorted(f"f{k}" for k in range(3_000))
+    got = {r.job: r.paths for r in J.exact_lookup(jobs.filter("job < 6"), items).collect()}
+    assert got == {k: paths if k % 3 < 2 else [] for k in range(6)}
+
+
+def test_exact_files(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(k, "de" if k % 2 else None) for k in range(220)], "doc_id long, lang string")
+    md5 = lambda ks: hashlib.md5(",".join(sorted(f"f{k}" for k in ks)).encode()).hexdigest()
+    files = {0: lambda j: [k for k in range(220) if k % 50 == j % 50], 1: lambda _: range(1, 220, 2), 2: lambda _: [], 3: lambda _: []}
+    assert run(spark, tmp_path, "exact_files") == Counter((j, len(f), md5(f)) for j in range(220) if j % 100 < 4 for f in [files[j % 4](j)])
+
+
 def test_suffixes_that_share_an_anchor_only_drop_out():
     import numpy as np
 
