@@ -14,6 +14,9 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 from ..functions import text as X
 from . import scoring
 
+#: Rows (id, token) of a left side that tasks may know whole.
+FEW_TOKENS = 200_000
+
 
 def orphans(nodes: DataFrame, edges: DataFrame, a: str = "from_id", b: str = "to_id") -> DataFrame:
     """Nodes (column node) at no edge."""
@@ -34,9 +37,15 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame
 def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: int = 1) -> DataFrame:
     """left_id, right_id, common: pairs with ``least`` common tokens or more.
 
-    For one token both sides are exploded into an equality join. For more, such pairs share one of the n - least + 1 rarest
-    tokens of either side, so only those meet, and the common tokens of those pairs are counted on the arrays: for thresholds that few pairs reach.
+    A left side of up to ``FEW_TOKENS`` tokens in all goes to the tasks, which count every right row against it: no pair that fails is ever
+    a row. Otherwise, for one token both sides are exploded into an equality join; for more, such pairs share one of the n - least + 1
+    rarest tokens of either side, so only those meet, and the common tokens of those pairs are counted on the arrays: for thresholds that few
+    pairs reach.
     """
+    if least > 1:
+        few = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("token")).filter("token is not null").distinct().limit(FEW_TOKENS + 1).collect()
+        if len(few) <= FEW_TOKENS:
+            return _counted(few, left.schema[left_id].dataType, right, left_id, right_id, right_tokens, least)
     if least <= 1:
         a = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("token"))
         b = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("token"))
@@ -47,19 +56,6 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return both.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("common")).filter(F.col("common") >= least)
 
 
-def _rare_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, prefix) -> DataFrame:
-    """left_id, right_id of pairs that share one of the ``prefix`` (of the number of tokens) rarest tokens of either side.
-    Tokens of one side only drop out of the join, not of the prefix."""
-    both = left.select(F.explode(F.array_distinct(left_tokens)).alias("token")).unionByName(right.select(F.explode(F.array_distinct(right_tokens)).alias("token")))
-    often = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-    def rarest(df: DataFrame, key: str, tokens: str) -> DataFrame:
-        long = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(often, "token")
-        own = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
-        kept = F.greatest(prefix(F.size("w")), F.lit(0))
-        return own.select(key, F.explode(F.slice("w", F.lit(1), kept)).alias("x")).select(key, "x.token")
-
-    return rarest(left, left_id, left_tokens).join(rarest(right, right_id, right_tokens), "token").select(left_id, right_id).distinct()
 def _counted(few: list[tuple], kind: DataType, right: DataFrame, left_id: str, right_id: str, right_tokens: str, least: int) -> DataFrame:
     """``overlap_join`` of rows (id, token) that every task knows: each right row's tokens are looked up and the hits of each id counted."""
     sent = right.sparkSession.sparkContext.broadcast([tuple(r) for r in few])
@@ -105,6 +101,19 @@ def overlap_counts(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return a.join(met, "_a").select(left_id, "n")
 
 
+def _rare_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, prefix) -> DataFrame:
+    """left_id, right_id of pairs that share one of the ``prefix`` (of the number of tokens) rarest tokens of either side.
+    Tokens of one side only drop out of the join, not of the prefix."""
+    both = left.select(F.explode(F.array_distinct(left_tokens)).alias("token")).unionByName(right.select(F.explode(F.array_distinct(right_tokens)).alias("token")))
+    often = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(df: DataFrame, key: str, tokens: str) -> DataFrame:
+        long = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(often, "token")
+        own = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
+        kept = F.greatest(prefix(F.size("w")), F.lit(0))
+        return own.select(key, F.explode(F.slice("w", F.lit(1), kept)).alias("x")).select(key, "x.token")
+
+    return rarest(left, left_id, left_tokens).join(rarest(right, right_id, right_tokens), "token").select(left_id, right_id).distinct()
 
 
 def jaccard_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
@@ -124,6 +133,7 @@ def containment_candidates(left: DataFrame, right: DataFrame, left_id: str, righ
     whole, and the next gap in the key too, so that letters that many first gaps share pair only texts that go on alike.
     """
     most = 4
+    sizes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, most + 1) for j in range(1, most + 1)])
 
     def key(a: Column, between: list[Column], c: Column, i: Column, j: Column) -> Column:
         return F.concat_ws(" ", F.right(a, i), *between, F.left(c, j), i, j)

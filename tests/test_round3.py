@@ -70,6 +70,16 @@ def test_exact_files(spark, tmp_path):
     assert run(spark, tmp_path, "exact_files") == Counter((j, len(f), md5(f)) for j in range(220) if j % 100 < 4 for f in [files[j % 4](j)])
 
 
+def test_overlap_join_of_few_pairs_nothing(spark):
+    a = spark.createDataFrame([(1, ["a", "b", "c", None]), (2, ["c", "d"]), (3, None)], "i long, x array<string>")
+    b = spark.createDataFrame([("p", ["a", "b", "b", "c", "d"]), ("q", ["c", "z"]), ("r", None)], "j string, y array<string>")
+    got = J.overlap_join(a, b, "i", "j", "x", "y", least=2)
+    assert {tuple(r) for r in got.collect()} == {(1, "p", 3), (2, "p", 2)}
+    assert "Join" not in plan_of(got) and "Exchange" not in plan_of(got)
+    many = J.overlap_join(spark.range(250_001).selectExpr("id AS i", "array(string(id), string(id + 1)) AS x"), b.selectExpr("j", "array('7', '8', '9') AS y"), "i", "j", "x", "y", least=2)
+    assert {tuple(r) for r in many.collect()} == {(i, j, 2) for i in (7, 8) for j in "pqr"}
+
+
 def test_suffixes_that_share_an_anchor_only_drop_out():
     import numpy as np
 
