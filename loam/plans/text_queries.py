@@ -205,7 +205,7 @@ def slug_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slug_keys(spark: SparkSession, d: str, t: Column) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.normalize_text(t).alias("norm"), X.slugify(t).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_text(t).alias("norm")).select("doc_id", "norm", X.slug_of(F.col("norm")).alias("slug"))
 
 
 def slug_keys_unicode(spark: SparkSession, d: str) -> DataFrame:

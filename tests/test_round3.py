@@ -70,6 +70,23 @@ def test_exact_files(spark, tmp_path):
     assert run(spark, tmp_path, "exact_files") == Counter((j, len(f), md5(f)) for j in range(220) if j % 100 < 4 for f in [files[j % 4](j)])
 
 
+def _slugs(text):
+    w = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+    keys = [x for x in w if x not in X.STOP_WORDS and len(x) > 1]
+    return " ".join(w), "-".join((keys or w)[:6]) or "untitled", "-".join([x for x in w if len(x) > 1][:3])
+
+
+def test_slugs_read_a_text_once(spark, tmp_path):
+    texts = ["", " ", "The a of", "a b c d e f g h", "Is The " * 9 + "Thesis, of-the art x by by bye 1 22 an anon theory end", "\n.One\tTwo  -é- a. 3 four", "- a" * 50_000 + " late words and more", "the " * 100_000 + "x1", "of", "ofx of xof y zz"]
+    put(spark, tmp_path, "documents", [(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert run(spark, tmp_path, "slug_keys") == Counter((k, *_slugs(t)[:2]) for k, t in enumerate(texts))
+    got = {r.doc_id: r.slug for r in registry.QUERIES["paper_slugs"](spark, str(tmp_path)).collect()}
+    assert got == {k: "_".join(filter(None, ["smith", str(1990 + k), _slugs(t)[2]])) for k, t in enumerate(texts)}
+    for name in ("slug_keys", "paper_slugs"):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(coalesce(text") + plan.count("lower(text") == 1, plan
+
+
 def test_overlap_join_of_few_pairs_nothing(spark):
     a = spark.createDataFrame([(1, ["a", "b", "c", None]), (2, ["c", "d"]), (3, None)], "i long, x array<string>")
     b = spark.createDataFrame([("p", ["a", "b", "b", "c", "d"]), ("q", ["c", "z"]), ("r", None)], "j string, y array<string>")
