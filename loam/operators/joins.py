@@ -341,9 +341,20 @@ def broken_links(pages: DataFrame, targets: DataFrame, text: str = "body") -> Da
 
 
 def asymmetric_refs(refs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Forward references without a way back. ``refs``: page, target; ``pages``: slug, body. Aliases count."""
-    back = F.col("body").contains(F.concat(F.lit("[["), F.col("page"), F.lit("]]"))) | F.col("body").contains(F.concat(F.lit("[["), F.col("page"), F.lit("|")))
-    return refs.join(pages.select(F.col("slug").alias("target"), "body"), "target").filter(~back).select("page", "target")
+    """Forward references without a way back. ``refs``: page, target; ``pages``: slug, body. Aliases count.
+
+    The links of each body are taken out once and meet the references as rows, so that no body travels with a reference; only for a page
+    whose name no link pattern can read (with a bracket or a bar) the bodies themselves are searched.
+    """
+    odd = F.col("page").rlike(r"[\[\]|]") | (F.col("page") == "")
+    bodies = pages.filter("body is not null").select(F.col("slug").alias("target"), "body")
+    own = bodies.groupBy("target").agg(F.count(F.lit(1)).alias("_of"))
+    links = bodies.select("target", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\[\[([^\[\]|]+)(?=\]\]|\|)"), F.lit(1)))).alias("page"))
+    back = links.groupBy("target", "page").agg(F.count(F.lit(1)).alias("_n"))
+    plain = refs.filter(~odd).join(own, "target").join(back, ["target", "page"], "left")
+    plain = plain.select("page", "target", F.explode(F.array_repeat(F.lit(1), (F.col("_of") - F.coalesce("_n", F.lit(0))).cast("int"))))  # pages of one name each ask
+    said = F.col("body").contains(F.concat(F.lit("[["), F.col("page"), F.lit("]]"))) | F.col("body").contains(F.concat(F.lit("[["), F.col("page"), F.lit("|")))
+    return plain.select("page", "target").unionByName(refs.filter(odd).join(bodies, "target").filter(~said).select("page", "target"))
 
 
 def unmentioned(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:

@@ -97,6 +97,18 @@ def test_overlap_join_of_few_pairs_nothing(spark):
     assert {tuple(r) for r in many.collect()} == {(i, j, 2) for i in (7, 8) for j in "pqr"}
 
 
+def test_asymmetric_refs_by_links(spark):
+    pages = [("t", "[[a]] [[b|B]] [[[c]] [[d] ] [[e\nf]] [[g[h]] [[]]"), ("u", None), ("v", ""), ("w", "[[a]]"), ("w", "[[b]]")]
+    names = ["a", "b", "c", "d", "e\nf", "e", "g[h", "h", "", "x|y", "[c"]
+    refs = [(n, t) for n in names for t in ("t", "u", "v", "w", "none")]
+    got = J.asymmetric_refs(spark.createDataFrame(refs, "page string, target string"), spark.createDataFrame(pages, "slug string, body string"))
+    want = Counter((n, t) for n, t in refs for s, body in pages if s == t and body is not None and f"[[{n}]]" not in body and f"[[{n}|" not in body)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    plain = J.asymmetric_refs(spark.createDataFrame([("a", "t")], "page string, target string"), spark.createDataFrame(pages, "slug string, body string"))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan.split("Union")[0] and "regexp_extract_all" in plan
+
+
 def test_suffixes_that_share_an_anchor_only_drop_out():
     import numpy as np
 
