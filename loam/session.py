@@ -37,6 +37,20 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows and bytes of an Arrow batch: texts have no length limit, and a Python worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Batches of whole texts to Python workers stay small, however large a partition is; smaller ones that are set already stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that the cluster names in ``spark.checkpoint.dir``.
 

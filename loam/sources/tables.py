@@ -9,10 +9,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import model
 from ..operators import windows
+from ..session import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, whose rows go to Python in small batches, as they hold whole texts (``session.small_batches``)."""
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

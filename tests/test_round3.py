@@ -97,6 +97,20 @@ def test_overlap_join_of_few_pairs_nothing(spark):
     assert {tuple(r) for r in many.collect()} == {(i, j, 2) for i in (7, 8) for j in "pqr"}
 
 
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(1, "x")], "doc_id long, text string")
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for rows, want in (("10000", "1000"), ("50", "50")):
+            spark.conf.set(keys[0], rows)
+            registry.QUERIES["source_screen"](spark, str(tmp_path))
+            assert spark.conf.get(keys[0]) == want and int(spark.conf.get(keys[1])) <= 32 << 20
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_asymmetric_refs_by_links(spark):
     pages = [("t", "[[a]] [[b|B]] [[[c]] [[d] ] [[e\nf]] [[g[h]] [[]]"), ("u", None), ("v", ""), ("w", "[[a]]"), ("w", "[[b]]")]
     names = ["a", "b", "c", "d", "e\nf", "e", "g[h", "h", "", "x|y", "[c"]
