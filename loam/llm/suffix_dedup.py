@@ -7,7 +7,7 @@ digit first:
 * First digit: each window's anchor, the hash of the 16-byte string that is smallest in it, with the 17 bytes on its left
   or on its right, one of which a window holds whole. Equal windows have equal anchors at equal offsets, and so the same
   side. A page of documents asks about its distinct sides; those that no second document holds end here, with all their
-  windows. The anchor alone would not do: in a large corpus 16 bytes recur by chance nearly everywhere.
+  windows. The anchor alone keeps more, as 16 bytes recur by chance more often than 33.
 * Windows that survive travel with their anchor: one context of at most ``2 * threshold - 16`` bytes for all windows of
   an anchor, equal contexts of a page once. Contexts are dealt by anchor, so a bucket holds all equal windows.
 * Inside a bucket: equal contexts are one group; where an anchor has several, its windows are refined by digits of
